@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 #: Bytes that end a word: space, and tab to carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -93,7 +94,7 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = BLOCK_BYTES) -> DataFrame:
+def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, limit: int = BLOCK_BYTES) -> DataFrame:
     """fn over blocks of df's rows; df's last column is the text as binary."""
     small_batches(df.sparkSession)
 
@@ -106,6 +107,19 @@ def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def with_score(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str, limit: int = BLOCK_BYTES) -> DataFrame:
+    """docs with a double column name: score(bytes, row starts) of the texts; every column passes through in one map."""
+    others = [c for c in docs.columns if c != "text"]
+    schema = StructType([*[docs.schema[c] for c in others], StructField("text", BinaryType()), StructField(name, DoubleType())])
+
+    def run(block: pa.RecordBatch) -> pa.RecordBatch:
+        got = pa.array(score(*raw(block.column(block.num_columns - 1))), pa.float64())
+        return pa.RecordBatch.from_arrays([*block.columns, got], names=schema.names)
+
+    out = map_blocks(docs.select(*others, F.col("text").cast("binary").alias("text")), run, schema, limit)
+    return out.withColumn("text", F.col("text").cast("string")).select(*docs.columns, name)
+
+
 def word_bytes(spaces: bytes = SPACES) -> np.ndarray:
     """Which bytes belong to words, all but spaces."""
     out = np.ones(256, bool)

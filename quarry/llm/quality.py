@@ -146,6 +146,15 @@ def score(docs: DataFrame, space: Space | None, keep: list[str]) -> DataFrame:
     return common.map_blocks(docs.select(*keep, F.col("text").cast("binary").alias("_text")), run, f"{kinds}, score double", 1 << 19)
 
 
+def only_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that score 0.5 or more; all of them without labels."""
+    space = fit(docs, labels, learnable_row())
+    if space is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(space)
+    return common.with_score(docs, lambda data, at: sent.value.score(terms(data, at)), "_quality", 1 << 19).where("_quality >= 0.5").drop("_quality")
+
+
 def learnable_row() -> Column:
     return common.id_crc() % 3 != 1
 

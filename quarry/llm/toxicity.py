@@ -132,14 +132,27 @@ def score(docs: DataFrame, weights: np.ndarray | None, keep: list[str]) -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
-        w = sent.value
-        rows, ids = word_ids(*common.raw(block.column(block.num_columns - 1)))
-        x = _sigmoid(np.bincount(rows, w[ids], block.num_rows) + w[-1])
-        return pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(x, pa.float64())], names=[*keep, "score"])
+        got = probability(sent.value, *common.raw(block.column(block.num_columns - 1)))
+        return pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(got, pa.float64())], names=[*keep, "score"])
 
     return common.map_blocks(docs.select(*keep, F.col("text").cast("binary").alias("_text")), run, f"{kinds}, score double")
 
 
+def probability(weights: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The score of each text."""
+    rows, ids = word_ids(data, at)
+    return _sigmoid(np.bincount(rows, weights[ids], len(at) - 1) + weights[-1])
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that score below 0.5; all of them without toxic labels."""
+    weights = fit(docs, labels, learnable_row())
+    if weights is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    return common.with_score(docs, lambda data, at: probability(sent.value, data, at), "_toxic").where("_toxic < 0.5").drop("_toxic")
+
+
 def learnable_row() -> Column:
     return common.id_crc() % 5 != 0
 
