@@ -1,6 +1,39 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, each with the SQL that tells the same, where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.tables import load
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of one folder by attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return load(self.spark, self.sf_dir, name)
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of Tables."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+from . import event_queries, graph_queries, scalar_queries, table_queries, text_queries  # noqa: E402, F401
