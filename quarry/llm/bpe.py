@@ -59,10 +59,21 @@ class Splitter:
     def __init__(self, pattern: str, encode_many) -> None:
         self.pattern = regex.compile(pattern)
         self.tokens = Memo(encode_many)
-        self.cuts = Memo(lambda words: self._pieces([f" {w}" for w in words]))
+        self.cuts = Memo(lambda words: self._joined(list(map(self._cut, words))))
+
+    def _cut(self, word: str) -> list[str]:
+        """Pre-tokens of a space and the word; letters alone, or with one mark after them, need no pattern."""
+        if word.isascii() and word[:-1].isalpha():
+            if word[-1].isalpha():
+                return [f" {word}"]
+            if word[-1] in ",.":
+                return [f" {word[:-1]}", word[-1]]
+        return self.pattern.findall(f" {word}")
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
-        split = list(map(self.pattern.findall, texts))
+        return self._joined(list(map(self.pattern.findall, texts)))
+
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
         self.tokens.learn(set().union(*split))
         get = self.tokens.young.__getitem__
         return [b"".join(map(get, x)) for x in split]
