@@ -8,6 +8,7 @@ as the counts allow. Pieces find their seats by their rank within their length.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -85,16 +86,23 @@ def seats(rows: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.nd
 class TokenizerPieces:
     """encode_many of pre-tokens by the tokenizers library; those that open with one space go in as running text."""
 
-    RUN = 256
+    RUN, ONCE = 256, 8192
     _joins = re.compile(r"\x20\S+")
 
     def __init__(self, json: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(pieces), self.ONCE):
+            out += self._some(pieces[i : i + self.ONCE])
+        return out
+
+    def _some(self, pieces: list[str]) -> list[bytes]:
         out = dict.fromkeys(pieces, b"")
         joined = [x for x in pieces if self._joins.fullmatch(x)]
         alone = [x for x in pieces if not self._joins.fullmatch(x)]
