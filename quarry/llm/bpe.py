@@ -24,7 +24,7 @@ from . import common
 #: A space that another space precedes and that white space or the end follows: there a text can't be cut before its spaces.
 _UNSAFE = re.compile(r"\s\x20(?:\s|\Z)")
 #: Entries of one generation of a worker's memory of words.
-MEMO = 160_000
+MEMO = 500_000
 
 
 class Memo:
