@@ -205,15 +205,14 @@ def load_ranks(path: str) -> list[bytes]:
     return out
 
 
-_coders: dict[str, tuple[BytePair, Splitter]] = {}
-
-
 def coder(key: str, vocabulary: list[bytes], index: PerfectHash, pattern: str) -> tuple[BytePair, Splitter]:
     """This worker's coder, kept over tasks."""
-    if key not in _coders:
+
+    def make() -> tuple[BytePair, Splitter]:
         pair = BytePair(vocabulary, index)
-        _coders[key] = pair, Splitter(pattern, pair.encode_many)
-    return _coders[key]
+        return pair, Splitter(pattern, pair.encode_many)
+
+    return common.held(key, make)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, ids: bool = False, id_col: str = "doc_id") -> DataFrame:
@@ -237,7 +236,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
-    return common.map_blocks(docs.select(id_col, F.col("text").cast("binary").alias("text")), run, schema)
+    return common.map_blocks(docs.select(id_col, F.col("text").cast("binary").alias("text")), run, schema, keeps=True)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that one numpy pass takes.
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch (one row at least).
+BATCH_BYTES = "8mb"
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -56,8 +59,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches hold few rows, since one text may be very long."""
+    """Arrow batches hold few rows and bytes, since one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+_held: dict = {}
+
+
+def held(key: str, make: Callable):
+    """What a worker keeps under key over its tasks; only the last key's. Functions sent to workers reach it by this name, not by a copy."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees what the tasks of another operator left in this worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
 
 
 def id_crc(column: str = "doc_id") -> Column:
@@ -94,11 +116,13 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, limit: int = BLOCK_BYTES) -> DataFrame:
-    """fn over blocks of df's rows; df's last column is the text as binary."""
+def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, limit: int = BLOCK_BYTES, keeps: bool = False) -> DataFrame:
+    """fn over blocks of df's rows; df's last column is the text as binary. keeps: fn itself uses held()."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         for block in blocks(batches, limit):
             out = fn(block)
             if out is not None:

@@ -122,7 +122,9 @@ class TokenizerPieces:
         return [out[x] for x in pieces]
 
 
-_splitters: dict[int, bpe.Splitter] = {}
+def splitter(key: int, json: str) -> bpe.Splitter:
+    """This worker's splitter, kept over tasks."""
+    return common.held(f"pieces-{key}", lambda: bpe.Splitter(public_tokenizers.PATTERN, TokenizerPieces(json)))
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -136,10 +138,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
     key, end = zlib.crc32(json.encode()), np.array([end_id], "<u4").tobytes()
 
     def run(block: pa.RecordBatch, seen: Counter) -> pa.RecordBatch:
-        if key not in _splitters:
-            _splitters[key] = bpe.Splitter(public_tokenizers.PATTERN, TokenizerPieces(sent.value))
         rows, own = [], TaskContext.get().partitionId()
-        for i, ids in enumerate(_splitters[key].encode(block.column(1).fill_null(b"").cast(pa.string()).to_pylist())):
+        for i, ids in enumerate(splitter(key, sent.value).encode(block.column(1).fill_null(b"").cast(pa.string()).to_pylist())):
             ids += end
             n, start, piece = len(ids) // 4, 0, 0
             while start < n:
