@@ -37,8 +37,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
 
-#: Licence words that a file looks up, share of documents above which a word is no clue, share of a template's words that must align, and words by which places may be off.
-RARE, COMMON, ALIGNED, SLACK = 8, 0.2, 0.6, 2
+#: Licence words that a file looks up, share of a template's words that must align, and words by which places may be off.
+RARE, ALIGNED, SLACK = 8, 0.6, 2
 
 _MEMBER = common.alnum_bytes()
 
@@ -58,9 +58,20 @@ class Index:
         self.idf = np.ones(len(self.vocabulary))
 
     def weigh(self, counts: dict[int, int], documents: int) -> None:
-        """Sets inverse document frequencies from documents that hold each word of the vocabulary; words of too many documents get 0."""
+        """Sets inverse document frequencies from documents that hold each word of the vocabulary; above 0 even for a word of all documents."""
         n = np.array([counts.get(k, 0) for k in range(len(self.vocabulary))])
-        self.idf = np.where(n > COMMON * documents, 0.0, np.log((1 + documents) / (1 + n)))
+        self.idf = np.log((2 + documents) / (1 + n))
+
+    def holders(self, words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """For each template the rows (of n) that hold all its key phrases; it can be in no others."""
+        out = np.ones((len(self.templates), n), bool)
+        for held, (_, _, keys) in zip(out, self.templates, strict=True):
+            for k in keys:
+                at = starts(words, k)
+                seen = np.zeros(n, bool)
+                seen[row[at[row[at] == row[at + len(k) - 1]]]] = True
+                held &= seen
+        return out
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Each word's number in the vocabulary, or -1."""
@@ -71,7 +82,6 @@ class Index:
         """Labels of the templates that one file holds, and the largest share of aligned words among them."""
         places = np.flatnonzero(number >= 0)
         kinds = np.unique(number[places])
-        kinds = kinds[self.idf[kinds] > 0]
         rare = kinds[np.argsort(-self.idf[kinds], kind="stable")][:RARE]
         if not len(rare):
             return set(), 0.0
@@ -104,10 +114,10 @@ def starts(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     n = len(words) - len(phrase) + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    hit = words[:n] == phrase[0]
+    at = np.flatnonzero(words[:n] == phrase[0])
     for k in range(1, len(phrase)):
-        hit &= words[k : n + k] == phrase[k]
-    return np.flatnonzero(hit)
+        at = at[words[at + k] == phrase[k]]
+    return at
 
 
 def document_counts(docs: DataFrame, index: Index) -> tuple[dict[int, int], int]:
@@ -156,11 +166,9 @@ def license_scan(docs: DataFrame, templates: list = TEMPLATES, base: list = BASE
             for r, p in zip(row[at].tolist(), (at - begins[row[at]]).tolist(), strict=True):
                 places.setdefault(r, []).append(p)
                 marks.setdefault(r, set()).add(label)
-        clue = np.zeros(len(index.vocabulary) + 1, bool)
-        clue[:-1] = index.idf > 0
         found: dict[int, set[str]] = {r: set(x) for r, x in marks.items()}
         score = np.zeros(n)
-        for r in np.unique(row[clue[number]]).tolist():
+        for r in np.flatnonzero(index.holders(words, row, n).any(0)).tolist():
             labels, share = index.match(words[begins[r] : ends[r]], number[begins[r] : ends[r]])
             if labels:
                 found.setdefault(r, set()).update(labels)

@@ -220,6 +220,14 @@ def test_license_base_matches_a_plain_scan(spark):
     assert got[21].labels == "mit" and got[21].base_labels == "" and got[21].score > 0.9
 
 
+def test_licenses_that_many_files_carry_are_found(spark):
+    mit = licenses.TEMPLATES[6][1]
+    got = {r.doc_id: r for r in licenses.license_scan(rows(spark, [(1, mit), (2, "x " + mit), (3, "nothing of that kind")])).collect()}
+    assert [(got[i].labels, got[i].score) for i in (1, 2, 3)] == [("mit", 1.0), ("mit", 1.0), ("", 0.0)]
+    many = [(i, f"n{i} " + (licenses.TEMPLATES[7][1] if i % 3 == 0 else "plain text of no licence")) for i in range(60)]
+    assert all(r.labels == ("bsd" if r.doc_id % 3 == 0 else "") for r in licenses.license_scan(rows(spark, many)).collect())
+
+
 def test_word_counts_of_language_scores(spark):
     got = lm_score.lm_score(rows(spark), common.id_crc() % 7 != 2, sample=20).toPandas()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
