@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index (operator 5).
 
-The templates' words are indexed with their places. Each file looks up its licence words of the
-highest inverse document frequency (counted over all documents), the postings of each template are
-intersected by relative place, and a template that is aligned often enough is confirmed by the key
-phrases it must hold near that place.
+The templates' words are indexed with their places. For each template whose key phrases a file holds
+it looks up that template's words of the highest inverse document frequency (counted over all
+documents): so many that one at least is in place wherever the template is. The places they point to
+are tried one by one, and a template that is aligned often enough is confirmed by the key phrases it
+must hold near that place.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
 
-#: Licence words that a file looks up, share of a template's words that must align, and words by which places may be off.
-RARE, ALIGNED, SLACK = 8, 0.6, 2
+#: Share of a template's words that must align, and words by which places may be off.
+ALIGNED, SLACK = 0.6, 2
 
 _MEMBER = common.alnum_bytes()
 
@@ -51,10 +52,7 @@ class Index:
         self.templates = [(label, code(text), [code(k) for k in keys]) for label, text, keys in templates]
         self.base = [(code(phrase), label) for phrase, label in base]
         self.vocabulary = np.unique(np.concatenate([t for _, t, _ in self.templates] + [p for p, _ in self.base]))
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
-        for number, (_, words, _) in enumerate(self.templates):
-            for place, at in enumerate(np.searchsorted(self.vocabulary, words)):
-                self.postings[at].append((number, place))
+        self.numbers = [np.searchsorted(self.vocabulary, words) for _, words, _ in self.templates]
         self.idf = np.ones(len(self.vocabulary))
 
     def weigh(self, counts: dict[int, int], documents: int) -> None:
@@ -78,34 +76,45 @@ class Index:
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == words, at, -1)
 
-    def match(self, words: np.ndarray, number: np.ndarray) -> tuple[set[str], float]:
-        """Labels of the templates that one file holds, and the largest share of aligned words among them."""
-        places = np.flatnonzero(number >= 0)
-        kinds = np.unique(number[places])
-        rare = kinds[np.argsort(-self.idf[kinds], kind="stable")][:RARE]
-        if not len(rare):
-            return set(), 0.0
-        shifts: set[tuple[int, int]] = set()
-        for kind in rare.tolist():
-            for place in places[number[places] == kind].tolist():
-                for template, own in self.postings[kind]:
-                    shifts.add((template, place - own))
+    def shifts(self, template: int, number: np.ndarray) -> np.ndarray:
+        """Every place of a file where the template may begin.
+
+        If a share of ALIGNED of its words is in place, then of any set of words larger than the
+        rest one is, within SLACK; the rarest such set is looked up.
+        """
+        own = self.numbers[template]
+        rare = np.argsort(-self.idf[own], kind="stable")[: len(own) - int(np.ceil(ALIGNED * len(own) - 1e-9)) + 1]
+        postings: dict[int, list[int]] = {}
+        for place in rare.tolist():
+            postings.setdefault(int(own[place]), []).append(place)
+        found = [np.flatnonzero(number == kind)[:, None] - np.array(places) for kind, places in postings.items()]
+        near = np.unique(np.concatenate([x.ravel() for x in found]))
+        return np.unique(near[:, None] + np.arange(-SLACK, SLACK + 1))
+
+    def match(self, words: np.ndarray, number: np.ndarray, held: np.ndarray) -> tuple[set[str], float]:
+        """Labels of those of the held templates (numbers) that one file holds, and the largest share of aligned words among them."""
         labels, best = set(), 0.0
-        for template, shift in shifts:
+        for template in held.tolist():
             label, want, keys = self.templates[template]
-            if label in labels and best == 1.0:
-                continue
-            low, high = max(0, shift - SLACK), shift + len(want) + SLACK
-            stretch = words[low:high]
-            aligned = np.zeros(len(want), bool)
-            for slip in range(-SLACK, SLACK + 1):
-                at = np.arange(len(want)) + shift + slip
-                inside = (at >= 0) & (at < len(words))
-                aligned[inside] |= words[at[inside]] == want[inside]
-            share = float(aligned.mean())
-            if share >= ALIGNED and all(len(starts(stretch, k)) for k in keys):
-                labels.add(label)
-                best = max(best, share)
+            shift = self.shifts(template, number)
+            # all key phrases must stand in the stretch; other places need no look
+            for k in keys:
+                at = starts(words, k)
+                after = np.searchsorted(at, np.maximum(shift - SLACK, 0))
+                inside = after < len(at)
+                inside[inside] = at[after[inside]] + len(k) <= shift[inside] + len(want) + SLACK
+                shift = shift[inside]
+            for low in range(0, len(shift), 4096):
+                at = shift[low : low + 4096, None] + np.arange(len(want))
+                aligned = np.zeros(at.shape, bool)
+                for slip in range(-SLACK, SLACK + 1):
+                    there = at + slip
+                    inside = (there >= 0) & (there < len(words))
+                    aligned |= inside & (words[np.clip(there, 0, len(words) - 1)] == want)
+                share = float(aligned.mean(1).max())
+                if share >= ALIGNED:
+                    labels.add(label)
+                    best = max(best, share)
         return labels, best
 
 
@@ -168,8 +177,9 @@ def license_scan(docs: DataFrame, templates: list = TEMPLATES, base: list = BASE
                 marks.setdefault(r, set()).add(label)
         found: dict[int, set[str]] = {r: set(x) for r, x in marks.items()}
         score = np.zeros(n)
-        for r in np.flatnonzero(index.holders(words, row, n).any(0)).tolist():
-            labels, share = index.match(words[begins[r] : ends[r]], number[begins[r] : ends[r]])
+        held = index.holders(words, row, n)
+        for r in np.flatnonzero(held.any(0)).tolist():
+            labels, share = index.match(words[begins[r] : ends[r]], number[begins[r] : ends[r]], np.flatnonzero(held[:, r]))
             if labels:
                 found.setdefault(r, set()).update(labels)
                 score[r] = share

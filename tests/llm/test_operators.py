@@ -228,6 +228,35 @@ def test_licenses_that_many_files_carry_are_found(spark):
     assert all(r.labels == ("bsd" if r.doc_id % 3 == 0 else "") for r in licenses.license_scan(rows(spark, many)).collect())
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    notices = [licenses.TEMPLATES[k] for k in (1, 4, 6, 7, 8, 9, 13, 14)]
+    # weights by rarity: the last templates' words are seen least, so they alone are among a file's rarest
+    texts = [(i, " filler words between ".join(t for _, t, _ in notices[: 1 + i % len(notices)])) for i in range(40)]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(rows(spark, texts)).collect()}
+    assert all(got[i] == ",".join(sorted({label for label, _, _ in notices[: 1 + i % len(notices)]})) for i, _ in texts)
+
+
+def test_license_places_equal_a_trial_of_all():
+    rng, index = np.random.RandomState(4), licenses.Index()
+    index.weigh({k: int(rng.randint(0, 50)) for k in range(len(index.vocabulary))}, 50)
+    for trial in range(60):
+        parts = []
+        for k in rng.choice(len(index.templates), 3):
+            own = index.templates[k][1].copy()
+            own[rng.rand(len(own)) < rng.choice([0.1, 0.3, 0.5])] = index.vocabulary[rng.randint(len(index.vocabulary))]
+            parts += [index.vocabulary[rng.randint(0, len(index.vocabulary), rng.randint(0, 9))], np.delete(own, rng.randint(len(own))) if trial % 2 else own]
+        words = np.concatenate(parts)
+        want, best = set(), 0.0
+        for label, own, keys in index.templates:
+            for shift in range(-len(own), len(words) + 1):
+                hit = [any(0 <= shift + i + s < len(words) and words[shift + i + s] == w for s in range(-2, 3)) for i, w in enumerate(own)]
+                if np.mean(hit) >= licenses.ALIGNED and all(len(licenses.starts(words[max(0, shift - 2) : max(0, shift + len(own) + 2)], k)) for k in keys):
+                    want.add(label)
+                    best = max(best, float(np.mean(hit)))
+        held = np.flatnonzero(index.holders(words, np.zeros(len(words), int), 1)[:, 0])
+        assert index.match(words, index.find(words), held) == (want, best)
+
+
 def test_word_counts_of_language_scores(spark):
     got = lm_score.lm_score(rows(spark), common.id_crc() % 7 != 2, sample=20).toPandas()
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
