@@ -3,7 +3,8 @@
 Learned rotations turn vectors into binary codes, split into substrings that are each indexed. By
 the pigeonhole principle a code within Hamming radius r of a query agrees with it to within
 r // substrings bits in one substring at least, so probing all substring values that near finds
-every code in the radius; those are reranked by exact cosines.
+every code in the radius; those are reranked by exact cosines. Queries with too few codes in the
+radius are asked again with a growing one, in the end of all bits.
 
 Vectors are indexed once per distinct value, with their smallest ids, so copies cost nothing.
 Queries meet the index in blocks: a shard of vectors with a block of queries in one task.
@@ -22,6 +23,8 @@ from . import common
 BITS, SUBSTRING, SAMPLE, ROUNDS = 256, 16, 4096, 25
 #: Share of true neighbours in the sample that the radius takes in. More vectors have nearer neighbours, so recall grows from there.
 WITHIN = 0.96
+#: Bits by which the radius first grows for queries that it gave too few; it grows by twice as many each time.
+WIDER = 16
 #: Distinct vectors of a shard and queries of a block.
 SHARD, BLOCK = 8192, 4096
 
@@ -92,8 +95,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """The k nearest others, found by multi-index hashing, of each vector for which is_query (a Column over vec_id) holds.
 
     One row per query and rank: query_id, rank (from 1), vec_id, score (cosine in double precision);
-    nearest first, ties to the smaller vec_id; fewer ranks where there are fewer candidates within
-    the radius and in all. Vectors that are null, zero, of another length than most, or with null or
+    nearest first, ties to the smaller vec_id; fewer ranks only where there are fewer candidates in
+    all. Vectors that are null, zero, of another length than most, or with null or
     non-finite components take no part; rows with the same vec_id and vector count once, and no row
     with the query's vec_id is its neighbour. An empty table gives no rows.
     """
@@ -108,33 +111,53 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     distinct = common.staged(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))  # k + 1 ids at most
     asked = common.staged(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v"))
-    n, m = distinct.count(), asked.count()
-    shards, parts = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
-    block = lambda own, count, other, of: (F.pmod(F.xxhash64(own), F.lit(count)).cast("int").alias(other), F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias({"shard": "part", "part": "shard"}[other]))
-    index = distinct.select("v", "ids", *block("ids", shards, "shard", parts))
-    ask = asked.select("query_id", "v", *block("query_id", parts, "part", shards))
-
-    def search(key, own: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if own.num_rows and asked.num_rows:
-            flat = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            data, queries, ids = flat(own), flat(asked), own.column("ids").to_pylist()
-            size = np.sqrt((data * data).sum(1))
-            table = Index(sent.value.encode(data))
-            for query, q, code in zip(asked.column("query_id").to_pylist(), queries, sent.value.encode(queries), strict=True):
-                near = table.within(code, sent.value.radius)
-                if not len(near):
-                    continue
-                score = data[near] @ q / (size[near] * np.sqrt(q @ q))
-                least = np.partition(score, -k - 1)[-k - 1] if len(score) > k + 1 else -2
-                got = [(-s, i) for s, at in zip(score[score >= least].tolist(), near[score >= least].tolist(), strict=True) for i in ids[at] if i != query]
-                out += [(query, i, -s) for s, i in sorted(got)[:k]]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = index.groupBy("shard", "part").cogroup(ask.groupBy("shard", "part")).applyInArrow(search, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    shards = max(1, -(-distinct.count() // SHARD))
+
+    def search(radius: int):
+        def run(key, own: pa.Table, asked: pa.Table) -> pa.Table:
+            out: list[tuple[int, int, float]] = []
+            if own.num_rows and asked.num_rows:
+                flat = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+                data, queries, ids = flat(own), flat(asked), own.column("ids").to_pylist()
+                first, alone = np.array([x[0] for x in ids]), np.array([len(x) == 1 for x in ids])
+                size = np.sqrt((data * data).sum(1))
+                table = Index(sent.value.encode(data))
+                for query, q, code in zip(asked.column("query_id").to_pylist(), queries, sent.value.encode(queries), strict=True):
+                    near = table.within(code, radius)
+                    near = near[~(alone[near] & (first[near] == query))]
+                    if not len(near):
+                        continue
+                    score = data[near] @ q / (size[near] * np.sqrt(q @ q))
+                    least = np.partition(score, -k - 1)[-k - 1] if len(score) > k + 1 else -2
+                    got = [(-s, i) for s, at in zip(score[score >= least].tolist(), near[score >= least].tolist(), strict=True) for i in ids[at] if i != query]
+                    out += [(query, i, -s) for s, i in sorted(got)[:k]]
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+        return run
+
+    def ranked(asked: DataFrame, m: int, radius: int) -> DataFrame:
+        parts = max(1, -(-m // BLOCK))
+        block = lambda own, count, other, of: (F.pmod(F.xxhash64(own), F.lit(count)).cast("int").alias(other), F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias({"shard": "part", "part": "shard"}[other]))
+        index = distinct.select("v", "ids", *block("ids", shards, "shard", parts))
+        ask = asked.select("query_id", "v", *block("query_id", parts, "part", shards))
+        found = index.groupBy("shard", "part").cogroup(ask.groupBy("shard", "part")).applyInArrow(search(radius), schema)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    radius, step, m, done = codes.radius, WIDER, asked.count(), None
+    while radius < BITS and m:
+        got = common.staged(ranked(asked, m, radius))
+        full = got.where(F.col("rank") == k).select("query_id")
+        asked = common.staged(asked.join(full, "query_id", "left_anti"))
+        m = asked.count()
+        whole = got.join(full, "query_id", "left_semi") if m else got
+        done = whole if done is None else done.unionByName(whole)
+        radius, step = min(BITS, radius + step), 2 * step
+    if done is None or m:
+        rest = ranked(asked, m, radius)
+        done = rest if done is None else done.unionByName(rest)
+    return done
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

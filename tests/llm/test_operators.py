@@ -298,6 +298,16 @@ def test_neighbours_awkward_and_recall(spark):
     assert neighbours.nearest(frame.limit(2), F.col("vec_id") >= 0).count() == 2
 
 
+def test_neighbours_of_outliers_are_full(spark):
+    rng = np.random.RandomState(5)
+    heart = rng.randn(20, 32)
+    near = heart[rng.randint(0, 20, 760)] + 0.05 * rng.randn(760, 32)
+    data = [(i, v.tolist()) for i, v in enumerate(np.concatenate([near, rng.randn(40, 32)]))]
+    got = neighbours.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") >= 740).toPandas()
+    assert sorted(got.groupby("query_id")["rank"].max().items()) == [(i, 5) for i in range(740, 800)] and len(got) == 300
+    assert got[["query_id", "vec_id"]].drop_duplicates().shape[0] == 300 and (got.query_id != got.vec_id).all()
+
+
 def test_probing_finds_every_code_in_the_radius():
     rng = np.random.RandomState(2)
     codes = rng.randint(0, 1 << 16, (300, 4)).astype(np.uint16)
