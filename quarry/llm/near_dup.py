@@ -4,15 +4,16 @@ Texts with equal shingle sets are one node. Each tree of the forest is an order
 run of their MinHash values. Nodes that share a first prefix make a region; regions too full are
 taken apart at deeper prefixes, and neighbours in the order of such a stretch are candidates. A
 first round tests a maximum spanning forest of each stretch by the whole shingle sets, a second
-round every candidate pair whose nodes are still in different components, so no link is lost to the
-first round's economy and copies are never expanded into all pairs.
+round every candidate pair of a whole region, however full, whose nodes are still in different
+components, so no link is lost to the first round's economy and copies are never expanded into all
+pairs. The comparison of a full region is split over tasks by pairs of its parts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,6 +25,8 @@ WORDS, PERCENT = 2, 80
 TREES, DEPTH, FIRST = 12, 8, 3
 #: Nodes that are compared at once; larger regions go deeper.
 STRETCH = 256
+#: Nodes of a part of a full region.
+PART = 1024
 #: Least estimated similarity of a candidate: 3.5 standard deviations of the estimate below 0.8.
 CANDIDATE = 0.7
 #: Nodes up to which the list of those with candidates is broadcast (8 bytes each); beyond, the join is shuffled.
@@ -188,11 +191,59 @@ def candidates(rows: DataFrame, whole: bool) -> DataFrame:
                 yield _pairs(pairs)
         yield _pairs(pairs)
 
-    ordered = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    # the second round keeps a region in one task; full ones go to between_parts
+    dealt = rows.repartitionByRange("tree", _region()) if whole else rows.repartitionByRange("tree", "label", "node")
+    ordered = dealt.sortWithinPartitions("tree", "label", "node")
     common.small_batches(rows.sparkSession, 5_000)
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _region() -> Column:
+    """The region of a label within its tree."""
+    return F.substring("label", 1, 2 * FIRST)
+
+
+def between_parts(rows: DataFrame, full: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct links a < b, by whole sets, of different roots in the full regions (tree, region, c nodes): each part meets each in one task."""
+
+    def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
+        nodes, roots, side = (got.column(c).to_numpy() for c in ("node", "root", "part"))
+        _, kind, many = np.unique(roots, return_inverse=True, return_counts=True)
+        order = np.lexsort((kind, many[kind]))  # the nodes of the largest component come last and need no comparison
+        nodes, roots, side = nodes[order], roots[order], side[order]
+        packed = got.column("items").to_pylist()
+        each = [_unpacked(packed[k]) for k in order.tolist()]
+        sizes = np.array([len(x) for x in each])
+        _, items = np.unique(np.concatenate(each), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        within, held, a, b = key[2].as_py() == key[3].as_py(), np.zeros(int(items.max()) + 1, bool), [], []
+        for i in range(len(nodes) - 1):
+            if roots[i] == roots[-1]:
+                break
+            far = slice(i + 1, None)
+            near = (roots[far] != roots[i]) & (100 * np.minimum(sizes[i], sizes[far]) >= PERCENT * np.maximum(sizes[i], sizes[far]))
+            if not within:
+                near &= side[far] != side[i]
+            if not near.any():
+                continue
+            own = items[starts[i] : starts[i] + sizes[i]]
+            held[own] = True
+            both = np.add.reduceat(held[items[starts[i + 1] :]], starts[far] - starts[i + 1], dtype=np.int64)
+            held[own] = False
+            at = np.flatnonzero(near & (100 * both >= PERCENT * (sizes[i] + sizes[far] - both))) + i + 1
+            a.append(np.minimum(nodes[at], nodes[i]))
+            b.append(np.maximum(nodes[at], nodes[i]))
+        flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
+        return pa.table({"a": flat(a), "b": flat(b)})
+
+    count = F.ceil(F.col("c") / PART).cast("int")
+    dealt = rows.select("tree", _region().alias("region"), "node", "root").join(F.broadcast(full), ["tree", "region"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), count).cast("int")).join(sets, "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    dealt = dealt.select("tree", "region", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "items")
+    return dealt.groupBy("tree", "region", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True) if pairs else ((), ())
     pairs.clear()
@@ -244,8 +295,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = common.staged(confirmed(tested, sets))
     roots = components(links)
     rooted = forest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = candidates(rooted, whole=True).join(tested, ["a", "b"], "left_anti")
-    more = common.staged(confirmed(rest, sets))
+    rooted = common.staged(rooted)
+    full = common.staged(rooted.groupBy("tree", _region().alias("region")).agg(F.count("*").alias("c"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("c") > STRETCH))
+    small = rooted.withColumn("region", _region()).join(F.broadcast(full), ["tree", "region"], "left_anti").drop("region")
+    rest = candidates(small, whole=True).join(tested, ["a", "b"], "left_anti")
+    more = common.staged(confirmed(rest, sets).unionByName(between_parts(rooted, full.where("apart").drop("apart"), sets)))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     least = roots.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("component_id"))

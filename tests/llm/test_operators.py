@@ -276,6 +276,25 @@ def test_rare_words_are_counted_by_the_join(spark, monkeypatch):
     assert np.allclose(before.sort_values(cols)[cols], after.sort_values(cols)[cols])
 
 
+def test_near_duplicates_within_a_full_region(spark):
+    rng, fresh = np.random.RandomState(6), iter(range(10**6))
+
+    def changed(text, times):
+        out = list(text)
+        for k in rng.choice(len(out) // 2, times, replace=False) * 2:
+            out[k] = f"new{next(fresh)}"
+        return out
+
+    base = [f"w{k}" for k in range(400)]
+    family = [changed(base, 14) for _ in range(4000)]  # about 0.75 alike
+    pairs = {k: 5000 + k for k in range(0, 4000, 10)}
+    texts = [(k, " ".join(x)) for k, x in enumerate(family)] + [(twin, " ".join(changed(family[k], 21))) for k, twin in pairs.items()]
+    sets = {i: {(a, b) for a, b in zip(t.split(), t.split()[1:], strict=False)} for i, t in texts}
+    linked = [(a, b) for a, b in pairs.items() if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(rows(spark, texts)).collect()}
+    assert len(linked) > 250 and sum(got[a] == got[b] for a, b in linked) == len(linked)
+
+
 def test_neighbours_awkward_and_recall(spark):
     rng = np.random.RandomState(0)
     data = [(i, rng.randn(16).astype("float32").tolist()) for i in range(600)]
