@@ -45,11 +45,30 @@ def arity(signature: Column) -> Column:
     return F.when(inside == "", None).when(empty, 0).otherwise(_depths(inside)["commas"] + 1)
 
 
+def _split_top(signature: Column) -> Column:
+    """The parameters of the first bracket of a signature, split at commas that no other bracket holds; what follows the bracket is left out."""
+    tail = F.when(F.instr(signature, "(") > 0, F.substring(signature, F.instr(signature, "("), F.length(signature))).otherwise("")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("ended"), F.lit("").alias("text"))
+
+    def step(a: Column, ch: Column) -> Column:
+        depth = a["depth"] + F.when(ch.isin("(", "<", "[", "{"), 1).when(ch.isin(")", ">", "]", "}"), -1).otherwise(0)
+        ended = a["ended"] | (depth == 0)
+        kept = F.when(ended | ((a["depth"] == 0) & (ch == "(")), "").when((ch == ",") & (a["depth"] == 1), "\x01").otherwise(ch)
+        return F.struct(depth.alias("depth"), ended.alias("ended"), F.concat(a["text"], kept).alias("text"))
+
+    return F.split(F.aggregate(F.filter(F.split(tail, ""), lambda ch: ch != ""), start, step)["text"], "\x01")
+
+
 def parameter_types(signature: Column) -> Column:
-    """FN-5: types of parameters, names and namespaces off, joined by commas (no brackets within a type)."""
-    inner = F.regexp_extract(signature, r"\((.*)\)", 1)
-    bare = lambda p: F.substring_index(F.regexp_replace(F.regexp_replace(F.trim(p), r"^(?:ref|out|in|params|this)\s+", ""), r"\s+\w+$", ""), ".", -1)
-    return F.concat_ws(",", F.filter(F.transform(F.split(inner, ","), bare), lambda x: x != ""))
+    """FN-5: types of parameters, joined by commas; names, default values, namespaces, blanks and a leading this off, other modifiers stay with the type."""
+
+    def bare(p: Column) -> Column:
+        tokens = F.filter(F.split(F.substring_index(p, "=", 1), r"\s+"), lambda x: x != "")
+        tokens = F.when(F.get(tokens, F.lit(0)) == "this", F.slice(tokens, 2, F.size(tokens))).otherwise(tokens)
+        tokens = F.when(F.size(tokens) > 1, F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens)
+        return F.regexp_replace(F.array_join(tokens, ""), r"[A-Za-z_][A-Za-z0-9_]*\.", "")
+
+    return F.concat_ws(",", F.filter(F.transform(_split_top(signature), bare), lambda x: x != ""))
 
 
 def compact_name(name: Column) -> Column:

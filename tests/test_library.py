@@ -117,3 +117,13 @@ def test_search_terms(spark):
     got = spark.range(1).select(scalars.index_terms(F.lit("Demo.HTTPServer2_run")).alias("x"), scalars.query_terms(F.lit("a Get-Name")).alias("y")).first()
     assert got.x == ["demo", "httpserver2", "http", "server2", "run"]
     assert got.y == ["get", "name"]
+
+
+def test_parameter_types_with_brackets_and_defaults(spark):
+    want = {
+        "N.P(A.B x, C y)": "B,C", "N.P()": "", "N.P": "", "N2.Part.x(Map<K, V> m, List<T> l, int n)": "Map<K,V>,List<T>,int",
+        'N.P(Dictionary<N.K, System.Func<A, B>> d, string s = "x", int n = 3) -> List<A, B>': "Dictionary<K,Func<A,B>>,string,int",
+        "P(this A.B x, out C y, (int a, int b) pair, int[,] grid)": "B,outC,(inta,intb),int[,]",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "sig string").select("sig", scalars.parameter_types(F.col("sig")).alias("types")).collect()
+    assert {r.sig: r.types for r in rows} == want
