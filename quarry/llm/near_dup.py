@@ -25,8 +25,8 @@ WORDS, PERCENT = 2, 80
 TREES, DEPTH, FIRST = 12, 8, 3
 #: Nodes that are compared at once; larger regions go deeper.
 STRETCH = 256
-#: Nodes of a part of a full region.
-PART = 1024
+#: Nodes and shingles of a part of a full region, about.
+PART, PART_ITEMS = 1024, 2_000_000
 #: Least estimated similarity of a candidate: 3.5 standard deviations of the estimate below 0.8.
 CANDIDATE = 0.7
 #: Nodes up to which the list of those with candidates is broadcast (8 bytes each); beyond, the join is shuffled.
@@ -204,7 +204,7 @@ def _region() -> Column:
 
 
 def between_parts(rows: DataFrame, full: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct links a < b, by whole sets, of different roots in the full regions (tree, region, c nodes): each part meets each in one task."""
+    """Distinct links a < b, by whole sets, of different roots in the full regions (tree, region, c nodes, size: their shingles): each part meets each in one task."""
 
     def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
         nodes, roots, side = (got.column(c).to_numpy() for c in ("node", "root", "part"))
@@ -236,7 +236,7 @@ def between_parts(rows: DataFrame, full: DataFrame, sets: DataFrame) -> DataFram
         flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
         return pa.table({"a": flat(a), "b": flat(b)})
 
-    count = F.ceil(F.col("c") / PART).cast("int")
+    count = F.ceil(F.greatest(F.col("c") / PART, F.col("size") / PART_ITEMS)).cast("int")
     dealt = rows.select("tree", _region().alias("region"), "node", "root").join(F.broadcast(full), ["tree", "region"])
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), count).cast("int")).join(sets, "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links)
     rooted = forest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = common.staged(rooted)
-    full = common.staged(rooted.groupBy("tree", _region().alias("region")).agg(F.count("*").alias("c"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("c") > STRETCH))
+    full = common.staged(rooted.groupBy("tree", _region().alias("region")).agg(F.count("*").alias("c"), F.sum("n").alias("size"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("c") > STRETCH))
     small = rooted.withColumn("region", _region()).join(F.broadcast(full), ["tree", "region"], "left_anti").drop("region")
     rest = candidates(small, whole=True).join(tested, ["a", "b"], "left_anti")
     more = common.staged(confirmed(rest, sets).unionByName(between_parts(rooted, full.where("apart").drop("apart"), sets)))
