@@ -25,9 +25,11 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (a local session)."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own in a local session and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -54,6 +56,25 @@ def clear_staged() -> None:
             return
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df (staged, so that a count is cheap) to be broadcast if it has so many rows at most; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def about(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About so many of df's rows, those of small hashes of key; all where there are no more. No row is sorted or sent anywhere."""
+    total = df.count()
+    return df if total <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * rows / total))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -131,8 +152,9 @@ def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
-def with_score(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str, limit: int = BLOCK_BYTES) -> DataFrame:
-    """docs with a double column name: score(bytes, row starts) of the texts; every column passes through in one map."""
+def scored_rows(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[Column], Column], limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs whose score(bytes, row starts) of the text keep accepts; all columns, of any name, pass through in one map."""
+    name = fresh("score", docs.columns)
     others = [c for c in docs.columns if c != "text"]
     schema = StructType([*[docs.schema[c] for c in others], StructField("text", BinaryType()), StructField(name, DoubleType())])
 
@@ -141,7 +163,7 @@ def with_score(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.nda
         return pa.RecordBatch.from_arrays([*block.columns, got], names=schema.names)
 
     out = map_blocks(docs.select(*others, F.col("text").cast("binary").alias("text")), run, schema, limit)
-    return out.withColumn("text", F.col("text").cast("string")).select(*docs.columns, name)
+    return out.where(keep(F.col(name))).withColumn("text", F.col("text").cast("string")).select(*docs.columns)
 
 
 def word_bytes(spaces: bytes = SPACES) -> np.ndarray:

@@ -3,10 +3,12 @@
 Texts with equal shingle sets are one node. Each tree of the forest is an order of the nodes by a
 run of their MinHash values. Nodes that share a first prefix make a region; regions too full are
 taken apart at deeper prefixes, and neighbours in the order of such a stretch are candidates. A
-first round tests a maximum spanning forest of each stretch by the whole shingle sets, a second
-round every candidate pair of a whole region, however full, whose nodes are still in different
-components, so no link is lost to the first round's economy and copies are never expanded into all
-pairs. The comparison of a full region is split over tasks by pairs of its parts.
+first round tests a maximum spanning forest of each stretch by the whole shingle sets. A second
+round compares the whole sets of every region, however full, whose nodes are still in different
+components and returns the components that a link joins, fewer rows than it read; so no link is lost
+to the first round's economy, and copies are never expanded into all pairs. The comparison of a full
+region is split over tasks by pairs of its parts. A pair of just PERCENT shares a region in one of
+the trees with a chance of 0.9998.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ STRETCH = 256
 PART, PART_ITEMS = 1024, 2_000_000
 #: Least estimated similarity of a candidate: 3.5 standard deviations of the estimate below 0.8.
 CANDIDATE = 0.7
-#: Nodes up to which the list of those with candidates is broadcast (8 bytes each); beyond, the join is shuffled.
-BROADCAST_NODES = 2_000_000
+#: Nodes up to which a list of them is broadcast (16 bytes each); beyond, the join is shuffled.
+BROADCAST_NODES = 1_000_000
 
 #: MinHash values of a signature: those of the labels, and as many again that sharpen the estimate.
 _HASHES = 2 * TREES * DEPTH
@@ -74,10 +76,10 @@ def _node(code: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set), signature (16-bit values, first those of TREES labels of DEPTH; null for empty sets)."""
+    """doc_id, twin (a hash of the text), n_shingles, node (a hash of the set), labels (TREES of DEPTH 16-bit values; null for empty sets), marks (a byte of each MinHash value)."""
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
-        code, many = shingles(*common.raw(block.column(1)))
+        code, many = shingles(*common.raw(block.column(2)))
         signature = np.zeros((block.num_rows, _HASHES), ">u2")
         full = many > 0
         if len(code):
@@ -85,31 +87,26 @@ def sketches(docs: DataFrame) -> DataFrame:
             for k in range(_HASHES):
                 least = np.minimum.reduceat(low * _MUL[k] + _ADD[k], starts)
                 signature[full, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
-        data = [x.tobytes() if f else None for x, f in zip(signature, full.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([block.column(0), pa.array(many, pa.int64()), pa.array(_node(code, many)), pa.array(data, pa.binary())], names=["doc_id", "n_shingles", "node", "signature"])
+        cells = lambda x: pa.array([r.tobytes() if f else None for r, f in zip(x, full.tolist(), strict=True)], pa.binary())
+        columns = [block.column(0), block.column(1), pa.array(many, pa.int64()), pa.array(_node(code, many)), cells(signature[:, : TREES * DEPTH]), cells(signature.astype(np.uint8))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "twin", "n_shingles", "node", "labels", "marks"])
 
-    return common.map_blocks(docs.select("doc_id", F.col("text").cast("binary").alias("text")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, signature binary")
+    source = docs.select("doc_id", F.xxhash64("text").alias("twin"), F.col("text").cast("binary").alias("text"))
+    return common.map_blocks(source, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, twin long, n_shingles long, node long, labels binary, marks binary")
 
 
 def packed_sets(docs: DataFrame) -> DataFrame:
-    """node, items: the sorted set as 5 bytes of each hash. Two of its items fall together once in about a trillion pairs."""
+    """node, items: the sorted set as 8 bytes of each shingle's hash."""
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         code, many = shingles(*common.raw(block.column(0)))
-        flat = (code >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-        ends = np.cumsum(many) * 5
-        items = [flat[b - 5 * m : b] for b, m in zip(ends.tolist(), many.tolist(), strict=True)]
+        flat, ends = code.astype("<u8").tobytes(), np.cumsum(many) * 8
+        items = [flat[b - 8 * m : b] for b, m in zip(ends.tolist(), many.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(_node(code, many)), pa.array(items, pa.binary())], names=["node", "items"])
 
     return common.map_blocks(docs.select(F.col("text").cast("binary").alias("text")), run, "node long, items binary")
 
 
-def _unpacked(items: bytes) -> np.ndarray:
-    out = np.zeros((len(items) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(items, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def stretches(labels: np.ndarray) -> list[tuple[int, int]]:
     """Stretches of sorted labels (rows of DEPTH values after the tree's number) to be compared, each of STRETCH at most.
 
@@ -136,12 +133,12 @@ def stretches(labels: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def likeness(signatures: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def likeness(marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Estimated similarity of all pairs in a stretch, 0 where sizes alone keep a pair below the limit."""
-    n = len(signatures)
+    n = len(marks)
     out = np.zeros((n, n), np.float32)
     for i in range(n):
-        out[i] = (signatures[i] == signatures).mean(1)
+        out[i] = (marks[i] == marks).mean(1)
     out[100 * np.minimum(sizes[:, None], sizes) < PERCENT * np.maximum(sizes[:, None], sizes)] = 0
     np.fill_diagonal(out, 0)
     return out
@@ -162,85 +159,122 @@ def spanning(like: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(rows: DataFrame, whole: bool) -> DataFrame:
-    """Distinct pairs a < b of rows (tree, label, node, n, signature, root): of spanning forests, or whole: all between different roots."""
+def _cells(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Binary cells of one width as a matrix."""
+    flat = np.frombuffer(b"".join(column.to_pylist()), kind)
+    return flat.reshape(len(column), -1)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of rows (tree, label, node, n, marks): spanning forests of the stretches, so fewer pairs than rows in each."""
 
     def run(batches):
         got = pa.Table.from_batches(list(batches))
         if got.num_rows < 2:
             return
-        fixed = lambda name, width: np.frombuffer(b"".join(got.column(name).to_pylist()), ">u2").reshape(got.num_rows, width)
-        labels = np.concatenate([got.column("tree").to_numpy()[:, None], fixed("label", DEPTH)], 1).astype(np.int32)
-        signatures = fixed("signature", _HASHES).astype(np.uint16)
-        nodes, sizes, roots = (got.column(c).to_numpy() for c in ("node", "n", "root"))
+        labels = np.concatenate([got.column("tree").to_numpy()[:, None], _cells(got.column("label"), ">u2")], 1).astype(np.int32)
+        marks, nodes, sizes = _cells(got.column("marks"), "u1"), got.column("node").to_numpy(), got.column("n").to_numpy()
         pairs: set[tuple[int, int]] = set()
         for low, high in stretches(labels):
-            root = roots[low:high]
-            if whole and (root == root[0]).all():
-                continue
-            like = likeness(signatures[low:high], sizes[low:high])
-            if whole:
-                like[root[:, None] == root] = 0
-                edges = np.argwhere(np.triu(like) >= CANDIDATE).tolist()
-            else:
-                edges = spanning(like)
-            for i, j in edges:
+            for i, j in spanning(likeness(marks[low:high], sizes[low:high])):
                 a, b = int(nodes[low + i]), int(nodes[low + j])
                 pairs.add((min(a, b), max(a, b)))
             if len(pairs) > 200_000:
                 yield _pairs(pairs)
         yield _pairs(pairs)
 
-    # the second round keeps a region in one task; full ones go to between_parts
-    dealt = rows.repartitionByRange("tree", _region()) if whole else rows.repartitionByRange("tree", "label", "node")
-    ordered = dealt.sortWithinPartitions("tree", "label", "node")
     common.small_batches(rows.sparkSession, 5_000)
+    ordered = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _region() -> Column:
-    """The region of a label within its tree."""
-    return F.substring("label", 1, 2 * FIRST)
+def _region(label: Column, tree: Column | None = None) -> Column:
+    """The region of a label, or of one tree's label among all, within its tree."""
+    return F.substring(label, F.lit(1) if tree is None else tree * (2 * DEPTH) + 1, F.lit(2 * FIRST))
 
 
-def between_parts(rows: DataFrame, full: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct links a < b, by whole sets, of different roots in the full regions (tree, region, c nodes, size: their shingles): each part meets each in one task."""
+def unsettled(rows: DataFrame) -> DataFrame:
+    """tree, region, node, root: those rows (tree, region, node, root, n, marks) of regions of STRETCH nodes at most that are likely to be linked to another root. Every region is in one task."""
 
-    def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
-        nodes, roots, side = (got.column(c).to_numpy() for c in ("node", "root", "part"))
-        _, kind, many = np.unique(roots, return_inverse=True, return_counts=True)
-        order = np.lexsort((kind, many[kind]))  # the nodes of the largest component come last and need no comparison
-        nodes, roots, side = nodes[order], roots[order], side[order]
-        packed = got.column("items").to_pylist()
-        each = [_unpacked(packed[k]) for k in order.tolist()]
-        sizes = np.array([len(x) for x in each])
-        _, items = np.unique(np.concatenate(each), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
-        within, held, a, b = key[2].as_py() == key[3].as_py(), np.zeros(int(items.max()) + 1, bool), [], []
-        for i in range(len(nodes) - 1):
-            if roots[i] == roots[-1]:
-                break
-            far = slice(i + 1, None)
-            near = (roots[far] != roots[i]) & (100 * np.minimum(sizes[i], sizes[far]) >= PERCENT * np.maximum(sizes[i], sizes[far]))
-            if not within:
-                near &= side[far] != side[i]
-            if not near.any():
+    def run(batches):
+        got = pa.Table.from_batches(list(batches))
+        if got.num_rows < 2:
+            return
+        regions = np.concatenate([got.column("tree").to_numpy()[:, None], _cells(got.column("region"), ">u2")], 1)
+        cuts = np.flatnonzero((regions[1:] != regions[:-1]).any(1)) + 1
+        marks, roots, sizes = _cells(got.column("marks"), "u1"), got.column("root").to_numpy(), got.column("n").to_numpy()
+        keep = np.zeros(got.num_rows, bool)
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), got.num_rows], strict=True):
+            root = roots[low:high]
+            if (root == root[0]).all():
                 continue
-            own = items[starts[i] : starts[i] + sizes[i]]
-            held[own] = True
-            both = np.add.reduceat(held[items[starts[i + 1] :]], starts[far] - starts[i + 1], dtype=np.int64)
-            held[own] = False
-            at = np.flatnonzero(near & (100 * both >= PERCENT * (sizes[i] + sizes[far] - both))) + i + 1
-            a.append(np.minimum(nodes[at], nodes[i]))
-            b.append(np.maximum(nodes[at], nodes[i]))
-        flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
-        return pa.table({"a": flat(a), "b": flat(b)})
-
-    count = F.ceil(F.greatest(F.col("c") / PART, F.col("size") / PART_ITEMS)).cast("int")
-    dealt = rows.select("tree", _region().alias("region"), "node", "root").join(F.broadcast(full), ["tree", "region"])
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), count).cast("int")).join(sets, "node")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    dealt = dealt.select("tree", "region", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "items")
+            like = likeness(marks[low:high], sizes[low:high])
+            like[root[:, None] == root] = 0
+            keep[low:high] = (like >= CANDIDATE).any(1)
+        yield from got.select(["tree", "region", "node", "root"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    common.small_batches(rows.sparkSession, 5_000)
+    ordered = rows.repartitionByRange("tree", "region").sortWithinPartitions("tree", "region", "node")
+    return ordered.mapInArrow(run, "tree int, region binary, node long, root long")
+
+
+def joined(roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray], within: bool) -> list[tuple[int, int]]:
+    """Pairs of roots that a link of two sets joins, by whole sets; fewer than there are rows.
+
+    Linked sets share one at least of their rarest items, as many as PERCENT leaves to differ and one
+    more, so only rows that meet in one are compared; rows that are already joined are not. Without
+    within, only rows of different sides are.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    roots, side, sets = roots[order], side[order], [sets[k] for k in order.tolist()]
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    _, items, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    row, items = np.repeat(np.arange(n), sizes), rank[items]
+    items = items[np.lexsort((items, row))]  # each row's items, the rarest first
+    few = sizes - -(-PERCENT * sizes // 100) + 1
+    head = np.flatnonzero((np.arange(len(items)) - starts[row]) < few[row])
+    head = head[np.argsort(items[head], kind="stable")]
+    holders = row[head]
+    begin, end = np.searchsorted(items[head], np.arange(len(often))), np.searchsorted(items[head], np.arange(len(often)), side="right")
+    label, held, out = roots.copy(), np.zeros(len(often), bool), []
+    for i in range(n - 1):
+        own = items[starts[i] : starts[i] + few[i]]
+        own = own[end[own] - begin[own] > 1]
+        if not len(own):
+            continue
+        met = np.unique(np.concatenate([holders[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)]))
+        met = met[(met > i) & (label[met] != label[i]) & (100 * sizes[i] >= PERCENT * sizes[met])]
+        if not within:
+            met = met[side[met] != side[i]]
+        if not len(met):
+            continue
+        held[items[starts[i] : starts[i] + sizes[i]]] = True
+        firsts = np.cumsum(sizes[met]) - sizes[met]
+        place = np.arange(int(sizes[met].sum())) + np.repeat(starts[met] - firsts, sizes[met])
+        both = np.add.reduceat(held[items[place]], firsts, dtype=np.int64)
+        held[items[starts[i] : starts[i] + sizes[i]]] = False
+        for j in met[100 * both >= PERCENT * (sizes[i] + sizes[met] - both)].tolist():
+            if label[j] != label[i]:
+                out.append((int(roots[i]), int(roots[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def between_parts(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs of roots linked within a region: rows (tree, region, node, root, parts). Each of a region's parts meets each in one task."""
+
+    def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
+        each = [np.frombuffer(x, "<u8") for x in got.column("items").to_pylist()]
+        pairs = joined(got.column("root").to_numpy(), got.column("part").to_numpy(), each, key[2].as_py() == key[3].as_py())
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets, "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("tree", "region", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "items")
     return dealt.groupBy("tree", "region", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -257,7 +291,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for block in common.blocks(batches, 4 * common.BLOCK_BYTES):
             good = []
             for x, y in zip(block.column(2).to_pylist(), block.column(3).to_pylist(), strict=True):
-                x, y = _unpacked(x), _unpacked(y)
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
@@ -270,57 +304,92 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Groups whole texts whose shingle sets reach PERCENT of similarity, directly or through others.
+def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, items: the set of each of nodes (node, first), read from the texts of the rows with doc_id first."""
+    nodes = common.sized(nodes, BROADCAST_NODES)
+    texts = docs.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    return packed_sets(texts).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
 
-    One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept
-    (doc_id = component_id). A null, empty or blank text has no shingles and is alone; repeated rows
-    each give a row; a null doc_id is never kept; an empty table gives no rows. Other columns are
-    left out.
-    """
-    sketch = common.staged(sketches(docs))
-    full = sketch.where("n_shingles > 0")
-    classes = common.staged(full.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    prefix = lambda tree, size: F.substring(F.col("signature"), tree * (2 * DEPTH) + 1, F.lit(2 * size))
-    keys = classes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("node", "tree", prefix(F.col("tree"), FIRST).alias("region"))
+
+def roots_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, root for all linked of classes (node, first, n, labels, marks)."""
+    keys = classes.select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    keys = keys.select("node", "tree", _region(F.col("labels"), F.col("tree")).alias("region"))
     shared = keys.groupBy("tree", "region").agg(F.count("*").alias("c")).where("c > 1").select("tree", "region")
     member = common.staged(keys.join(shared, ["tree", "region"], "left_semi").select("tree", "node"))
-    forest = common.staged(member.join(classes, "node").select("tree", prefix(F.col("tree"), DEPTH).alias("label"), "node", "n", "signature"))
-    tested = common.staged(candidates(forest.withColumn("root", F.col("node")), whole=False))
-    active = common.staged(forest.select("node").distinct().join(classes.select("node", "first"), "node").select("node", "first"))
-    few = active.count() <= BROADCAST_NODES
-    own = active.select(F.col("first").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(own) if few else own, "doc_id", "left_semi")
-    sets = common.staged(packed_sets(texts))
-    links = common.staged(confirmed(tested, sets))
-    roots = components(links)
-    rooted = forest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    label = F.substring(F.col("labels"), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    forest = common.staged(member.join(classes, "node").select("tree", label.alias("label"), "node", "n", "marks"))
+    tested = common.staged(candidates(forest))
+    sets = common.staged(sets_of(common.staged(forest.select("node").distinct().join(classes.select("node", "first"), "node")), docs))
+    roots = components(common.staged(confirmed(tested, sets)))
+    rooted = forest.withColumn("region", _region(F.col("label"))).drop("label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = common.staged(rooted)
-    full = common.staged(rooted.groupBy("tree", _region().alias("region")).agg(F.count("*").alias("c"), F.sum("n").alias("size"), (F.min("root") < F.max("root")).alias("apart")).where(F.col("c") > STRETCH))
-    small = rooted.withColumn("region", _region()).join(F.broadcast(full), ["tree", "region"], "left_anti").drop("region")
-    rest = candidates(small, whole=True).join(tested, ["a", "b"], "left_anti")
-    more = common.staged(confirmed(rest, sets).unionByName(between_parts(rooted, full.where("apart").drop("apart"), sets)))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    by_region = rooted.groupBy("tree", "region").agg(F.count("*").alias("c"), F.sum("n").alias("size"), (F.min("root") < F.max("root")).alias("apart"))
+    parts = F.when(F.col("c") > STRETCH, F.ceil(F.greatest(F.col("c") / PART, F.col("size") / PART_ITEMS)).cast("int"))
+    by_region = common.staged(by_region.where("apart").select("tree", "region", parts.alias("parts")))
+    apart = rooted.join(common.sized(by_region, BROADCAST_NODES // 4), ["tree", "region"])
+    small = unsettled(apart.where("parts IS NULL")).withColumn("parts", F.lit(1))
+    more = common.staged(between_parts(small.unionByName(apart.where("parts IS NOT NULL").select(*small.columns)), sets))
+    if more.isEmpty():
+        return roots
+    top = common.staged(components(more))
+    named = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return named.unionByName(top.join(roots, "node", "left_anti").select("node", "root"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, twin, n_shingles, root (of its group; null without shingles), component_id."""
+    sketch = common.staged(sketches(docs))
+    full = sketch.where("n_shingles > 0")
+    classes = common.staged(full.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.first("labels").alias("labels"), F.first("marks").alias("marks"), F.count("*").alias("c")))
+    roots = common.staged(roots_of(classes, docs))
     least = roots.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.select("node", "first").join(roots.join(least, "root").select("node", "component_id"), "node", "left")
-    named = named.select(F.col("node").alias("key"), F.coalesce("component_id", "first").alias("component_id"))
-    # rows without shingles have a key of their own, so that they are no hot key either
-    rows = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.xxhash64("doc_id")).alias("key"))
-    joined = rows.join(named, "key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    named = classes.select("node", "first", "c").join(roots.join(least, "root").select("node", "root", "component_id"), "node", "left")
+    named = common.staged(named.select("node", "c", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "first").alias("component_id")))
+    # sets of more than a thousandth of the rows are fewer than a thousand; their rows don't meet at one key
+    total = sketch.count()
+    heavy = named.where(F.col("c") * 1000 > total).drop("c")
+    columns = ["doc_id", "twin", "n_shingles", "root", "component_id"]
+    rows = full.select("doc_id", "twin", "n_shingles", "node")
+    many = rows.join(F.broadcast(heavy), "node")
+    others = rows.join(F.broadcast(heavy.select("node")), "node", "left_anti").join(named.where(F.col("c") * 1000 <= total).drop("c"), "node")
+    none = sketch.where("n_shingles = 0").select("doc_id", "twin", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return many.select(*columns).unionByName(others.select(*columns)).unionByName(none)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Groups whole texts whose shingle sets reach PERCENT of similarity, directly or through others.
+
+    One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable; null
+    where no row of the group has one), kept (doc_id = component_id). A null, empty or blank text has
+    no shingles and is alone; repeated rows each give a row; a null doc_id is never kept, but its text
+    links others; an empty table gives no rows. Other columns are left out.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return groups(docs).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that near_duplicates keeps; of repeated rows with one doc_id, one. Rows without a doc_id stay."""
-    judged = common.staged(near_duplicates(docs).select("doc_id", "kept"))
-    gone = judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    small = gone.count() <= BROADCAST_NODES
-    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
-    again = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    """The rows of docs, all columns, of which one stays of each group: that of the smallest doc_id (nulls last, then by a hash of the text).
+
+    Rows without shingles are in no group and all stay. Of rows that repeat a doc_id and its text one
+    stays; two texts with one doc_id are judged apart. An empty table stays empty; columns of any
+    name pass through.
+    """
+    judged = common.staged(groups(docs).where("n_shingles > 0").select("doc_id", "twin", "root"))
+    best = judged.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")).alias("b"))
+    best = common.staged(best.select(F.col("b.doc_id").alias("_id"), F.col("b.twin").alias("_twin")))
+    twin = common.fresh("twin", docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    gone = common.staged(judged.join(best, same & (F.col("twin") == F.col("_twin")), "left_anti").select(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin")).distinct())
+    here = docs.withColumn(twin, F.xxhash64("text"))
+    on = lambda other: here["doc_id"].eqNullSafe(other["_id"]) & (here[twin] == other["_twin"])
+    here = here.join(other := common.sized(gone, BROADCAST_NODES), on(other), "left_anti")
+    again = common.staged(judged.join(best, same & (F.col("twin") == F.col("_twin")), "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin")).agg(F.count("*").alias("c")).where("c > 1").drop("c"))
     if again.isEmpty():
-        return left
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+        return here.select(*docs.columns)
+    once = here.join(again, on(again), "left_semi").dropDuplicates(["doc_id", twin])
+    return here.join(again, on(again), "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,12 +168,15 @@ def score(docs: DataFrame, space: Space | None, keep: list[str]) -> DataFrame:
 
 
 def only_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that score 0.5 or more; all of them without labels."""
+    """The rows of docs, all columns of any name, that score 0.5 or more; all of them without labels.
+
+    A null text is judged as an empty one; repeated rows are judged each; an empty table stays empty.
+    """
     space = fit(docs, labels, learnable_row())
     if space is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(space)
-    return common.with_score(docs, lambda data, at: sent.value.score(terms(data, at)), "_quality", 1 << 19).where("_quality >= 0.5").drop("_quality")
+    return common.scored_rows(docs, lambda data, at: sent.value.score(terms(data, at)), lambda s: s >= 0.5, 1 << 19)
 
 
 def learnable_row() -> Column:

@@ -22,7 +22,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONG = " ".join(f"w{i % 700}x{i % 11}" for i in range(20_000))
 AWKWARD = [
     (1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "a b c d e f g h i j"), (6, "a b c d e f g h i j"), (6, "a b c d e f g h i j"), (7, LONG), (8, LONG + " end"),
-    (9, "MIT License here. Released under the MIT License."), (10, "Licensed under CC BY-NC 4.0. é日本 ＷＯＲＤ　x  y   z\n\n "), (None, "no id at all"), (12, "<|endoftext|> it's 100%  \x1c odd"),
+    (9, "MIT License here. Released under the MIT License."), (10, "Licensed under CC BY-NC 4.0. é日本 ＷＯＲＤ　x  y   z\n\n "), (None, "no id at all"), (12, "<|endoftext|> it's 100%  \x1c odd"), (13, "hello <|endoftext|> world <|endoftext|><|endoftext|>"), (14, "<|endof text|> <|endoftext|"),
 ]
 
 
@@ -143,7 +143,6 @@ def test_packing_whole_documents(spark):
     docs = rows(spark)
     got = packing.pack_documents(docs, capacity=256, with_ids=True).toPandas()
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     whole = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in AWKWARD if i is not None}
     for r in got[got.doc_id.notna()].itertuples():
         ids = whole[r.doc_id][r.start : r.start + r.length]
@@ -157,10 +156,16 @@ def test_packing_whole_documents(spark):
 
 def brute_groups(texts):
     """The least id reachable for each row, by all pairs."""
-    sets = []
+    sets, number = [], {}
     for _, t in texts:
         w = words((t or "").translate(LOWER))
-        sets.append(frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else []))  # noqa: B905
+        sets.append([number.setdefault(x, len(number)) for x in (set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else ())])  # noqa: B905
+    holds = np.zeros((len(texts), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        holds[i, x] = 1
+    size = holds.sum(1)
+    shared = holds @ holds.T
+    linked = (size[:, None] > 0) & (size > 0) & (100 * shared >= 80 * (size[:, None] + size - shared))
     root = list(range(len(texts)))
 
     def find(x):
@@ -168,11 +173,8 @@ def brute_groups(texts):
             x = root[x]
         return x
 
-    for i in range(len(texts)):
-        for j in range(i):
-            shared = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
-                root[find(i)] = find(j)
+    for i, j in np.argwhere(np.tril(linked, -1)).tolist():
+        root[find(i)] = find(j)
     least: dict[int, int] = {}
     for i, (d, _) in enumerate(texts):
         least[find(i)] = min(least.get(find(i), d), d)
@@ -295,6 +297,55 @@ def test_near_duplicates_within_a_full_region(spark):
     assert len(linked) > 250 and sum(got[a] == got[b] for a, b in linked) == len(linked)
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 211])
+def test_near_duplicates_of_a_dense_family(spark, partitions):
+    rng = np.random.RandomState(11)
+    base, texts = [f"w{k}" for k in range(100)], []
+    for i in range(1500):  # about as alike as the limit: 1, 4 or 5 words replaced by words of a small pool
+        text = list(base)
+        for k in rng.choice(100, rng.choice([1, 4, 5, 6]), replace=False):
+            text[k] = f"x{rng.randint(400)}"
+        texts.append((3 * i, " ".join(text)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(rows(spark, texts)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_groups(texts)
+
+
+@given(st.integers(0, 10_000), st.booleans())
+@settings(max_examples=40, deadline=None)
+def test_sets_joined_in_a_task(seed, within):
+    rng = np.random.RandomState(seed)
+    base = rng.choice(1000, 20, replace=False)
+    sets = [np.unique(np.where(rng.rand(20) < rng.choice([0.0, 0.05, 0.3]), rng.randint(0, 1000, 20), base)[: rng.randint(1, 21)]).astype("<u8") for _ in range(30)]
+    roots, side = rng.randint(0, 20, 30), rng.randint(0, 2, 30)
+
+    def parts(pairs):
+        root = {r: r for r in roots.tolist()}
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+        return root
+
+    alike = lambda x, y: 100 * len(set(x.tolist()) & set(y.tolist())) >= 80 * len(set(x.tolist()) | set(y.tolist()))
+    want = [(int(roots[i]), int(roots[j])) for i in range(30) for j in range(i) if alike(sets[i], sets[j]) and (within or side[i] != side[j])]
+    got = near_dup.joined(roots, side, sets, within)
+    assert parts(got) == parts(want) and len(got) < 30
+
+
+def test_one_of_each_goes_by_rows(spark):
+    a, b = "a b c d e f g h", "k l m n o p q r s t"
+    texts = [(3, b), (5, a), (5, b), (5, a), (7, None), (7, None), (8, ""), (None, a), (None, "x y z"), (None, "x y z")]
+    docs = rows(spark, texts).withColumn("twin", F.lit("own")).withColumn("_twin", F.lit("own too"))
+    got = near_dup.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, b), (5, a), (7, None), (7, None), (8, ""), (None, "x y z")])
+    assert near_dup.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_neighbours_awkward_and_recall(spark):
     rng = np.random.RandomState(0)
     data = [(i, rng.randn(16).astype("float32").tolist()) for i in range(600)]
