@@ -8,10 +8,12 @@ as the counts allow. Pieces find their seats by their rank within their length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -89,12 +91,12 @@ class TokenizerPieces:
     RUN, ONCE = 256, 8192
     _joins = re.compile(r"\x20\S+")
 
-    def __init__(self, json: str) -> None:
+    def __init__(self, text: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = Tokenizer.from_str(text)
+        self.tokenizer.encode_special_tokens = True  # texts come cut at added tokens; pre-tokens side by side must not make one
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -122,9 +124,29 @@ class TokenizerPieces:
         return [out[x] for x in pieces]
 
 
-def splitter(key: int, json: str) -> bpe.Splitter:
+class AddedTokens:
+    """Added tokens of a tokenizer, which stand for one id wherever their string is in a text."""
+
+    def __init__(self, text: str) -> None:
+        added = json.loads(text).get("added_tokens", [])
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in what is around them are not supported")
+        self.ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added if t["content"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=lambda x: (-len(x), x)))) + ")") if self.ids else None
+
+    def encode(self, texts: list[str], plain: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Each text's ids: plain's, of what is between added tokens, and theirs."""
+        held = [i for i, t in enumerate(texts) if any(map(t.__contains__, self.ids))]
+        if not held:
+            return plain(texts)
+        parts = {i: self.cut.split(texts[i]) for i in held}
+        rest = iter(plain([x for i, t in enumerate(texts) for x in (parts[i][::2] if i in parts else [t])]))
+        return [b"".join(next(rest) if k % 2 == 0 else self.ids[x] for k, x in enumerate(parts.get(i, [""]))) for i in range(len(texts))]
+
+
+def splitter(key: int, text: str) -> bpe.Splitter:
     """This worker's splitter, kept over tasks."""
-    return common.held(f"pieces-{key}", lambda: bpe.Splitter(public_tokenizers.PATTERN, TokenizerPieces(json)))
+    return common.held(f"pieces-{key}", lambda: bpe.Splitter(public_tokenizers.PATTERN, TokenizerPieces(text)))
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -133,13 +155,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
     seat is a piece's number among those of its length in its task, part; both are written with the row.
     """
     with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        json = file.read()
-    sent = docs.sparkSession.sparkContext.broadcast(json)
-    key, end = zlib.crc32(json.encode()), np.array([end_id], "<u4").tobytes()
+        text = file.read()
+    sent, added = docs.sparkSession.sparkContext.broadcast(text), AddedTokens(text)
+    key, end = zlib.crc32(text.encode()), np.array([end_id], "<u4").tobytes()
 
     def run(block: pa.RecordBatch, seen: Counter) -> pa.RecordBatch:
         rows, own = [], TaskContext.get().partitionId()
-        for i, ids in enumerate(splitter(key, sent.value).encode(block.column(1).fill_null(b"").cast(pa.string()).to_pylist())):
+        for i, ids in enumerate(added.encode(block.column(1).fill_null(b"").cast(pa.string()).to_pylist(), splitter(key, sent.value).encode)):
             ids += end
             n, start, piece = len(ids) // 4, 0, 0
             while start < n:
@@ -169,7 +191,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with_ids the
     ids as little-endian bytes. A null or empty text is end_id alone; repeated rows are packed each;
     a null doc_id stays null; an empty table gives no rows. Other columns are left out. The strings
-    of special tokens in a text are encoded as ordinary text.
+    of the tokenizer's added tokens in a text are their ids, as the library has it.
     """
     cut = common.staged(pieces(docs, tokenizer, capacity, end_id, with_ids))
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("here"))
