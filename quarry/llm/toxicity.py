@@ -1,8 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 4).
 
-Confirmed toxic rows are the positives, a sample of all other learnable text is unlabelled. Linear
-numpy classifiers minimise the non-negative risk prior * R_p+ + max(0, R_u- - prior * R_p-), so
-labelled-clean rows are used only to set the class prior and the operating point.
+Confirmed toxic rows are the positives, all learnable text is unlabelled. Linear numpy classifiers
+minimise the non-negative risk prior * R_p+ + max(0, R_u- - prior * R_p-); labelled-clean rows are
+used only for the class prior. The words that count are chosen by their shares of all rows. Steps on
+samples find a start; rounds over all unlabelled rows, whose risk and gradient each task sums up,
+end it.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from . import common
 
 #: Buckets of word hashes.
 BUCKETS = 1 << 20
-#: Positives, and unlabelled texts, that the classifiers learn from at most.
-POSITIVES, UNLABELLED = 4_000, 12_000
+#: Labelled toxic rows that are learnt from, about, at most; unlabelled texts that the start is found on, about, at most.
+POSITIVES, START = 4_000, 12_000
 #: Rows of the samples that a bucket is found in at least, and standard deviations by which its shares differ at least.
 SEEN, DEVIATIONS = 3, 5.0
 #: Steps, rows of each kind a step, step size, shrinkage, share of a row's words that a step sees, and classifiers that are averaged.
 STEPS, BATCH, RATE, SHRINK, KEEP, MEMBERS = 800, 256, 0.05, 1e-5, 0.4, 3
+#: Rounds over all unlabelled rows, and their step size.
+ROUNDS, ROUND_RATE = 8, 0.02
 
 
 def word_ids(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,19 +35,43 @@ def word_ids(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys // BUCKETS, keys % BUCKETS
 
 
-def word_sets(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, and the distinct buckets of each text as int32 bytes."""
+def row_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of rows (known, text): in how many known rows, and in how many of all, each bucket is found; and how many rows of either there are."""
+
+    def run(batches):
+        total = np.zeros((2, BUCKETS + 1), np.int64)
+        for block in common.blocks(batches):
+            row, ids = word_ids(*common.raw(block.column(1)))
+            known = block.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            total[0] += np.bincount(ids[known[row]], minlength=BUCKETS + 1)
+            total[1] += np.bincount(ids, minlength=BUCKETS + 1)
+            total[:, BUCKETS] += (known.sum(), len(known))
+        at = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "known", "n"])
+
+    common.small_batches(rows.sparkSession)
+    summed = rows.mapInArrow(run, "bucket int, known long, n long").groupBy("bucket").agg(F.sum("known").alias("known"), F.sum("n").alias("n"))
+    got = summed.where((F.col("n") >= SEEN) | (F.col("bucket") == BUCKETS)).toArrow()  # BUCKETS rows at most
+    out = np.zeros((2, BUCKETS + 1), np.int64)
+    for k, name in enumerate(("known", "n")):
+        out[k, got.column("bucket").to_numpy()] = got.column(name).to_numpy()
+    return out[0, :-1], out[1, :-1], int(out[0, -1]), int(out[1, -1])
+
+
+def word_sets(rows: DataFrame, used: np.ndarray) -> DataFrame:
+    """doc_id, known, and which of the used buckets each text of rows (doc_id, known, text) has, as places in used, int32 bytes."""
+    sent = rows.sparkSession.sparkContext.broadcast(used)
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
-        data, at = common.raw(block.column(block.num_columns - 1))
-        rows, ids = word_ids(data, at)
-        ends = np.searchsorted(rows, np.arange(block.num_rows), side="right") * 4
-        flat = ids.astype("<i4").tobytes()
+        row, ids = word_ids(*common.raw(block.column(2)))
+        at = np.minimum(np.searchsorted(sent.value, ids), len(sent.value) - 1)
+        hit = sent.value[at] == ids
+        row, flat = row[hit], at[hit].astype("<i4").tobytes()
+        ends = np.searchsorted(row, np.arange(block.num_rows), side="right") * 4
         sets = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(sets, pa.binary())], names=[*keep, "words"])
+        return pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(sets, pa.binary())], names=["doc_id", "known", "words"])
 
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", words binary"
-    return common.map_blocks(docs.select(*keep, F.col("text").cast("binary").alias("text")), run, schema)
+    return common.map_blocks(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, known boolean, words binary")
 
 
 class Rows:
@@ -64,64 +92,119 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling(pos: Rows, unl: Rows) -> np.ndarray:
-    """The buckets, sorted, that enough rows have and whose share of rows differs between the two samples beyond chance."""
-    a, b = (np.bincount(np.concatenate([*x.ids, np.zeros(0, np.int32)]), minlength=BUCKETS) for x in (pos, unl))
-    pooled = (a + b) / (len(pos.ids) + len(unl.ids))
-    spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / len(pos.ids) + 1 / len(unl.ids)))
-    return np.flatnonzero((a + b >= SEEN) & (np.abs(a / len(pos.ids) - b / len(unl.ids)) > DEVIATIONS * spread))
+def telling(known: np.ndarray, every: np.ndarray, positives: int, rows: int) -> np.ndarray:
+    """The buckets, sorted, that enough rows have and whose share of the known rows differs from that of all beyond chance."""
+    pooled = (known + every) / (positives + rows)
+    spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / positives + 1 / rows))
+    return np.flatnonzero((known + every >= SEEN) & (np.abs(known / positives - every / rows) > DEVIATIONS * spread))
+
+
+def _gradients(p: np.ndarray, prior: float, negative: float) -> tuple[np.ndarray, float]:
+    """By the positives' outputs, and the sign of the unlabelled part, for the non-negative risk of logistic losses."""
+    if negative >= 0:
+        return prior * (p - 1) - prior * p, 1.0
+    return prior * (p - 1) + prior * p, -1.0  # the risk has gone below nought: step back from what was overfitted
 
 
-def learn(positive: list[bytes], unlabelled: list[bytes], prior: float, seed: int) -> np.ndarray:
-    """Weights of the buckets, and last the bias, by Adam on the non-negative risk with the sigmoid loss's smooth kin, the logistic loss."""
-    rng, pos, unl = np.random.RandomState(seed), Rows(positive), Rows(unlabelled)
-    used = telling(pos, unl)
-    for rows in (pos, unl):
-        rows.ids = [np.searchsorted(used, x[np.isin(x, used)]) for x in rows.ids]
-    w, m, v = (np.zeros(len(used) + 1) for _ in range(3))
+class Adam:
+    def __init__(self, size: int, rate: float) -> None:
+        self.m, self.v, self.rate, self.step = np.zeros(size), np.zeros(size), rate, 0
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        self.step += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
+        return self.rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-6)
+
+
+def start(positive: list[bytes], unlabelled: list[bytes], size: int, prior: float, seed: int) -> np.ndarray:
+    """Weights of size buckets, and last the bias, by Adam on random batches of samples."""
+    rng, pos, unl, adam = np.random.RandomState(seed), Rows(positive), Rows(unlabelled), Adam(size + 1, RATE)
+    w = np.zeros(size + 1)
     w[-1] = np.log(prior / (1 - prior))
-    for step in range(1, STEPS + 1):
+    for _ in range(STEPS):
         pr, pi = pos.batch(rng, BATCH)
         ur, ui = unl.batch(rng, BATCH * 2)
         p = _sigmoid(np.bincount(pr, w[pi], BATCH) + w[-1])
         u = _sigmoid(np.bincount(ur, w[ui], BATCH * 2) + w[-1])
-        negative = -np.log(1 - u + 1e-9).mean() + prior * np.log(1 - p + 1e-9).mean()
-        # gradients by each row's output: of -log p for positives, of -log(1 - x) for negatives
-        gp, gu = prior * (p - 1) / BATCH, np.zeros_like(u)
-        if negative >= 0:
-            gp, gu = gp - prior * p / BATCH, u / len(u)
-        else:  # the risk has gone below nought: step back from what was overfitted
-            gp, gu = gp + prior * p / BATCH, -u / len(u)
+        gp, sign = _gradients(p, prior, -np.log(1 - u + 1e-9).mean() + prior * np.log(1 - p + 1e-9).mean())
+        gp, gu = gp / BATCH, sign * u / len(u)
         g = np.bincount(pi, gp[pr], len(w)) + np.bincount(ui, gu[ur], len(w)) + SHRINK * w
         g[-1] = gp.sum() + gu.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    out = np.zeros(BUCKETS + 1, np.float32)
-    out[used], out[-1] = w[:-1], w[-1]
-    return out
-
-
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> np.ndarray | None:
-    """Averaged weights; None without a toxic row to learn from.
-
-    Both samples are the rows of the smallest hashes of their ids, of a bounded number. A row
-    labelled both ways counts as toxic; rows without a label value are no labels.
+        w -= adam(g)
+    return w
+
+
+def _outputs(w: np.ndarray, sets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id) of the sets, and each row's output; a share KEEP of each weight counts, as in a step on average."""
+    ids = np.frombuffer(b"".join(sets), "<i4")
+    rows = np.repeat(np.arange(len(sets)), [len(x) // 4 for x in sets])
+    return rows, ids, _sigmoid(KEEP * np.bincount(rows, w[ids], len(sets)) + w[-1])
+
+
+def unlabelled_risk(sets: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean over all rows of sets (words) of -log(1 - output), and its gradient; each task returns its sums."""
+    sent = sets.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches):
+        w = sent.value
+        total = np.zeros(len(w) + 2)
+        for b in batches:
+            rows, ids, u = _outputs(w, b.column(0).to_pylist())
+            total[: len(w)] += np.bincount(ids, KEEP * u[rows], len(w))
+            total[len(w) - 1 :] += (u.sum(), -np.log(1 - u + 1e-9).sum(), len(u))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "value"])
+
+    got = sets.select("words").mapInArrow(run, "id int, value double").groupBy("id").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros(len(w) + 2)
+    out[got.column("id").to_numpy()] = got.column("value").to_numpy()
+    rows = max(out[-1], 1.0)
+    return out[-2] / rows, out[: len(w)] / rows
+
+
+def end(w: np.ndarray, positive: list[bytes], sets: DataFrame, prior: float) -> np.ndarray:
+    """w after ROUNDS steps on the risk of the positives and of all rows of sets."""
+    adam = Adam(len(w), ROUND_RATE)
+    for _ in range(ROUNDS):
+        loss, g = unlabelled_risk(sets, w)
+        rows, ids, p = _outputs(w, positive)
+        gp, sign = _gradients(p, prior, loss + prior * np.log(1 - p + 1e-9).mean())
+        gp /= len(p)
+        g = sign * g + np.bincount(ids, KEEP * gp[rows], len(w)) + SHRINK * w
+        g[-1] += gp.sum()
+        w = w - adam(g)
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int = POSITIVES) -> np.ndarray | None:
+    """Weights of the buckets, and last the bias; None without a toxic row to learn from or without a telling word.
+
+    A row labelled both ways counts as toxic; rows without a label value are no labels; rows without a
+    doc_id teach nothing. All learnable rows, toxic ones included, are the unlabelled text.
     """
-    by_id = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    by_id = common.staged(labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     share = by_id.agg(F.avg("toxic")).first()[0]
     if not share:
         return None
-    hashed = F.xxhash64("doc_id")
-    sample = by_id.where("toxic = 1").orderBy(hashed, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("known"))
-    other = docs.where(learnable & F.col("doc_id").isNotNull()).select("doc_id").orderBy(hashed, "doc_id").limit(unlabelled)
-    picked = sample.unionByName(other.select("doc_id", F.lit(False).alias("known")))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # picked has positives + unlabelled rows at most
-    got = word_sets(texts, ["doc_id", "known"]).toArrow().sort_by("doc_id")
-    known, sets = got.column("known").to_pylist(), got.column("words").to_pylist()
-    toxic, rest = [x for x, k in zip(sets, known, strict=True) if k], [x for x, k in zip(sets, known, strict=True) if not k]
-    if not toxic or not rest:
+    prior = min(max(float(share), 0.01), 0.5)
+    picked = common.about(by_id.where("toxic = 1").select("doc_id"), "doc_id", positives).withColumn("known", F.lit(True))
+    rows = docs.where(learnable & F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = rows.join(F.broadcast(picked), "doc_id", "left")  # about so many positives
+    rows = rows.select("doc_id", F.coalesce("known", F.lit(False)).alias("known"), "text")
+    known, every, some, many = row_counts(rows.select("known", "text"))
+    if not some:
+        return None
+    used = telling(known, every, some, many)
+    if not len(used):
         return None
-    return np.mean([learn(toxic, rest, min(max(float(share), 0.01), 0.5), seed) for seed in range(MEMBERS)], axis=0)
+    sets = common.staged(word_sets(rows, used))
+    positive = sets.where("known").toArrow().sort_by("doc_id").column("words").to_pylist()
+    sample = common.about(sets, "doc_id", START).toArrow().sort_by("doc_id").column("words").to_pylist()
+    w = np.mean([start(positive, sample, len(used), prior, seed) for seed in range(MEMBERS)], axis=0)
+    w = end(w, positive, sets, prior)
+    out = np.zeros(BUCKETS + 1, np.float32)
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, keep: list[str]) -> DataFrame:
@@ -145,12 +228,15 @@ def probability(weights: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.nda
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that score below 0.5; all of them without toxic labels."""
+    """The rows of docs, all columns of any name, that score below 0.5; all of them without toxic labels.
+
+    A null text is judged as an empty one; repeated rows are judged each; an empty table stays empty.
+    """
     weights = fit(docs, labels, learnable_row())
     if weights is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    return common.with_score(docs, lambda data, at: probability(sent.value, data, at), "_toxic").where("_toxic < 0.5").drop("_toxic")
+    return common.scored_rows(docs, lambda data, at: probability(sent.value, data, at), lambda s: s < 0.5)
 
 
 def learnable_row() -> Column:
