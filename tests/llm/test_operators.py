@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import bpe, common, components, licenses, line_rules, lm_score, near_dup, neighbours, packing, quality, queries, toxicity, url_filter
+from quarry.llm import attention, bpe, common, components, licenses, line_rules, lm_score, near_dup, neighbours, packing, quality, queries, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -278,6 +278,71 @@ def test_rare_words_are_counted_by_the_join(spark, monkeypatch):
     assert np.allclose(before.sort_values(cols)[cols], after.sort_values(cols)[cols])
 
 
+def _small_attention(texts=None):
+    rng = np.random.RandomState(8)
+    texts = texts or [np.append(rng.randint(0, 300, rng.randint(1, 90)), 300).astype("<u2") for _ in range(40)]
+    model = attention.Attention(np.bincount(np.concatenate(texts), minlength=301))
+    model.begin(texts)
+    model.finish()
+    return model, texts
+
+
+def test_attention_score_is_a_naive_one(monkeypatch):
+    monkeypatch.setattr(attention, "STEPS", 30)
+    model, texts = _small_attention()
+    p = {k: x.astype(float) for k, x in model.p.items()}
+    for text, got in zip(texts, model.score(texts), strict=True):
+        total = 0.0
+        for i, target in enumerate(text.tolist()):
+            first = i // attention.SCORED * attention.SCORED
+            seen = [model.end if k == 0 else int(text[k - 1]) for k in range(max(0, first - attention.CONTEXT), i + 1)]  # what comes before each place up to this one
+            e = p["e"][model.row[seen]]
+            back = np.arange(len(seen))[::-1]
+            a = np.exp(e[-1] @ p["q"] @ (e @ p["k"]).T / np.sqrt(attention.HEAD) + p["near"][back])
+            z = np.concatenate([e[-1], a @ (e @ p["v"]) / a.sum()]) @ p["o"] + p["b"]
+            own = model.class_of[target]
+            inside = model.counts[model.class_of == own] + 0.1
+            total += z[own] - np.log(np.exp(z).sum()) + np.log((model.counts[target] + 0.1) / inside.sum())
+        assert abs(total / np.log(10) - got) < 1e-3 * max(1, abs(got))
+
+
+def test_attention_gradients_are_the_loss_s(monkeypatch):
+    monkeypatch.setattr(attention, "STEPS", 5)
+    model, texts = _small_attention()
+    model.p = {k: x.astype(np.float64) for k, x in model.p.items()}
+    batch = model.spans([(t[:-1], k % 2 == 0) for k, t in enumerate(texts) if len(t) > 12])
+    loss, g = model.gradients(*batch)
+    rng = np.random.RandomState(1)
+    for name, x in model.p.items():
+        for _ in range(6):
+            at = tuple(rng.randint(0, s) for s in x.shape) if name != "e" else (int(rng.choice(batch[0].ravel())), rng.randint(attention.WIDTH))
+            keep, step = x[at], 1e-4
+            x[at] = keep + step
+            more = model.gradients(*batch)[0]
+            x[at] = keep - step
+            less = model.gradients(*batch)[0]
+            x[at] = keep
+            assert abs((more - less) / (2 * step) - g[name][at]) < 2e-4, name
+    before = model.weights
+    model.weights = before
+    assert np.allclose(model.weights, before)
+
+
+def test_rounds_learn_from_every_task(spark):
+    text = " ".join(["alpha beta gamma delta epsilon zeta eta theta"] * 40)
+    docs = rows(spark, [(i, text + f" own{i}") for i in range(200)])
+    got = lm_score.lm_score(docs, F.col("doc_id") % 7 != 2, sample=20).toPandas()
+    assert len(got) == 200 and (got.score / got.n_tokens > got.base_score / got.n_tokens).all()  # context tells what comes next
+
+
+def test_spans_cover_texts_evenly(monkeypatch):
+    texts = [[b"w%d" % i for i in range(n)] for n in (0, 1, 39, 40, 41, 500)]
+    monkeypatch.setattr(lm_score, "SHARE", 1 - 2.0**-40)
+    for t in texts:
+        got = lm_score.spans([t])
+        assert [w for part, _, _ in got for w in part] == t and [o for _, o, _ in got] == [True] + [False] * (len(got) - 1) and [e for *_, e in got][-1]
+
+
 def test_near_duplicates_within_a_full_region(spark):
     rng, fresh = np.random.RandomState(6), iter(range(10**6))
 
