@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": line_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": line_rules.SQL, "op10_url_filter": url_filter.SQL}

@@ -54,14 +54,15 @@ def shape_of(url: Column) -> Column:
     read whole.
     """
     host, rest = host_of(url), F.regexp_extract(url, "(?s)^.*?://[^/?#]*(.*)$", 1)
-    inner = F.concat(F.regexp_replace(host, "\\.?[^.]*\\.[^.]*$", ""), F.regexp_replace(rest, "^/[^/?#]*(?=/)", ""))
+    inner = F.concat(F.regexp_replace(host, "\\.?[^.]*\\.[^.]*$", ""), F.regexp_replace(rest, "^/[^/?#]*/", "/"))
     text = F.when(F.instr(url, "://") > 0, inner).otherwise(F.coalesce(url, F.lit("")))
     return F.concat(F.lit("\x02"), F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[0-9]+", "0"), F.lit("\x03"))
 
 
 def site_of(shape: Column) -> Column:
     """0 for one site in HELD, by the label before the registered domain, whose accepted urls set the threshold and are not seen by the models that score them."""
-    return F.pmod(F.xxhash64(F.regexp_extract(shape, "^\x02(?:[^/?#]*\\.)?([^./?#\x03]*)", 1)), F.lit(HELD))
+    site = F.regexp_extract(shape, "^\x02(?:[^/?#]*\\.)?([^./?#\x03]*)", 1)
+    return F.conv(F.left(F.md5(site), F.lit(4)), 16, 10).cast("int") % HELD
 
 
 def _grams(shape: Column) -> Column:
@@ -89,11 +90,11 @@ def ratio_model(shapes: DataFrame) -> DataFrame:
         else:
             now = now.withColumn("shorter", F.expr("substring(gram, 2)")).join(lower, "shorter")
         p = {f"{k}_p": (F.col(k) + DISCOUNT * F.col(f"{k}_low")) / (F.col(f"{k}_context") + DISCOUNT) for k in ("good", "bad")}
-        now = now.withColumns(p)
+        now = common.staged(now.withColumns(p).select("gram", "good_p", "bad_p"))
         rows = now.select("gram", (F.log10("good_p") - F.log10("bad_p")).alias("ratio"))
         out = rows if out is None else out.unionByName(rows)
         lower = now.select(F.col("gram").alias("shorter"), F.col("good_p").alias("good_low"), F.col("bad_p").alias("bad_low"))
-    return common.staged(out)
+    return out
 
 
 def scored(shapes: DataFrame, model: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def url_filter(pages: DataFrame) -> DataFrame:
     return rows.join(score, "shape", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce("fit.verdict", F.when(F.coalesce("score", F.lit(0.0)) < limit, "block").otherwise("allow")).alias("verdict"),
-        F.when(F.col("fit").isNull(), F.coalesce("score", F.lit(0.0))).alias("score"),
+        F.when(F.col("fit").isNull(), F.round(F.coalesce("score", F.lit(0.0)), 6)).alias("score"),
     )
 
 
@@ -135,5 +136,54 @@ def threshold(by_score: DataFrame) -> float:
     return 0.0 if low is None else min(0.0, math.floor(low * 1e4) / 1e4)
 
 
+def _model_sql(name: str, shapes: str) -> str:
+    """ratio_model in SQL: a table name (gram, ratio) from a table shapes (shape, good, bad)."""
+    out = [
+        f"{name}_each AS (SELECT least(good, 1) AS good, least(bad, 1) AS bad, gram FROM {shapes} JOIN grams USING (shape))",
+        f"{name}_sums AS (SELECT gram, sum(good) AS good, sum(bad) AS bad FROM {name}_each GROUP BY gram)",
+        f"{name}_counts AS (SELECT *, sum(good) OVER w AS good_context, sum(bad) OVER w AS bad_context FROM {name}_sums WINDOW w AS (PARTITION BY left(gram, length(gram) - 1)))",
+    ]
+    for size in range(1, ORDER + 2):
+        low = [f"{1 / ALPHABET}"] * 2 if size == 1 else ["b.good_p", "b.bad_p"]
+        p = [f"(c.{k} + {DISCOUNT} * {x}) / (c.{k}_context + {DISCOUNT})" for k, x in zip(("good", "bad"), low, strict=True)]
+        join = "" if size == 1 else f" JOIN {name}_{size - 1} b ON b.gram = substring(c.gram, 2)"
+        out.append(f"{name}_{size} AS (SELECT c.gram, {p[0]} AS good_p, {p[1]} AS bad_p FROM {name}_counts c{join} WHERE length(c.gram) = {size})")
+    every = " UNION ALL ".join(f"SELECT * FROM {name}_{size}" for size in range(1, ORDER + 2))
+    return ", ".join([*out, f"{name} AS (SELECT gram, log10(good_p) - log10(bad_p) AS ratio FROM ({every}))"])
+
+
+def _scored_sql(name: str, shapes: str, model: str) -> str:
+    """scored in SQL: a table name (shape, score)."""
+    return f"""{name}_best AS (SELECT shape, pos, max_by(ratio, length(gram)) AS ratio FROM {shapes} JOIN grams USING (shape) JOIN {model} USING (gram) GROUP BY shape, pos),
+{name} AS (SELECT shape, sum(ratio) / (length(shape) - 1) AS score FROM {name}_best GROUP BY shape)"""
+
+
+_FITS = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
+
+# The same result in DuckDB's SQL.
+SQL = f"""
+WITH u AS (SELECT page_id, url, coalesce(url, '') AS t FROM pages),
+h AS (SELECT *, translate(regexp_extract(t, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(t, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+      regexp_extract(t, '(?s)^.*?://[^/?#]*(.*)$', 1) AS rest FROM u),
+s AS (SELECT *, chr(2) || regexp_replace(translate(CASE WHEN instr(url, '://') > 0 THEN regexp_replace(host, '\\.?[^.]*\\.[^.]*$', '') || regexp_replace(rest, '^/[^/?#]*/', '/') ELSE t END,
+      '{_UPPER}', '{_LOWER}'), '[0-9]+', '0', 'g') || chr(3) AS shape, CASE {_FITS} END AS fit FROM h),
+shapes AS (SELECT shape, count_if(starts_with(fit, 'allow')) AS good, count_if(starts_with(fit, 'block')) AS bad, count_if(fit IS NULL) AS open,
+           ('0x' || left(md5(regexp_extract(shape, '^\\x02(?:[^/?#]*\\.)?([^./?#\\x03]*)', 1)), 4))::INT % {HELD} = 0 AS held FROM s GROUP BY shape),
+places AS (SELECT shape, unnest(range(2, length(shape) + 1)) AS pos FROM shapes),
+grams AS (SELECT shape, pos, substring(shape, pos - k, k + 1) AS gram FROM (SELECT shape, pos, unnest(range(0, least({ORDER}, pos - 1) + 1)) AS k FROM places)),
+taught AS (SELECT shape, good, bad FROM shapes WHERE good + bad > 0),
+half AS (SELECT shape, good, bad FROM shapes WHERE good + bad > 0 AND NOT held),
+tried AS (SELECT shape FROM shapes WHERE good > 0 AND held),
+opened AS (SELECT shape FROM shapes WHERE open > 0),
+{_model_sql("part", "half")}, {_scored_sql("unseen", "tried", "part")},
+low AS (SELECT quantile_cont(round(score, 4), {MISS}) AS low FROM (SELECT score, unnest(range(good::BIGINT)) FROM unseen JOIN taught USING (shape))),
+{_model_sql("whole", "taught")}, {_scored_sql("judged", "opened", "whole")}
+SELECT page_id, host, path, substring(fit, 7) AS rule,
+       coalesce(left(fit, 5), CASE WHEN coalesce(score, 0) < coalesce((SELECT least(0, floor(low * 1e4) / 1e4) FROM low), 0) THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN fit IS NULL THEN round(coalesce(score, 0), 6) END AS score
+FROM s LEFT JOIN judged USING (shape)
+"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(common.table(spark, sf_dir, "pages"))
