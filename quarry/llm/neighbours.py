@@ -102,7 +102,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = common.staged(usable(vectors).dropDuplicates(["vec_id", "v"]))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v")
+    sample = common.about(rows, "vec_id", SAMPLE).orderBy("vec_id").select("v").toArrow().column("v")
     schema = "query_id long, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

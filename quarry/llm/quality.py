@@ -118,7 +118,7 @@ class Space:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """The weighted share of label 1 among each row's nearest labelled rows."""
+        """The weighted share of label 1 among each row's nearest labelled rows; of equal cosines at the last place any may count."""
         at = self._unit((self._unit(rows * self.idf) - self.mean) @ self.axes)
         near = at @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
@@ -128,16 +128,17 @@ class Space:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> Space | None:
-    """The space of at most sample rows of each label, those of the smallest hashes of their ids; None without labels.
+    """The space of about sample rows of each label at most, those of small hashes of their ids; None without labels.
 
     A row labelled both ways counts as 1; rows without a label value are no labels.
     """
     by_id = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    by_id = common.staged(by_id)
     share = by_id.agg(F.avg("quality")).first()[0]
     if share is None:
         return None
-    picked = [by_id.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # 2 * sample rows at most
+    picked = [common.about(by_id.where(F.col("quality") == k), "doc_id", sample) for k in (0, 1)]
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # about 2 * sample rows at most
     got = term_rows(texts, ["doc_id", "quality"]).toArrow()
     if not got.num_rows:
         return None

@@ -516,5 +516,76 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_rows(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = rows(spark)
+    for k in ("_score", "_text", "_twin", "twin", "node", "root", "label", "words", "known", "first", "n", "items", "quality", "toxic"):
+        docs = docs.withColumn(k, F.lit(k))
+    got = stage(spark, docs, DATA)
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+    if name == "packing":
+        assert Counter(r.doc_id for r in got.where("piece = 0").collect()) == Counter(i for i, _ in AWKWARD)
+        return
+    assert got.columns == docs.columns
+    for r in got.collect():
+        assert (r.doc_id, r.text) in AWKWARD and r.twin == "twin" and r._score == "_score"
+    if name == "near_dedup":
+        assert Counter(r.doc_id for r in got.collect()) == Counter(i for i, _ in AWKWARD if i not in (6, 8))
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.01"])
+def test_queries_equal_their_sql(spark, name, data):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    frame = queries.QUERIES[name](spark, data)
+    assert sorted(frame.columns) == sorted(names)
+    assert Counter(map(tuple, frame.select(*names).collect())) == Counter(want.fetchall())
+
+
+def test_votes_are_the_nearest_labelled_rows():
+    rng = np.random.RandomState(3)
+    matrix, labels_ = np.abs(rng.randn(60, quality.TERMS)).astype(np.float32) * (rng.rand(60, quality.TERMS) < 0.05), rng.randint(0, 2, 60)
+    space = quality.Space(matrix.copy(), labels_, 0.3)
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-9)
+    place = lambda x: unit((unit(x * space.idf) - space.mean) @ space.axes)
+    learnt = [place(x) for x in matrix]
+    for x, got in zip(matrix[:20] + matrix[20:40], space.score(matrix[:20] + matrix[20:40]), strict=True):
+        cosines = [float(place(x) @ y) for y in learnt]
+        near = sorted(range(60), key=lambda k: -cosines[k])[: quality.NEIGHBOURS]
+        votes = {k: np.exp(quality.SHARP * (cosines[k] - 1)) * (0.3 / labels_.mean() if labels_[k] else 0.7 / (1 - labels_.mean())) for k in near}
+        assert abs(sum(v for k, v in votes.items() if labels_[k]) / sum(votes.values()) - got) < 1e-3
+
+
+def test_unlabelled_risk_is_that_of_all_rows(spark):
+    rng = np.random.RandomState(2)
+    texts = [(i, " ".join(f"w{rng.randint(40)}" for _ in range(rng.randint(0, 30)))) for i in range(150)]
+    docs = spark.createDataFrame([(i, i % 5 == 0, bytearray(t.encode())) for i, t in texts], "doc_id long, known boolean, text binary").repartition(5)
+    bucket = lambda w: common.hash_word(w) % toxicity.BUCKETS
+    known, every, some, many = toxicity.row_counts(docs.select("known", "text"))
+    assert (some, many) == (30, 150)
+    for w in (f"w{k}" for k in range(40)):
+        assert every[bucket(w)] == sum(w in t.split() for _, t in texts) and known[bucket(w)] == sum(w in t.split() for i, t in texts if i % 5 == 0)
+    used = np.unique([bucket(f"w{k}") for k in range(0, 40, 2)])
+    w = rng.randn(len(used) + 1)
+    loss, g = toxicity.unlabelled_risk(toxicity.word_sets(docs, used), w)
+
+    def risk(w):
+        place = {b: k for k, b in enumerate(used.tolist())}
+        outs = [toxicity.KEEP * sum(w[place[bucket(x)]] for x in set(t.split()) if bucket(x) in place) + w[-1] for _, t in texts]
+        return float(np.mean(np.log1p(np.exp(outs))))
+
+    assert abs(loss - risk(w)) < 1e-6
+    for k in range(len(w)):
+        step = np.eye(len(w))[k] * 1e-5
+        assert abs((risk(w + step) - risk(w - step)) / 2e-5 - g[k]) < 1e-6
+
+
 def test_every_operator_has_a_query():
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
