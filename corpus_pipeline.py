@@ -1,7 +1,9 @@
 """A corpus pipeline: toxic documents go, then those of low quality, then near copies; the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents, whatever other columns
+there are. A null text counts as an empty one; rows without labels or without a doc_id are judged like
+all others; repeated rows are one document to the third stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
