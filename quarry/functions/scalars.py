@@ -27,9 +27,16 @@ def unqualified(name: Column) -> Column:
 
 
 def containing(name: Column) -> Column:
-    """FN-3: the last two parts before any parameters; dots in type arguments don't count."""
-    plain = F.regexp_replace(F.substring_index(name, "(", 1), "<[^<>]*>", "")
-    return F.substring_index(plain, ".", -2)
+    """FN-3: the last two parts of a name, and its parameters; dots within brackets, however nested, part nothing."""
+    head = F.substring_index(name, "(", 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def step(a: Column, ch: Column) -> Column:
+        depth = a["depth"] + F.when(ch.isin("<", "[", "{"), 1).when(ch.isin(">", "]", "}"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.concat(a["text"], F.when((ch == ".") & (depth != 0), "\x01").otherwise(ch)).alias("text"))
+
+    masked = F.aggregate(F.filter(F.split(head, ""), lambda ch: ch != ""), start, step)["text"]
+    return F.concat(F.translate(F.substring_index(masked, ".", -2), "\x01", "."), F.substring(name, F.length(head) + 1, F.length(name)))
 
 
 def _depths(text: Column) -> Column:
@@ -186,8 +193,8 @@ def agrees(one: Column, two: Column) -> Column:
 
 
 def satisfies(have: Column, want: Column) -> Column:
-    """FLT-15: every layer of want is in have with the same hash."""
-    return F.forall(F.map_keys(want), lambda k: F.coalesce(F.element_at(have, k) == F.element_at(want, k), F.lit(False)))
+    """FLT-15: every layer of want is in have with the same hash; an empty want is never satisfied, as nothing was held."""
+    return (F.size(want) > 0) & F.forall(F.map_keys(want), lambda k: F.coalesce(F.element_at(have, k) == F.element_at(want, k), F.lit(False)))
 
 
 def covers(have: Column, names: list[str]) -> Column:
@@ -195,6 +202,33 @@ def covers(have: Column, names: list[str]) -> Column:
     return F.forall(F.array(*[F.lit(n) for n in names]), lambda k: F.map_contains_key(have, k))
 
 
+def segments_of_command(command: Column) -> Column:
+    """FN-18: a shell command's parts between | ; and &, blanks around them off, empty ones left out.
+
+    Separators in quotes or after a backslash part nothing; in single quotes a backslash is a character like any other.
+    """
+    start = F.struct(F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit("").alias("text"))
+
+    def step(a: Column, ch: Column) -> Column:
+        free = ~a["escaped"]
+        opens = free & (a["quote"] == "") & ch.isin("'", '"')
+        closes = free & (a["quote"] == ch)
+        parts = free & (a["quote"] == "") & ch.isin("|", ";", "&")
+        quote = F.when(opens, ch).when(closes, "").otherwise(a["quote"])
+        escaped = free & (ch == "\\") & (a["quote"] != "'")
+        return F.struct(quote.alias("quote"), escaped.alias("escaped"), F.concat(a["text"], F.when(parts, "\x01").otherwise(ch)).alias("text"))
+
+    cut = F.split(F.aggregate(F.filter(F.split(command, ""), lambda ch: ch != ""), start, step)["text"], "\x01")
+    return F.filter(F.transform(cut, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def command_name(segment: Column) -> Column:
+    """FN-18: the bare name of the command that a segment calls, without quotes, folders and .exe; null without one."""
+    first = F.regexp_extract(segment, r"^\s*(\S+)", 1)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(first, "[\"']", ""), r"^.*[/\\]", ""), r"(?i)\.exe$", "")
+    return F.nullif(bare, F.lit(""))
+
+
 def narrow(token: Column, names: list[str]) -> Column:
     """FLT-15: the token with the named layers only."""
     return F.map_filter(token, lambda k, _: k.isin(names))

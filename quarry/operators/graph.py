@@ -1,20 +1,16 @@
-"""Graph walks by levels: one job a level, frontiers and visited sets as tables in the checkpoint folder."""
+"""Graph walks by levels: one job a level, arcs, frontiers and visited sets as Parquet in the checkpoint folder."""
 
 from __future__ import annotations
 
-import tempfile
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import kept
 
-def kept(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the session's folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
+#: Distinct nodes that a call tree expands before it stops.
+NODE_CAP = 3000
 
 
 def one_hop(edges: DataFrame, node: str, kinds: tuple[str, ...] = ("call",)) -> DataFrame:
@@ -29,10 +25,13 @@ def implementors(edges: DataFrame, interface: str) -> DataFrame:
     return edges.where((F.col("edge_kind") == "implements") & (F.col("to_symbol") == interface)).select(F.col("from_symbol").alias("implementor")).distinct()
 
 
-def levels(seeds: DataFrame, arcs: DataFrame, most: int) -> DataFrame:
-    """node, depth: everything within most steps of seeds (node) along arcs (source, target), at its least depth."""
+def levels(seeds: DataFrame, arcs: DataFrame, most: int | None = None) -> DataFrame:
+    """node, depth: everything within most steps (any number, for None) of seeds (node) along arcs (source, target), at its least depth."""
+    arcs = kept(arcs.select("source", "target").distinct())
     seen = frontier = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most + 1):
+    depth = 0
+    while most is None or depth < most:
+        depth += 1
         reached = frontier.join(arcs, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
         frontier = kept(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -41,103 +40,205 @@ def levels(seeds: DataFrame, arcs: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def path_depth(arcs: DataFrame, start: str, end: str, most: int = 8) -> tuple[int | None, DataFrame, DataFrame]:
-    """GRF-3: steps of a shortest path, or None, and both searched sides; most counts single-side expansions (1 to 20), the smaller frontier grows first."""
-    spark = arcs.sparkSession
-    side = {k: kept(spark.createDataFrame([(v, 0)], "node string, depth int")) for k, v in (("out", start), ("in", end))}
-    front, sizes, depth = dict(side), {"out": 1, "in": 1}, {"out": 0, "in": 0}
-    turned = {"out": arcs, "in": arcs.select(F.col("target").alias("source"), F.col("source").alias("target"))}
+@dataclass(frozen=True)
+class Path:
+    """GRF-3: the nodes of a shortest path, or None; how many nodes were seen; on a miss, up to five nodes where either side stopped."""
+
+    nodes: list[str] | None
+    explored: int
+    forward: list[str]
+    backward: list[str]
+
+
+def shortest_path(arcs: DataFrame, start: str, end: str, most: int = 8) -> Path:
+    """GRF-3: a shortest path from both ends; most counts the steps of either side (1 to 20), the side with fewer open nodes steps first.
+
+    Every open node carries its own path, of 20 nodes at most; of several paths the least is taken.
+    """
     if start == end:
-        return 0, side["out"], side["in"]
+        return Path([start], 1, [], [])
+    spark, arcs = arcs.sparkSession, kept(arcs.select("source", "target").distinct())
+    turned = {"out": arcs, "in": arcs.select(F.col("target").alias("source"), F.col("source").alias("target"))}
+    side = {k: kept(spark.createDataFrame([(v, [v])], "node string, path array<string>")) for k, v in (("out", start), ("in", end))}
+    front, sizes, seen = dict(side), {"out": 1, "in": 1}, 2
     for _ in range(min(max(most, 1), 20)):
         way = "out" if sizes["out"] <= sizes["in"] else "in"
-        depth[way] += 1
-        reached = front[way].join(turned[way], F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        front[way] = kept(reached.join(side[way], "node", "left_anti").withColumn("depth", F.lit(depth[way])))
-        sizes[way] = front[way].count()
         if not sizes[way]:
             break
+        step = front[way].join(turned[way], F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
+        step = step.groupBy("node").agg(F.min("path").alias("path"))
+        front[way] = kept(step.join(side[way].select("node"), "node", "left_anti"))
+        sizes[way] = front[way].count()
+        seen += sizes[way]
         side[way] = side[way].unionByName(front[way])
-        met = front[way].join(side["in" if way == "out" else "out"].withColumnRenamed("depth", "other"), "node").agg(F.min(F.col("depth") + F.col("other"))).first()[0]
+        other = side["in" if way == "out" else "out"].withColumnRenamed("path", "other")
+        head, tail = ("path", "other") if way == "out" else ("other", "path")
+        whole = F.concat(head, F.reverse(F.slice(tail, F.lit(1), F.size(tail) - 1)))
+        met = front[way].join(other, "node").select(whole.alias("whole")).agg(F.min(F.struct(F.size("whole").alias("n"), "whole")).alias("best")).first()["best"]
         if met is not None:
-            return int(met), side["out"], side["in"]
-    return None, side["out"], side["in"]
+            return Path(list(met["whole"]), seen, [], [])
+    five = lambda k: [r["node"] for r in front[k].select("node").orderBy("node").limit(5).collect()]
+    return Path(None, seen, five("out"), five("in"))
 
 
-def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap: int = 3000) -> DataFrame:
-    """GRF-4: path (array), node, depth, repeated, omitted: the callers' tree below root.
+@dataclass(frozen=True)
+class CallTree:
+    """GRF-4: tree (path, node, depth, cycle, repeated, omitted), reached (node, depth: all met, shown or not), omitted neighbours in all, and whether the walk stopped short."""
+
+    tree: DataFrame
+    reached: DataFrame
+    omitted: int
+    depth_capped: bool
 
-    A node ends at one of its own path, is expanded where it is first met (by depth, then path) and
-    marked repeated elsewhere; each node shows its first fan neighbours by name and counts the rest
-    as omitted; the walk stops after the level that passes cap nodes.
-    """
-    from pyspark.sql import Window
 
+def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap: int = NODE_CAP, seeds: list[str] | None = None) -> CallTree:
+    """GRF-4: the tree below root along arcs (source, target); seeds stand for the root's own neighbours.
+
+    Each node shows its first fan neighbours by name; the rest are omitted, but reached. A node ends
+    as cycle where it is on its own path. Where a node with children is met again it is repeated: its
+    subtree is shown at its first place, by depth and path. The walk stops at most steps, or after the
+    level in which cap distinct nodes have been expanded; either way, and if neighbours with steps left
+    to go were omitted, depth_capped says so.
+    """
     spark = arcs.sparkSession
-    tree = front = kept(spark.createDataFrame([([root], root, 0, False, 0)], "path array<string>, node string, depth int, repeated boolean, omitted int"))
-    for depth in range(1, most + 1):
-        ranked = arcs.distinct().withColumns({"_rn": F.row_number().over(Window.partitionBy("source").orderBy("target")), "_n": F.count("*").over(Window.partitionBy("source"))}).where(F.col("_rn") <= fan)
-        step = front.where("NOT repeated").join(ranked, F.col("node") == F.col("source")).where(~F.array_contains("path", F.col("target")))
-        step = step.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("node"), F.lit(depth).alias("depth"), F.greatest(F.col("_n") - fan, F.lit(0)).cast("int").alias("omitted"))
-        seen = tree.select("node").distinct().withColumn("_seen", F.lit(True))
-        first = F.row_number().over(Window.partitionBy("node").orderBy("path"))
-        front = kept(step.withColumn("_first", first).join(seen, "node", "left").select("path", "node", "depth", (F.col("_seen").isNotNull() | (F.col("_first") > 1)).alias("repeated"), "omitted"))
+    near = arcs.select("source", "target").distinct()
+    if seeds is not None:
+        near = near.where(F.col("source") != root).unionByName(spark.createDataFrame([(root, x) for x in seeds], "source string, target string").distinct())
+    by = Window.partitionBy("source")
+    near = kept(near.withColumns({"_rn": F.row_number().over(by.orderBy("target")), "_n": F.count("*").over(by)}))
+    many = near.select(F.col("source").alias("node"), "_n").distinct()
+    front = kept(spark.createDataFrame([([root], root, 0, False)], "path array<string>, node string, depth int, cycle boolean"))
+    tree, reached, omitted, capped = front, front.select("node", "depth"), 0, False
+    for depth in range(1, most + 2):
+        step = front.where("NOT cycle").join(near, F.col("node") == F.col("source"))
+        full = depth > most
+        hard = not full and tree.where("NOT cycle").select("node").distinct().count() >= cap
+        if full or hard:
+            beyond = step.count() if hard else int(not step.isEmpty())
+            if hard and beyond:
+                omitted, capped = omitted + beyond, capped or depth < most
+                reached = reached.unionByName(kept(step.select(F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct()))
+            capped = capped or bool(full and beyond)
+            break
+        left_out = kept(step.where(F.col("_rn") > fan).select(F.col("target").alias("node"), F.lit(depth).alias("depth")))
+        if lost := left_out.count():
+            omitted, capped = omitted + lost, capped or depth < most
+            reached = reached.unionByName(left_out.distinct())
+        shown = step.where(F.col("_rn") <= fan)
+        front = kept(shown.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("node"), F.lit(depth).alias("depth"), F.array_contains("path", F.col("target")).alias("cycle")))
         if front.isEmpty():
             break
         tree = tree.unionByName(front)
-        if tree.count() > cap:
-            break
-    return tree
+        reached = reached.unionByName(front.where("NOT cycle").select("node", "depth"))
+    first = F.row_number().over(Window.partitionBy("node").orderBy("cycle", "depth", "path"))
+    ended = tree.join(many, "node", "left").withColumn("_first", first)
+    parents = tree.where("size(path) > 1").select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.lit(True).alias("_parent")).distinct()
+    ended = ended.join(parents, "path", "left")
+    has_children = F.coalesce("_parent", F.lit(False))
+    out = ended.select("path", "node", "depth", "cycle", (~F.col("cycle") & has_children & (F.col("_first") > 1)).alias("repeated"), F.when(has_children, F.greatest(F.col("_n") - fan, F.lit(0))).otherwise(0).cast("int").alias("omitted"))
+    return CallTree(kept(out), reached.distinct(), omitted, capped)
 
 
-def depth_counts(tree: DataFrame) -> DataFrame:
-    """AGG-23: distinct nodes by the least depth each is found at."""
-    return tree.groupBy("node").agg(F.min("depth").alias("depth")).where("depth > 0").groupBy("depth").agg(F.count("*").alias("nodes"))
+def depth_counts(reached: DataFrame) -> DataFrame:
+    """AGG-23: distinct nodes by depth; a node counts at every depth it is met at."""
+    return reached.groupBy("depth").agg(F.count_distinct("node").alias("nodes"))
 
 
-def rename_chain(renames: DataFrame, most: int = 32) -> DataFrame:
-    """GRF-5, SET-2: id, former, depth: everything an id was called before (renames: id, old_id), cycles once."""
+def rename_chain(renames: DataFrame) -> DataFrame:
+    """GRF-5, SET-2: id, former, depth: everything an id was called before (renames: id, old_id), cycles once, however long the chain."""
+    arcs = kept(renames.where("old_id IS NOT NULL").select(F.col("id").alias("_now"), "old_id").distinct())
     seen = front = kept(renames.select("id").distinct().select("id", F.col("id").alias("former"), F.lit(0).alias("depth")))
-    arcs = renames.where("old_id IS NOT NULL").select(F.col("id").alias("_now"), "old_id").distinct()
-    for depth in range(1, most + 1):
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
         step = front.join(arcs, F.col("former") == F.col("_now")).select("id", F.col("old_id").alias("former")).distinct()
         front = kept(step.join(seen, ["id", "former"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
     return seen
 
 
-def reachable(arcs: DataFrame) -> DataFrame:
-    """source, target: the transitive closure, by doubling paths; for graphs of projects, whose closure is small."""
-    closure = kept(arcs.select("source", "target").distinct())
-    n = closure.count()
-    while True:
-        longer = closure.alias("a").join(closure.alias("b"), F.col("a.target") == F.col("b.source")).select("a.source", "b.target")
-        closure = kept(closure.unionByName(longer).distinct())
-        m = closure.count()
+def _trimmed(arcs: DataFrame) -> tuple[DataFrame, int]:
+    """The arcs left once nodes that none leads to, or that lead to none, have gone, over and over; and how many."""
+    n = arcs.count()
+    while n:
+        inner = arcs.join(arcs.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+        arcs = kept(inner.join(arcs.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+        m = arcs.count()
         if m == n:
-            return closure
+            break
         n = m
+    return arcs, n
 
 
-def cycles(arcs: DataFrame) -> DataFrame:
-    """GRF-6: component (the least node), members (sorted): strongly connected components with a cycle, self-loops included."""
-    closure = reachable(arcs)
-    mutual = closure.alias("a").join(closure.alias("b"), (F.col("a.source") == F.col("b.target")) & (F.col("a.target") == F.col("b.source"))).select(F.col("a.source").alias("node"), F.col("a.target").alias("other"))
-    named = mutual.groupBy("node").agg(F.min("other").alias("component"))
-    return named.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
+def _least_origin(arcs: DataFrame) -> DataFrame:
+    """node, origin: the least node from which each node can be reached, itself included."""
+    state = kept(arcs.select(F.col("source").alias("node")).union(arcs.select("target")).distinct().withColumn("origin", F.col("node")))
+    print_of = lambda d: d.agg(F.sum(F.xxhash64("node", "origin").cast("decimal(38,0)"))).first()[0]
+    before = print_of(state)
+    while True:
+        passed = state.join(arcs, F.col("node") == F.col("source")).select(F.col("target").alias("node"), "origin")
+        state = kept(state.unionByName(passed).groupBy("node").agg(F.min("origin").alias("origin")))
+        now = print_of(state)
+        if now == before:
+            return state
+        before = now
 
 
-def dependents(arcs: DataFrame, changed: DataFrame, most: int = 64) -> DataFrame:
+def cycles(arcs: DataFrame) -> DataFrame:
+    """GRF-6: component (the least node), members (sorted): strongly connected components with a cycle, self-loops included.
+
+    Nodes outside of cycles are trimmed; the rest take the least node that reaches them as their
+    colour, and what reaches that node within its colour is its component. Components found go, and
+    the rest is coloured anew; no closure of the graph is ever built.
+    """
+    left, found = kept(arcs.select("source", "target").distinct()), None
+    loops = left.where("source = target").select(F.col("source").alias("node"))
+    while True:
+        left, n = _trimmed(left)
+        if not n:
+            break
+        colour = _least_origin(left)
+        ends = colour.select(F.col("node").alias("target"), F.col("origin").alias("_o"))
+        same = left.join(colour.withColumnRenamed("node", "source"), "source").join(ends, "target").where("origin = _o")
+        back = levels(colour.where("node = origin").select("node"), same.select(F.col("target").alias("source"), F.col("source").alias("target")))
+        members = kept(back.select("node").join(colour, "node").select("node", F.col("origin").alias("component")))
+        found = members if found is None else found.unionByName(members)
+        gone = members.select("node")
+        left = kept(left.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target"))
+    if found is None:
+        return arcs.sparkSession.createDataFrame([], "component string, members array<string>")
+    named = found.join(loops.withColumn("_loop", F.lit(True)), "node", "left")
+    return named.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"), F.bool_or("_loop").alias("_loop")).where((F.size("members") > 1) | F.col("_loop")).drop("_loop")
+
+
+def dependents(arcs: DataFrame, changed: DataFrame, most: int | None = None) -> DataFrame:
     """GRF-7: node, depth: all that depend on the changed (node), which have depth 0; arcs: a source depends on a target."""
     return levels(changed, arcs.select(F.col("target").alias("source"), F.col("source").alias("target")), most)
 
 
-def hierarchy(edges: DataFrame, kind: str) -> DataFrame:
-    """GRF-8: bases (inherits: id, base, depth) of every type; interfaces likewise with direct flags."""
-    own = edges.where(F.col("edge_kind") == kind).select(F.col("from_symbol").alias("id"), F.col("to_symbol").alias("old_id"))
-    return rename_chain(own).where("depth > 0").select("id", F.col("former").alias("base"), "depth", (F.col("depth") == 1).alias("direct"))
+@dataclass(frozen=True)
+class Hierarchy:
+    """GRF-8: bases (id, base, depth), interfaces (id, interface, origin: direct or inherited), derived (id, derived)."""
+
+    bases: DataFrame
+    interfaces: DataFrame
+    derived: DataFrame
+
+
+def hierarchy(edges: DataFrame) -> Hierarchy:
+    """GRF-8: of every type, from edges inherits and implements (from_symbol, to_symbol, edge_kind).
+
+    An interface is what something implements. A type has the interfaces that it, its bases or its
+    interfaces name; derived are the types below a class, and those that have an interface.
+    """
+    own = edges.where(F.col("edge_kind").isin("inherits", "implements")).select(F.col("from_symbol").alias("id"), F.col("to_symbol").alias("old_id"), "edge_kind").distinct()
+    above = kept(rename_chain(own.select("id", "old_id")).where("depth > 0 AND id <> former"))
+    named = own.where("edge_kind = 'implements'")
+    direct = named.select("id", F.col("old_id").alias("interface"), F.lit(True).alias("_direct"))
+    every = above.select("id", F.col("former").alias("interface")).join(named.select(F.col("old_id").alias("interface")).distinct(), "interface", "left_semi")
+    interfaces = every.join(direct, ["id", "interface"], "left").select("id", "interface", F.when(F.col("_direct"), "direct").otherwise("inherited").alias("origin"))
+    bases = rename_chain(own.where("edge_kind = 'inherits'").select("id", "old_id")).where("depth > 0").select("id", F.col("former").alias("base"), "depth")
+    return Hierarchy(bases, interfaces, above.select(F.col("former").alias("id"), F.col("id").alias("derived")))
 
 
 def seeded(edges: DataFrame, references: DataFrame, symbol: str) -> DataFrame:

@@ -52,6 +52,13 @@ def ingest_once(log: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return tables.insert_absent(log, new.where(F.col(key).isNotNull()), [key])
 
 
+def deferred(queue: DataFrame, now: DataFrame) -> DataFrame:
+    """INC-7: what to do once loading has ended, for changes (path, at) that came in meanwhile: each path once, refresh where now (path) has it, else remove."""
+    last = queue.groupBy("path").agg(F.max("at").alias("at"))
+    there = now.select("path", F.lit(True).alias("_there")).distinct()
+    return last.join(there, "path", "left").select("path", "at", F.when(F.col("_there"), "refresh").otherwise("remove").alias("action"))
+
+
 def current_history(history: DataFrame, symbols: DataFrame) -> DataFrame:
     """INC-8: current: whether an entry's version is the symbol's body now."""
     now = symbols.select("symbol_id", F.col("body_hash").alias("_now"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+from ..plans import grammar
 from .relational import first_by
 
+#: Tokens of a vocabulary that nearest_token broadcasts at most.
+VOCABULARY = 10_000
+
 
 def postings(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     """The index: key, term, tf, doc_len; only tokens are shuffled, summed before."""
@@ -14,27 +21,67 @@ def postings(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     return rows.select(key, F.size("_terms").alias("doc_len"), F.explode("_terms").alias("term")).groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, key: str, query: list[str], documents: int, mean_length: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """TXT-4: scores by prefix terms, each prefix one phrase whose frequency sums over its words; least idf 1e-6."""
+def bm25(index: DataFrame, key: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """TXT-4: scores by prefix terms, each prefix one phrase whose frequency sums over its words; least idf 1e-6. Counts of the whole index are one broadcast row."""
+    sums = index.select(key, "doc_len").distinct().agg(F.count("*").alias("documents"), F.avg("doc_len").alias("mean_length"))
     hits = None
     for q in query:
         one = index.where(F.col("term").startswith(q)).groupBy(key, "doc_len").agg(F.sum("tf").alias("tf")).withColumn("q", F.lit(q))
         hits = one if hits is None else hits.unionByName(one)
     df = hits.groupBy("q").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((documents - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean_length))
-    return hits.join(F.broadcast(df), "q").groupBy(key).agg(F.sum(idf * weight).alias("score"))  # one row a query term
+    idf = F.greatest(F.log((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_length")))
+    return hits.join(F.broadcast(df.join(F.broadcast(sums))), "q").groupBy(key).agg(F.sum(idf * weight).alias("score"))  # one row a query term
+
+
+def promoted(hits: DataFrame, name: str, query: str, limit: int) -> DataFrame:
+    """TXT-4, SRT-1: hits (score) with rank, the best first: exact names and prefixes before all others, then by score, length and name."""
+    ranked = hits.withColumn("rank", name_rank(F.col(name), query))
+    return ranked.orderBy("rank", F.desc("score"), F.length(name), name).limit(limit)
+
+
+def search(symbols: DataFrame, query: str, limit: int, kinds: str | None = None, modifiers: str | None = None, origin: str = "source") -> DataFrame:
+    """TXT-4 to TXT-7: symbols (symbol_id, fq_name, kind, modifiers, origin) by relevance: place, symbol_id, fq_name.
+
+    Filters hold before limits. Each term finds names by words, topped up by names that hold it as it
+    stands; several terms each have their share of the limit first, in their order, and what is left
+    goes to the best hits of the whole query.
+    """
+    index = postings(symbols, "symbol_id", scalars.index_terms(F.col("fq_name")))
+    allowed = symbols.where(grammar.kind_filter(F.col("kind"), kinds) & grammar.tag_filter(F.col("modifiers"), modifiers) & grammar.origin_filter(F.col("origin"), origin)).select("symbol_id", "fq_name")
+
+    def ranked(text: str, take: int) -> DataFrame:
+        words = list(dict.fromkeys(x.lower() for x in re.findall(r"[^\W_]+", text) if len(x) >= 2))
+        order = ["_from", "rank", "_score", F.length("fq_name"), "fq_name"]
+        like = search_like(allowed, "fq_name", text, take).select("symbol_id", "fq_name", "rank", F.lit(0.0).alias("_score"), F.lit(1).alias("_from"))
+        if words:
+            found = promoted(allowed.join(bm25(index, "symbol_id", words), "symbol_id"), "fq_name", text, take)
+            like = found.select("symbol_id", "fq_name", "rank", (-F.col("score")).alias("_score"), F.lit(0).alias("_from")).unionByName(like)
+            like = first_by(like, ["symbol_id"], F.col("_from"), F.col("rank"))
+        head = like.orderBy(*order).limit(take)
+        return head.select("symbol_id", "fq_name", F.row_number().over(Window.orderBy(*order)).alias("nth"))  # take rows at most
+
+    terms = query.split()
+    if not terms:
+        return allowed.limit(0).select(F.lit(0).alias("place"), "symbol_id", "fq_name")
+    lists = [(text, ranked(text, max(1, limit // len(terms)))) for text in terms] if len(terms) > 1 else []
+    both = None
+    for k, (_, d) in enumerate([*lists, (query, ranked(query, limit))]):
+        d = d.withColumn("term", F.lit(k))
+        both = d if both is None else both.unionByName(d)
+    once = first_by(both, ["symbol_id"], F.col("term"), F.col("nth")).orderBy("term", "nth").limit(limit)
+    return once.select((F.row_number().over(Window.orderBy("term", "nth")) - 1).alias("place"), "symbol_id", "fq_name")
 
 
 def name_rank(name: Column, query: str) -> Column:
-    """TXT-4, TXT-5: 0 the name itself, 1 a prefix, 2 elsewhere."""
-    return F.when(name == query, 0).when(name.ilike(f"{query}%"), 1).otherwise(2)
+    """TXT-4, TXT-5: 0 the name itself, 1 a prefix whatever its case, 2 elsewhere."""
+    return F.when(name == query, 0).when(F.lower(name).startswith(query.lower()), 1).otherwise(2)
 
 
 def search_like(names: DataFrame, column: str, query: str, limit: int) -> DataFrame:
     """TXT-5, SRT-2: names that hold the query, whatever its case; by rank, length and name."""
     c = F.col(column)
-    hits = names.where(c.ilike(f"%{query}%")).withColumn("rank", name_rank(c, query))
+    hits = names.where(F.contains(F.lower(c), F.lit(query.lower()))).withColumn("rank", name_rank(c, query))
     return hits.orderBy("rank", F.length(column), column).limit(limit)
 
 
@@ -45,9 +92,15 @@ def topped_up(first: DataFrame, second: DataFrame, key: str, limit: int) -> Data
 
 
 def near_names(names: DataFrame, column: str, query: str, limit: int) -> DataFrame:
-    """TXT-8, TXT-9, SRT-3: names within an edit distance of a quarter of the query's length, 1 to 3; shorter queries than 3 find none."""
+    """TXT-8, TXT-9, SRT-3: names whose last part, without parameters, is within an edit distance of a quarter of the query's length, 1 to 3.
+
+    The nearest first, then by length and name as a whole; queries shorter than 3 find none. With a
+    column origin, only names of source count.
+    """
     tolerance = min(max(len(query) // 4, 1), 3)
-    c = F.col(column)
+    c = scalars.unqualified(F.col(column))
+    if "origin" in names.columns:
+        names = names.where(grammar.origin_filter(F.col("origin"), "source"))
     near = names.where(F.abs(F.length(c) - len(query)) <= tolerance).withColumn("distance", F.levenshtein(F.lower(c), F.lit(query.lower()), tolerance))
     return near.where((F.col("distance") >= 0) & F.lit(len(query) >= 3)).orderBy("distance", F.length(column), column).limit(limit)
 
@@ -63,6 +116,8 @@ def nearest_token(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     alike = (bare(w) == bare(t)) | ((F.length(w) > 1) & (F.length(t) > 1) & (stem(w) == stem(t)))
     edits = F.levenshtein(w, t, 3)
     distance = F.when(alike, 0).when(edits < 0, 4).otherwise(edits)
+    if vocabulary.limit(VOCABULARY + 1).count() > VOCABULARY:
+        raise ValueError(f"the vocabulary of an argument has {VOCABULARY} tokens at most")
     tokens = vocabulary.agg(F.collect_set("token").alias("tokens"))
     each = words.join(F.broadcast(tokens)).select("word", F.explode("tokens").alias("token")).withColumns({"distance": distance, "same": w == t})
     best = each.groupBy("word").agg(F.min("distance").alias("distance"), F.bool_or("same").alias("same"))

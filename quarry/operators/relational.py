@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import kept
+
 
 def in_covered(symbols: DataFrame, edges: DataFrame, project: str = "project") -> DataFrame:
     """JOIN-5, JOIN-6: symbols of projects that any edge starts in."""
@@ -56,12 +58,12 @@ def match_cascade(removed: DataFrame, added: DataFrame) -> DataFrame:
 
     def take(pairs: DataFrame) -> DataFrame:
         for s in sides:
-            left[s] = left[s].join(pairs.select(F.col(f"{s}_id").alias("id")), "id", "left_anti")
+            left[s] = kept(left[s].join(pairs.select(F.col(f"{s}_id").alias("id")), "id", "left_anti"))
         return pairs
 
     def pairs(on: list[str], how: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
         o, n = (prepare(left[s]).select(F.col("id").alias(f"{s}_id"), *on) for s in sides)
-        return take(o.join(n, on).select("old_id", "new_id", F.lit(how).alias("how")))
+        return take(kept(o.join(n, on).select("old_id", "new_id", F.lit(how).alias("how"))))
 
     nth = lambda d: d.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("position", "id")))
     only = lambda d: d.where("signature IS NOT NULL").withColumn("same", F.count("*").over(Window.partitionBy("signature"))).where("same = 1")
@@ -85,12 +87,83 @@ def fair_order(df: DataFrame, tier: str, origin: str, *order: Column) -> DataFra
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(tier, origin).orderBy(*order)))
 
 
-def floor_share(df: DataFrame, term: str, key: str, limit: int, terms: int, *order: Column) -> DataFrame:
-    """WIN-3, TXT-7: each term's best share of the limit (one row at least), then the best of all others; each key once."""
-    share = max(1, limit // max(1, terms))
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(term).orderBy(*order))).withColumn("_reserved", (F.col("_rn") <= share).cast("int"))
-    once = first_by(ranked, [key], F.desc("_reserved"), *order)
-    return once.orderBy(F.desc("_reserved"), *order).limit(limit).drop("_rn", "_reserved")
+def fair_page(df: DataFrame, tier: str, origin: str, origin_rank: Column, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """WIN-2: one page of the fair order (tier, turn, rank of the origin), its rows back in the order of tier, rank and order."""
+    fair = fair_order(df, tier, origin, *order).orderBy(tier, "turn", origin_rank, *order).offset(offset).limit(limit)
+    return fair.drop("turn").orderBy(tier, origin_rank, *order)
+
+
+def floor_share(df: DataFrame, term: str, key: str, limit: int, terms: list, *order: Column) -> DataFrame:
+    """WIN-3, TXT-7: place (from 0) and row: each term's best share of the limit (one row at least), terms as they are listed, then the best of all others; each key once."""
+    share = max(1, limit // max(1, len(terms)))
+    at = F.array_position(F.array(*[F.lit(x) for x in terms]), F.col(term))
+    ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(term).orderBy(*order)))
+    ranked = ranked.withColumn("_at", F.when(F.col("_nth") <= share, at).otherwise(len(terms) + 1))
+    once = first_by(ranked, [key], F.col("_at"), F.col("_nth"), *order)
+    turn = F.when(F.col("_at") <= len(terms), F.col("_nth"))
+    best = once.orderBy("_at", turn, *order).limit(limit)
+    return best.withColumn("place", F.row_number().over(Window.orderBy("_at", turn, *order)) - 1).drop("_nth", "_at")  # limit rows at most
+
+
+def paired(old: DataFrame, new: DataFrame, keys: list[str], old_order: Column, new_order: Column) -> DataFrame:
+    """WIN-4: the i-th row of old with the i-th of new within each key; other columns of either side keep their names."""
+    nth = lambda d, o: d.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(o)))
+    return nth(old, old_order).join(nth(new, new_order), [*keys, "_nth"]).drop("_nth")
+
+
+def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """WIN-5: rows that are alone in their group."""
+    return df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
+
+
+def among(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """JOIN-3, JOIN-8: rows whose key others have; each row once."""
+    return rows.join(others.select(key).distinct(), key, "left_semi")
+
+
+def entries_of(log: DataFrame, symbols: DataFrame, log_key: str, by: str, symbol: str) -> DataFrame:
+    """JOIN-4: entries and distinct symbols for each by of a log, by its symbol rows."""
+    return log.join(symbols, log_key).groupBy(by).agg(F.count("*").alias("entries"), F.count_distinct(symbol).alias("symbols"))
+
+
+def difference(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """SET-4: keys of rows that others lack."""
+    return rows.select(key).join(others.select(key).distinct(), key, "left_anti")
+
+
+def key_union(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """SET-6: distinct keys of both."""
+    return one.select(key).union(two.select(key)).distinct()
+
+
+def recent(df: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """SRT-4, SRT-8: the head under an order; strings compare by their bytes."""
+    return df.orderBy(*order).limit(limit)
+
+
+# Ceilings of a page of references, of a scoped search before its scope is applied, of shown members, and of a summary's characters.
+REFERENCE_CAP, SCOPED_OVERFETCH_CAP, MEMBERS_CAP, SUMMARY_CAP = 200, 500, 40, 160
+
+
+def scoped_top(df: DataFrame, scope: Column, limit: int, *order: Column) -> DataFrame:
+    """SRT-7: at most limit (REFERENCE_CAP at most) rows in scope among the first SCOPED_OVERFETCH_CAP."""
+    return df.orderBy(*order).limit(SCOPED_OVERFETCH_CAP).where(scope).orderBy(*order).limit(min(max(limit, 1), REFERENCE_CAP))
+
+
+def projected(df: DataFrame, shown: list[str], restated: dict[str, Column]) -> DataFrame:
+    """PRJ-4: the shown columns; those that only restate another (restated: column and when) are null there."""
+    return df.select(*[F.when(~F.coalesce(restated[c], F.lit(False)), F.col(c)).alias(c) if c in restated else F.col(c) for c in shown])
+
+
+def flattened(df: DataFrame, node: str, name: str = "name", children: str = "children") -> DataFrame:
+    """PRJ-5: parent, name, depth for a nested struct and all structs below it; as many steps as the type is deep."""
+    level, out = df.select(F.lit(None).cast("string").alias("parent"), F.col(node).alias("_n"), F.lit(0).alias("depth")), None
+    while True:
+        rows = level.select("parent", F.col(f"_n.{name}").alias("name"), "depth")
+        out = rows if out is None else out.unionByName(rows)
+        if children not in level.schema["_n"].dataType.names:
+            return out
+        level = level.select(F.col(f"_n.{name}").alias("parent"), F.explode(f"_n.{children}").alias("_n"), (F.col("depth") + 1).alias("depth"))
 
 
 def islands(df: DataFrame, keys: list[str], line: str) -> DataFrame:
@@ -105,13 +178,18 @@ def shifted(df: DataFrame, keys: list[str], position: str, delta: str) -> DataFr
     return df.withColumn("shift", F.coalesce(F.sum(delta).over(before), F.lit(0)))
 
 
-def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> tuple[DataFrame, int, int | None]:
-    """SRT-5: one page of 1 to 200 rows, the total, and where the next begins."""
-    limit, total = min(max(limit, 1), 200), df.count()
-    more = offset + limit
-    return df.orderBy(*order).offset(offset).limit(limit), total, more if more < total else None
+def _with_total(head: DataFrame, df: DataFrame) -> DataFrame:
+    """head with total, the rows of df: one broadcast row."""
+    return head.join(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
+def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """SRT-5: one page of 1 to 200 rows, with the total and where the next page begins (null on the last)."""
+    limit = min(max(limit, 1), 200)
+    rows = _with_total(df.orderBy(*order).offset(offset).limit(limit), df)
+    return rows.withColumn("next_offset", F.when(F.col("total") > offset + limit, offset + limit))
 
 
-def capped(lists: dict[str, DataFrame], order: list[Column], caps: dict[str, int]) -> dict[str, tuple[DataFrame, int]]:
+def capped(lists: dict[str, DataFrame], order: list[Column], caps: dict[str, int]) -> dict[str, DataFrame]:
     """SRT-6: the head of each list under its own cap, with its true total."""
-    return {k: (d.orderBy(*order).limit(caps[k]), d.count()) for k, d in lists.items()}
+    return {k: _with_total(d.orderBy(*order).limit(caps[k]), d) for k, d in lists.items()}

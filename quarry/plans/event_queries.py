@@ -112,10 +112,10 @@ def _(t):
 
 
 @query("agg_18_grouped_in_order", """
-WITH s AS (SELECT user_id, event_type, min(event_id) AS pos FROM events WHERE event_id < 200 GROUP BY 1, 2)
+WITH s AS (SELECT user_id, event_type, min(event_id) AS pos FROM events GROUP BY 1, 2)
 SELECT user_id, min(pos) AS first_at, array_to_string(list(event_type ORDER BY pos), ',') AS names, count(*) = 1 AS uniform FROM s GROUP BY 1""")
 def _(t):
-    return metrics.grouped_in_order(t.events.where("event_id < 200"), "user_id", "event_type", "event_id").withColumn("names", F.array_join("names", ","))
+    return metrics.grouped_in_order(t.events, "user_id", "event_type", "event_id").withColumn("names", F.array_join("names", ","))
 
 
 @query("agg_19_constant_columns", "SELECT count(DISTINCT o_orderstatus) = 1 AS o_orderstatus, count(DISTINCT o_orderpriority) = 1 AS o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
@@ -169,9 +169,17 @@ def _(t):
     return incremental.ingest_once(log, again.unionByName(again.where("event_id % 5 = 0")), "event_id")
 
 
-@query("src_13_payload", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+@query("src_13_payload", """
+SELECT event_type AS tool_name, CAST(event_id AS VARCHAR) AS tool_use_id, CASE WHEN event_id % 3 <> 0 THEN 'f' || user_id END AS file_path, CASE WHEN event_id % 3 = 1 THEN NULL ELSE '{"n":' || user_id || '}' END AS tool_response
+FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0""")
 def _(t):
-    return t.events.select("event_id", F.from_json("props", "k long").getField("k").alias("k")).where("k IS NOT NULL")
+    # a seventh of the payloads is cut short, a fifth names its tool by a number
+    i = F.col("event_id")
+    name = F.when(i % 5 == 0, F.lit("17")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    given = F.when(i % 3 == 0, F.lit('"none"')).otherwise(F.concat(F.lit('{"file_path": "f'), "user_id", F.lit('", "command": 5}')))
+    answer = F.when(i % 3 == 1, F.lit("")).otherwise(F.concat(F.lit(', "tool_response": {"n": '), "user_id", F.lit("}")))
+    text = F.concat(F.lit('{"tool_name": '), name, F.lit(', "tool_use_id": "'), i.cast("string"), F.lit('", "tool_input": '), given, answer, F.when(i % 7 == 0, "").otherwise("}"))
+    return tables.parse_hook(t.events.select(text.alias("value"))).select("tool_name", "tool_use_id", "file_path", "tool_response")
 
 
 @query("src_12_event_lines", "SELECT event_type AS tool_name, CAST(event_id AS VARCHAR) AS tool_use_id FROM events WHERE event_id % 4 <> 0")

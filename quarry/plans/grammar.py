@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,20 +32,20 @@ def canonical_kind(kind: Column) -> Column:
 
 
 def tag_filter(tags: Column, text: str | None) -> Column:
-    """FLT-5, FLT-6: all included tags and none of the excluded; null tags have none."""
+    """FLT-5, FLT-6: all included tags and none of the excluded, whatever their case; null tags have none."""
     include, exclude = parse_filter(text)
-    have = F.coalesce(tags, F.array().cast("array<string>"))
+    have = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.lower(x))
     out = F.lit(True)
     for t in include:
-        out = out & F.array_contains(have, t)
+        out = out & F.array_contains(have, t.lower())
     for t in exclude:
-        out = out & ~F.array_contains(have, t)
+        out = out & ~F.array_contains(have, t.lower())
     return out
 
 
 def origin_filter(origin: Column, wanted: str) -> Column:
-    """FLT-7: source, external or all."""
-    return F.lit(True) if wanted == "all" else origin == wanted
+    """FLT-7: source or external; anything else filters nothing."""
+    return origin == wanted if wanted in ("source", "external") else F.lit(True)
 
 
 def within_path(path: Column, scope: str) -> Column:
@@ -70,6 +71,26 @@ def all_terms(text: Column, query: str) -> Column:
     return out
 
 
+def log_filter(
+    affected_class: str | None = None, domain: str | None = None, tag: str | None = None, status: str | None = None, since: str | None = None, until: str | None = None
+) -> Column:
+    """FLT-13: log entries (classes, domain, tags, status, ts) by part of a class, by domain, tag and status, whatever their case, and by days, both included."""
+    out = between_days(F.col("ts"), since, until)
+    if affected_class is not None:
+        out = out & F.coalesce(F.exists("classes", lambda c: F.contains(F.lower(c), F.lit(affected_class.lower()))), F.lit(False))
+    for column, wanted in (("domain", domain), ("status", status)):
+        if wanted is not None:
+            out = out & F.coalesce(F.lower(column) == wanted.lower(), F.lit(False))
+    if tag is not None:
+        out = out & F.coalesce(F.exists("tags", lambda t: F.lower(t) == tag.lower()), F.lit(False))
+    return out
+
+
+def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:
+    """FLT-17: two ranges, ends included, have a line in common."""
+    return (start <= high) & (low <= end)
+
+
 def line_ranges(line: Column, text: str, last: int | None = None) -> Column:
     """FLT-16: @46-76;79-83;100-;-5, or single lines."""
     out = F.lit(False)
@@ -104,8 +125,74 @@ def required_layers(names: list[str]) -> list[str]:
     return [x for x in ("decl", "body", "refs", "api") if any(x in LAYERS.get(n, []) for n in names)]
 
 
+# Names of documentation parts that a source selection can leave out, and their elements.
+DOC_PARTS = {"summary": "summary", "remarks": "remarks", "returns": "returns", "value": "value", "inheritdoc": "inheritdoc", "params": "param", "typeparams": "typeparam", "exceptions": "exception"}
+
+
+@dataclass(frozen=True)
+class SourceSelection:
+    """FN-20: which lines of a declaration are shown: all or code only, less documentation parts, attributes and comments, within ranges (None: the declaration's own end)."""
+
+    mode: str
+    doc_parts: frozenset[str] = frozenset()
+    attributes: bool = False
+    comments: bool = False
+    ranges: tuple[tuple[int | None, int | None], ...] = ()
+    rendering: str = "automatic"
+
+    def keeps(self, line: Column, kind: Column, doc_part: Column) -> Column:
+        """Whether a line is shown: kind is code, attribute, comment or doc; doc_part is the element that a doc line belongs to."""
+        out = F.lit(True)
+        if self.mode == "code":
+            out = out & (kind != "doc")
+        elif self.doc_parts:
+            out = out & ~F.coalesce((kind == "doc") & doc_part.isin(*self.doc_parts), F.lit(False))
+        for name, left_out in (("attribute", self.attributes), ("comment", self.comments)):
+            if left_out:
+                out = out & (kind != name)
+        inside = F.lit(not self.ranges)
+        for low, high in self.ranges:
+            inside = inside | ((line >= (low or 1)) & (F.lit(True) if high is None else line <= high))
+        return out & inside
+
+
+def parse_ranges(text: str) -> tuple[tuple[int | None, int | None], ...] | None:
+    """46-76;79;83-;-5 as ranges; None for anything malformed, empty or upside down."""
+    out = []
+    for part in filter(None, (p.strip() for p in text.split(";"))):
+        m = re.fullmatch(r"(\d*)(-?)(\d*)", part)
+        if not m or not (m[1] or m[3]):
+            return None
+        low, high = int(m[1]) if m[1] else None, int(m[3]) if m[3] else None
+        if not m[2]:
+            high = low
+        if low == 0 or high == 0 or (low and high and high < low):
+            return None
+        out.append((low, high))
+    return tuple(out) or None
+
+
+def parse_source(text: str) -> SourceSelection | None:
+    """FN-20: full or code, less -parts, @ranges; None for what isn't understood. @ranges alone stands for full.
+
+    Documentation parts can only be taken from full; exact and compact (or lineNumbers) exclude each other.
+    """
+    head, at, tail = text.partition("@")
+    ranges = parse_ranges(tail) if at else ()
+    mode, rest = (head[:4].lower(), head[4:]) if head else ("full", "")
+    if ranges is None or not (head or at) or mode not in ("full", "code") or (rest and rest[0] != "-"):
+        return None
+    names = [x.lower() for x in rest.split("-") if x]
+    renderings = {"exact": "exact", "compact": "compact", "linenumbers": "compact"}
+    parts = {x for x in names if x not in renderings and x not in ("attributes", "comments")}
+    chosen = {renderings[x] for x in names if x in renderings}
+    if not parts <= DOC_PARTS.keys() or (parts and mode == "code") or len(chosen) > 1:
+        return None
+    return SourceSelection(mode, frozenset(DOC_PARTS[x] for x in parts), "attributes" in names, "comments" in names, ranges, chosen.pop() if chosen else "automatic")
+
+
 def subtract(ranges: list[tuple[int, int]], without: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """FN-20: line ranges less other ranges."""
+    """Line ranges less other ranges."""
     for a, b in without:
         ranges = [p for low, high in ranges for p in ((low, min(high, a - 1)), (max(low, b + 1), high)) if p[0] <= p[1]]
     return ranges

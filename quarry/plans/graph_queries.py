@@ -17,6 +17,15 @@ def _arcs(t):
     return one.union(t.nation.where("n_nationkey BETWEEN 10 AND 15").select(name(key), name(F.floor(key / 2)))).distinct()
 
 
+_BIG = "(SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+
+
+def _big(t):
+    """Parts depend on suppliers, those on nations, those on regions: an arc for every pair in lineitem."""
+    arc = lambda d, a, x, b, y: d.select(F.concat(F.lit(a), x).alias("source"), F.concat(F.lit(b), y).alias("target")).distinct()
+    return arc(t.lineitem, "p", "l_partkey", "s", "l_suppkey").unionByName(arc(t.supplier, "s", "s_suppkey", "n", "s_nationkey")).unionByName(arc(t.nation, "n", "n_nationkey", "r", "n_regionkey"))
+
+
 _EDGES = """(SELECT 'c' || o_custkey AS from_symbol, 'o' || (o_orderkey % 50) AS to_symbol, 'call' AS edge_kind FROM orders
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'implements' FROM supplier UNION ALL SELECT 'o' || (o_orderkey % 50), 'c' || (o_custkey % 9), 'overrides' FROM orders)"""
 _SYMBOLS = "(SELECT 'c' || c_custkey AS symbol_id, c_custkey % 4 = 0 AS is_test FROM customer WHERE c_custkey % 10 <> 3)"
@@ -84,23 +93,32 @@ _LEVELS = f"""
 WITH RECURSIVE a AS {_ARCS}, w(node, depth) AS (SELECT '{{start}}', 0 UNION SELECT {{next}}, depth + 1 FROM w JOIN a ON {{here}} = node WHERE depth < {{most}})"""
 
 
-@query("grf_03_path_depth", _LEVELS.format(start="n2", next="target", here="source", most=8) + " SELECT CAST(min(depth) AS INTEGER) AS depth FROM w WHERE node = 'n0'")
+@query("grf_03_path_depth", _LEVELS.format(start="n2", next="target", here="source", most=8) + " SELECT CAST(min(depth) AS INTEGER) AS depth, 'n2' AS first, 'n0' AS last, CAST(min(depth) AS BIGINT) AS arcs FROM w WHERE node = 'n0'")
 def _(t):
-    depth, _, _ = graph.path_depth(_arcs(t), "n2", "n0", 8)
-    return t.spark.createDataFrame([(depth,)], "depth int")
+    arcs = _arcs(t)
+    nodes = graph.shortest_path(arcs, "n2", "n0", 8).nodes
+    steps = t.spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "source string, target string")
+    found = steps.join(arcs, ["source", "target"], "left_semi").agg(F.count("*").alias("arcs"))
+    return found.select(F.lit(len(nodes) - 1).alias("depth"), F.lit(nodes[0]).alias("first"), F.lit(nodes[-1]).alias("last"), "arcs")
+
 
+_PATHS = f"""
+WITH RECURSIVE a AS (SELECT target AS source, source AS target, row_number() OVER (PARTITION BY target ORDER BY source) AS rn FROM {_ARCS}),
+w(node, depth, path) AS (SELECT '{{start}}', 0, ['{{start}}'] UNION ALL SELECT a.target, depth + 1, list_append(path, a.target) FROM w JOIN a ON a.source = node WHERE depth < {{most}} AND rn <= {{fan}} AND NOT list_contains(path, a.target)),
+r AS (SELECT node, depth FROM w UNION SELECT a.target, depth + 1 FROM w JOIN a ON a.source = node WHERE depth < {{most}} AND rn > {{fan}})
+SELECT CAST(depth AS INTEGER) AS depth, count(DISTINCT node) AS nodes FROM r GROUP BY 1"""
 
-@query("grf_04_depth_counts", _LEVELS.format(start="n5", next="source", here="target", most=5) + " SELECT CAST(depth AS INTEGER) AS depth, count(*) AS nodes FROM (SELECT node, min(depth) AS depth FROM w GROUP BY 1) WHERE depth > 0 GROUP BY 1")
+
+@query("grf_04_depth_counts", _PATHS.format(start="n5", most=5, fan=1))
 def _(t):
     callers = _arcs(t).select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return graph.depth_counts(graph.call_tree(callers, "n5", 5))
+    return graph.depth_counts(graph.call_tree(callers, "n5", 5, fan=1).reached)
 
 
-@query("agg_23_blast_radius", _LEVELS.format(start="n1", next="source", here="target", most=4) + " SELECT CAST(depth AS INTEGER) AS depth, count(*) AS nodes FROM (SELECT node, min(depth) AS depth FROM w GROUP BY 1) GROUP BY 1")
+@query("agg_23_blast_radius", _PATHS.format(start="n1", most=4, fan=1000))
 def _(t):
     callers = _arcs(t).select(F.col("target").alias("source"), F.col("source").alias("target"))
-    reached = graph.levels(t.spark.createDataFrame([("n1",)], "node string"), callers, 4)
-    return reached.groupBy("depth").agg(F.count("*").alias("nodes"))
+    return graph.depth_counts(graph.call_tree(callers, "n1", 4).reached)
 
 
 @query("grf_05_rename_chain", f"""
@@ -110,10 +128,12 @@ def _(t):
 
 
 @query("set_02_recursive_union", """
-WITH RECURSIVE w(id, former) AS (SELECT turn, turn FROM conversations WHERE conv_id = 0 UNION SELECT id, former - 1 FROM w WHERE former > 0) SELECT id, former FROM w""")
+WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn FROM conversations), w(conv_id, id, former) AS (SELECT conv_id, turn, turn FROM c UNION SELECT conv_id, id, former - 1 FROM w WHERE former > 0)
+SELECT conv_id || '-' || id AS id, conv_id || '-' || former AS former FROM w""")
 def _(t):
-    turns = t.conversations.where("conv_id = 0").select(F.col("turn").alias("id"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("old_id"))
-    return graph.rename_chain(turns, 1000).select("id", "former")
+    name = lambda c: F.concat_ws("-", "conv_id", c)
+    turn = F.col("turn")
+    return graph.rename_chain(t.conversations.select(name(turn).alias("id"), F.when(turn > 0, name(turn - 1)).alias("old_id"))).select("id", "former")
 
 
 @query("grf_06_cycles", f"""
@@ -123,15 +143,41 @@ def _(t):
     return graph.cycles(_arcs(t)).select("component", F.array_join("members", ",").alias("members"))
 
 
-@query("grf_07_dependents", _LEVELS.format(start="n3", next="source", here="target", most=64) + " SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1")
+@query("grf_07_dependents", f"""
+WITH RECURSIVE a AS {_BIG}, w(node, depth) AS (SELECT 'r1', 0 UNION SELECT source, depth + 1 FROM w JOIN a ON target = node)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1""")
 def _(t):
-    return graph.dependents(_arcs(t), t.spark.createDataFrame([("n3",)], "node string"))
+    return graph.dependents(_big(t), t.spark.createDataFrame([("r1",)], "node string"))
+
+
+_TYPES = """(SELECT 's' || s_suppkey AS f, 'n' || s_nationkey AS t, 'inherits' AS k FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'inherits' FROM nation UNION SELECT 'i' || r_regionkey, 'i' || (r_regionkey + 1), 'inherits' FROM region WHERE r_regionkey < 3
+  UNION SELECT 'n' || n_nationkey, 'i' || (n_nationkey % 4), 'implements' FROM nation WHERE n_nationkey % 3 = 0 UNION SELECT 's' || s_suppkey, 'i' || (s_suppkey % 4), 'implements' FROM supplier WHERE s_suppkey % 5 = 0)"""
+
+
+def _types(t):
+    row = lambda d, a, x, b, y, k: d.select(F.concat(F.lit(a), x).alias("from_symbol"), F.concat(F.lit(b), y).alias("to_symbol"), F.lit(k).alias("edge_kind"))
+    out = row(t.supplier, "s", F.col("s_suppkey"), "n", F.col("s_nationkey"), "inherits")
+    for more in (
+        row(t.nation, "n", F.col("n_nationkey"), "r", F.col("n_regionkey"), "inherits"),
+        row(t.region.where("r_regionkey < 3"), "i", F.col("r_regionkey"), "i", F.col("r_regionkey") + 1, "inherits"),
+        row(t.nation.where("n_nationkey % 3 = 0"), "n", F.col("n_nationkey"), "i", F.col("n_nationkey") % 4, "implements"),
+        row(t.supplier.where("s_suppkey % 5 = 0"), "s", F.col("s_suppkey"), "i", F.col("s_suppkey") % 4, "implements"),
+    ):
+        out = out.unionByName(more)
+    return out
 
 
-@query("grf_08_hierarchy", "SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS base, 1 AS depth, true AS direct FROM nation UNION ALL SELECT 'n' || n_nationkey, 'world', 2, false FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world', 1, true FROM region")
+@query("grf_08_hierarchy", f"""
+WITH RECURSIVE e AS {_TYPES}, up(id, t) AS (SELECT f, t FROM e UNION SELECT id, e.t FROM up JOIN e ON up.t = e.f),
+b(id, t, depth) AS (SELECT f, t, 1 FROM e WHERE k = 'inherits' UNION SELECT id, e.t, depth + 1 FROM b JOIN e ON b.t = e.f AND k = 'inherits')
+SELECT 'base' AS part, id, t AS other, CAST(min(depth) AS VARCHAR) AS detail FROM b GROUP BY id, t
+UNION ALL SELECT 'interface', id, t, CASE WHEN (id, t) IN (SELECT (f, t) FROM e WHERE k = 'implements') THEN 'direct' ELSE 'inherited' END FROM up WHERE t IN (SELECT t FROM e WHERE k = 'implements')
+UNION ALL SELECT 'derived', t, id, NULL FROM up""")
 def _(t):
-    up = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("from_symbol"), F.concat(F.lit("r"), "n_regionkey").alias("to_symbol")).union(t.region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("world")))
-    return graph.hierarchy(up.withColumn("edge_kind", F.lit("inherits")), "inherits")
+    got = graph.hierarchy(_types(t))
+    rows = lambda part, d, other, detail: d.select(F.lit(part).alias("part"), "id", F.col(other).alias("other"), detail.cast("string").alias("detail"))
+    both = rows("base", got.bases, "base", F.col("depth")).unionByName(rows("interface", got.interfaces, "interface", F.col("origin")))
+    return both.unionByName(rows("derived", got.derived, "derived", F.lit(None)))
 
 
 @query("grf_09_type_seeds", "SELECT DISTINCT 's' || s_suppkey AS node FROM supplier WHERE s_nationkey = 4")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from . import grammar
 from .registry import query
 
-_SIG = "'N' || (p_size % 3) || '.Part.' || replace(p_name, ' ', '') || '(' || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'A.B x, C y' ELSE 'Map<K, V> m, List<T> l, int n' END || ')'"
+_SIG = "'N' || (p_size % 3) || '.' || CASE p_size % 3 WHEN 2 THEN 'Box<X.Y<Z.W>, E.F[]>' ELSE 'Part' END || '.' || replace(p_name, ' ', '') || '(' || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'A.B x, C y' ELSE 'Map<K, V> m, List<T> l, int n' END || ')'"
 
 
 def _signed(t):
     args = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "A.B x, C y").otherwise("Map<K, V> m, List<T> l, int n")
-    return t.part.withColumn("sig", F.concat(F.lit("N"), F.col("p_size") % 3, F.lit(".Part."), F.regexp_replace("p_name", " ", ""), F.lit("("), args, F.lit(")")))
+    return t.part.withColumn("sig", F.concat(F.lit("N"), F.col("p_size") % 3, F.lit("."), F.when(F.col("p_size") % 3 == 2, "Box<X.Y<Z.W>, E.F[]>").otherwise("Part"), F.lit("."), F.regexp_replace("p_name", " ", ""), F.lit("("), args, F.lit(")")))
 
 
 @query("fn_02_unqualified", "SELECT p_partkey, replace(p_name, ' ', '') AS name FROM part")
@@ -20,7 +21,7 @@ def _(t):
     return _signed(t).select("p_partkey", scalars.unqualified(F.col("sig")).alias("name"))
 
 
-@query("fn_03_containing", "SELECT p_partkey, 'Part.' || replace(p_name, ' ', '') AS name FROM part")
+@query("fn_03_containing", f"SELECT p_partkey, substr({_SIG}, 4) AS name FROM part")
 def _(t):
     return _signed(t).select("p_partkey", scalars.containing(F.col("sig")).alias("name"))
 
@@ -30,9 +31,9 @@ def _(t):
     return _signed(t).select("p_partkey", scalars.arity(F.col("sig")).alias("arity"))
 
 
-@query("fn_05_parameter_types", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '' ELSE 'B,C' END AS types FROM part WHERE p_size % 3 <> 2")
+@query("fn_05_parameter_types", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'B,C' ELSE 'Map<K,V>,List<T>,int' END AS types FROM part")
 def _(t):
-    return _signed(t).where("p_size % 3 <> 2").select("p_partkey", scalars.parameter_types(F.col("sig")).alias("types"))
+    return _signed(t).select("p_partkey", scalars.parameter_types(F.col("sig")).alias("types"))
 
 
 @query("fn_06_compact_name", f"SELECT p_partkey, replace({_SIG}, 'A.B', 'B') AS name FROM part")
@@ -65,11 +66,15 @@ def _(t):
 
 
 @query("fn_11_read_advice", """
-SELECT p_partkey, CASE WHEN p_size * 2 < 60 THEN NULL WHEN p_size % 3 > 0 THEN 'mem' WHEN p_size % 2 > 0 THEN 'out' ELSE 'code' END AS plain, CASE WHEN p_size % 3 > 0 THEN 'mem' END AS surface FROM part""")
+WITH f AS (SELECT p_partkey, p_type = 'SMALL' AS field, CASE WHEN p_size % 5 > 0 THEN p_size % 3 END AS m, p_size * 2 AS n, p_size % 2 AS land, p_partkey % 2 AS docs FROM part),
+r AS (SELECT *, CASE WHEN m > 0 THEN 'mem' WHEN land > 0 AND n >= 60 THEN 'out' ELSE 'code' END AS route FROM f)
+SELECT p_partkey, CASE WHEN n < 60 THEN NULL ELSE route END AS plain, CASE WHEN field THEN NULL WHEN m IS NULL THEN 'out' ELSE 'mem' END AS edit,
+  CASE WHEN m > 0 THEN 'mem' END AS surface, CASE WHEN route = 'code' AND docs = 0 AND n < 60 THEN NULL ELSE route END AS logic FROM r""")
 def _(t):
     size = F.col("p_size")
-    facts = (size % 3, size * 2, size % 2, F.lit(0))
-    return t.part.select("p_partkey", scalars.read_advice(None, F.col("p_type"), *facts).alias("plain"), scalars.read_advice("surface", F.col("p_type"), *facts).alias("surface"))
+    kind = F.when(F.col("p_type") == "SMALL", "Field").otherwise(F.col("p_type"))
+    facts = (kind, F.when(size % 5 > 0, size % 3), size * 2, size % 2, F.col("p_partkey") % 2)
+    return t.part.select("p_partkey", *[scalars.read_advice(i, *facts).alias(i or "plain") for i in (None, "edit", "surface", "logic")])
 
 
 @query("fn_12_doc_section", "SELECT p_partkey, p_name AS summary, CASE WHEN p_size > 25 THEN p_brand END AS returns FROM part")
@@ -114,3 +119,21 @@ def _(t):
 @query("id_symbol", "SELECT p_partkey, 'sym_' || left(sha256(p_brand || '|' || p_name), 16) AS id FROM part")
 def _(t):
     return t.part.select("p_partkey", scalars.symbol_id(F.col("p_brand"), F.col("p_name")).alias("id"))
+
+
+@query("fn_18_segments", """
+SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'cat a.txt#grep ''x|y'' b' WHEN 1 THEN 'echo \; "p & q"#ls' ELSE '/usr/bin/CAT.exe z' END AS segments,
+  CASE p_size % 3 WHEN 0 THEN 'cat,grep' WHEN 1 THEN 'echo,ls' ELSE 'CAT' END AS commands FROM part""")
+def _(t):
+    line = F.when(F.col("p_size") % 3 == 0, "cat a.txt | grep 'x|y' b").when(F.col("p_size") % 3 == 1, 'echo \; "p & q" && ls;').otherwise("/usr/bin/CAT.exe z")
+    parts = scalars.segments_of_command(line)
+    return t.part.select("p_partkey", F.array_join(parts, "#").alias("segments"), F.array_join(F.transform(parts, scalars.command_name), ",").alias("commands"))
+
+
+@query("fn_20_source_lines", """
+SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linestatus = 'F') AND l_returnflag <> 'R' AND (l_linenumber BETWEEN 2 AND 3 OR l_linenumber >= 6)""")
+def _(t):
+    chosen = grammar.parse_source("full-remarks-attributes@2-3;6-")
+    kind = F.when(F.col("l_returnflag") == "A", "doc").when(F.col("l_returnflag") == "R", "attribute").otherwise("code")
+    part = F.when(F.col("l_linestatus") == "F", "remarks").otherwise("summary")
+    return t.lineitem.where(chosen.keeps(F.col("l_linenumber"), kind, part)).select("l_orderkey", "l_linenumber")

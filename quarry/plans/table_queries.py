@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import incremental, metrics, ranking, relational
-from ..sources import tables
+from ..sources import store, tables
 from . import grammar
 from .registry import query
 
@@ -18,9 +18,17 @@ def _path(t):
 _PATH = "lower(p_type) || '/' || replace(p_name, ' ', '/') || '/' || p_partkey"
 
 
-@query("src_02_glob_exclude", f"SELECT p_partkey FROM part WHERE NOT regexp_matches({_PATH}, '^(?:.*/)?red/[^/]*/.*$')")
+@query("src_02_glob_exclude", f"SELECT p_partkey FROM part WHERE NOT regexp_matches({_PATH}, '^((.*/)?RED/r.ng/|small/b[^/]*)', 'i')")
 def _(t):
-    return _path(t).where(tables.not_excluded(F.col("path"), ["**/red/*/**"])).select("p_partkey")
+    return _path(t).where(tables.not_excluded(F.col("path"), ["**/RED/r?ng/", "small\\b*"])).select("p_partkey")
+
+
+@query("src_05_manifest", "SELECT CAST(p_partkey AS VARCHAR) AS path, p_size AS length FROM part")
+def _(t):
+    files = t.part.select(F.col("p_partkey").cast("string").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"), F.col("p_size").alias("length"))
+    folder = store.shared_folder(t.spark, "manifest")
+    tables.save_manifest(files, folder)
+    return tables.load_manifest(t.spark, folder).select("path", "length")
 
 
 @query("src_03_skip_folders", f"SELECT p_partkey FROM (SELECT p_partkey, CASE WHEN p_size < 10 THEN 'src/OBJ/' WHEN p_size < 20 THEN 'src/objects/' ELSE 'src/' END || {_PATH} AS path FROM part) WHERE regexp_matches(lower('/' || path || '/'), '/(bin|obj|node_modules|[.]git|[.]vs|dist)/')")
@@ -29,14 +37,46 @@ def _(t):
     return _path(t).where(tables.in_skipped_folder(F.concat(head, F.col("path")))).select("p_partkey")
 
 
-@query("src_06_table_store", "SELECT r_regionkey, r_name FROM region")
+_ROWS = {"region": "r_regionkey int, r_name string", "calls": "event_id long, event_type string", "history": "event_id long"}
+
+
+def _store(t):
+    """A new store with one table of each kind."""
+    return store.Store(t.spark, store.shared_folder(t.spark, "store"), _ROWS, append_only={"calls"}, session={"calls"})
+
+
+@query("src_06_table_store", "SELECT r_regionkey, upper(r_name) AS r_name FROM region UNION ALL SELECT 2, 'migrations'")
 def _(t):
-    return t.region
+    own = _store(t)
+    steps = [(2, "upper", lambda s: s.replace("region", s.read("region").withColumn("r_name", F.upper("r_name")))), (1, "load", lambda s: s.replace("region", t.region))]
+    ran = len(own.migrate(steps)) + len(own.migrate(steps))
+    return own.read("region").unionByName(t.spark.createDataFrame([(ran, "migrations")], "r_regionkey int, r_name string"))
 
 
 @query("src_07_point_lookup", "SELECT p_name, p_brand FROM part WHERE p_partkey = 42")
 def _(t):
-    return t.part.where("p_partkey = 42").select("p_name", "p_brand").limit(1)
+    return tables.point_lookup(t.part, "p_partkey", 42).select("p_name", "p_brand")
+
+
+@query("src_09_log", """
+SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'id' || n_nationkey ELSE 'week#' || (n_nationkey + 1) END AS id, CASE WHEN n_nationkey % 3 = 2 THEN 'Plain ' || n_name ELSE n_name END AS title,
+  CASE WHEN n_nationkey % 3 = 0 THEN 'open' ELSE 'done' END AS status, CASE WHEN n_nationkey % 3 = 0 THEN 'a,b' ELSE '' END AS tags, CASE WHEN n_nationkey % 3 = 2 THEN DATE '2020-02-02' ELSE DATE '2024-01-01' + n_nationkey::INTEGER END AS day FROM nation""")
+def _(t):
+    k = F.col("n_nationkey")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int")).cast("string")
+    head = F.when(k % 3 == 0, F.concat(day, F.lit(" — "), "n_name")).when(k % 3 == 1, F.concat(day, F.lit(" - "), "n_name")).otherwise(F.concat(F.lit("Plain "), "n_name"))
+    meta = F.when(k % 3 == 0, F.concat(F.lit('\n<!-- devlog {"id": "id'), k.cast("string"), F.lit('", "status": "open", "tags": ["a", "b"]} -->'))).when(k % 3 == 1, "\n<!-- devlog {broken} -->").otherwise("\n<!-- other {} -->")
+    entry = F.concat(F.lit("## "), head, meta, F.lit("\nBody\n\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), entry.alias("e")))), lambda x: x["e"]), "")
+    logs = t.nation.agg(F.concat(F.lit("# Week\n"), text).alias("text")).select(F.lit("logs/week.md").alias("path"), F.lit("2020-02-02").cast("timestamp").alias("modified"), "text")
+    return tables.parse_log(logs).select("id", "title", "status", F.array_join("tags", ",").alias("tags"), F.to_date("ts").alias("day"))
+
+
+@query("src_10_name_status", "SELECT CASE WHEN p_size % 2 = 0 THEN 'M' ELSE 'R' END AS status, p_name || '.cs' AS path, CASE WHEN p_size % 2 = 1 THEN p_type || '.cs' END AS former FROM part WHERE p_size % 3 > 0")
+def _(t):
+    name = F.concat("p_name", F.when(F.col("p_size") % 3 > 0, ".cs").otherwise(".md"))
+    line = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("M\t"), name)).otherwise(F.concat(F.lit("R087\t"), "p_type", F.lit(".cs\t"), name))
+    return tables.parse_name_status(t.part.select(line.alias("value")))
 
 
 @query("src_08_batch_lookup", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -59,12 +99,55 @@ def _(t):
     return tables.insert_absent(*_halves(t), ["p_partkey"])
 
 
-@query("snk_05_cascade", "SELECT o_orderkey AS from_symbol, o_custkey AS to_symbol FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey % 7 <> 0")
+@query("snk_03_append", "SELECT event_id, event_type FROM events UNION ALL SELECT event_id, 'again' FROM events WHERE event_id % 3 = 0")
+def _(t):
+    own, rows = _store(t), t.events.select("event_id", "event_type")
+    own.append("calls", rows)
+    own.append("calls", rows.where("event_id % 3 = 0").withColumn("event_type", F.lit("again")))
+    return own.read("calls")
+
+
+@query("snk_04_replace", "SELECT r_regionkey, r_name || '!' AS r_name FROM region WHERE r_regionkey > 1")
+def _(t):
+    own = _store(t)
+    own.replace("region", t.region)
+    own.replace("region", own.read("region").where("r_regionkey > 1").withColumn("r_name", F.concat("r_name", F.lit("!"))))
+    return own.read("region")
+
+
+@query("snk_06_purge", "SELECT 'history' AS name, count(*) AS n FROM events UNION ALL SELECT 'calls', 0")
+def _(t):
+    own = _store(t)
+    own.append("calls", t.events.select("event_id", "event_type"))
+    own.append("history", t.events.select("event_id"))
+    own.purge()
+    count = lambda name: own.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return count("history").unionByName(count("calls"))
+
+
+@query("snk_07_guard", "SELECT event_id, event_type, true AS refused FROM events")
+def _(t):
+    own, rows = _store(t), t.events.select("event_id", "event_type")
+    own.append("calls", rows)
+    try:
+        own.replace("calls", rows.limit(0))
+        refused = False
+    except PermissionError:
+        refused = True
+    return own.read("calls").withColumn("refused", F.lit(refused))
+
+
+@query("snk_05_cascade", """
+SELECT 'edges' AS part, o_orderkey AS a, o_custkey AS b FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey % 7 <> 0
+UNION ALL SELECT 'symbols', o_orderkey, NULL FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT 'facts', o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0""")
 def _(t):
     edges = t.orders.select(F.col("o_orderkey").alias("from_symbol"), F.col("o_custkey").alias("to_symbol"))
     symbols = t.orders.select(F.col("o_orderkey").alias("symbol_id"))
     gone = symbols.unionByName(t.customer.select(F.col("c_custkey").alias("symbol_id"))).where("symbol_id % 7 = 0")
-    return tables.delete_cascade(symbols, edges, symbols, gone)[1]
+    one, two, three = tables.delete_cascade(symbols, edges, symbols.withColumn("fact", F.lit(0)).drop("fact").join(edges, F.col("symbol_id") == F.col("from_symbol")).select("symbol_id", F.col("to_symbol").alias("fact")), gone)
+    row = lambda part, d, a, b: d.select(F.lit(part).alias("part"), F.col(a).alias("a"), b.alias("b"))
+    none = F.lit(None).cast("long")
+    return row("edges", two, "from_symbol", F.col("to_symbol")).unionByName(row("symbols", one, "symbol_id", none)).unionByName(row("facts", three, "symbol_id", F.col("fact")))
 
 
 @query("snk_08_json", "SELECT CASE WHEN r_regionkey = 0 THEN json_object('r_regionkey', r_regionkey) ELSE json_object('r_regionkey', r_regionkey, 'r_name', r_name) END::VARCHAR AS json FROM region")
@@ -72,6 +155,26 @@ def _(t):
     return tables.as_json(t.region.withColumn("r_name", F.when(F.col("r_regionkey") != 0, F.col("r_name"))))
 
 
+@query("snk_08_toon", """SELECT '  ' || n_nationkey || ',' || CASE n_nationkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN '"a, \\"b\\""' WHEN 2 THEN '"17"' WHEN 3 THEN '""' ELSE n_name END AS toon FROM nation""")
+def _(t):
+    k = F.col("n_nationkey")
+    name = F.when(k % 5 == 1, 'a, "b"').when(k % 5 == 2, "17").when(k % 5 == 3, "").when(k % 5 == 4, F.col("n_name"))
+    return tables.as_toon(t.nation.select("n_nationkey", name.alias("name")))
+
+
+@query("snk_08_smaller", "SELECT 'toon' AS encoding UNION ALL SELECT 'json'")
+def _(t):
+    return tables.smaller_encoding(t.nation.select("n_nationkey", "n_name"), "nations", 25).select("encoding")
+
+
+@query("snk_09_pipe_table", """
+SELECT 'nations(5/' || count(*) || ') n_nationkey|n_name' AS line FROM nation UNION ALL SELECT n_nationkey || '|' || n_name FROM nation WHERE n_nationkey < 5
+UNION ALL SELECT '…+' || (count(*) - 5) || ' more (raise limit)' FROM nation""")
+def _(t):
+    rows = t.nation.select("n_nationkey", "n_name").orderBy("n_nationkey")
+    return t.spark.createDataFrame([(x,) for x in tables.pipe_table(rows, "nations", rows.count(), 5)], "line string")
+
+
 @query("snk_10_padding", "SELECT r_regionkey, r_name, NULL::INTEGER AS n_nationkey FROM region UNION ALL SELECT NULL, NULL, n_nationkey FROM nation")
 def _(t):
     return tables.padded_union(t.region, t.nation.select("n_nationkey"))
@@ -100,7 +203,7 @@ def _(t):
 
 @query("flt_05_tags", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND NOT list_contains(string_split(p_name, ' '), 'bolt')")
 def _(t):
-    return t.part.where(grammar.tag_filter(F.split("p_name", " "), "red,-bolt")).select("p_partkey")
+    return t.part.where(grammar.tag_filter(F.split(F.initcap("p_name"), " "), "rED,-BOLT")).select("p_partkey")
 
 
 @query("flt_06_sections", "SELECT p_partkey FROM part WHERE p_size % 2 = 1 OR NOT list_contains(string_split(p_name, ' '), 'bolt')")
@@ -108,9 +211,11 @@ def _(t):
     return t.part.where(grammar.tag_filter(F.when(F.col("p_size") % 2 == 0, F.split("p_name", " ")), "-bolt")).select("p_partkey")
 
 
-@query("flt_07_origin", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#2'")
+@query("flt_07_origin", "SELECT p_partkey, 'source' AS wanted FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'any' FROM part")
 def _(t):
-    return t.part.where(grammar.origin_filter(F.col("p_brand"), "Brand#2")).select("p_partkey")
+    rows = t.part.withColumn("origin", F.when(F.col("p_size") % 2 == 0, "source").otherwise("external"))
+    one = lambda wanted: rows.where(grammar.origin_filter(F.col("origin"), wanted)).select("p_partkey", F.lit(wanted).alias("wanted"))
+    return one("source").unionByName(one("any"))
 
 
 @query("flt_08_path_scope", f"SELECT p_partkey FROM part WHERE {_PATH} = 'economy/red' OR starts_with({_PATH}, 'economy/red/')")
@@ -123,9 +228,11 @@ def _(t):
     return t.documents.where(grammar.all_terms(F.col("text"), "license UNDER")).select("doc_id").orderBy(F.desc("doc_id")).limit(50)
 
 
-@query("flt_13_log_attributes", "SELECT p_partkey FROM part WHERE p_name ILIKE '%widget%' AND p_type = 'ECONOMY' AND p_size BETWEEN 5 AND 20")
+@query("flt_13_log_attributes", "SELECT p_partkey FROM part WHERE p_name ILIKE '%widg%' AND p_type = 'ECONOMY' AND starts_with(p_name, 'red ') AND p_size % 2 = 0 AND p_size BETWEEN 5 AND 20")
 def _(t):
-    return t.part.where(F.exists(F.split("p_name", " "), lambda x: x.contains("widget")) & (F.col("p_type") == "ECONOMY") & F.col("p_size").between(5, 20)).select("p_partkey")
+    ts = F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")).cast("timestamp") + F.expr("INTERVAL 23 HOURS")
+    rows = t.part.select("p_partkey", F.split("p_name", " ").alias("classes"), F.col("p_type").alias("domain"), F.array(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("tags"), F.when(F.col("p_size") % 2 == 0, "Done").alias("status"), ts.alias("ts"))
+    return rows.where(grammar.log_filter("WIDG", "economy", "RED", "done", "2024-01-06", "2024-01-21")).select("p_partkey")
 
 
 def _tokens(t):
@@ -139,10 +246,12 @@ def _(t):
     return _tokens(t).where(scalars.agrees(F.col("a"), F.col("b"))).select("p_partkey")
 
 
-@query("flt_15_version_satisfies", "SELECT p_partkey, p_partkey % 2 = 0 AND p_size % 3 = p_partkey % 3 AS satisfied, true AS covered, 'decl:' || (p_size % 3) AS narrowed FROM part")
+@query("flt_15_version_satisfies", """
+SELECT p_partkey, p_size % 5 > 0 AND p_partkey % 2 = 0 AND p_size % 3 = p_partkey % 3 AS satisfied, p_size % 5 > 0 AND p_partkey % 2 = 1 AS covered, 'decl:' || (p_size % 3) AS narrowed FROM part""")
 def _(t):
     pairs = F.transform(F.map_entries(scalars.narrow(F.col("a"), ["decl"])), lambda e: F.concat_ws(":", e["key"], e["value"]))
-    return _tokens(t).select("p_partkey", scalars.satisfies(F.col("a"), F.col("b")).alias("satisfied"), scalars.covers(F.col("a"), ["decl", "body"]).alias("covered"), F.array_join(pairs, "|").alias("narrowed"))
+    rows = _tokens(t).join(t.part.select("p_partkey", "p_size"), "p_partkey").withColumn("b", F.when(F.col("p_size") % 5 > 0, F.col("b")).otherwise(F.map_filter("b", lambda k, v: F.lit(False))))
+    return rows.select("p_partkey", scalars.satisfies(F.col("a"), F.col("b")).alias("satisfied"), scalars.covers(F.col("b"), ["api"]).alias("covered"), F.array_join(pairs, "|").alias("narrowed"))
 
 
 @query("flt_16_line_ranges", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3 OR l_linenumber = 5 OR l_linenumber >= 7")
@@ -154,7 +263,7 @@ def _(t):
 def _(t):
     spans = t.events.select("event_id", (F.col("event_id") % 1000).alias("s"), (F.col("event_id") % 1000 + 2).alias("e"))
     changed = t.nation.select((F.col("n_nationkey") * 40).alias("low"), (F.col("n_nationkey") * 40 + 3).alias("high"))
-    return spans.join(changed, (F.col("s") <= F.col("high")) & (F.col("low") <= F.col("e")), "left_semi").select("event_id")
+    return spans.join(changed, grammar.overlaps(F.col("s"), F.col("e"), F.col("low"), F.col("high")), "left_semi").select("event_id")
 
 
 @query("prj_01_columns", "SELECT p_partkey, p_name, p_size FROM part")
@@ -173,21 +282,22 @@ def _(t):
     return _tokens(t).select("p_partkey", F.array_join(pairs, "|").alias("token"))
 
 
-@query("prj_04_wide", "SELECT p_partkey, CASE WHEN p_name <> p_type THEN p_name END AS name, CASE WHEN p_size > 25 THEN p_size END AS size FROM part")
+@query("prj_04_wide", "SELECT p_partkey, CASE WHEN p_name <> p_type THEN p_name END AS p_name, CASE WHEN p_size > 25 THEN p_size END AS p_size FROM part")
 def _(t):
-    return t.part.select("p_partkey", F.when(F.col("p_name") != F.col("p_type"), F.col("p_name")).alias("name"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("size"))
+    return relational.projected(t.part, ["p_partkey", "p_name", "p_size"], {"p_name": F.col("p_name") == F.col("p_type"), "p_size": F.col("p_size") <= 25})
 
 
-@query("prj_05_flatten", "SELECT r_name AS parent, n_name AS name FROM region JOIN nation ON n_regionkey = r_regionkey")
+@query("prj_05_flatten", "SELECT NULL AS parent, r_name AS name, 0 AS depth FROM region UNION ALL SELECT r_name, n_name, 1 FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 's' || s_suppkey, 2 FROM nation JOIN supplier ON s_nationkey = n_nationkey")
 def _(t):
-    nested = t.nation.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return nested.select(F.col("r_name").alias("parent"), F.explode("names").alias("name"))
+    low = t.supplier.groupBy("s_nationkey").agg(F.collect_list(F.struct(F.concat(F.lit("s"), "s_suppkey").alias("name"))).alias("children"))
+    mid = t.nation.join(low, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_name").alias("name"), "children")).alias("children"))
+    top = t.region.join(mid, F.col("n_regionkey") == F.col("r_regionkey")).select(F.struct(F.col("r_name").alias("name"), "children").alias("node"))
+    return relational.flattened(top, "node")
 
 
 @query("join_04_log_symbols", "SELECT o_custkey, count(*) AS entries, count(DISTINCT l_partkey) AS symbols FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _(t):
-    joined = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.groupBy("o_custkey").agg(F.count("*").alias("entries"), F.count_distinct("l_partkey").alias("symbols"))
+    return relational.entries_of(t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), t.lineitem, "l_orderkey", "o_custkey", "l_partkey")
 
 
 @query("join_05_semi_coverage", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
@@ -209,7 +319,7 @@ def _(t):
 @query("join_08_semi_hits", "SELECT p_partkey FROM part WHERE p_name ILIKE '%ring%' AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def _(t):
     made = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return t.part.where(F.col("p_name").ilike("%ring%")).join(made, "p_partkey", "left_semi").select("p_partkey")
+    return relational.among(t.part.where(F.col("p_name").ilike("%ring%")), made, "p_partkey").select("p_partkey")
 
 
 @query("join_09_lookup", "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey < 20")
@@ -242,14 +352,18 @@ def _(t):
 
 
 @query("join_12_match_cascade", """
-WITH o AS (SELECT s_suppkey AS id, s_suppkey % 40 AS k, s_nationkey AS name, round(s_acctbal)::BIGINT AS sig FROM supplier WHERE s_suppkey % 2 = 0),
-n AS (SELECT s_suppkey AS id, s_suppkey % 40 + 1 AS k, s_nationkey AS name, round(s_acctbal)::BIGINT AS sig FROM supplier WHERE s_suppkey % 2 = 1),
-o2 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS nth FROM o), n2 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS nth FROM n),
-p AS (SELECT o2.id AS old_id, n2.id AS new_id, 'name' AS how FROM o2 JOIN n2 ON o2.name = n2.name AND o2.nth = n2.nth)
-SELECT * FROM p""")
+SELECT a.p_partkey AS old_id, a.p_partkey + 1 AS new_id, CASE a.p_partkey // 2 % 4 WHEN 0 THEN 'key' WHEN 1 THEN 'name' ELSE 'signature' END AS how
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 2 = 0 AND a.p_partkey // 2 % 4 < 3""")
 def _(t):
-    rows = lambda odd, shift: t.supplier.where(F.col("s_suppkey") % 2 == odd).select(F.col("s_suppkey").alias("id"), F.concat(F.lit(f"k{shift}-"), F.col("s_suppkey")).alias("key"), F.col("s_nationkey").alias("name"), F.col("s_suppkey").alias("position"), F.concat(F.lit(f"{shift}-"), F.round("s_acctbal")).alias("signature"))
-    return relational.match_cascade(rows(0, 0), rows(1, 1))
+    # pairs of neighbours have a key, a name with others in the same order, or a signature in common; a fourth of them nothing
+    def rows(odd: int):
+        j, own = F.floor(F.col("p_partkey") / 2).cast("long"), F.concat(F.lit(f"own{odd}-"), F.col("p_partkey"))
+        part = t.part.where(F.col("p_partkey") % 2 == odd).withColumn("both", F.col("p_partkey") + 1 - 2 * odd)
+        part = part.join(t.part.select(F.col("p_partkey").alias("both")), "both")
+        either = lambda k, c: F.when(j % 4 == k, F.concat(F.lit("both"), c)).otherwise(own)
+        return part.select(F.col("p_partkey").alias("id"), either(0, j).alias("key"), either(1, F.floor(j / 12).cast("long")).alias("name"), F.col("p_partkey").alias("position"), F.when(j % 4 != 3, either(2, j)).alias("signature"))
+
+    return relational.match_cascade(rows(0), rows(1))
 
 
 @query("join_13_transpose", "SELECT n_regionkey AS target, array_to_string(list(n_name ORDER BY n_name), ',') AS referenced_by FROM nation GROUP BY 1")
@@ -262,16 +376,22 @@ def _(t):
     return relational.first_by(t.orders, ["o_custkey"], F.desc("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "o_orderkey")
 
 
-@query("win_02_fair_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_size < 25, p_brand ORDER BY p_partkey) AS turn FROM part")
+@query("win_02_fair_order", """
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY p_size < 25, p_brand ORDER BY p_partkey) AS turn FROM part)
+SELECT p_partkey, p_brand FROM f ORDER BY p_size < 25, turn, p_brand, p_partkey LIMIT 40 OFFSET 20""")
 def _(t):
-    return relational.fair_order(t.part.withColumn("tier", F.col("p_size") < 25), "tier", "p_brand", F.col("p_partkey")).select("p_partkey", F.col("turn").cast("long").alias("turn"))
+    rows = t.part.withColumn("tier", F.col("p_size") < 25)
+    return relational.fair_page(rows, "tier", "p_brand", F.col("p_brand"), [F.col("p_partkey")], 20, 40).select("p_partkey", "p_brand")
 
 
 @query("win_03_floor_share", """
-WITH r AS (SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS rn FROM part)
-SELECT p_partkey FROM r ORDER BY (rn <= 5) DESC, p_size, p_partkey LIMIT 30""")
+WITH t AS (SELECT DISTINCT p_type FROM part), k AS (SELECT p_type, row_number() OVER (ORDER BY p_type DESC) AS seq, count(*) OVER () AS terms FROM t),
+r AS (SELECT p_partkey, p_size, seq, terms, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS rn FROM part JOIN k USING (p_type)),
+f AS (SELECT *, CASE WHEN rn <= 30 // terms THEN seq ELSE terms + 1 END AS turn FROM r)
+SELECT p_partkey, CAST(row_number() OVER (ORDER BY turn, CASE WHEN turn <= terms THEN rn END, p_size, p_partkey) - 1 AS INTEGER) AS place FROM f ORDER BY place LIMIT 30""")
 def _(t):
-    return relational.floor_share(t.part, "p_type", "p_partkey", 30, 6, F.col("p_size"), F.col("p_partkey")).select("p_partkey")
+    kinds = sorted((r.p_type for r in t.part.select("p_type").distinct().collect()), reverse=True)  # the terms of a query: a few
+    return relational.floor_share(t.part, "p_type", "p_partkey", 30, kinds, F.col("p_size"), F.col("p_partkey")).select("p_partkey", "place")
 
 
 @query("win_04_positional_pairs", """
@@ -279,53 +399,51 @@ WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custk
 b AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderstatus = 'O')
 SELECT a.o_orderkey AS old_id, b.o_orderkey AS new_id FROM a JOIN b ON a.o_custkey = b.o_custkey AND a.nth = b.nth""")
 def _(t):
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("nth")
-    side = lambda s, n: t.orders.where(F.col("o_orderstatus") == s).select("o_custkey", F.col("o_orderkey").alias(n), nth)
-    return side("F", "old_id").join(side("O", "new_id"), ["o_custkey", "nth"]).select("old_id", "new_id")
+    side = lambda s, n: t.orders.where(F.col("o_orderstatus") == s).select("o_custkey", F.col("o_orderkey").alias(n))
+    return relational.paired(side("F", "old_id"), side("O", "new_id"), ["o_custkey"], F.col("old_id"), F.col("new_id")).select("old_id", "new_id")
 
 
 @query("win_05_unique_groups", "SELECT o_orderkey FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM orders) WHERE n = 1")
 def _(t):
-    from pyspark.sql import Window
-
-    return t.orders.withColumn("n", F.count("*").over(Window.partitionBy("o_custkey", "o_orderpriority"))).where("n = 1").select("o_orderkey")
+    return relational.unique_rows(t.orders, ["o_custkey", "o_orderpriority"]).select("o_orderkey")
 
 
 @query("srt_04_recent", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
 def _(t):
-    return t.orders.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(25).select("o_orderkey")
+    return relational.recent(t.orders, 25, F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey")
+
+
+@query("srt_07_scoped_top", "SELECT o_orderkey FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500) WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 200")
+def _(t):
+    return relational.scoped_top(t.orders, F.col("o_orderstatus") == "F", 1000, F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey")
 
 
 @query("srt_05_page", "SELECT p_partkey, (SELECT count(*) FROM part) AS total, 90 AS next_offset FROM (SELECT p_partkey FROM part ORDER BY p_name, p_partkey LIMIT 50 OFFSET 40)")
 def _(t):
-    rows, total, more = relational.page(t.part, [F.col("p_name"), F.col("p_partkey")], 40, 50)
-    return rows.select("p_partkey", F.lit(total).cast("long").alias("total"), F.lit(more).alias("next_offset"))
+    return relational.page(t.part.select("p_name", "p_partkey"), [F.col("p_name"), F.col("p_partkey")], 40, 50).drop("p_name")
 
 
 @query("srt_06_capped_lists", """
 SELECT 'F' AS list, o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 10)
 UNION ALL SELECT 'P', o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 5)""")
 def _(t):
-    lists = {s: t.orders.where(F.col("o_orderstatus") == s) for s in ("F", "P")}
-    got = relational.capped(lists, [F.col("o_orderkey")], {"F": 10, "P": 5})
-    return metrics.labelled_union({k: d.select("o_orderkey", F.lit(n).cast("long").alias("total")) for k, (d, n) in got.items()}, "list")
+    lists = {s: t.orders.where(F.col("o_orderstatus") == s).select("o_orderkey") for s in ("F", "P")}
+    return metrics.labelled_union(relational.capped(lists, [F.col("o_orderkey")], {"F": 10, "P": 5}), "list")
 
 
 @query("srt_08_byte_order", "SELECT p_partkey FROM part ORDER BY p_name DESC, p_partkey LIMIT 20")
 def _(t):
-    return t.part.orderBy(F.desc("p_name"), "p_partkey").limit(20).select("p_partkey")
+    return relational.recent(t.part, 20, F.desc("p_name"), F.col("p_partkey")).select("p_partkey")
 
 
 @query("set_04_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(t):
-    return t.customer.select("c_custkey").join(t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_anti")
+    return relational.difference(t.customer, t.orders.where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query("set_06_key_union", "SELECT l_partkey AS k FROM lineitem UNION SELECT p_partkey FROM part")
 def _(t):
-    return t.lineitem.select(F.col("l_partkey").alias("k")).union(t.part.select("p_partkey")).distinct()
+    return relational.key_union(t.lineitem.withColumnRenamed("l_partkey", "k"), t.part.withColumnRenamed("p_partkey", "k"), "k")
 
 
 @query("inc_01_sweep", f"SELECT CAST(doc_id AS VARCHAR) AS path, {_CHANGE} AS change FROM documents WHERE (doc_id % 5 <> 0 OR doc_id % 7 <> 0) AND {_CHANGE} <> 'unchanged'")
@@ -335,18 +453,26 @@ def _(t):
     return incremental.sweep(before, stamp(t.documents.where("doc_id % 7 <> 0"), F.when(F.col("doc_id") % 3 == 0, "2").otherwise("1")))
 
 
-@query("inc_02_baseline", "SELECT CAST(doc_id AS VARCHAR) AS path, 'x' AS change FROM documents WHERE false")
+@query("inc_02_baseline", f"SELECT CAST(doc_id AS VARCHAR) AS path, {_CHANGE} AS change, 'second' AS scan FROM documents WHERE (doc_id % 5 <> 0 OR doc_id % 7 <> 0) AND {_CHANGE} <> 'unchanged'")
 def _(t):
-    return incremental.sweep_after_baseline(None, t.documents.select(F.col("doc_id").cast("string").alias("path"), F.lit("1").alias("modificationTime"), F.col("n_chars").alias("length")))
+    stamp = lambda d, s: d.select(F.col("doc_id").cast("string").alias("path"), s.alias("modificationTime"), F.col("n_chars").alias("length"))
+    before, now = stamp(t.documents.where("doc_id % 5 <> 0"), F.lit("1")), stamp(t.documents.where("doc_id % 7 <> 0"), F.when(F.col("doc_id") % 3 == 0, "2").otherwise("1"))
+    first = incremental.sweep_after_baseline(None, before).withColumn("scan", F.lit("first"))
+    return first.unionByName(incremental.sweep_after_baseline(before, now).withColumn("scan", F.lit("second")))
 
 
-@query("inc_03_refresh", "SELECT doc_id AS symbol_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS digest FROM documents WHERE doc_id % 7 <> 0")
+@query("inc_03_refresh", f"""
+SELECT 'symbol' AS part, doc_id AS a, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS b FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT 'change', doc_id, {_CHANGE} FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0
+UNION ALL SELECT 'edge', doc_id, CAST(doc_id + 1 AS VARCHAR) FROM documents WHERE doc_id % 7 <> 0""")
 def _(t):
     rows = lambda d, digest: d.select(F.col("doc_id").alias("symbol_id"), digest.alias("digest"))
     old = rows(t.documents.where("doc_id % 5 <> 0"), F.col("lang"))
     new = rows(t.documents.where("doc_id % 7 <> 0"), F.when(F.col("doc_id") % 3 == 0, "new").otherwise(F.col("lang")))
     edges = lambda d: d.select(F.col("symbol_id").alias("from_symbol"), (F.col("symbol_id") + 1).alias("to_symbol"))
-    return incremental.refresh(old, new, edges(old), edges(new))[0]
+    symbols, links, change = incremental.refresh(old, new, edges(old), edges(new))
+    row = lambda part, d, a, b: d.select(F.lit(part).alias("part"), F.col(a).alias("a"), F.col(b).cast("string").alias("b"))
+    return row("symbol", symbols, "symbol_id", "digest").unionByName(row("change", change, "symbol_id", "change")).unionByName(row("edge", links, "from_symbol", "to_symbol"))
 
 
 @query("inc_04_valid_facts", "SELECT p_partkey AS symbol_id FROM part WHERE p_size % 2 = 0")
@@ -362,6 +488,13 @@ def _(t):
     return incremental.repaired(symbols, symbols.where("symbol_id > 5"), "symbol_id", lambda s: s)
 
 
+@query("inc_07_deferred", "SELECT CAST(user_id AS VARCHAR) AS path, max(event_id) AS at, CASE WHEN user_id % 3 = 0 THEN 'remove' ELSE 'refresh' END AS action FROM events GROUP BY user_id")
+def _(t):
+    queue = t.events.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("at"))
+    now = t.events.where("user_id % 3 <> 0").select(F.col("user_id").cast("string").alias("path"))
+    return incremental.deferred(queue, now)
+
+
 @query("inc_08_current", "SELECT p_partkey AS symbol_id, p_size % 2 = 0 AS current FROM part")
 def _(t):
     history = t.part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_size").alias("new_version"))

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
-from quarry.operators import graph, incremental, metrics, relational
+from quarry.operators import graph, incremental, metrics, ranking, relational
 from quarry.plans import grammar
-from quarry.sources import tables
+from quarry.sources import store, tables
 from quarry.streaming import ingest
 
 
@@ -16,11 +16,26 @@ def arcs(spark, pairs):
 
 def test_diamond_is_expanded_once(spark):
     callers = [("root", "left"), ("root", "right"), ("left", "shared"), ("right", "shared"), ("shared", "a"), ("shared", "b")]
-    tree = graph.call_tree(arcs(spark, callers), "root", 6)
-    assert {r.depth: r.nodes for r in graph.depth_counts(tree).collect()} == {1: 2, 2: 1, 3: 2}
-    assert sorted(r.repeated for r in tree.where("node = 'shared'").collect()) == [False, True]
-    fanned = graph.call_tree(arcs(spark, [("root", x) for x in "abcde"]), "root", 2, fan=2).where("depth = 1")
-    assert [(r.node, r.omitted) for r in fanned.orderBy("node").collect()] == [("a", 3), ("b", 3)]
+    got = graph.call_tree(arcs(spark, callers), "root", 6)
+    assert {r.depth: r.nodes for r in graph.depth_counts(got.reached).collect()} == {0: 1, 1: 2, 2: 1, 3: 2}
+    assert sorted(r.repeated for r in got.tree.where("node = 'shared'").collect()) == [False, True] and not got.depth_capped
+
+
+def test_omitted_callers_are_reached(spark):
+    fan = arcs(spark, [("root", x) for x in "abcde"] + [("a", "z")])
+    got = graph.call_tree(fan, "root", 2, fan=2)
+    assert [(r.node, r.omitted) for r in got.tree.where("omitted > 0").collect()] == [("root", 3)]
+    assert {r.depth: r.nodes for r in graph.depth_counts(got.reached).collect()} == {0: 1, 1: 5, 2: 1}
+    assert got.omitted == 3 and got.depth_capped
+    assert not graph.call_tree(fan, "root", 3).depth_capped and graph.call_tree(fan, "root", 1).depth_capped
+    assert graph.call_tree(fan, "root", 5, cap=1).depth_capped
+    assert {r.node for r in graph.call_tree(fan, "type", 2, seeds=["a", "b"]).reached.collect()} == {"type", "a", "b", "z"}
+
+
+def test_a_cycle_ends_its_branch(spark):
+    got = graph.call_tree(arcs(spark, [("a", "b"), ("b", "a"), ("b", "c")]), "a", 5)
+    assert sorted((r.node, r.depth, r.cycle) for r in got.tree.collect()) == [("a", 0, False), ("a", 2, True), ("b", 1, False), ("c", 2, False)]
+    assert not got.depth_capped
 
 
 @pytest.mark.parametrize(("pairs", "found"), [([], []), ([("a", "b"), ("b", "c")], []), ([("a", "a")], [["a"]]), ([("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c")], [["a", "b"], ["c", "d", "e"]])])
@@ -30,9 +45,12 @@ def test_cycles(spark, pairs, found):
 
 def test_paths(spark):
     a = arcs(spark, [("start", "middle"), ("middle", "deep"), ("deep", "spin")])
-    assert graph.path_depth(a, "start", "spin")[0] == 3
-    assert graph.path_depth(a, "spin", "start")[0] is None
-    assert graph.path_depth(a, "start", "start")[0] == 0
+    assert graph.shortest_path(a, "start", "spin").nodes == ["start", "middle", "deep", "spin"]
+    miss = graph.shortest_path(a, "spin", "start")
+    assert miss.nodes is None and miss.explored == 2
+    assert graph.shortest_path(a, "start", "start").nodes == ["start"]
+    short = graph.shortest_path(a, "start", "spin", 2)
+    assert short.nodes is None and (short.forward, short.backward) == (["deep"], ["spin"])
 
 
 def test_rename_chain_with_a_cycle(spark):
@@ -77,20 +95,36 @@ def test_files_manifest_log_and_solution(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in files.select("path").collect()] == ["a.cs"]
     tables.save_manifest(files, str(tmp_path / "manifest"))
     assert tables.load_manifest(spark, str(tmp_path / "manifest")).count() == 1
-    log = spark.createDataFrame([("w.md", '# Week\n## 2024-01-02 Title here\n<!-- {"id": "x1", "tags": ["t"], "status": "done"} -->\nBody text\n## 2024-01-03 Bare\nMore')], "path string, text string")
-    first, second = tables.parse_log(log).orderBy("position").collect()
-    assert (first.date, first.title, first.id, first.tags, first.body) == ("2024-01-02", "Title here", "x1", ["t"], "Body text")
-    assert (second.date, second.title, second.id) == ("2024-01-03", "Bare", None)
+    text = '# Week\n## 2024-01-02 — Title here\n<!-- devlog {"id": "x1", "tags": ["t"], "status": "open"} -->\nBody text\n\n## 2024-01-03 - Bare\n<!-- devlog {broken} -->\nMore\n## No date'
+    log = spark.createDataFrame([("logs/w.md", text)], "path string, text string").withColumn("modified", F.lit("2020-02-02").cast("timestamp"))
+    first, second, third = tables.parse_log(log).orderBy("position").collect()
+    assert (str(first.ts.date()), first.title, first.id, first.tags, first.status) == ("2024-01-02", "Title here", "x1", ["t"], "open")
+    assert first.markdown.endswith("Body text")
+    assert (str(second.ts.date()), second.title, second.id, second.status) == ("2024-01-03", "Bare", "w#2", "done")
+    assert (str(third.ts.date()), third.title, third.id) == ("2020-02-02", "No date", "w#3")
+    (tmp_path / "config.json").write_text('{"solution": "a.sln", "excludeGlobs": ["x/**"]}')
+    assert tables.load_config(spark, str(tmp_path / "config.json")) == tables.Config("a.sln", exclude_globs=("x/**",))
+    (tmp_path / "config.json").write_text("{broken")
+    assert tables.load_config(spark, str(tmp_path / "config.json")) == tables.load_config(spark, str(tmp_path / "none.json")) == tables.Config()
     (tmp_path / "s.slnx").write_text('<Solution><Project Path="a/a.csproj" /><Project Path="b/b.csproj" /></Solution>')
     assert [r.path for r in tables.read_solution(spark, str(tmp_path / "s.slnx")).collect()] == ["a/a.csproj", "b/b.csproj"]
 
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
-    tables.append(df, str(tmp_path / "t"))
-    tables.append(df, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
-    assert spark.read.parquet(tables.replace_all(df, str(tmp_path / "s"), 2)).count() == 2
+    own = store.Store(spark, str(tmp_path / "s"), {"t": "k string, v int", "log": "k string, v int"}, append_only={"log"}, session={"log"})
+    assert own.read("t").count() == own.version("t") == 0
+    own.replace("t", df)
+    before = own.read("t")
+    own.replace("t", df.where("k = 'a'"))
+    assert (before.count(), own.read("t").count(), own.version("t")) == (2, 1, 2)  # readers of the old version keep it
+    own.append("log", df)
+    own.append("log", df)
+    assert own.read("log").count() == 4
+    with pytest.raises(PermissionError):
+        own.replace("log", df)
+    assert own.migrate([(1, "one", lambda s: s.append("t", df))]) == [1] and own.migrate([(1, "one", None)]) == []
+    assert own.read("log").count() == 0 and own.read("t").count() == 3
     assert tables.pipe_table(df.orderBy("k"), "rows", 5, 2) == ["rows(2/5) k|v", "a|1", "b|", "…+3 more (raise limit)"]
     assert sorted(r.json for r in tables.as_json(df).collect()) == ['{"k":"a","v":1}', '{"k":"b"}']
 
@@ -105,6 +139,47 @@ def test_stream_counts_each_call_once(spark, tmp_path):
     assert [tuple(r) for r in got] == [("Grep", 1, 2)]
 
 
+def test_drafts_end_and_give_way():
+    now = [0.0]
+    drafts = store.Drafts(lambda: now[0])
+    keys = [drafts.put(k) for k in range(9)]
+    assert drafts.get(keys[0]) is None and [drafts.get(k) for k in keys[1:]] == list(range(1, 9))
+    drafts.remove(keys[1])
+    now[0] = 15 * 60
+    assert drafts.get(keys[1]) is None and drafts.get(keys[8]) is None
+
+
+def test_source_selection():
+    assert grammar.parse_source("") is grammar.parse_source("code-remarks") is grammar.parse_source("full-exact-compact") is grammar.parse_source("half") is grammar.parse_source("full@5-2") is grammar.parse_source("full@-") is grammar.parse_source("full@") is None
+    got = grammar.parse_source("FULL-remarks-typeParams-attributes-lineNumbers@46-76;79;-5")
+    assert (got.mode, got.doc_parts, got.attributes, got.comments, got.rendering) == ("full", {"remarks", "typeparam"}, True, False, "compact")
+    assert got.ranges == ((46, 76), (79, 79), (None, 5))
+    assert grammar.parse_source("@7-").ranges == ((7, None),) and grammar.parse_source("code").mode == "code"
+
+
+def test_hook_payloads(spark):
+    rows = ["", "[1]", "not json", '{"tool_name": 5}', '{"tool_name": "Read", "tool_input": "x", "session_id": 3}', '{"tool_name": "Bash", "tool_input": {"command": "ls"}, "tool_response": [1], "agent_id": "a"}']
+    got = tables.parse_hook(spark.createDataFrame([(x,) for x in rows], "value string")).orderBy("tool_name").collect()
+    assert [(r.tool_name, r.command, r.tool_input, r.tool_response, r.agent_id, r.session_id) for r in got] == [("Bash", "ls", '{"command":"ls"}', "[1]", "a", None), ("Read", None, None, None, None, None)]
+
+
+def test_names_with_nested_brackets(spark):
+    want = {"A.B.C(D.E f)": "B.C(D.E f)", "N.X<Y.Z<W>, List<A.B>>.Get(int n)": "X<Y.Z<W>, List<A.B>>.Get(int n)", "Q.N.X<Y.Z[]>.Get": "X<Y.Z[]>.Get", "Bare": "Bare", "N.Get": "N.Get"}
+    got = spark.createDataFrame([(k,) for k in want], "n string").select("n", scalars.containing(F.col("n")).alias("c")).collect()
+    assert {r.n: r.c for r in got} == want
+
+
+def test_near_names_of_members(spark):
+    names = spark.createDataFrame([("Demo.Normalizer", "source"), ("Demo.Normalizer.Run(System.String)", "source"), ("Lib.Normalizer", "external")], "fq_name string, origin string")
+    assert [r.fq_name for r in ranking.near_names(names, "fq_name", "Nrmalizer", 5).collect()] == ["Demo.Normalizer"]
+    assert [r.fq_name for r in ranking.near_names(names, "fq_name", "run", 5).collect()] == ["Demo.Normalizer.Run(System.String)"]
+
+
+def test_excludes_match_how_a_path_begins(spark):
+    paths = spark.createDataFrame([("src/gen/a.cs",), ("SRC/gen/b.cs",), ("src/genx.cs",), ("lib/a.cs",)], "path string")
+    assert [r.path for r in paths.where(tables.not_excluded(F.col("path"), ["src/gen/"])).orderBy("path").collect()] == ["lib/a.cs", "src/genx.cs"]
+
+
 def test_grammars():
     assert grammar.parse_filter("a,-b") == (["a"], ["b"])
     assert grammar.subtract([(1, 10)], [(3, 4), (10, 12)]) == [(1, 2), (5, 9)]
