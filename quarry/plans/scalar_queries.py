@@ -122,10 +122,10 @@ def _(t):
 
 
 @query("fn_18_segments", """
-SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'cat a.txt#grep ''x|y'' b' WHEN 1 THEN 'echo \; "p & q"#ls' ELSE '/usr/bin/CAT.exe z' END AS segments,
+SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'cat a.txt#grep ''x|y'' b' WHEN 1 THEN 'echo \\; "p & q"#ls' ELSE '/usr/bin/CAT.exe z' END AS segments,
   CASE p_size % 3 WHEN 0 THEN 'cat,grep' WHEN 1 THEN 'echo,ls' ELSE 'CAT' END AS commands FROM part""")
 def _(t):
-    line = F.when(F.col("p_size") % 3 == 0, "cat a.txt | grep 'x|y' b").when(F.col("p_size") % 3 == 1, 'echo \; "p & q" && ls;').otherwise("/usr/bin/CAT.exe z")
+    line = F.when(F.col("p_size") % 3 == 0, "cat a.txt | grep 'x|y' b").when(F.col("p_size") % 3 == 1, 'echo \\; "p & q" && ls;').otherwise("/usr/bin/CAT.exe z")
     parts = scalars.segments_of_command(line)
     return t.part.select("p_partkey", F.array_join(parts, "#").alias("segments"), F.array_join(F.transform(parts, scalars.command_name), ",").alias("commands"))
 
