@@ -18,16 +18,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs all larger neighbours of a node onto its smallest (large star), then smaller
     ones likewise (small star), and writes the edges; about log of the nodes rounds. The least
-    neighbour of each node is summed up before the shuffle; the join with it may still bring a hub's
-    links to one task.
+    neighbour of each node is summed up before the shuffle and written, so its size is known: it is
+    broadcast if small, else adaptive execution splits the links of a hub over tasks.
     """
     edges = common.staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = common.staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = common.staged(large.distinct())
+        least = common.staged(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = common.staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         after = _state(edges)
