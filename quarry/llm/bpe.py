@@ -10,6 +10,7 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -23,21 +24,26 @@ from . import common
 
 #: A space that another space precedes and that white space or the end follows: there a text can't be cut before its spaces.
 _UNSAFE = re.compile(r"\s\x20(?:\s|\Z)")
-#: Entries of one generation of a worker's memory of words.
-MEMO = 500_000
+#: Entries of one generation of a worker's memory of words, and the longest string that it remembers.
+MEMO, MEMO_CHARS = 500_000, 64
 
 
 class Memo:
-    """A bounded memory of encoded strings: two generations of MEMO entries; what is used again moves to the younger."""
+    """A memory of encoded strings, bounded in bytes: two generations of MEMO entries of MEMO_CHARS at most; what is used again moves to the younger."""
 
     def __init__(self, encode_many) -> None:
         self.encode_many, self.young, self.old = encode_many, {}, {}
 
-    def learn(self, words: set[str]) -> None:
-        """Makes every word known to young."""
+    def learn(self, words: set[str]) -> Callable[[str], bytes]:
+        """Makes every word known; how to find them until the next call. Long words are known until then only."""
         new = words.difference(self.young)
         if not new:
-            return
+            return self.young.__getitem__
+        if max(map(len, new)) > MEMO_CHARS:
+            long = [w for w in new if len(w) > MEMO_CHARS]
+            passing = dict(zip(long, self.encode_many(long), strict=True))
+            get = self.learn(words.difference(passing))
+            return lambda w: passing[w] if w in passing else get(w)
         if len(self.young) + len(new) > MEMO:
             self.old, self.young = self.young, {}
             new = words
@@ -47,6 +53,7 @@ class Memo:
             new = new.difference(known)
         fresh = list(new)
         self.young.update(zip(fresh, self.encode_many(fresh)))  # noqa: B905
+        return self.young.__getitem__
 
 
 class Splitter:
@@ -74,8 +81,7 @@ class Splitter:
         return self._joined(list(map(self.pattern.findall, texts)))
 
     def _joined(self, split: list[list[str]]) -> list[bytes]:
-        self.tokens.learn(set().union(*split))
-        get = self.tokens.young.__getitem__
+        get = self.tokens.learn(set().union(*split))
         return [b"".join(map(get, x)) for x in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -84,8 +90,7 @@ class Splitter:
         odd = dict(zip(whole, self._pieces([texts[i] for i in whole]), strict=True))
         split = [[] if i in odd else x.split(" ") for i, x in enumerate(texts)]
         firsts = self._pieces([x.pop(0) if x else "" for x in split])
-        self.cuts.learn(set().union(*split))
-        get = self.cuts.young.__getitem__
+        get = self.cuts.learn(set().union(*split))
         return [odd[i] if i in odd else firsts[i] + b"".join(map(get, x)) for i, x in enumerate(split)]
 
 
