@@ -38,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the shared folder, with its scheme; what tasks write there goes at exit."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _staged.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: short lineage that outlives executors."""
     spark = df.sparkSession
