@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, licenses, line_rules, lm_score, near_dup, neighbours, packing, quality, spelling, toxicity, url_filter
+from . import alignment, bpe, licenses, line_rules, lm_score, near_dup, neighbours, packing, quality, secrets, spelling, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_packing,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_spelling_variants": spelling.op11_spelling,
+    "op12_secret_scan": secrets.op12_secret_scan,
     "op13_alignment": alignment.op13_alignment,
 }
 

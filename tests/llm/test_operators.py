@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import attention, bpe, common, components, licenses, line_rules, lm_score, near_dup, neighbours, packing, quality, queries, toxicity, url_filter
+from quarry.llm import alignment, attention, bpe, common, components, licenses, line_rules, lm_score, near_dup, neighbours, packing, quality, queries, secrets, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -44,6 +44,7 @@ OPERATORS = {
     "pack": lambda s, d: packing.pack_documents(d), "near": lambda s, d: near_dup.near_duplicates(d), "quality": lambda s, d: quality.quality(d, labels(s)),
     "toxicity": lambda s, d: toxicity.toxicity(d, labels(s)), "license": lambda s, d: licenses.license_scan(d), "lm": lambda s, d: lm_score.lm_score(d, common.id_crc() % 7 != 2, sample=20),
     "lines": lambda s, d: line_rules.line_rules(d), "bpe": lambda s, d: bpe.encode_documents(d, ids=True),
+    "secrets": lambda s, d: secrets.secret_scan(d), "alignment": lambda s, d: alignment.align(d, groups=True),
 }
 
 
@@ -100,6 +101,14 @@ def test_bpe_round_trip(spark):
         assert one.ids_sha256 == hashlib.sha256(one.ids).hexdigest() and one.n_tokens * 4 == len(one.ids)
 
 
+def test_long_strings_are_not_remembered():
+    memo = bpe.Memo(lambda words: [w.encode() for w in words])
+    long = "x" * 10_000
+    get = memo.learn({"a", long, "b"})
+    assert (get("a"), get(long)) == (b"a", long.encode()) and set(memo.young) == {"a", "b"}
+    assert memo.learn({"a", long})(long) == long.encode()
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 10)
     memo = bpe.Memo(lambda words: [w.encode() for w in words])
