@@ -83,7 +83,7 @@ def shortest_path(arcs: DataFrame, start: str, end: str, most: int = 8) -> Path:
 
 @dataclass(frozen=True)
 class CallTree:
-    """GRF-4: tree (path, node, depth, cycle, repeated, omitted), reached (node, depth: all met, shown or not), omitted neighbours in all, and whether the walk stopped short."""
+    """GRF-4: tree (parent, node, depth, place, cycle, repeated, omitted), reached (node, depth: all met, shown or not), omitted neighbours in all, and whether the walk stopped short."""
 
     tree: DataFrame
     reached: DataFrame
@@ -91,51 +91,92 @@ class CallTree:
     depth_capped: bool
 
 
+def _neighbourhood(arcs: DataFrame, root: DataFrame, most: int, fan: int, cap: int) -> DataFrame:
+    """source, target, nth, n: the neighbours, by name, of all nodes that a walk of most steps meets; each node is looked up once."""
+    seen = front = root
+    found, by = None, Window.partitionBy("source")
+    for depth in range(most + 1):
+        own = arcs.join(front.withColumnRenamed("node", "source"), "source", "left_semi").distinct()
+        near = kept(own.withColumns({"nth": F.row_number().over(by.orderBy("target")), "n": F.count("*").over(by)}))
+        found = near if found is None else found.unionByName(near)
+        if depth == most or seen.count() >= cap:
+            break
+        front = kept(near.where(F.col("nth") <= fan).select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return found
+
+
 def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap: int = NODE_CAP, seeds: list[str] | None = None) -> CallTree:
     """GRF-4: the tree below root along arcs (source, target); seeds stand for the root's own neighbours.
 
     Each node shows its first fan neighbours by name; the rest are omitted, but reached. A node ends
-    as cycle where it is on its own path. Where a node with children is met again it is repeated: its
-    subtree is shown at its first place, by depth and path. The walk stops at most steps, or after the
-    level in which cap distinct nodes have been expanded; either way, and if neighbours with steps left
-    to go were omitted, depth_capped says so.
+    as cycle where it is on its own path. A node that would show children at a later place again is
+    repeated there and has no rows below; places are paths of neighbours' numbers, in the order of a
+    walk into depth. The walk stops at most steps, or at the first level before which cap distinct nodes
+    were met; either way, and if neighbours with steps left to go were omitted, depth_capped says so.
+
+    The walk goes by levels over distinct states: a node, and what of its path lies in its own strongly
+    connected component, as only that can close a cycle. Each state keeps its first place and the number
+    of its paths, so a diamond costs its nodes and not its paths. A row names its parent; none holds a path of names.
     """
     spark = arcs.sparkSession
-    near = arcs.select("source", "target").distinct()
+    near = arcs.select("source", "target")
     if seeds is not None:
-        near = near.where(F.col("source") != root).unionByName(spark.createDataFrame([(root, x) for x in seeds], "source string, target string").distinct())
-    by = Window.partitionBy("source")
-    near = kept(near.withColumns({"_rn": F.row_number().over(by.orderBy("target")), "_n": F.count("*").over(by)}))
-    many = near.select(F.col("source").alias("node"), "_n").distinct()
-    front = kept(spark.createDataFrame([([root], root, 0, False)], "path array<string>, node string, depth int, cycle boolean"))
-    tree, reached, omitted, capped = front, front.select("node", "depth"), 0, False
-    for depth in range(1, most + 2):
-        step = front.where("NOT cycle").join(near, F.col("node") == F.col("source"))
-        full = depth > most
-        hard = not full and tree.where("NOT cycle").select("node").distinct().count() >= cap
-        if full or hard:
-            beyond = step.count() if hard else int(not step.isEmpty())
-            if hard and beyond:
-                omitted, capped = omitted + beyond, capped or depth < most
-                reached = reached.unionByName(kept(step.select(F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct()))
-            capped = capped or bool(full and beyond)
+        near = near.where(F.col("source") != root).unionByName(spark.createDataFrame([(root, x) for x in seeds], "source string, target string"))
+    start = spark.createDataFrame([(root,)], "node string")
+    near = kept(_neighbourhood(near, start, most, fan, cap))
+    in_cycle = kept(_components(near.where(F.col("nth") <= fan).select("source", "target")))
+    at, to = in_cycle.select(F.col("node").alias("source"), F.col("component").alias("_from")), in_cycle.select(F.col("node").alias("target"), F.col("component").alias("_to"))
+    near = kept(near.join(at, "source", "left").join(to, "target", "left"))
+    state = start.join(in_cycle, "node", "left").select("node", F.when(F.col("component").isNotNull(), F.array("node")).otherwise(F.array().cast("array<string>")).alias("trail"), F.array().cast("array<int>").alias("place"), F.lit(1).cast("decimal(38,0)").alias("ways"))
+    state = kept(state)
+    reached, open_states, omitted, capped, stop = None, None, 0, False, most
+    met = state.select("node")
+    for depth in range(most + 1):
+        here = state.select("node").distinct().withColumn("depth", F.lit(depth))
+        reached = here if reached is None else reached.unionByName(here)
+        step = state.join(near, F.col("node") == F.col("source"))
+        if depth == most:
+            capped = capped or not step.isEmpty()
             break
-        left_out = kept(step.where(F.col("_rn") > fan).select(F.col("target").alias("node"), F.lit(depth).alias("depth")))
-        if lost := left_out.count():
-            omitted, capped = omitted + lost, capped or depth < most
-            reached = reached.unionByName(left_out.distinct())
-        shown = step.where(F.col("_rn") <= fan)
-        front = kept(shown.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("node"), F.lit(depth).alias("depth"), F.array_contains("path", F.col("target")).alias("cycle")))
-        if front.isEmpty():
+        hard = met.count() >= cap
+        left_out = kept(step.where(F.lit(hard) | (F.col("nth") > fan)).select("target", "ways"))
+        lost = left_out.agg(F.sum("ways").alias("n")).first()["n"]
+        if lost:
+            omitted, capped = omitted + int(lost), capped or depth + 1 < most
+            reached = reached.unionByName(left_out.select(F.col("target").alias("node"), F.lit(depth + 1).alias("depth")).distinct())
+        if hard:
+            stop = depth
             break
-        tree = tree.unionByName(front)
-        reached = reached.unionByName(front.where("NOT cycle").select("node", "depth"))
-    first = F.row_number().over(Window.partitionBy("node").orderBy("cycle", "depth", "path"))
-    ended = tree.join(many, "node", "left").withColumn("_first", first)
-    parents = tree.where("size(path) > 1").select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.lit(True).alias("_parent")).distinct()
-    ended = ended.join(parents, "path", "left")
-    has_children = F.coalesce("_parent", F.lit(False))
-    out = ended.select("path", "node", "depth", "cycle", (~F.col("cycle") & has_children & (F.col("_first") > 1)).alias("repeated"), F.when(has_children, F.greatest(F.col("_n") - fan, F.lit(0))).otherwise(0).cast("int").alias("omitted"))
+        now = state.withColumn("depth", F.lit(depth))
+        open_states = now if open_states is None else open_states.unionByName(now)
+        inside = F.col("_to").isNotNull() & F.col("_from").eqNullSafe(F.col("_to"))
+        trail = F.when(inside, F.array_sort(F.concat("trail", F.array("target")))).when(F.col("_to").isNotNull(), F.array("target")).otherwise(F.array().cast("array<string>"))
+        onward = step.where((F.col("nth") <= fan) & ~F.array_contains("trail", F.col("target")))
+        onward = onward.select(F.col("target").alias("node"), trail.alias("trail"), F.concat("place", F.array("nth")).alias("place"), "ways")
+        state = kept(onward.groupBy("node", "trail").agg(F.min("place").alias("place"), F.sum("ways").cast("decimal(38,0)").alias("ways")))
+        if state.isEmpty():
+            break
+        met = kept(met.unionByName(state.select("node")).distinct())
+    # each node shows its children at the first of all its places, if the places above do too
+    many = near.select(F.col("source").alias("node"), F.col("n").alias("_n")).distinct()
+    none = spark.createDataFrame([], "node string, _n long, first struct<place: array<int>, depth: int, trail: array<string>>")
+    first = none
+    if open_states is not None:
+        first = open_states.join(many, "node").groupBy("node", "_n").agg(F.min(F.struct("place", "depth", "trail")).alias("first"))
+    first = kept(first.select("node", "_n", "first.*"))
+    above = first.where("depth > 0").select("node", "depth", F.explode(F.transform(F.sequence(F.lit(0), F.col("depth") - 1), lambda k: F.slice("place", F.lit(1), k))).alias("place"))
+    hidden = above.join(first.select("place"), "place", "left_anti").select("node").distinct()
+    shown = first.join(hidden, "node", "left_anti")
+    below = shown.select(F.col("node").alias("source"), "depth", "trail", "place").join(near.where(F.col("nth") <= fan), "source")
+    rows = below.select(F.col("source").alias("parent"), F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("place", F.array("nth")).alias("place"), F.array_contains("trail", F.col("target")).alias("cycle"))
+    rows = start.select(F.lit(None).cast("string").alias("parent"), "node", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place"), F.lit(False).alias("cycle")).unionByName(rows)
+    rows = rows.join(many, "node", "left").join(first.select("node", F.col("place").alias("_first")), "node", "left")
+    opens = ~F.col("cycle") & F.col("_n").isNotNull() & (F.col("depth") < stop)
+    cut = F.when(~F.col("cycle") & (F.col("depth") == stop) & F.lit(stop < most), F.col("_n")).when(opens, F.greatest(F.col("_n") - fan, F.lit(0)))
+    out = rows.select("parent", "node", "depth", "place", "cycle", (opens & (F.col("_first") != F.col("place"))).alias("repeated"), F.coalesce(cut, F.lit(0)).cast("int").alias("omitted"))
     return CallTree(kept(out), reached.distinct(), omitted, capped)
 
 
@@ -145,29 +186,45 @@ def depth_counts(reached: DataFrame) -> DataFrame:
 
 
 def rename_chain(renames: DataFrame) -> DataFrame:
-    """GRF-5, SET-2: id, former, depth: everything an id was called before (renames: id, old_id), cycles once, however long the chain."""
-    arcs = kept(renames.where("old_id IS NOT NULL").select(F.col("id").alias("_now"), "old_id").distinct())
-    seen = front = kept(renames.select("id").distinct().select("id", F.col("id").alias("former"), F.lit(0).alias("depth")))
-    depth = 0
-    while not front.isEmpty():
-        depth += 1
-        step = front.join(arcs, F.col("former") == F.col("_now")).select("id", F.col("old_id").alias("former")).distinct()
-        front = kept(step.join(seen, ["id", "former"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(front)
-    return seen
+    """GRF-5, SET-2: id, former, depth: everything an id was called before (renames: id, old_id), at its least depth, cycles once.
 
+    Pairs are joined with themselves: those just 2^k renames apart, and from there all that are 2^k apart
+    at most, give those up to 2^(k + 1). So rounds grow with the logarithm of the longest chain, and a
+    pair is found once for each node halfway.
+    """
+    ids = renames.select("id").distinct().select("id", F.col("id").alias("former"), F.lit(0).alias("depth"))
+    known = kept(renames.where("old_id IS NOT NULL AND id <> old_id").select("id", F.col("old_id").alias("former"), F.lit(1).alias("depth")).distinct())
+    reach = 1
+    while not (jumps := known.where(F.col("depth") == reach)).isEmpty():
+        far = known.select(F.col("id").alias("_mid"), F.col("former").alias("_far"), F.col("depth").alias("_more"))
+        longer = jumps.join(far, F.col("former") == F.col("_mid")).where("id <> _far").select("id", F.col("_far").alias("former"), (F.col("depth") + F.col("_more")).alias("depth"))
+        known = kept(known.unionByName(longer).groupBy("id", "former").agg(F.min("depth").alias("depth")))
+        reach *= 2
+    return ids.unionByName(known)
 
-def _trimmed(arcs: DataFrame) -> tuple[DataFrame, int]:
-    """The arcs left once nodes that none leads to, or that lead to none, have gone, over and over; and how many."""
-    n = arcs.count()
-    while n:
-        inner = arcs.join(arcs.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        arcs = kept(inner.join(arcs.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        m = arcs.count()
-        if m == n:
-            break
-        n = m
-    return arcs, n
+
+def _trimmed(arcs: DataFrame) -> DataFrame:
+    """The arcs left once the nodes that none leads to, or that lead to none, have gone; one layer at either end."""
+    inner = arcs.join(arcs.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+    return inner.join(arcs.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+
+
+def _closed(step: DataFrame) -> DataFrame:
+    """id, end, last, least, steps, on: where following to (id, to, both strings; one row an id) leads for every id, by doubling.
+
+    end is the first node that isn't an id itself, last the id before it and steps the arcs to it, with
+    on false; where none is met, the walk goes round a cycle: on is true and least the cycle's least node.
+    """
+    ids = step.count()
+    inner = step.select(F.col("id").alias("to"), F.lit(True).alias("on"))
+    state = kept(step.join(inner, "to", "left").select("id", F.col("to").alias("end"), F.col("id").alias("last"), F.least("id", "to").alias("least"), F.lit(1).cast("long").alias("steps"), F.coalesce("on", F.lit(False)).alias("on")))
+    reach = 1
+    while reach < 2 * ids and not state.where("on").isEmpty():
+        ahead = state.select(F.col("id").alias("end"), *[F.col(c).alias(f"_{c}") for c in ("end", "last", "least", "steps", "on")])
+        go = state.where("on").join(ahead, "end").select("id", F.col("_end").alias("end"), F.col("_last").alias("last"), F.least("least", "_least").alias("least"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_on").alias("on"))
+        state = kept(state.where("NOT on").unionByName(go))
+        reach *= 2
+    return state
 
 
 def _least_origin(arcs: DataFrame) -> DataFrame:
@@ -184,31 +241,69 @@ def _least_origin(arcs: DataFrame) -> DataFrame:
         before = now
 
 
-def cycles(arcs: DataFrame) -> DataFrame:
-    """GRF-6: component (the least node), members (sorted): strongly connected components with a cycle, self-loops included.
+def _components(arcs: DataFrame) -> DataFrame:
+    """node, component: the strongly connected component, by its least node, of every node on a cycle.
 
-    Nodes outside of cycles are trimmed; the rest take the least node that reaches them as their
-    colour, and what reaches that node within its colour is its component. Components found go, and
-    the rest is coloured anew; no closure of the graph is ever built.
+    Runs of nodes with one arc in and one out become a single arc, by doubling, so that a chain or a ring
+    of any length takes rounds in the logarithm of its length; what then has no arc in or no arc out goes.
+    Both are repeated until nothing changes. The rest takes the least node that reaches it as its colour,
+    and what reaches that node within its colour is its component; the others are coloured anew. Runs
+    whose both ends are in one component belong to it.
     """
-    left, found = kept(arcs.select("source", "target").distinct()), None
-    loops = left.where("source = target").select(F.col("source").alias("node"))
+    arcs = kept(arcs.select("source", "target").distinct())
+    left, found, rounds = arcs, [], []
     while True:
-        left, n = _trimmed(left)
-        if not n:
+        loops = left.where("source = target")
+        found.append(loops.select(F.col("source").alias("node"), F.col("source").alias("component")))
+        plain = left.where("source <> target")
+        one_in = plain.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("_in"), F.first("source").alias("from"))
+        one_out = plain.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("_out"), F.first("target").alias("to"))
+        run = one_in.join(one_out, "id").where("_in = 1 AND _out = 1").join(loops.select(F.col("source").alias("id")), "id", "left_anti")
+        run = kept(run.select("id", "from", "to"))
+        if not run.isEmpty():
+            ends = _closed(run.select("id", "to"))
+            rings = ends.where("on").select(F.col("id").alias("node"), F.col("least").alias("component"))
+            found.append(rings)
+            whole = ends.where("NOT on").select("id", "last", "steps", F.col("end").alias("tail"))
+            heads = whole.join(run.select("id", "from"), "id").groupBy("last").agg(F.max_by("from", "steps").alias("head"))  # a run starts at its farthest id
+            through = kept(whole.join(heads, "last").select("id", "head", "tail"))
+            rounds.append(through)
+            short = through.select(F.col("head").alias("source"), F.col("tail").alias("target")).distinct()
+            rest = plain.join(run.select(F.col("id").alias("source")), "source", "left_anti").join(run.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target")
+            plain = rest.unionByName(short).distinct()
+        before = left
+        left = kept(_trimmed(kept(plain)))
+        if left.isEmpty():
+            break
+        if left.count() == before.where("source <> target").count() and left.where("source = target").isEmpty():
             break
+    while not left.isEmpty():
         colour = _least_origin(left)
         ends = colour.select(F.col("node").alias("target"), F.col("origin").alias("_o"))
         same = left.join(colour.withColumnRenamed("node", "source"), "source").join(ends, "target").where("origin = _o")
         back = levels(colour.where("node = origin").select("node"), same.select(F.col("target").alias("source"), F.col("source").alias("target")))
         members = kept(back.select("node").join(colour, "node").select("node", F.col("origin").alias("component")))
-        found = members if found is None else found.unionByName(members)
+        found.append(members.join(members.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1"), "component").select("node", "component"))
         gone = members.select("node")
-        left = kept(left.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target"))
-    if found is None:
-        return arcs.sparkSession.createDataFrame([], "component string, members array<string>")
-    named = found.join(loops.withColumn("_loop", F.lit(True)), "node", "left")
-    return named.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"), F.bool_or("_loop").alias("_loop")).where((F.size("members") > 1) | F.col("_loop")).drop("_loop")
+        left = left.join(gone.select(F.col("node").alias("source")), "source", "left_anti").join(gone.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target")
+        left = kept(_trimmed(left))
+    all_found = found[0]
+    for more in found[1:]:
+        all_found = all_found.unionByName(more)
+    known = kept(all_found.groupBy("node").agg(F.min("component").alias("component")))
+    for through in reversed(rounds):  # the later runs hold the ends of the earlier ones
+        head, tail = known.select(F.col("node").alias("head"), F.col("component").alias("_h")), known.select(F.col("node").alias("tail"), F.col("component").alias("_t"))
+        inner = through.join(head, "head", "left").join(tail, "tail", "left").where((F.col("head") == F.col("tail")) | (F.col("_h") == F.col("_t")))
+        inner = inner.select(F.col("id").alias("node"), F.coalesce("_h", "head").alias("component"))
+        ends = inner.select(F.col("component").alias("node"), "component")
+        known = kept(known.unionByName(inner).unionByName(ends).groupBy("node").agg(F.min("component").alias("component")))
+    least = known.groupBy("component").agg(F.min("node").alias("_least"))
+    return known.join(least, "component").select("node", F.col("_least").alias("component"))
+
+
+def cycles(arcs: DataFrame) -> DataFrame:
+    """GRF-6: component (the least node), members (sorted): strongly connected components with a cycle, self-loops included."""
+    return _components(arcs).groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
 
 
 def dependents(arcs: DataFrame, changed: DataFrame, most: int | None = None) -> DataFrame:

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from ..operators import graph, metrics, relational
 from .registry import query
 
-_ARCS = "(SELECT 'n' || n_nationkey AS source, 'n' || ((n_nationkey * 2 + 1) % 23) AS target FROM nation WHERE n_nationkey < 23 UNION SELECT 'n' || n_nationkey, 'n' || (n_nationkey // 2) FROM nation WHERE n_nationkey BETWEEN 10 AND 15)"
+_ARCS = "(SELECT 's' || s_suppkey AS source, 's' || CASE WHEN s_acctbal >= 0 THEN (s_suppkey * 2 + 1) % n ELSE s_suppkey // 2 END AS target FROM supplier, (SELECT count(*) AS n FROM supplier) UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
 
 
 def _arcs(t):
-    key = F.col("n_nationkey")
-    name = lambda c: F.concat(F.lit("n"), c.cast("int").cast("string"))
-    one = t.nation.where("n_nationkey < 23").select(name(key).alias("source"), name((key * 2 + 1) % 23).alias("target"))
-    return one.union(t.nation.where("n_nationkey BETWEEN 10 AND 15").select(name(key), name(F.floor(key / 2)))).distinct()
+    """Every supplier has an arc to another one, by its balance, and one to its nation."""
+    key, n = F.col("s_suppkey"), t.supplier.agg(F.count("*").alias("n"))
+    name = lambda p, c: F.concat(F.lit(p), c.cast("long").cast("string"))
+    other = F.when(F.col("s_acctbal") >= 0, (key * 2 + 1) % F.col("n")).otherwise(F.floor(key / 2))
+    one = t.supplier.join(F.broadcast(n)).select(name("s", key).alias("source"), name("s", other).alias("target"))
+    return one.union(t.supplier.select(name("s", key), name("n", F.col("s_nationkey")))).distinct()
 
 
 _BIG = "(SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
@@ -93,10 +95,15 @@ _LEVELS = f"""
 WITH RECURSIVE a AS {_ARCS}, w(node, depth) AS (SELECT '{{start}}', 0 UNION SELECT {{next}}, depth + 1 FROM w JOIN a ON {{here}} = node WHERE depth < {{most}})"""
 
 
-@query("grf_03_path_depth", _LEVELS.format(start="n2", next="target", here="source", most=8) + " SELECT CAST(min(depth) AS INTEGER) AS depth, 'n2' AS first, 'n0' AS last, CAST(min(depth) AS BIGINT) AS arcs FROM w WHERE node = 'n0'")
+_DOWN = f"""
+WITH RECURSIVE a AS {_BIG}, w(node, depth) AS (SELECT 'p1', 0 UNION SELECT target, depth + 1 FROM w JOIN a ON source = node WHERE depth < 8)"""
+
+
+@query("grf_03_path_depth", _DOWN + " SELECT CAST(min(depth) AS INTEGER) AS depth, 'p1' AS first, max(node) AS last, CAST(min(depth) AS BIGINT) AS arcs FROM w WHERE node = (SELECT min(node) FROM w WHERE node LIKE 'r%')")
 def _(t):
-    arcs = _arcs(t)
-    nodes = graph.shortest_path(arcs, "n2", "n0", 8).nodes
+    arcs = _big(t)
+    down = graph.levels(t.spark.createDataFrame([("p1",)], "node string"), arcs).where("node LIKE 'r%'").agg(F.min("node").alias("node"))
+    nodes = graph.shortest_path(arcs, "p1", down.first()["node"], 8).nodes
     steps = t.spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "source string, target string")
     found = steps.join(arcs, ["source", "target"], "left_semi").agg(F.count("*").alias("arcs"))
     return found.select(F.lit(len(nodes) - 1).alias("depth"), F.lit(nodes[0]).alias("first"), F.lit(nodes[-1]).alias("last"), "arcs")
@@ -109,10 +116,10 @@ r AS (SELECT node, depth FROM w UNION SELECT a.target, depth + 1 FROM w JOIN a O
 SELECT CAST(depth AS INTEGER) AS depth, count(DISTINCT node) AS nodes FROM r GROUP BY 1"""
 
 
-@query("grf_04_depth_counts", _PATHS.format(start="n5", most=5, fan=1))
+@query("grf_04_depth_counts", _PATHS.format(start="n5", most=6, fan=1))
 def _(t):
     callers = _arcs(t).select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return graph.depth_counts(graph.call_tree(callers, "n5", 5, fan=1).reached)
+    return graph.depth_counts(graph.call_tree(callers, "n5", 6, fan=1).reached)
 
 
 @query("agg_23_blast_radius", _PATHS.format(start="n1", most=4, fan=1000))
@@ -121,6 +128,23 @@ def _(t):
     return graph.depth_counts(graph.call_tree(callers, "n1", 4).reached)
 
 
+_CALLS = f"(SELECT target AS source, source AS target FROM {_BIG} UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem)"
+
+
+@query("grf_04_tree", f"""
+WITH RECURSIVE a AS (SELECT source, target, CAST(row_number() OVER (PARTITION BY source ORDER BY target) AS INTEGER) AS nth, count(*) OVER (PARTITION BY source) AS n FROM {_CALLS}),
+w(parent, node, depth, above, place) AS (SELECT CAST(NULL AS VARCHAR), 'r1', 0, CAST(NULL AS INTEGER[]), CAST([] AS INTEGER[]) UNION ALL SELECT w.node, a.target, depth + 1, place, list_append(place, nth) FROM w JOIN a ON a.source = w.node WHERE depth < 4 AND nth <= 200),
+f AS (SELECT node, min(place) AS first FROM w WHERE depth < 4 AND node IN (SELECT source FROM a) GROUP BY 1)
+SELECT w.parent, w.node, w.depth, array_to_string(w.place, '.') AS place, coalesce(w.place <> f.first, false) AS repeated,
+  CAST(CASE WHEN w.depth < 4 THEN coalesce((SELECT max(n) - 200 FROM a WHERE a.source = w.node AND n > 200), 0) ELSE 0 END AS INTEGER) AS omitted
+FROM w LEFT JOIN f ON f.node = w.node AND w.depth < 4 LEFT JOIN f up ON up.node = w.parent WHERE w.parent IS NULL OR w.above = up.first""")
+def _(t):
+    calls = _big(t).select(F.col("target").alias("source"), F.col("source").alias("target"))
+    orders = t.lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("o"), "l_orderkey").alias("target")).distinct()
+    tree = graph.call_tree(calls.unionByName(orders), "r1", 4, fan=200, cap=10**9).tree
+    return tree.select("parent", "node", "depth", F.array_join("place", ".").alias("place"), "repeated", "omitted")
+
+
 @query("grf_05_rename_chain", f"""
 WITH RECURSIVE a AS {_ARCS}, w(id, former) AS (SELECT DISTINCT source, source FROM a UNION SELECT id, target FROM w JOIN a ON source = former) SELECT id, former FROM w""")
 def _(t):

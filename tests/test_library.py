@@ -1,5 +1,8 @@
 """Row fixtures for operators that queries don't reach, or only in part."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +41,73 @@ def test_a_cycle_ends_its_branch(spark):
     assert not got.depth_capped
 
 
+def _walked(pairs, root, most, fan):
+    """The tree, what is reached, neighbours left out and whether the walk was cut, by all paths."""
+    near, shown, reached, lost = {}, set(), set(), []
+    for a, b in sorted(set(pairs)):
+        near.setdefault(a, []).append(b)
+
+    def walk(parent, node, path, place):
+        depth, below = len(place), []
+        reached.add((node, depth))
+        if depth < most:
+            reached.update((x, depth + 1) for x in near.get(node, [])[fan:])
+            lost.extend(depth + 1 < most for _ in near.get(node, [])[fan:])
+            for k, x in enumerate(near.get(node, [])[:fan], 1):
+                below += [(node, x, depth + 1, (*place, k), True, False, 0)] if x in path else walk(node, x, path | {x}, (*place, k))
+        elif node in near:
+            lost.append(None)
+        again = bool(below) and node in shown
+        shown.update([node] if below else [])
+        return [(parent, node, depth, place, False, again, max(len(near.get(node, [])) - fan, 0) if depth < most else 0), *([] if again else below)]
+
+    rows = walk(None, root, {root}, ())
+    return Counter(rows), reached, sum(x is not None for x in lost), any(x is not False for x in lost)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_call_tree_and_components_by_all_paths(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(rng.choice([8, 14, 22]))]
+    fan, most = rng.choice([1, 2, 50]), rng.choice([2, 4, 5])
+    got = graph.call_tree(arcs(spark, pairs), "n0", most, fan)
+    tree = Counter((r.parent, r.node, r.depth, tuple(r.place), r.cycle, r.repeated, r.omitted) for r in got.tree.collect())
+    assert (tree, {(r.node, r.depth) for r in got.reached.collect()}, got.omitted, got.depth_capped) == _walked(pairs, "n0", most, fan)
+    reach = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+    for _ in range(9):
+        reach = {a: b.union(*(reach.get(x, set()) for x in b)) for a, b in reach.items()}
+    want = {tuple(sorted(y for y in reach if y in reach[x] and x in reach[y])) for x in reach if x in reach[x]}
+    assert {tuple(r.members) for r in graph.cycles(arcs(spark, pairs)).collect()} == want
+
+
+def test_diamonds_cost_their_nodes(spark):
+    layers = [p for i in range(8) for c in "abcdefgh" for p in ((f"x{i}", f"{c}{i}"), (f"{c}{i}", f"x{i + 1}"))]  # 8^8 paths
+    got = graph.call_tree(arcs(spark, [*layers, ("x8", "end")]), "x0", 20)
+    rows = got.tree.collect()
+    repeated = {tuple(r.place) for r in rows if r.repeated}
+    assert len(rows) == 1 + 16 * 8 + 1 and len(repeated) == 7 * 8 and not got.depth_capped
+    assert not any(tuple(r.place[:-1]) in repeated for r in rows)
+
+
+@pytest.mark.parametrize("ring", [False, True])
+def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch, ring):
+    rounds = []
+    closed = graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: rounds.append(1) or closed(df))
+    n = 600
+    pairs = [(f"{i:05}", f"{(i + 1) % n if ring else i + 1:05}") for i in range(n)]
+    found = graph.cycles(arcs(spark, pairs)).collect()
+    assert [len(r.members) for r in found] == ([n] if ring else []) and len(rounds) <= 20
+
+
+def test_rename_chain_doubles(spark, monkeypatch):
+    rounds = []
+    closed = graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: rounds.append(1) or closed(df))
+    got = graph.rename_chain(spark.createDataFrame([(f"{i + 1}", f"{i}") for i in range(600)], "id string, old_id string")).agg(F.count("*"), F.max("depth")).first()
+    assert tuple(got) == (600 + 600 * 601 // 2, 600) and len(rounds) <= 11
+
+
 @pytest.mark.parametrize(("pairs", "found"), [([], []), ([("a", "b"), ("b", "c")], []), ([("a", "a")], [["a"]]), ([("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c")], [["a", "b"], ["c", "d", "e"]])])
 def test_cycles(spark, pairs, found):
     assert sorted(r.members for r in graph.cycles(arcs(spark, pairs)).collect()) == found
