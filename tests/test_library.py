@@ -209,14 +209,67 @@ def test_stream_counts_each_call_once(spark, tmp_path):
     assert [tuple(r) for r in got] == [("Grep", 1, 2)]
 
 
-def test_drafts_end_and_give_way():
-    now = [0.0]
-    drafts = store.Drafts(lambda: now[0])
-    keys = [drafts.put(k) for k in range(9)]
-    assert drafts.get(keys[0]) is None and [drafts.get(k) for k in keys[1:]] == list(range(1, 9))
-    drafts.remove(keys[1])
-    now[0] = 15 * 60
-    assert drafts.get(keys[1]) is None and drafts.get(keys[8]) is None
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", ["_write", "_publish"])
+def test_a_crash_leaves_the_old_state_and_a_retry_succeeds(spark, tmp_path, monkeypatch, at):
+    own = store.Store(spark, str(tmp_path / "s"), {"symbols": "k string", "edges": "k string", "facts": "k string"})
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
+    state = lambda: [sorted(r.k for r in own.read(n).collect()) for n in ("symbols", "edges", "facts")]
+
+    def refresh(*k):
+        step = own.begin()
+        step.replace("symbols", rows(*k))
+        step.append("edges", rows(*k))
+        step.replace("facts", step.read("facts").unionByName(rows("f")))
+        step.commit()
+
+    refresh("a")
+    for nth in (1, 2, 3) if at == "_write" else (1,):
+        real, calls = getattr(own, at), []
+
+        def broken(*args, real=real, calls=calls, nth=nth):
+            calls.append(1)
+            if len(calls) == nth:
+                raise Crash
+            return real(*args)
+
+        monkeypatch.setattr(own, at, broken)
+        with pytest.raises(Crash):
+            refresh("b", "c")
+        monkeypatch.undo()
+        assert state() == [["a"], ["a"], ["f"]]
+    refresh("b", "c")
+    assert state() == [["b", "c"], ["a", "b", "c"], ["f", "f"]]
+    assert own.vacuum() >= 2 and state() == [["b", "c"], ["a", "b", "c"], ["f", "f"]] and own.vacuum() == 0
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    schemas = {"t": "k string", "log": "k string"}
+    own, other = (store.Store(spark, str(tmp_path / "s"), schemas, append_only=x) for x in ({"log"}, set()))
+    rows = spark.createDataFrame([("a",)], "k string")
+    one, two, three = own.begin(), other.begin(), other.begin()
+    one.replace("t", rows)
+    two.replace("t", rows.union(rows))
+    three.append("log", rows)
+    assert one.commit() and three.commit()  # appends to another table don't touch
+    with pytest.raises(store.Conflict):
+        two.commit()
+    assert (own.read("t").count(), other.read("log").count()) == (1, 1)
+    with pytest.raises(PermissionError):  # the log holds the guard
+        other.replace("log", rows)
+
+
+def test_a_batch_counts_once(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path / "s"), {"t": "k string"})
+    rows = spark.createDataFrame([("a",)], "k string")
+    for number, fresh in ((0, True), (0, False), (1, True), (0, False)):
+        step = own.begin()
+        step.append("t", rows)
+        assert step.commit(("stream", number)) is fresh
+    assert own.read("t").count() == 2
 
 
 def test_source_selection():
