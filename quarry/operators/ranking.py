@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..plans import grammar
+from ..sources.store import kept
 from .relational import first_by
 
 #: Tokens of a vocabulary that nearest_token broadcasts at most.
@@ -21,19 +22,29 @@ def postings(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     return rows.select(key, F.size("_terms").alias("doc_len"), F.explode("_terms").alias("term")).groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, key: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """TXT-4: scores by prefix terms, each prefix one phrase whose frequency sums over its words; least idf 1e-6. Counts of the whole index are one broadcast row."""
-    sums = index.select(key, "doc_len").distinct().agg(F.count("*").alias("documents"), F.avg("doc_len").alias("mean_length"))
-    hits = None
+def prefix_hits(index: DataFrame, key: str, query: list[str]) -> DataFrame:
+    """q, key, doc_len, tf: one read of the index for all prefixes; the words that one prefix begins sum up."""
+    any_of = F.lit(False)
     for q in query:
-        one = index.where(F.col("term").startswith(q)).groupBy(key, "doc_len").agg(F.sum("tf").alias("tf")).withColumn("q", F.lit(q))
-        hits = one if hits is None else hits.unionByName(one)
+        any_of = any_of | F.col("term").startswith(q)
+    own = F.filter(F.array(*[F.lit(q) for q in query]), lambda q: F.startswith("term", q))
+    return index.where(any_of).select(key, "doc_len", "tf", F.explode(own).alias("q")).groupBy("q", key, "doc_len").agg(F.sum("tf").alias("tf"))
+
+
+def weighed(hits: DataFrame, key: str, sums: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """key, score of hits (q, key, doc_len, tf) in a corpus of sums (documents, mean_length; one row); least idf 1e-6."""
     df = hits.groupBy("q").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_length")))
     return hits.join(F.broadcast(df.join(F.broadcast(sums))), "q").groupBy(key).agg(F.sum(idf * weight).alias("score"))  # one row a query term
 
 
+def bm25(index: DataFrame, key: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """TXT-4: scores by prefix terms, each prefix one phrase whose frequency sums over its words. Counts of the whole index are one broadcast row."""
+    sums = index.select(key, "doc_len").distinct().agg(F.count("*").alias("documents"), F.avg("doc_len").alias("mean_length"))
+    return weighed(prefix_hits(index, key, query), key, sums, k1, b)
+
+
 def promoted(hits: DataFrame, name: str, query: str, limit: int) -> DataFrame:
     """TXT-4, SRT-1: hits (score) with rank, the best first: exact names and prefixes before all others, then by score, length and name."""
     ranked = hits.withColumn("rank", name_rank(F.col(name), query))
@@ -47,7 +58,7 @@ def search(symbols: DataFrame, query: str, limit: int, kinds: str | None = None,
     stands; several terms each have their share of the limit first, in their order, and what is left
     goes to the best hits of the whole query.
     """
-    index = postings(symbols, "symbol_id", scalars.index_terms(F.col("fq_name")))
+    index = kept(postings(symbols, "symbol_id", scalars.index_terms(F.col("fq_name"))))  # written once, read for each list
     allowed = symbols.where(grammar.kind_filter(F.col("kind"), kinds) & grammar.tag_filter(F.col("modifiers"), modifiers) & grammar.origin_filter(F.col("origin"), origin)).select("symbol_id", "fq_name")
 
     def ranked(text: str, take: int) -> DataFrame:
@@ -135,8 +146,12 @@ def did_you_mean(names: DataFrame, column: str, query: str, limit: int) -> DataF
 
 
 def uncovered_terms(terms: DataFrame, index: DataFrame) -> DataFrame:
-    """TXT-12: query terms that begin no indexed term."""
-    return terms.join(index.select(F.col("term").alias("_t")).distinct(), F.col("_t").startswith(F.col("term")), "left_anti")
+    """TXT-12: query terms that begin no indexed term. The terms of one query are broadcast, never the vocabulary: each task finds which of them begin its own words."""
+    if terms.limit(VOCABULARY + 1).count() > VOCABULARY:
+        raise ValueError(f"a query has {VOCABULARY} terms at most")
+    asked = F.broadcast(terms.agg(F.collect_set("term").alias("_asked")))
+    begun = index.select(F.col("term").alias("_t")).join(asked).select(F.explode(F.filter("_asked", lambda q: F.startswith("_t", q))).alias("term")).distinct()
+    return terms.join(begun, "term", "left_anti")
 
 
 def log_score(entries: DataFrame, tokens: list[str]) -> DataFrame:

@@ -193,3 +193,41 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
 def capped(lists: dict[str, DataFrame], order: list[Column], caps: dict[str, int]) -> dict[str, DataFrame]:
     """SRT-6: the head of each list under its own cap, with its true total."""
     return {k: _with_total(d.orderBy(*order).limit(caps[k]), d) for k, d in lists.items()}
+
+
+def interval_pairs(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
+    """FLT-17: the rows of left and right (no column name in common) whose ranges, both ends included, overlap; each pair once.
+
+    A range of up to 2^k integers has level k and touches two bins of that width at most. Two ranges meet
+    in the bins of the coarser of their levels, so a range goes to the bins of its own level and of each
+    coarser one that the other side has; the bin in which the later start lies is the one that counts.
+    Ranges that lack an end, or end before they start, overlap nothing. The levels, 63 at most, reach the driver.
+    """
+    sides = []
+    for df, (low, high) in ((left, left_range), (right, right_range)):
+        size = F.col(high) - F.col(low) + 1
+        bits = F.length(F.bin(size.cast("long") - 1))
+        sides.append(df.where(F.col(low) <= F.col(high)).withColumn("_level", F.when(size == 1, 0).otherwise(bits).cast("int")))
+    present = [sorted(r["_level"] for r in s.select("_level").distinct().collect()) for s in sides]
+
+    def binned(df: DataFrame, own: int, names: tuple[str, str]) -> DataFrame:
+        levels = F.array_union(F.array("_level"), F.filter(F.array(*[F.lit(x) for x in present[1 - own]]).cast("array<int>"), lambda x: x > F.col("_level")))
+        out = df.withColumn("_at", F.explode(levels))
+        first, last = (F.expr(f"CAST({c} AS BIGINT) - pmod(CAST({c} AS BIGINT), shiftleft(1L, _at))") for c in names)
+        return out.withColumn("_bin", F.explode(F.array_distinct(F.array(first, last))))
+
+    one, two = binned(sides[0], 0, left_range), binned(sides[1], 1, right_range)
+    two = two.withColumnsRenamed({"_level": "_level2", "_at": "_at2", "_bin": "_bin2"})
+    meets = (F.col("_at") == F.col("_at2")) & (F.col("_bin") == F.col("_bin2")) & (F.col("_at") == F.greatest("_level", "_level2"))
+    later = F.greatest(F.col(left_range[0]).cast("long"), F.col(right_range[0]).cast("long"))
+    meets = meets & (F.col(left_range[0]) <= F.col(right_range[1])) & (F.col(right_range[0]) <= F.col(left_range[1]))
+    meets = meets & (later - F.pmod(later, F.expr("shiftleft(1L, _at)")) == F.col("_bin"))
+    return one.join(two, meets).drop("_level", "_at", "_bin", "_level2", "_at2", "_bin2")
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str, left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
+    """FLT-17: the rows of left (key is unique) that overlap any range of right."""
+    low, high = right_range
+    others = right.select(F.col(low).alias("_low"), F.col(high).alias("_high")).distinct()
+    hit = interval_pairs(left.select(key, *left_range), others, left_range, ("_low", "_high"))
+    return left.join(hit.select(key).distinct(), key, "left_semi")

@@ -86,11 +86,6 @@ def log_filter(
     return out
 
 
-def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:
-    """FLT-17: two ranges, ends included, have a line in common."""
-    return (start <= high) & (low <= end)
-
-
 def line_ranges(line: Column, text: str, last: int | None = None) -> Column:
     """FLT-16: @46-76;79-83;100-;-5, or single lines."""
     out = F.lit(False)

@@ -263,7 +263,18 @@ def _(t):
 def _(t):
     spans = t.events.select("event_id", (F.col("event_id") % 1000).alias("s"), (F.col("event_id") % 1000 + 2).alias("e"))
     changed = t.nation.select((F.col("n_nationkey") * 40).alias("low"), (F.col("n_nationkey") * 40 + 3).alias("high"))
-    return spans.join(changed, grammar.overlaps(F.col("s"), F.col("e"), F.col("low"), F.col("high")), "left_semi").select("event_id")
+    return relational.overlapping(spans, changed, "event_id", ("s", "e"), ("low", "high")).select("event_id")
+
+
+_SPANS = "(SELECT o_orderkey, o_orderkey * 3 + o_custkey % 7 AS s, o_orderkey * 3 + CAST(o_custkey % 11 * (o_custkey % 11) * (o_custkey % 11) AS BIGINT) AS e FROM orders)"
+
+
+@query("flt_17_interval_join", f"SELECT o_orderkey, event_id FROM {_SPANS} o JOIN events a ON o.s <= o.e AND o.s <= a.event_id * 5 + a.user_id % 9 AND a.event_id * 5 <= o.e")
+def _(t):
+    cube = F.col("o_custkey") % 11
+    spans = t.orders.select("o_orderkey", (F.col("o_orderkey") * 3 + F.col("o_custkey") % 7).alias("s"), (F.col("o_orderkey") * 3 + cube * cube * cube).alias("e"))
+    events = t.events.select("event_id", (F.col("event_id") * 5).alias("low"), (F.col("event_id") * 5 + F.col("user_id") % 9).alias("high"))
+    return relational.interval_pairs(spans, events, ("s", "e"), ("low", "high")).select("o_orderkey", "event_id")
 
 
 @query("prj_01_columns", "SELECT p_partkey, p_name, p_size FROM part")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import metrics, ranking, relational
+from ..operators import metrics, ranking, relational, term_index
+from ..sources import store
 from .registry import query
 
 _NAMES = "(SELECT DISTINCT p_name || '_' || p_type AS name FROM part)"
@@ -195,3 +196,32 @@ def _(t):
 def _(t):
     names = _symbols(t).select(F.substring_index("fq_name", "(", 1).alias("name")).distinct()
     return ranking.near_names(names, "name", "blue_blt", 5).select("name")
+
+
+_NOW = "(SELECT p_partkey AS id, unnest(string_split(CASE WHEN p_size BETWEEN 20 AND 25 THEN 'gadget ' || lower(p_type) ELSE lower(p_name || ' ' || p_type) END, ' ')) AS term FROM part WHERE p_size <= 40)"
+
+
+def _kept_index(t):
+    """An index of the parts' words, built, then refreshed: small parts are new, large ones gone, some have other names."""
+    own = store.Store(t.spark, store.shared_folder(t.spark, "index"), {})
+    index, size = term_index.TermIndex(own, "part", t.part.schema["p_partkey"].dataType.simpleString()), F.col("p_size")
+    first = t.part.select(F.col("p_partkey").alias("key"), "p_size", F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("terms"))
+    other = t.part.select(F.col("p_partkey").alias("key"), "p_size", F.split(F.lower(F.concat_ws(" ", F.lit("gadget"), "p_type")), " ").alias("terms"))
+    step = own.begin()
+    index.build(step, first.where(size >= 10).drop("p_size"))
+    step.commit()
+    step = own.begin()
+    index.refresh(step, first.where((size > 40) | size.between(20, 25)).drop("p_size"), first.where(size < 10).unionByName(other.where(size.between(20, 25))).drop("p_size"))
+    step.commit()
+    return index
+
+
+@query("txt_18_kept_index", f"""WITH {_BM25.format(index=_NOW, terms="('red'), ('wid'), ('gad')")} SELECT id AS p_partkey, round(score, 6) AS score FROM scores""")
+def _(t):
+    return _kept_index(t).search(["red", "wid", "gad"]).select(F.col("key").alias("p_partkey"), F.round("score", 6).alias("score"))
+
+
+@query("txt_18_kept_terms", f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM {_NOW} GROUP BY 1")
+def _(t):
+    index = _kept_index(t)
+    return index.store.read(index.terms)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
-from quarry.operators import graph, incremental, metrics, ranking, relational
+from quarry.operators import graph, incremental, metrics, ranking, relational, term_index
 from quarry.plans import grammar
 from quarry.sources import store, tables
 from quarry.streaming import ingest
@@ -325,3 +325,56 @@ def test_parameter_types_with_brackets_and_defaults(spark):
     }
     rows = spark.createDataFrame([(k,) for k in want], "sig string").select("sig", scalars.parameter_types(F.col("sig")).alias("types")).collect()
     assert {r.sig: r.types for r in rows} == want
+
+
+def test_a_refreshed_index_equals_a_rebuilt_one(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: rng.choice("redwood red reed blue bluebell green greenery".split())
+    docs = lambda ids: {i: [word() for _ in range(rng.randrange(5))] for i in ids}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "key long, terms array<string>")
+    held = docs(range(30))
+    own = store.Store(spark, str(tmp_path / "s"), {"symbols": "key long, terms array<string>"})
+    index = term_index.TermIndex(own, "i", "long")
+    step = own.begin()
+    step.replace("symbols", frame(held))
+    index.build(step, frame(held))
+    step.commit()
+    for turn in range(3):
+        gone, changed, fresh = rng.sample(sorted(held), 4), docs(rng.sample(sorted(held), 6)), docs(range(100 + 10 * turn, 105 + 10 * turn))
+        changed = {k: v for k, v in changed.items() if k not in gone}
+        before = {k: held[k] for k in {*gone, *changed}}
+        held = {k: v for k, v in held.items() if k not in gone} | changed | fresh
+        step = own.begin()
+        step.replace("symbols", frame(held))
+        index.refresh(step, frame(before), frame(changed | fresh))
+        step.commit()
+    other = term_index.TermIndex(store.Store(spark, str(tmp_path / "t"), {}), "i", "long")
+    assert other.repaired(frame(held)) and not other.repaired(frame(held)) and not index.repaired(own.read("symbols"))
+
+    def state(x):
+        near = lambda v: round(v, 9) if isinstance(v, float) else v
+        parts = x.store.read(x.terms), x.store.read(x.sums), x.search(["red", "green"]), x.hits(["b", "blueb"])
+        return [Counter(tuple(map(near, r)) for r in p.collect()) for p in parts]
+
+    assert state(index) == state(other)
+    step = own.begin()
+    index.compact(step)
+    step.commit()
+    assert state(index) == state(other) and own.read(index.dead).count() == 0
+    plan = index.search(["red", "green"])._jdf.queryExecution().toString()
+    assert "StringStartsWith(term,red)" in plan and "StringStartsWith(term,green)" in plan
+    asked = spark.createDataFrame([("blueb",), ("zz",)], "term string")
+    assert [r.term for r in index.uncovered(asked).collect()] == ["zz"]
+
+
+def test_intervals_meet_as_in_a_nested_loop(spark):
+    rng = random.Random(7)
+    span = lambda: (s := rng.randrange(-500, 500), s + rng.choice([-3, 0, 0, 1, 2, 7, 8, 60, 900]))
+    one, two = [(i, *span()) for i in range(60)] + [(90, None, 3)], [(i, *span()) for i in range(50)] + [(91, 3, None)]
+    left, right = spark.createDataFrame(one, "a int, s int, e int"), spark.createDataFrame(two, "b int, low long, high long")
+    want = Counter((a, b) for a, s, e in one for b, lo, hi in two if None not in (s, e, lo, hi) and s <= e and lo <= hi and s <= hi and lo <= e)
+    got = relational.interval_pairs(left, right, ("s", "e"), ("low", "high")).select("a", "b")
+    assert Counter(map(tuple, got.collect())) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert {r.a for r in relational.overlapping(left, right, "a", ("s", "e"), ("low", "high")).collect()} == {a for a, _ in want}
+    assert relational.interval_pairs(left.limit(0), right, ("s", "e"), ("low", "high")).count() == 0
