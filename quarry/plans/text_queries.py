@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import metrics, ranking, relational, term_index
+from ..operators import metrics, name_index, ranking, relational, term_index
 from ..sources import store
 from .registry import query
 
@@ -225,3 +225,39 @@ def _(t):
 def _(t):
     index = _kept_index(t)
     return index.store.read(index.terms)
+
+
+_LONG_NAMES = "(SELECT DISTINCT replace(p_name, ' ', '_') || '_' || p_type || p_size AS name FROM part)"
+_HELD = "(SELECT DISTINCT substr(p_name, 3, 5) || 'X' AS query FROM part UNION SELECT DISTINCT upper(substr(replace(p_name, ' ', '_'), 2, 6)) FROM part UNION SELECT DISTINCT substr(p_type, 1, 2) FROM part UNION SELECT DISTINCT p_type || p_size FROM part)"
+_MISSPELT = "(SELECT DISTINCT substr(name, 1, 3) || substr(name, 5, 4) || 'q' || substr(name, 9) AS query FROM (SELECT replace(p_name, ' ', '_') || '_' || p_type || p_size AS name FROM part))"
+
+
+def _name_index(t):
+    own = store.Store(t.spark, store.shared_folder(t.spark, "names"), {})
+    index, step = name_index.NameIndex(own, "part"), own.begin()
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), "p_type", "p_size")
+    index.build(step, t.part.select(name.alias("key"), name.alias("name")).distinct())
+    step.commit()
+    return index
+
+
+def _held(t):
+    one = F.concat(F.substring("p_name", 3, 5), F.lit("X"))
+    texts = F.array(one, F.upper(F.substring(F.replace("p_name", F.lit(" "), F.lit("_")), 2, 6)), F.substring("p_type", 1, 2), F.concat("p_type", "p_size"))
+    return t.part.select(F.explode(texts).alias("query")).distinct()
+
+
+@query("txt_19_names_holding", f"""
+SELECT query, name, CAST(CASE WHEN name = query THEN 0 WHEN starts_with(lower(name), lower(query)) THEN 1 ELSE 2 END AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query ORDER BY CASE WHEN name = query THEN 0 WHEN starts_with(lower(name), lower(query)) THEN 1 ELSE 2 END, length(name), name) AS INTEGER) AS nth
+FROM {_HELD} JOIN {_LONG_NAMES} ON contains(lower(name), lower(query)) QUALIFY nth <= 7""")
+def _(t):
+    return _name_index(t).holding(_held(t), 7).select("query", "name", "rank", "nth")
+
+
+@query("txt_19_names_near", f"""
+SELECT query, name, CAST(levenshtein(lower(name), lower(query)) AS INTEGER) AS distance, CAST(row_number() OVER (PARTITION BY query ORDER BY levenshtein(lower(name), lower(query)), length(name), name) AS INTEGER) AS nth
+FROM {_MISSPELT} JOIN {_LONG_NAMES} ON levenshtein(lower(name), lower(query)) <= least(greatest(length(query) // 4, 1), 3) QUALIFY nth <= 7""")
+def _(t):
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), "p_type", "p_size")
+    misspelt = t.part.select(name.alias("n")).select(F.concat(F.substring("n", 1, 3), F.substring("n", 5, 4), F.lit("q"), F.expr("substring(n, 9)")).alias("query")).distinct()
+    return _name_index(t).near(misspelt, 7).select("query", "name", "distance", "nth")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
-from quarry.operators import graph, incremental, metrics, ranking, relational, term_index
+from quarry.operators import graph, incremental, metrics, name_index, ranking, relational, term_index
 from quarry.plans import grammar
 from quarry.sources import store, tables
 from quarry.streaming import ingest
@@ -378,3 +378,32 @@ def test_intervals_meet_as_in_a_nested_loop(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
     assert {r.a for r in relational.overlapping(left, right, "a", ("s", "e"), ("low", "high")).collect()} == {a for a, _ in want}
     assert relational.interval_pairs(left.limit(0), right, ("s", "e"), ("low", "high")).count() == 0
+
+
+def test_names_by_trigrams_equal_a_full_scan(spark, tmp_path):
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("abÀé") for _ in range(rng.randrange(1, 14))) for _ in range(150)} | {f"Module{i}Reader" for i in range(60)} | {"aaaaaaaa", "aaaaaaa"})
+    own = store.Store(spark, str(tmp_path / "s"), {})
+    index, step = name_index.NameIndex(own, "n"), own.begin()
+    index.build(step, spark.createDataFrame([(n, n) for n in names] + [("none", None)], "key string, name string"))
+    step.commit()
+    edits = lambda a, b: min(3 + 1, _edits(a, b))
+    asked = sorted({n[1:5].upper() for n in names} | {n[:2] + n[3:] + "b" for n in names} | {"", "a", "zzzz", "module7reader", "Modle11Raeder"})
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    held = {(q, n) for q in asked for n in names if q.lower() in n.lower()}
+    near = {(q, n) for q in asked for n in names if len(q) >= 3 and edits(q.lower(), n.lower()) <= min(max(len(q) // 4, 1), 3)}
+    assert {(r.query, r.name) for r in index.holding(queries, 10**6).collect()} == held
+    assert {(r.query, r.name) for r in index.near(queries, 10**6).collect()} == near
+    either = held | {(q, n) for q, n in near if q not in {x for x, _ in held}}
+    assert {(r.query, r.name) for r in index.did_you_mean(queries, 10**6).collect()} == either
+    first = index.holding(queries, 1).where("query = 'a'").first()
+    assert first.name == min((n for n in names if "a" in n.lower()), key=lambda n: (n != "a", not n.startswith("a"), len(n), n))
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
