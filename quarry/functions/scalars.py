@@ -126,10 +126,41 @@ def read_advice(intent: str | None, kind: Column, members: Column, lines: Column
     return F.when(lines >= LARGE, route)
 
 
+def _member(cref: Column) -> Column:
+    """The bare name that a cref means: what stands after the last dot, without arity and parameters."""
+    return F.regexp_extract(cref, r"^(?:[A-Z]:)?(?:[^`(.]*\.)*([^`(.]*)", 1)
+
+
+def _plain(xml: Column) -> Column:
+    """A section's text: names for references, nothing for other tags, blanks as one; null where nothing is left."""
+    named = F.regexp_replace(F.replace(xml, F.lit("///"), F.lit(" ")), r'<(?:see\w*|(?:type)?paramref)\s+\w+="(?:[A-Z]:)?(?:[^"`(.]*\.)*([^"`(.]*)[^"]*"\s*/?>', "$1")
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(named, "<[^>]+>", ""), r"\s+", " ")), F.lit(""))
+
+
 def doc_section(xml: Column, tag: str) -> Column:
     """FN-12: the plain text of one section of an XML comment; null without it."""
-    inner = F.regexp_extract(xml, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
+    return _plain(F.regexp_extract(xml, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1))
+
+
+def doc_sections(xml: Column) -> Column:
+    """FN-12: all sections of an XML comment as one struct: summary, returns, remarks, value, inheritdoc, params, type_params, exceptions.
+
+    The last three are arrays of structs (name, text) in their order, without empty texts, and null
+    where none is left; the struct is null where the comment has no section.
+    """
+
+    def listed(tag: str, attribute: str, name) -> Column:
+        pattern = F.lit(rf'(?s)<{tag}\s+{attribute}="([^"]+)"\s*>(.*?)</{tag}>')
+        both = F.arrays_zip(F.regexp_extract_all(xml, pattern, F.lit(1)).alias("a"), F.regexp_extract_all(xml, pattern, F.lit(2)).alias("b"))
+        rows = F.filter(F.transform(both, lambda x: F.struct(name(x["a"]).alias("name"), _plain(x["b"]).alias("text"))), lambda x: x["text"].isNotNull())
+        return F.when(F.size(rows) > 0, rows)
+
+    parts = {tag: doc_section(xml, tag) for tag in ("summary", "returns", "remarks", "value")}
+    parts["inheritdoc"] = F.when(xml.rlike(r'<inheritdoc(?:\s+cref="[^"]+")?\s*/>'), True)
+    parts["params"], parts["type_params"] = listed("param", "name", lambda x: x), listed("typeparam", "name", lambda x: x)
+    parts["exceptions"] = listed("exception", "cref", _member)
+    some = F.array_contains(F.array(*[c.isNotNull() for c in parts.values()]), True)
+    return F.when(some, F.struct(*[c.alias(k) for k, c in parts.items()]))
 
 
 def line_count(start: Column, end: Column) -> Column:
@@ -152,10 +183,36 @@ def set_hash(items: Column) -> Column:
     return F.left(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_set(items))), 256), F.lit(12))
 
 
+#: What source text is made of, in the order of trial: strings (raw, verbatim, plain), characters, comments, words, signs of two characters, others.
+_LEXEMES = "|".join([r'"""(?s:.*?)"""', r'[$]?@[$]?"[^"]*+(?:""[^"]*+)*+"', r'[$]?"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'(?:\\.|[^'\\\n])[^'\n]*+'", r"//[^\n]*+", r"/\*(?s:.*?)\*/", r"\w+", r"=>|[=!<>]=|&&|\|\||\?\?", r"[^ \t\n\x0B\f\r\w]"])
+
+
+def tokens(text: Column) -> Column:
+    """FN-17: the tokens of source text in order, without blanks and comments; what looks like a comment within a literal is the literal's."""
+    every = F.regexp_extract_all(text, F.lit(_LEXEMES), F.lit(0))
+    return F.filter(every, lambda x: ~(F.startswith(x, F.lit("//")) | F.startswith(x, F.lit("/*"))))
+
+
+def _digest(parts: Column) -> Column:
+    return F.left(F.sha2(F.array_join(parts, " "), 256), F.lit(12))
+
+
 def text_hash(text: Column) -> Column:
-    """FN-17: 12 hex digits that blanks and // comments don't change."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"//[^\n]*", ""), r"\s+", " "))
-    return F.left(F.sha2(plain, 256), F.lit(12))
+    """FN-17: 12 hex digits of the tokens of source text; blanks and comments don't change them, anything in a literal does."""
+    return _digest(tokens(text))
+
+
+def layer_hashes(text: Column) -> Column:
+    """FN-17: struct decl, body: hashes of a member's tokens before its body and of the body, which is a block, an arrow or an initializer; body is null without one.
+
+    A sign of assignment within parentheses is a default value and opens no body.
+    """
+    parts = tokens(text)
+    at = lambda sign: F.nullif(F.array_position(parts, sign), F.lit(0).cast("long"))
+    value = F.when(at("(").isNull() | (at("=") < at("(")), at("="))
+    start = F.least(at("{"), at("=>"), value)
+    decl = F.when(start.isNull(), parts).otherwise(F.slice(parts, F.lit(1), (start - 1).cast("int")))
+    return F.struct(_digest(decl).alias("decl"), F.when(start.isNotNull(), _digest(F.slice(parts, F.coalesce(start, F.lit(1)).cast("int"), F.size(parts)))).alias("body"))
 
 
 def line_ending(text: Column) -> Column:

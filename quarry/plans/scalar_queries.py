@@ -83,6 +83,16 @@ def _(t):
     return t.part.select("p_partkey", scalars.doc_section(xml, "summary").alias("summary"), scalars.doc_section(xml, "returns").alias("returns"))
 
 
+@query("fn_12_doc_sections", """
+SELECT p_partkey, 'The ' || p_type || 's of it.' AS summary, CASE WHEN p_size > 25 THEN true END AS inheritdoc, 'a=' || p_name || ';b=two' AS params, CASE WHEN p_size % 2 = 0 THEN 'Failure=if ' || p_brand END AS exceptions FROM part""")
+def _(t):
+    text = [F.lit("<summary>\n /// The <see cref=\"T:Ns."), F.col("p_type"), F.lit("`1\"/>s <c>of</c> it. </summary><param name=\"a\">"), F.col("p_name"), F.lit("</param><param name=\"none\"> </param><param name=\"b\">two</param>")]
+    text += [F.when(F.col("p_size") > 25, "<inheritdoc/>").otherwise(""), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<exception cref=\"T:Ns.Failure(System.Int32)\">if "), "p_brand", F.lit("</exception>"))).otherwise("")]
+    got = t.part.select("p_partkey", scalars.doc_sections(F.concat(*text)).alias("s"))
+    joined = lambda c: F.when(c.isNotNull(), F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["name"], x["text"])), ";"))
+    return got.select("p_partkey", "s.summary", "s.inheritdoc", joined(F.col("s.params")).alias("params"), joined(F.col("s.exceptions")).alias("exceptions"))
+
+
 @query("fn_13_line_count", "SELECT p_partkey, CASE WHEN p_partkey % 60 >= p_size THEN p_partkey % 60 - p_size + 1 END AS n FROM part")
 def _(t):
     return t.part.select("p_partkey", scalars.line_count(F.col("p_size"), F.col("p_partkey") % 60).alias("n"))
@@ -109,6 +119,14 @@ def _(t):
     return t.part.select("p_partkey", scalars.text_hash(F.concat(F.lit("  "), "p_name", F.lit(" // note\n\t"), "p_type", F.lit("\n"))).alias("hash"))
 
 
+@query("fn_17_layers", """
+SELECT p_partkey, left(sha256('int M' || p_size || ' ( string s = "a // ' || p_name || '" )'), 12) AS decl, CASE WHEN p_size % 2 = 0 THEN left(sha256('{ return "http://' || p_type || '" ; }'), 12) END AS body FROM part""")
+def _(t):
+    head = F.concat(F.lit("int  M"), F.col("p_size"), F.lit("(string s=\"a // "), "p_name", F.lit("\") // note\n"))
+    body = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("{ /* "), "p_brand", F.lit(" \n */ return \"http://"), "p_type", F.lit("\"; }"))).otherwise("")
+    return t.part.select("p_partkey", scalars.layer_hashes(F.concat(head, body)).alias("h")).select("p_partkey", "h.decl", "h.body")
+
+
 @query("fn_19_line_endings", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'crlf' ELSE 'lf' END AS ending, p_name || chr(10) || p_type || chr(10) AS text FROM part")
 def _(t):
     nl = F.when(F.col("p_size") % 2 == 0, "\r\n").otherwise("\n")

@@ -407,3 +407,23 @@ def _edits(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
     return row[-1]
+
+
+def test_tokens_know_literals_and_comments(spark):
+    want = {
+        'x = "http://a b"; // c': ["x", "=", '"http://a b"', ";"], "a/* b\n // */c": ["a", "c"],
+        "c = '\"' + '\\'';": ["c", "=", "'\"'", "+", "'\\''", ";"], 'f($"{x} // y", """raw "q" // z""")': ["f", "(", '$"{x} // y"', ",", '"""raw "q" // z"""', ")"], "": [], "a=>b >= c": ["a", "=>", "b", ">=", "c"],
+    }
+    want |= {'s = @"c:\\"; t // x': ["s", "=", '@"c:\\"', ";", "t"], '@"a""b // c" d': ['@"a""b // c"', "d"]}
+    got = spark.createDataFrame([(k,) for k in want], "t string").select("t", scalars.tokens(F.col("t")).alias("x"), scalars.layer_hashes(F.col("t")).alias("h")).collect()
+    assert {r.t: r.x for r in got} == want
+    assert {r.t for r in got if r.h.body is None} == {"a/* b\n // */c", "", '@"a""b // c" d', 'f($"{x} // y", """raw "q" // z""")'}
+
+
+def test_sections_of_a_comment(spark):
+    xml = "<summary>Uses <c>Foo</c>s of <see cref=\"M:A.B.Of``1(System.Func{A.C})\"/>.</summary><returns> </returns><typeparam name=\"T\">kind</typeparam><exception cref=\"A.Bad\">why</exception><param name=\"p\"><paramref name=\"q\"/> too</param>"
+    got = spark.createDataFrame([(1, xml), (2, "no tags"), (3, None), (4, "<inheritdoc cref=\"T:A\" />")], "k int, x string").select("k", scalars.doc_sections(F.col("x")).alias("s")).orderBy("k").collect()
+    s = got[0].s
+    assert (s.summary, s.returns, s.inheritdoc) == ("Uses Foos of Of.", None, None)
+    assert [[tuple(x) for x in y] for y in (s.params, s.type_params, s.exceptions)] == [[("p", "q too")], [("T", "kind")], [("Bad", "why")]]
+    assert got[1].s is got[2].s is None and got[3].s.inheritdoc and got[3].s.params is None
