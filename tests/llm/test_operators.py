@@ -279,6 +279,13 @@ def test_word_counts_of_language_scores(spark):
     assert (got.train_tokens == n).all() and (got.score < 0).all()
 
 
+def test_repeated_and_null_texts_do_not_flood_the_start(spark):
+    texts = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN CAST('hot' AS BINARY) ELSE CAST(concat('text ', id) AS BINARY) END AS text")
+    got = [bytes(r.text) for r in lm_score.start_sample(texts, 1000).collect()]
+    assert 700 < len(got) < 1400 and len(set(got)) == len(got)
+    assert {bytes(r.text) for r in lm_score.start_sample(texts.where("text IS NULL OR text = CAST('hot' AS BINARY)"), 1000).collect()} == {b"", b"hot"}
+
+
 def test_rare_words_are_counted_by_the_join(spark, monkeypatch):
     before = lm_score.lm_score(rows(spark), F.lit(True), sample=5).toPandas()
     monkeypatch.setattr(lm_score, "FREQUENT", 3)
