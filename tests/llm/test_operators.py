@@ -294,6 +294,12 @@ def test_rare_words_are_counted_by_the_join(spark, monkeypatch):
     assert np.allclose(before.sort_values(cols)[cols], after.sort_values(cols)[cols])
 
 
+def test_language_scores_of_long_words(spark):
+    long = "x" * 300 + " " + "=" * 70  # words that the memory of subwords doesn't keep
+    got = lm_score.lm_score(rows(spark, [(i, f"{long} word {i} {long}") for i in range(20)]), F.col("doc_id") % 7 != 2, sample=20).toPandas()
+    assert len(got) == 20 and np.isfinite(got.score).all() and (got.n_known >= 6).all()
+
+
 def _small_attention(texts=None):
     rng = np.random.RandomState(8)
     texts = texts or [np.append(rng.randint(0, 300, rng.randint(1, 90)), 300).astype("<u2") for _ in range(40)]
