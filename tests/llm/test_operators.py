@@ -292,6 +292,22 @@ def test_rare_words_are_counted_by_the_join(spark, monkeypatch):
     after = lm_score.lm_score(rows(spark), F.lit(True), sample=5).toPandas()
     cols = ["n_tokens", "n_known", "base_score"]
     assert np.allclose(before.sort_values(cols)[cols], after.sort_values(cols)[cols])
+    # the mixture in a task is that of the join
+    assert np.allclose(before.sort_values(cols).score, after.sort_values(cols).score, rtol=1e-3)
+
+
+def test_mixture_of_counts_and_spelling(spark):
+    cases = [(c, x) for c in (None, 0, 1, 7) for x in (None, -0.5, -9.0, -400.0)]
+    got = spark.createDataFrame([(k, c, x) for k, (c, x) in enumerate(cases)], "k int, c long, spelt double")
+    got = got.select("k", lm_score.mixed(F.col("c"), F.col("spelt"), 50, 0.125).alias("x")).sort("k").collect()
+    for r, (c, x) in zip(got, cases, strict=True):
+        if x is None:
+            assert r.x is None
+        else:
+            assert np.isclose(r.x, np.log10(0.125) + x if not c else np.log10(0.875 * c / 50 + 0.125 * 10.0**x), rtol=1e-12)
+    assert lm_score.weights(0, 0) == [1.0] and all(0 < w < 1 for w in lm_score.weights(9, 9))
+    mean = spark.range(1).select(lm_score.averaged([F.lit(-700.0), F.lit(-701.0)]).alias("x")).first().x
+    assert np.isclose(mean, -700 + np.log10(1.1 / 2))
 
 
 def test_language_scores_of_long_words(spark):
@@ -300,6 +316,12 @@ def test_language_scores_of_long_words(spark):
     assert len(got) == 20 and np.isfinite(got.score).all() and (got.n_known >= 6).all()
 
 
+def test_language_scores_of_known_words_beat_the_counts(spark):
+    got = lm_score.op6_lm_score(spark, "/root/testdata/sf0.01").toPandas()
+    got = got[got.held_out & (got.n_known == got.n_tokens) & (got.n_tokens > 20)]
+    assert len(got) and got.score.sum() / got.n_tokens.sum() > got.base_score.sum() / got.n_tokens.sum()
+
+
 def _small_attention(texts=None):
     rng = np.random.RandomState(8)
     texts = texts or [np.append(rng.randint(0, 300, rng.randint(1, 90)), 300).astype("<u2") for _ in range(40)]
