@@ -306,6 +306,29 @@ def cycles(arcs: DataFrame) -> DataFrame:
     return _components(arcs).groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"))
 
 
+def representative_cycles(arcs: DataFrame) -> DataFrame:
+    """GRF-6: component, position (from 0), node: one cycle of each component, from its least node; every step of it is an arc.
+
+    Each node goes on to its least target within the component, so every walk ends in a cycle. Doubling
+    finds the nodes on such cycles (the ends of walks longer than all nodes), each cycle's least node and
+    each node's place. A component with several cycles shows the one that has the least node.
+    """
+    inside = kept(_components(arcs))
+    there = inside.select(F.col("node").alias("target"), F.col("component").alias("_c"))
+    step = arcs.join(inside.withColumnRenamed("node", "source"), "source").join(there, "target").where("component = _c")
+    step = kept(step.groupBy(F.col("source").alias("id"), "component").agg(F.min("target").alias("to")))
+    on = _closed(step.select("id", "to")).select(F.col("end").alias("id")).distinct()
+    round_ = kept(step.join(on, "id", "left_semi"))
+    least = _closed(round_.select("id", "to")).select("id", "least")
+    shown = round_.join(least, "id").groupBy("component").agg(F.min("least").alias("least"))
+    round_ = kept(round_.join(least, "id").join(shown, ["component", "least"]))
+    # without the arc that closes it, a cycle is a run, and steps count from its end
+    run = _closed(round_.where("to <> least").select("id", "to")).select("id", "steps")
+    far = round_.join(run, "id", "left").select("component", F.col("id").alias("node"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps"))
+    length = far.groupBy("component").agg(F.max("steps").alias("_most"))
+    return far.join(length, "component").select("component", (F.col("_most") - F.col("steps")).alias("position"), "node")
+
+
 def dependents(arcs: DataFrame, changed: DataFrame, most: int | None = None) -> DataFrame:
     """GRF-7: node, depth: all that depend on the changed (node), which have depth 0; arcs: a source depends on a target."""
     return levels(changed, arcs.select(F.col("target").alias("source"), F.col("source").alias("target")), most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import incremental, metrics, relational
+from ..operators import grouping, incremental, metrics, relational
 from ..sources import tables
 from . import grammar
 from .registry import query
@@ -123,6 +123,72 @@ def _(t):
     return metrics.constant_columns(t.orders.where("o_orderstatus = 'F'"), ["o_orderstatus", "o_orderpriority"])
 
 
+_HITS = "(SELECT l_orderkey * 8 + l_linenumber AS pos, l_suppkey, l_shipdate, l_quantity, l_returnflag, l_linestatus, l_returnflag || l_linestatus AS site, l_returnflag = 'R' AS flag FROM lineitem)"
+
+
+def _hits(t):
+    return t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus", F.concat("l_returnflag", "l_linestatus").alias("site"), (F.col("l_returnflag") == "R").alias("flag"))
+
+
+@query("agg_16_first_rows", f"""
+SELECT l_suppkey, min(pos) AS pos, min({{'pos': pos, 'q': l_quantity}}).q AS l_quantity, bool_or(flag) AS flag, count(DISTINCT site) AS n_sites FROM {_HITS} GROUP BY 1""")
+def _(t):
+    return grouping.merged(_hits(t).select("l_suppkey", "pos", "l_quantity", "site", "flag"), ["l_suppkey"], "pos", ["site"], ["flag"]).groups
+
+
+@query("agg_16_sites_in_order", f"SELECT l_suppkey, site, min(pos) AS first_at FROM {_HITS} GROUP BY 1, 2")
+def _(t):
+    return grouping.merged(_hits(t).select("l_suppkey", "pos", "l_quantity", "site", "flag"), ["l_suppkey"], "pos", ["site"], ["flag"]).sites
+
+
+def _diagnostics(t):
+    """Events as diagnostics: an error's user is around it, other events have no symbol."""
+    at = F.col("event_type") == "error"
+    return t.events.select(F.col("event_type").alias("id"), F.col("event_id").alias("position"), F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("message"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.hour("ts").alias("line"), F.when(at, F.col("user_id").cast("string")).alias("symbol"))
+
+
+def _causes(t):
+    return grouping.distilled(_diagnostics(t), t.nation.select(F.col("n_name").alias("symbol"), F.col("n_nationkey").alias("position")))
+
+
+@query("agg_17_causes", """
+WITH c AS (SELECT event_type AS id, count(*) AS n, arg_min(event_type || ' ' || event_id, event_id) AS message, count(DISTINCT user_id) AS users, arg_min(CAST(user_id AS VARCHAR), event_id) AS first_user FROM events GROUP BY 1),
+s AS (SELECT c.*, (SELECT count(*) FROM nation) AS fallback, (SELECT arg_min(n_name, n_nationkey) FROM nation) AS first_changed FROM c)
+SELECT id, n, message, CASE WHEN id = 'error' THEN first_user ELSE first_changed END AS affected, CASE WHEN id = 'error' THEN 'diagnostic origin' ELSE 'changed by this patch' END AS inspected,
+  CASE WHEN id = 'error' THEN users ELSE fallback END AS inspections, greatest(n - CASE WHEN id = 'error' THEN users ELSE fallback END, 0) AS suppressed FROM s""")
+def _(t):
+    return _causes(t).causes
+
+
+@query("agg_17_first_sites", """
+WITH d AS (SELECT event_type AS id, 'u' || user_id AS file, hour(ts) AS line, min(event_id) AS first_at FROM events GROUP BY 1, 2, 3)
+SELECT id, file, line, CAST(row_number() OVER (PARTITION BY id ORDER BY first_at, file, line) AS INTEGER) AS place FROM d QUALIFY place <= 3""")
+def _(t):
+    return _causes(t).sites
+
+
+@query("agg_18_leaves", f"""
+WITH g AS (SELECT l_suppkey, l_shipdate, min(pos) AS "at", count(*) AS n, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS l_returnflag, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) END AS l_linestatus FROM {_HITS} GROUP BY 1, 2)
+SELECT *, min("at") OVER (PARTITION BY l_suppkey) AS outer_at, concat_ws(',', CASE WHEN l_returnflag IS NOT NULL THEN 'l_returnflag' END, CASE WHEN l_linestatus IS NOT NULL THEN 'l_linestatus' END) AS hoisted FROM g""")
+def _(t):
+    got = grouping.grouped(_hits(t).select("l_suppkey", "l_shipdate", "pos", "l_returnflag", "l_linestatus"), "l_suppkey", "l_shipdate", "pos", ["l_returnflag", "l_linestatus"])
+    return got.leaves.withColumn("hoisted", F.array_join("hoisted", ","))
+
+
+@query("agg_18_header", "SELECT o_orderstatus, 'orders' AS source, TRUE AS flat, 1 AS groups, 1 AS leaves FROM (SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus = 'F')")
+def _(t):
+    rows = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", F.lit("orders").alias("source"))
+    return grouping.grouped(rows, "o_orderstatus", "source", "o_orderkey", []).header
+
+
+@query("agg_19_rest", """
+WITH u AS (SELECT o_custkey, count(DISTINCT o_orderstatus) = 1 AND count(*) > 1 AS s, count(DISTINCT o_orderpriority) = 1 AND count(*) > 1 AS p FROM orders GROUP BY 1)
+SELECT o_orderkey, o_custkey, CASE WHEN NOT s THEN o_orderstatus END AS o_orderstatus, CASE WHEN NOT p THEN o_orderpriority END AS o_orderpriority FROM orders JOIN u USING (o_custkey)""")
+def _(t):
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return grouping.hoisted(rows, ["o_custkey"], ["o_orderstatus", "o_orderpriority"], least=2).rest
+
+
 @query("agg_21_required_level", """
 SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'F' AND lvl >= 2 THEN greatest(lvl, 4) ELSE lvl END AS INTEGER) AS level FROM (
   SELECT o_orderkey, o_orderstatus, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 2 WHEN '3' THEN 2 ELSE 3 END AS lvl FROM orders)""")

@@ -167,6 +167,18 @@ def _(t):
     return graph.cycles(_arcs(t)).select("component", F.array_join("members", ",").alias("members"))
 
 
+@query("grf_06_representatives", f"""
+WITH RECURSIVE a AS {_ARCS}, w(x, y) AS (SELECT source, target FROM a UNION SELECT x, target FROM w JOIN a ON source = y),
+m AS (SELECT p.x AS node, min(p.y) AS component FROM w p JOIN w q ON p.x = q.y AND p.y = q.x GROUP BY 1),
+f AS (SELECT a.source AS id, s.component, min(a.target) AS step FROM a JOIN m s ON s.node = a.source JOIN m t ON t.node = a.target AND t.component = s.component GROUP BY 1, 2),
+r(x, y) AS (SELECT id, step FROM f UNION SELECT x, step FROM r JOIN f ON id = y),
+l AS (SELECT component, min(least) AS least FROM (SELECT x, min(y) AS least FROM r WHERE x IN (SELECT x FROM r WHERE x = y) GROUP BY 1) JOIN f ON id = x GROUP BY 1),
+c(component, least, position, node) AS (SELECT component, least, 0, least FROM l UNION ALL SELECT c.component, least, position + 1, step FROM c JOIN f ON id = node WHERE step <> least)
+SELECT component, CAST(position AS BIGINT) AS position, node FROM c""")
+def _(t):
+    return graph.representative_cycles(_arcs(t))
+
+
 @query("grf_07_dependents", f"""
 WITH RECURSIVE a AS {_BIG}, w(node, depth) AS (SELECT 'r1', 0 UNION SELECT source, depth + 1 FROM w JOIN a ON target = node)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1""")
