@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import incremental, metrics, ranking, relational
 from ..sources import store, tables
+from ..streaming import mirror
 from . import grammar
 from .registry import query
 
@@ -472,6 +473,23 @@ def _(t):
     return first.unionByName(incremental.sweep_after_baseline(before, now).withColumn("scan", F.lit("second")))
 
 
+@query("inc_03_mirror", """
+WITH l AS (SELECT 'c' || o_custkey AS key, max({'seq': o_orderkey, 'digest': o_orderpriority, 'gone': o_orderstatus = 'P'}) AS last FROM orders GROUP BY 1),
+s AS (SELECT key, last.digest AS digest FROM l WHERE NOT last.gone)
+SELECT 'symbol' AS part, key AS a, digest AS b FROM s
+UNION ALL SELECT 'term', term, CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT key, unnest(string_split(lower(digest), '-')) AS term FROM s) GROUP BY 2""")
+def _(t):
+    own = mirror.Mirror(store.Store(t.spark, store.shared_folder(t.spark, "mirror"), {}))
+    digest, seq = F.col("o_orderpriority"), F.col("o_orderkey").cast("long")
+    changes = t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("key"), seq.alias("seq"), digest.alias("digest"), F.split(F.lower(digest), "-").alias("terms"), (F.col("o_orderstatus") == "P").alias("removed"))
+    # all orders in two batches, so that earlier changes of a key come late; the second comes twice
+    first, second = changes.where("seq % 2 = 0"), changes.where("seq % 2 = 1")
+    for number, batch in ((0, first), (1, second), (1, second)):
+        own.apply(batch, number)
+    terms = own.store.read(own.index.terms).select(F.lit("term").alias("part"), F.col("term").alias("a"), F.col("df").cast("string").alias("b"))
+    return own.current().select(F.lit("symbol").alias("part"), F.col("key").alias("a"), F.col("digest").alias("b")).unionByName(terms)
+
+
 @query("inc_03_refresh", f"""
 SELECT 'symbol' AS part, doc_id AS a, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS b FROM documents WHERE doc_id % 7 <> 0
 UNION ALL SELECT 'change', doc_id, {_CHANGE} FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0
