@@ -161,7 +161,7 @@ def _(t):
 
 
 @query("agg_17_first_sites", """
-WITH d AS (SELECT event_type AS id, 'u' || user_id AS file, hour(ts) AS line, min(event_id) AS first_at FROM events GROUP BY 1, 2, 3)
+WITH d AS (SELECT event_type AS id, 'u' || user_id AS file, CAST(hour(ts) AS INTEGER) AS line, min(event_id) AS first_at FROM events GROUP BY 1, 2, 3)
 SELECT id, file, line, CAST(row_number() OVER (PARTITION BY id ORDER BY first_at, file, line) AS INTEGER) AS place FROM d QUALIFY place <= 3""")
 def _(t):
     return _causes(t).sites
@@ -175,7 +175,7 @@ def _(t):
     return got.leaves.withColumn("hoisted", F.array_join("hoisted", ","))
 
 
-@query("agg_18_header", "SELECT o_orderstatus, 'orders' AS source, TRUE AS flat, 1 AS groups, 1 AS leaves FROM (SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus = 'F')")
+@query("agg_18_header", "SELECT o_orderstatus, 'orders' AS source, TRUE AS flat, CAST(1 AS BIGINT) AS groups, CAST(1 AS BIGINT) AS leaves FROM (SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus = 'F')")
 def _(t):
     rows = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", F.lit("orders").alias("source"))
     return grouping.grouped(rows, "o_orderstatus", "source", "o_orderkey", []).header
