@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import grouping, incremental, metrics, relational
-from ..sources import tables
+from ..sources import lines, store, tables
+from ..streaming import ingest
 from . import grammar
 from .registry import query
 
@@ -254,6 +255,17 @@ def _(t):
     return tables.parse_payload(raw).select("tool_name", "tool_use_id")
 
 
+@query("src_12_line_log", "SELECT event_type AS tool_name, CAST(event_id AS VARCHAR) AS tool_use_id, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE 'words' END AS estimator, CAST(user_id AS INTEGER) AS request_tokens FROM events WHERE event_id % 4 <> 0")
+def _(t):
+    # the log is written by tasks, as listeners on many machines would, and read as a stream
+    i, folder, out, marks = F.col("event_id"), *(store.shared_folder(t.spark, kind) for kind in ("lines", "calls", "marks"))
+    fields = F.struct(F.col("event_type").alias("toolName"), F.when(i % 4 != 0, i.cast("string")).alias("toolUseId"), F.when(i % 3 != 0, "words").alias("estimator"), F.col("user_id").alias("requestTokens"))
+    lines.append_calls(t.events.select(F.to_json(fields).alias("value")), folder)
+    ingest.append_log(lines.stream_calls(t.spark, folder), out, marks).awaitTermination()
+    calls = t.spark.read.schema(lines.SCHEMA).parquet(out)
+    return calls.dropDuplicates(["tool_use_id"]).select("tool_name", "tool_use_id", "estimator", "request_tokens")
+
+
 @query("win_06_islands", """
 WITH d AS (SELECT DISTINCT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS line FROM events WHERE event_type = 'signup'),
 g AS (SELECT *, line - row_number() OVER (PARTITION BY user_id ORDER BY line) AS g FROM d)

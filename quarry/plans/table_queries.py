@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import incremental, metrics, ranking, relational
-from ..sources import store, tables
+from ..sources import folders, store, tables
 from ..streaming import mirror
 from . import grammar
 from .registry import query
@@ -24,6 +24,20 @@ def _(t):
     return _path(t).where(tables.not_excluded(F.col("path"), ["**/RED/r?ng/", "small\\b*"])).select("p_partkey")
 
 
+def _tree(t, suffix):
+    """Names of parts in files below folders by brand; a part of a small size is in a build folder, one of a large size in an excluded one."""
+    root = store.shared_folder(t.spark, "tree")
+    for size, folder in (("p_size BETWEEN 10 AND 40", "src"), ("p_size < 10", "src/OBJ"), ("p_size > 40", "Generated/src")):
+        t.part.where(size).select("p_brand", F.concat_ws(" ", "p_partkey", "p_name").alias("value")).repartition("p_brand").write.partitionBy("p_brand").text(f"{root}/{folder}")
+    files = folders.scan_tree(t.spark, root, [suffix], exclude=["generated/"], content=True, parts=8)
+    return files.select("path", F.explode(F.split(F.rtrim(F.decode("content", "utf-8"), F.lit("\n")), "\n")).alias("line"))
+
+
+@query("src_01_tree", "SELECT 'src/p_brand=' || p_brand AS folder, CAST(p_partkey AS VARCHAR) || ' ' || p_name AS line FROM part WHERE p_size BETWEEN 10 AND 40")
+def _(t):
+    return _tree(t, ".TXT").select(F.url_decode(F.regexp_replace("path", "/[^/]*$", "")).alias("folder"), "line")
+
+
 @query("src_05_manifest", "SELECT CAST(p_partkey AS VARCHAR) AS path, p_size AS length FROM part")
 def _(t):
     files = t.part.select(F.col("p_partkey").cast("string").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"), F.col("p_size").alias("length"))
