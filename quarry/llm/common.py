@@ -78,6 +78,14 @@ def about(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df if total <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * rows / total))
 
 
+def one_an_id(df: DataFrame, key: str, column: str, rows: int | None = None) -> DataFrame:
+    """key and the least column of each key; of about so many keys, those of small hashes, if rows is given. A key's number of rows plays no part."""
+    if rows is not None:
+        total = df.select(key).distinct().count()
+        df = df if total <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * rows / total))
+    return df.groupBy(key).agg(F.min(column).alias(column))
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """name, with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}

@@ -180,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int =
     """Weights of the buckets, and last the bias; None without a toxic row to learn from or without a telling word.
 
     A row labelled both ways counts as toxic; rows without a label value are no labels; rows without a
-    doc_id teach nothing. All learnable rows, toxic ones included, are the unlabelled text.
+    doc_id teach nothing. All learnable rows, toxic ones included, are the unlabelled text. Of rows that
+    share a doc_id, one is a positive or a text of the start's sample, that of the least set of words.
     """
     by_id = common.staged(labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     share = by_id.agg(F.avg("toxic")).first()[0]
@@ -198,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int =
     if not len(used):
         return None
     sets = common.staged(word_sets(rows, used))
-    positive = sets.where("known").toArrow().sort_by("doc_id").column("words").to_pylist()
-    sample = common.about(sets, "doc_id", START).toArrow().sort_by("doc_id").column("words").to_pylist()
+    positive = common.one_an_id(sets.where("known"), "doc_id", "words").toArrow().sort_by("doc_id").column("words").to_pylist()
+    sample = common.one_an_id(sets, "doc_id", "words", START).toArrow().sort_by("doc_id").column("words").to_pylist()
     w = np.mean([start(positive, sample, len(used), prior, seed) for seed in range(MEMBERS)], axis=0)
     w = end(w, positive, sets, prior)
     out = np.zeros(BUCKETS + 1, np.float32)

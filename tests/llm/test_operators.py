@@ -633,3 +633,22 @@ def test_unlabelled_risk_is_that_of_all_rows(spark):
 
 def test_every_operator_has_a_query():
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
+
+
+def test_one_row_an_id_however_often_it_comes(spark):
+    hot = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).cast("binary").alias("words"))
+    every = common.one_an_id(hot, "doc_id", "words").collect()
+    assert len(every) == 4000 + (7 % 3 == 0) and {bytes(r.words) for r in every if r.doc_id == 7} == {b"w0"}
+    for parts in (1, 16):
+        some = {r.doc_id for r in common.one_an_id(hot.repartition(parts), "doc_id", "words", 400).collect()}
+        assert 300 < len(some) < 500 and len(some) == common.one_an_id(hot, "doc_id", "words", 400).count()
+    assert common.one_an_id(hot.where("doc_id = 7"), "doc_id", "words", 5).count() == 1
+
+
+def test_a_toxic_id_in_a_third_of_all_rows(spark):
+    bad = spark.range(300).select(F.when(F.col("id") < 100, F.lit(1)).otherwise(F.col("id") + 1).alias("doc_id"), F.when(F.col("id") < 130, F.concat(F.lit("vile scum rant "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("calm note on gardens "), F.col("id").cast("string"))).alias("text"))
+    known = bad.select("doc_id", F.startswith("text", F.lit("vile")).cast("int").alias("toxic"), F.lit(1).alias("quality")).distinct()
+    got = toxicity.toxicity(bad, known, ["doc_id", "text"], F.lit(True)).collect()
+    assert len(got) == 300
+    scores = {kind: [r.score for r in got if r.text.startswith(kind)] for kind in ("vile", "calm")}
+    assert min(scores["vile"]) > max(scores["calm"])
