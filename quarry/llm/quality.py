@@ -118,11 +118,14 @@ class Space:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """The weighted share of label 1 among each row's nearest labelled rows; of equal cosines at the last place any may count."""
+        """The weighted share of label 1 among each row's nearest labelled rows; of equal cosines at the last place the smaller doc_ids count."""
         at = self._unit((self._unit(rows * self.idf) - self.mean) @ self.axes)
         near = at @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         pick = np.argpartition(near, -k, axis=1)[:, -k:]
+        last = np.take_along_axis(near, pick, 1).min(1, keepdims=True)
+        tied = np.flatnonzero((near >= last).sum(1) > k)
+        pick[tied] = np.argsort(-near[tied], axis=1, kind="stable")[:, :k]
         vote = np.exp(SHARP * (np.take_along_axis(near, pick, 1) - 1)) * self.weights[pick]
         return np.clip((vote * self.labels[pick]).sum(1) / vote.sum(1), 0, 1).astype(np.float64)
 
@@ -130,7 +133,8 @@ class Space:
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> Space | None:
     """The space of about sample rows of each label at most, those of small hashes of their ids; None without labels.
 
-    A row labelled both ways counts as 1; rows without a label value are no labels.
+    A row labelled both ways counts as 1; rows without a label value are no labels. Of rows that share a
+    doc_id, the one whose text has the least hash teaches.
     """
     by_id = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     by_id = common.staged(by_id)
@@ -138,7 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
     if share is None:
         return None
     picked = [common.about(by_id.where(F.col("quality") == k), "doc_id", sample) for k in (0, 1)]
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # about 2 * sample rows at most
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    texts = texts.withColumn("_row", F.struct(F.xxhash64("text").alias("h"), "text", "quality"))
+    texts = common.one_an_id(texts, "doc_id", "_row").select("doc_id", "_row.text", "_row.quality")  # about 2 * sample rows at most
     got = term_rows(texts, ["doc_id", "quality"]).toArrow()
     if not got.num_rows:
         return None

@@ -652,3 +652,21 @@ def test_a_toxic_id_in_a_third_of_all_rows(spark):
     assert len(got) == 300
     scores = {kind: [r.score for r in got if r.text.startswith(kind)] for kind in ("vile", "calm")}
     assert min(scores["vile"]) > max(scores["calm"])
+
+
+def test_equal_cosines_at_the_last_place_count_by_id():
+    rng = np.random.RandomState(3)
+    few = np.abs(rng.randn(4, quality.TERMS)).astype(np.float32) * (rng.rand(4, quality.TERMS) < 0.05)
+    matrix, known = np.repeat(few, 3 * quality.NEIGHBOURS, 0), rng.randint(0, 2, 12 * quality.NEIGHBOURS)
+    space = quality.Space(matrix.copy(), known, 0.5)
+    space.vectors = np.repeat(space.vectors[:: 3 * quality.NEIGHBOURS], 3 * quality.NEIGHBOURS, 0)
+    for i, score in enumerate(space.score(few.copy())):
+        first = np.arange(3 * quality.NEIGHBOURS * i, 3 * quality.NEIGHBOURS * i + quality.NEIGHBOURS)
+        assert score == pytest.approx((space.weights * known)[first].sum() / space.weights[first].sum(), abs=1e-5)
+
+
+def test_a_labelled_id_in_a_third_of_all_rows_teaches_once(spark):
+    hot = spark.range(300).select(F.when(F.col("id") < 100, F.lit(1)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    known = hot.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    for parts in (1, 7):
+        assert len(quality.fit(hot.repartition(parts), known, F.lit(True)).labels) == 201
