@@ -91,7 +91,7 @@ class CallTree:
     depth_capped: bool
 
 
-def _neighbourhood(arcs: DataFrame, root: DataFrame, most: int, fan: int, cap: int) -> DataFrame:
+def _neighbourhood(arcs: DataFrame, root: DataFrame, most: int, fan: int, cap: int | None) -> DataFrame:
     """source, target, nth, n: the neighbours, by name, of all nodes that a walk of most steps meets; each node is looked up once."""
     seen = front = root
     found, by = None, Window.partitionBy("source")
@@ -99,7 +99,7 @@ def _neighbourhood(arcs: DataFrame, root: DataFrame, most: int, fan: int, cap: i
         own = arcs.join(front.withColumnRenamed("node", "source"), "source", "left_semi").distinct()
         near = kept(own.withColumns({"nth": F.row_number().over(by.orderBy("target")), "n": F.count("*").over(by)}))
         found = near if found is None else found.unionByName(near)
-        if depth == most or seen.count() >= cap:
+        if depth == most or (cap is not None and seen.count() >= cap):
             break
         front = kept(near.where(F.col("nth") <= fan).select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti"))
         if front.isEmpty():
@@ -108,14 +108,14 @@ def _neighbourhood(arcs: DataFrame, root: DataFrame, most: int, fan: int, cap: i
     return found
 
 
-def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap: int = NODE_CAP, seeds: list[str] | None = None) -> CallTree:
+def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap: int | None = NODE_CAP, seeds: list[str] | None = None) -> CallTree:
     """GRF-4: the tree below root along arcs (source, target); seeds stand for the root's own neighbours.
 
     Each node shows its first fan neighbours by name; the rest are omitted, but reached. A node ends
     as cycle where it is on its own path. A node that would show children at a later place again is
     repeated there and has no rows below; places are paths of neighbours' numbers, in the order of a
     walk into depth. The walk stops at most steps, or at the first level before which cap distinct nodes
-    were met; either way, and if neighbours with steps left to go were omitted, depth_capped says so.
+    were met (never, for None); either way, and if neighbours with steps left to go were omitted, depth_capped says so.
 
     The walk goes by levels over distinct states: a node, and what of its path lies in its own strongly
     connected component, as only that can close a cycle. Each state keeps its first place and the number
@@ -141,7 +141,7 @@ def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap:
         if depth == most:
             capped = capped or not step.isEmpty()
             break
-        hard = met.count() >= cap
+        hard = cap is not None and met.count() >= cap
         left_out = kept(step.where(F.lit(hard) | (F.col("nth") > fan)).select("target", "ways"))
         lost = left_out.agg(F.sum("ways").alias("n")).first()["n"]
         if lost:

@@ -32,3 +32,12 @@ def test_same_rows_as_sql(spark, sql, name):
     names = [d[0] for d in got.description]
     assert sorted(names) == cols
     assert plain(df.collect(), cols) == plain(got.fetchall(), [names.index(c) for c in cols])
+
+
+def test_blast_radius_beyond_cap_and_fan(spark, tmp_path):
+    """More nodes than a call tree's cap, and more callers of one node than the SQL opens."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i::BIGINT AS s_suppkey, (i % 3)::INTEGER AS s_nationkey, (i % 7 - 3)::DOUBLE AS s_acctbal FROM range(9000) r(i)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet')")
+    got = registry.QUERIES["agg_23_blast_radius"](spark, str(tmp_path)).select("depth", "nodes").collect()
+    assert Counter(map(tuple, got)) == Counter(con.execute(registry.ORACLE["agg_23_blast_radius"]).fetchall())
