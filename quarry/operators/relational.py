@@ -28,16 +28,19 @@ def lookup(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
 def disambiguate(rows: DataFrame, candidates: DataFrame, steps: list[str]) -> DataFrame:
     """JOIN-10: for each row (id, name, steps) the one candidate by name, then by each further step; rows that stay ambiguous go.
 
-    A row is settled at the first step that leaves one candidate.
+    A row is settled at the first step that leaves one candidate. Candidates are counted by name and steps
+    before they meet the rows, so a name costs its rows and its candidates, not their product.
     """
-    left, out = rows.join(candidates.withColumnsRenamed({s: f"_{s}" for s in steps}), "name"), None
-    for step in [None, *steps]:
-        if step:
-            left = left.where(F.col(step).eqNullSafe(F.col(f"_{step}")))
-        counted = left.withColumn("_n", F.count("*").over(Window.partitionBy("id")))
-        found = counted.where("_n = 1").drop("_n", *[f"_{s}" for s in steps])
+    own = [c for c in candidates.columns if c not in ("name", *steps)]
+    left, out = rows.select("name", *[c for c in rows.columns if c != "name"]), None
+    for k in range(len(steps) + 1):
+        alike = candidates.groupBy(F.col("name").alias("_name"), *[F.col(s).alias(f"_{s}") for s in steps[:k]])
+        alike = alike.agg(F.count("*").alias("_n"), F.any_value(F.struct("name", *own)).alias("_one"))  # any is the one, where there is one
+        same = [F.col("name") == F.col("_name"), *[F.col(s).eqNullSafe(F.col(f"_{s}")) for s in steps[:k]]]
+        counted = left.join(alike, same).withColumn("_all", F.sum("_n").over(Window.partitionBy("id")))
+        found = counted.where("_all = 1").select(*left.columns, *[F.col("_one").getField(c).alias(c) for c in own])
         out = found if out is None else out.unionByName(found)
-        left = counted.where("_n > 1").drop("_n")
+        left = counted.where("_all > 1").select(*left.columns)
     return out
 
 

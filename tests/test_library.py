@@ -427,3 +427,28 @@ def test_sections_of_a_comment(spark):
     assert (s.summary, s.returns, s.inheritdoc) == ("Uses Foos of Of.", None, None)
     assert [[tuple(x) for x in y] for y in (s.params, s.type_params, s.exceptions)] == [[("p", "q too")], [("T", "kind")], [("Bad", "why")]]
     assert got[1].s is got[2].s is None and got[3].s.inheritdoc and got[3].s.params is None
+
+
+def test_disambiguation_counts_candidates_before_they_meet_rows(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", "c", "d", None]), rng.choice([0, 1, None]), rng.choice([0, 1, 2])) for i in range(40)] + [(0, "c", 1, 1)]
+    found = [(rng.choice(["a", "a", "b", None]), rng.choice([0, 1, None]), rng.choice([0, 1, 2]), k) for k in range(14)] + [("c", 1, 1, 90), ("d", 0, 0, None)]
+    want, left = Counter(), [(r, f) for r in rows for f in found if r[1] is not None and r[1] == f[0]]
+    for step in (lambda r, f: True, lambda r, f: r[2] == f[1], lambda r, f: r[3] == f[2]):
+        left = [(r, f) for r, f in left if step(r, f)]
+        n = Counter(r[0] for r, _ in left)
+        want += Counter((r[0], f[3]) for r, f in left if n[r[0]] == 1)
+        left = [(r, f) for r, f in left if n[r[0]] > 1]
+    one, two = spark.createDataFrame(rows, "id int, name string, arity int, size int"), spark.createDataFrame(found, "name string, arity int, size int, hit int")
+    got = relational.disambiguate(one, two, ["arity", "size"])
+    assert got.columns == ["name", "id", "arity", "size", "hit"]
+    assert Counter((r.id, r.hit) for r in got.collect()) == want
+    # 4 million pairs of one name never meet: each join takes one row a name or step
+    many = relational.disambiguate(spark.range(2000).selectExpr("id", "'x' AS name", "id % 3 AS arity"), spark.range(2000).selectExpr("'x' AS name", "id % 3 AS arity", "id AS hit"), ["arity"])
+    open_, joins = [many._jdf.queryExecution().optimizedPlan()], []
+    while open_:
+        node = open_.pop()
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        open_ += below
+        joins += [below[1].toString().lstrip().startswith("Aggregate")] if node.nodeName() == "Join" else []
+    assert joins and all(joins) and many.count() == 0
