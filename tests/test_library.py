@@ -400,6 +400,22 @@ def test_names_by_trigrams_equal_a_full_scan(spark, tmp_path):
     assert first.name == min((n for n in names if "a" in n.lower()), key=lambda n: (n != "a", not n.startswith("a"), len(n), n))
 
 
+def test_near_names_meet_by_few_rare_grams(spark, tmp_path):
+    rng = random.Random(5)
+    names = sorted({"_".join([rng.choice(["red", "blue", "green"]), rng.choice(["bolt", "gear"]), rng.choice(["STANDARD", "PROMO"])]) + str(i) for i in range(150)})
+    own = store.Store(spark, str(tmp_path / "s"), {})
+    index, step = name_index.NameIndex(own, "n"), own.begin()
+    index.build(step, spark.createDataFrame([(n, n) for n in names], "key string, name string"))
+    step.commit()
+    asked = sorted({n[:3] + n[4:8] + "q" + n[8:] for n in names})
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    picked = index.near_grams(queries).collect()
+    places = {q: sorted(r.at for r in picked if r["query"] == q) for q in asked}
+    assert all(len(p) <= 4 and all(b - a >= 3 for a, b in zip(p, p[1:])) for p in places.values())
+    assert sum(r.n for r in picked) < len(asked) * len(names) / 4  # before, every query met every name, several times
+    assert {(r.query, r.name) for r in index.near(queries, 10**6).collect()} == {(q, n) for q in asked for n in names if _edits(q.lower(), n.lower()) <= min(len(q) // 4, 3)}
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
