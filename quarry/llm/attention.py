@@ -16,8 +16,10 @@ WINDOW = SCORED + CONTEXT
 #: Subwords with an embedding of their own, embedding size, head size; subwords that are predicted one by one, classes of the others.
 ROWS, WIDTH, HEAD, SINGLE, CLASSES = 8192, 16, 8, 64, 32
 OUTPUTS = SINGLE + CLASSES
+#: Most frequent subwords that tell classes apart where they come before.
+BEFORE = 512
 #: The start: steps, windows a step, step size. Step size of the rounds after it. Windows scored at once.
-STEPS, WINDOWS, RATE, ROUND_RATE, BATCH = 600, 64, 0.01, 0.002, 160
+STEPS, WINDOWS, RATE, ROUND_RATE, BATCH = 600, 64, 0.01, 0.002, 64
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,6 +29,11 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * SCORED
 
 
+def rate(step: int) -> float:
+    """The step size of the start."""
+    return RATE * min(1.0, 2 * (1 - step / STEPS))
+
+
 class Attention:
     """counts: of each subword id in the whole corpus, the end id last. train() then gives it its weights."""
 
@@ -36,12 +43,15 @@ class Attention:
         self.row = np.full(len(counts), ROWS, np.int32)  # all rarer subwords share the last row
         self.row[often] = np.arange(len(often))
 
-    def _classes(self, texts: list[np.ndarray]) -> None:
-        """Classes by what comes before a subword in the sample: k-means over singular vectors. The end and the rare have their own."""
-        before = np.concatenate([np.concatenate([[self.end], t[:-1]]) for t in texts])
+    def contexts(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Each token of the texts as a cell of the table that cluster() takes: its row, and what comes before it among the first BEFORE rows."""
+        before = np.concatenate([x for t in texts for x in ([self.end], t[:-1])])
         after = np.concatenate(texts)
-        rank = np.minimum(self.row[before], 511)
-        table = np.bincount(self.row[after].astype(np.int64) * 512 + rank, minlength=(ROWS + 1) * 512).reshape(ROWS + 1, 512).astype(np.float32)
+        return self.row[after].astype(np.int64) * BEFORE + np.minimum(self.row[before], BEFORE - 1)
+
+    def cluster(self, table: np.ndarray) -> None:
+        """Classes by what comes before a subword, from the counts of contexts(): k-means over singular vectors. The end and the rare have their own."""
+        table = table.reshape(ROWS + 1, BEFORE).astype(np.float32)
         mass = table.sum(1)
         unit = np.sqrt(table / np.maximum(mass[:, None], 1))
         _, vectors = np.linalg.eigh((unit * mass[:, None]).T @ unit)
@@ -94,50 +104,65 @@ class Attention:
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, opens: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean cross-entropy of real targets y (outputs) after inputs x (rows), and its gradient by parameter."""
-        p, w = self.p, real.astype(np.float32)
+        p, n = self.p, len(x) * SCORED
         scale, back = np.float32(HEAD**-0.5), np.abs(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW))
-        e = p["e"][x]
-        q, k, val = e[:, CONTEXT:] @ p["q"], e @ p["k"], e @ p["v"]
-        s = q @ k.transpose(0, 2, 1) * scale + self._offsets(p["near"])
-        s[opens, :, :CONTEXT] = -1e9
-        a = np.exp(s - s.max(2, keepdims=True))
+        w = real.ravel() / np.float32(max(real.sum(), 1))
+        e = p["e"].take(x, 0)
+        last = np.ascontiguousarray(e[:, CONTEXT:])
+        q, k, val = last @ p["q"] * scale, e @ p["k"], e @ p["v"]
+        a = q @ k.transpose(0, 2, 1)
+        a += self._offsets(p["near"])
+        a[opens, :, :CONTEXT] = -1e9
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
         a /= a.sum(2, keepdims=True)
-        h = np.concatenate([e[:, CONTEXT:], a @ val], 2)
-        z = h @ p["o"] + p["b"]
-        z = np.exp(z - z.max(2, keepdims=True))
-        z /= z.sum(2, keepdims=True)
-        own = np.take_along_axis(z, y[:, :, None], 2)
-        w /= max(w.sum(), 1)
-        loss = float(-(np.log(own[:, :, 0] + 1e-20) * w).sum())
-        np.put_along_axis(z, y[:, :, None], own - 1, 2)
-        z *= w[:, :, None]
-        g = {"o": np.tensordot(h, z, ((0, 1), (0, 1))), "b": z.sum((0, 1))}
-        dh = z @ p["o"].T
-        de = np.zeros_like(e)
-        de[:, CONTEXT:] = dh[:, :, :WIDTH]
-        da = dh[:, :, WIDTH:]
+        h = np.concatenate([last, a @ val], 2).reshape(n, WIDTH + HEAD)
+        z = h @ p["o"]
+        z += p["b"]
+        np.minimum(z, 60, out=z)
+        target = (np.arange(n), y.ravel())
+        own = z[target]
+        np.exp(z, out=z)
+        total = z.sum(1)
+        loss = float(((np.log(total) - own) * w).sum())
+        z *= (w / total)[:, None]
+        z[target] -= w
+        g = {"o": h.T @ z, "b": np.ones(n, z.dtype) @ z}
+        dh = (z @ p["o"].T).reshape(len(x), SCORED, WIDTH + HEAD)
+        da = np.ascontiguousarray(dh[:, :, WIDTH:])
         dv, ds = a.transpose(0, 2, 1) @ da, da @ val.transpose(0, 2, 1)
-        ds = a * (ds - (a * ds).sum(2, keepdims=True))
+        ds -= np.einsum("ijk,ijk->ij", a, ds)[:, :, None]
+        ds *= a
         g["near"] = np.bincount(back.ravel(), ds.sum(0).ravel() * (np.arange(CONTEXT, WINDOW)[:, None] >= np.arange(WINDOW)).ravel(), WINDOW).astype(np.float32)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-        g["q"], g["k"], g["v"] = np.tensordot(e[:, CONTEXT:], dq, ((0, 1), (0, 1))), np.tensordot(e, dk, ((0, 1), (0, 1))), np.tensordot(e, dv, ((0, 1), (0, 1)))
-        de += dk @ p["k"].T + dv @ p["v"].T
-        de[:, CONTEXT:] += dq @ p["q"].T
+        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
+        flat = lambda m: m.reshape(-1, m.shape[2])
+        g["q"], g["k"], g["v"] = flat(last).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
+        de = dk @ p["k"].T + dv @ p["v"].T
+        de[:, CONTEXT:] += dh[:, :, :WIDTH] + dq @ p["q"].T
         cell = (x.astype(np.int64)[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
         g["e"] = np.bincount(cell, de.ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
         return loss, g
 
+    def open(self, rng: np.random.RandomState) -> None:
+        """Random weights."""
+        init = lambda *n, s=0.3: (rng.randn(*n) * s).astype(np.float32)
+        self.p = {"e": init(ROWS + 1, WIDTH), "q": init(WIDTH, HEAD), "k": init(WIDTH, HEAD), "v": init(WIDTH, HEAD), "o": init(WIDTH + HEAD, OUTPUTS, s=0.1), "b": np.zeros(OUTPUTS, np.float32), "near": -0.1 * np.arange(WINDOW, dtype=np.float32)}
+
+    def windows_of(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Training windows of the texts, as gradients() takes them; every token is the target of one."""
+        inputs, targets, real, opens, _ = self._layout(texts)
+        return [inputs, self.class_of[targets].astype(np.int32), real, opens]
+
     def begin(self, texts: list[np.ndarray], seed: int = 5) -> None:
         """Classes, and Adam from random weights on random windows of texts (arrays of ids, each with its end)."""
-        self._classes(texts)
+        self.cluster(np.bincount(self.contexts(texts), minlength=(ROWS + 1) * BEFORE))
         rng = np.random.RandomState(seed)
-        init = lambda *n, s=0.3: (rng.randn(*n) * s).astype(np.float32)
-        self.p = {"e": init(ROWS + 1, WIDTH), "q": init(WIDTH, HEAD), "k": init(WIDTH, HEAD), "v": init(WIDTH, HEAD), "o": init(WIDTH + HEAD, OUTPUTS, s=0.1), "b": np.zeros(OUTPUTS, np.float32), "near": -0.1 * np.arange(WINDOW, dtype=np.float32)}
+        self.open(rng)
         inputs, targets, real, opens, _ = self._layout(texts)
         targets, adam = self.class_of[targets], Adam(self.p)
         for step in range(STEPS):
             pick = rng.randint(0, len(inputs), WINDOWS)
-            adam(self.gradients(inputs[pick], targets[pick], real[pick], opens[pick])[1], RATE * min(1.0, 2 * (1 - step / STEPS)))
+            adam(self.gradients(inputs[pick], targets[pick], real[pick], opens[pick])[1], rate(step))
 
     @property
     def weights(self) -> np.ndarray:

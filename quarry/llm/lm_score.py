@@ -1,8 +1,8 @@
 """Language-model scores of whole texts (operator 6): a causal self-attention model, mixed word by word with corpus counts.
 
-The model starts on a bounded sample. Then, in rounds, every task goes on with it over spans of all
-its training texts, and the weights are averaged by the windows behind them, so what is learnt grows
-with the corpus.
+Every token of every training text is a target. Classes come from counts over all training texts. In
+rounds, every task goes on with the model over all windows of its texts of that round, the first round
+from random weights, and the weights are averaged by the windows behind them.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common
-from .attention import CONTEXT, ROUND_RATE, WINDOW, WINDOWS, Adam, Attention
+from . import attention, bpe, common
+from .attention import ROUND_RATE, WINDOW, WINDOWS, Adam, Attention
 
-#: Training documents that the attention model starts on, about, at most.
-SAMPLE = 1000
-#: Rounds over all training documents, each of which has its turn in one; words of a span, and the share of each text's spans that are learnt from.
-ROUNDS, SPAN, SHARE = 2, WINDOW + 8, 1 / 8
+#: Rounds over all training documents, each of which has its turn in one; windows of a step after a task's first STEPS steps.
+ROUNDS, LATER = 2, 256
+#: Tokens whose contexts a task counts at once.
+CELLS = 1 << 22
+#: Of start_sample() and spans(), which lm_score() doesn't use: rows, words of a span, share of spans.
+SAMPLE, SPAN, SHARE = 1000, WINDOW + 8, 1 / 8
 #: Most frequent words that are broadcast with their counts; rarer ones meet their counts in a shuffled join.
 FREQUENT = 200_000
 #: Bytes of the longest word that is broadcast; longer ones are joined.
@@ -141,8 +143,8 @@ def start_sample(texts: DataFrame, rows: int) -> DataFrame:
     return each.groupBy("_hash").agg(F.first("text").alias("text")).select("text")
 
 
-def fit(texts: DataFrame, counts: DataFrame, ranks, ends: int, sample: int) -> Attention | None:
-    """The model of all rows of texts (text); None without any."""
+def token_ids(texts: DataFrame, ranks) -> DataFrame:
+    """ids (binary, uint16): of each row of texts (text), the end last."""
     end = len(ranks.value)
 
     def run(batches):
@@ -150,45 +152,93 @@ def fit(texts: DataFrame, counts: DataFrame, ranks, ends: int, sample: int) -> A
             ids = encoded(subwords(ranks.value), [words_of(t) for t in block.column(0).fill_null(b"").to_pylist()], end)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], names=["ids"])
 
-    picked = start_sample(texts, sample).mapInArrow(run, "ids binary").toArrow().column("ids")
-    got = [np.frombuffer(x, "<u2") for x in picked.to_pylist()]
-    if not got:
+    return texts.select("text").mapInArrow(run, "ids binary")
+
+
+def _arrays(batches):
+    """Lists of id arrays, of about as many bytes as a block."""
+    for block in common.blocks(batches):
+        yield [np.frombuffer(x, "<u2") for x in block.column(0).to_pylist()]
+
+
+def context_counts(model: Attention, ids: DataFrame) -> np.ndarray:
+    """How often each context of Attention.contexts() occurs in all rows of ids: a table of fixed size."""
+    sent, size = ids.sparkSession.sparkContext.broadcast(model), (attention.ROWS + 1) * attention.BEFORE
+
+    def run(batches):
+        total, waiting, n = np.zeros(size, np.int64), [], 0
+        for texts in _arrays(batches):
+            waiting.append(sent.value.contexts(texts))
+            n += len(waiting[-1])
+            if n >= CELLS:
+                total += np.bincount(np.concatenate(waiting), minlength=size)
+                waiting, n = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=size)
+        for at in np.array_split(np.flatnonzero(total), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["cell", "c"])
+
+    got = ids.mapInArrow(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got.column("cell").to_numpy()] = got.column("c").to_numpy()
+    return out
+
+
+def fit(texts: DataFrame, counts: DataFrame, ranks, ends: int) -> Attention | None:
+    """The model of all rows of texts (text); None without any."""
+    if not ends:
         return None
     each = subword_counts(counts, ranks)
-    each[end] = ends
-    model = Attention(each)
-    model.begin(sorted(got, key=bytes))
+    each[len(ranks.value)] = ends
+    ids, model = common.staged(token_ids(texts, ranks)), Attention(each)
+    model.cluster(context_counts(model, ids))
+    model.open(np.random.RandomState(5))
+    # tasks with too few windows for a start of their own are put together
+    tasks = max(1, int(each.sum()) // (attention.SCORED * ROUNDS * attention.STEPS * WINDOWS))
     for k in range(ROUNDS):
-        further(model, texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k), ranks)
+        further(model, ids.where(F.pmod(F.xxhash64("ids"), F.lit(ROUNDS)) == k).coalesce(tasks), first=k == 0)
     model.finish()
     return model
 
 
-def further(model: Attention, texts: DataFrame, ranks) -> None:
-    """Gives model the mean of the weights that the tasks of texts reach from it, each weighted by its windows."""
-    sent, end = texts.sparkSession.sparkContext.broadcast(model), len(ranks.value)
+def further(model: Attention, ids: DataFrame, first: bool) -> None:
+    """Gives model the mean of the weights that the tasks of ids reach from it over all their windows, each weighted by its windows.
+
+    In the first round a task goes on over its windows again until it has made STEPS steps.
+    """
+    sent, steps = ids.sparkSession.sparkContext.broadcast(model), attention.STEPS
 
     def run(batches):
         own = copy.copy(sent.value)
         own.p = {k: x.copy() for k, x in own.p.items()}
-        adam, waiting, n, memo = Adam(own.p), [], 0, subwords(ranks.value)
-
-        def step() -> int:
-            part = waiting[:WINDOWS]
-            del waiting[:WINDOWS]
-            adam(own.gradients(*own.spans(part))[1], ROUND_RATE)
-            return len(part)
-
-        for block in common.blocks(batches):
-            chosen = spans([words_of(t) for t in block.column(0).fill_null(b"").to_pylist()])
-            for ids, (_, opens, ends) in zip(encoded(memo, [w for w, _, _ in chosen], end), chosen, strict=True):
-                ids = ids if ends else ids[:-1]
-                if opens or len(ids) > CONTEXT + 1:
-                    waiting.append((ids, opens))
-            while len(waiting) >= WINDOWS:
-                n += step()
-        if waiting:
-            n += step()
+        adam, rng, n, again = Adam(own.p), np.random.RandomState(7), 0, []
+
+        def learn(parts: list[list[np.ndarray]], rest: bool) -> list[list[np.ndarray]]:
+            """Steps over the windows of parts in a random order; the last few are given back, or learnt from as well."""
+            if not parts:
+                return []
+            x = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order, at = rng.permutation(len(x[0])), 0
+            while at < len(order):
+                start = first and adam.step < steps
+                size = WINDOWS if start else LATER
+                if at + size > len(order) and not rest:
+                    break
+                pick = order[at : at + size]
+                adam(own.gradients(*[c[pick] for c in x])[1], max(attention.rate(adam.step), ROUND_RATE) if start else ROUND_RATE)
+                at += size
+            return [[c[order[at:]] for c in x]] if at < len(order) else []
+
+        waiting = []
+        for texts in _arrays(batches):
+            part = own.windows_of(texts)
+            n += len(part[0])
+            if first and n <= steps * WINDOWS:
+                again.append(part)
+            waiting = learn([*waiting, part], False)
+        learn(waiting, True)
+        while n and first and adam.step < steps:  # all windows are in again: there are fewer than those steps take
+            learn(again, True)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.weights.tobytes()], pa.binary())], names=["n", "weights"])
 
@@ -200,7 +250,7 @@ def further(model: Attention, texts: DataFrame, ranks) -> None:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
 
-    reached = common.staged(texts.select("text").mapInArrow(run, "n long, weights binary"))  # one row a task
+    reached = common.staged(ids.mapInArrow(run, "n long, weights binary"))  # one row a task
     parts = math.isqrt(reached.count()) + 1
     got = pa.Table.to_batches(reached.repartition(parts).mapInArrow(mean, "n long, weights binary").toArrow())
     for b in mean(got):
@@ -236,7 +286,8 @@ def lm_score(docs: DataFrame, learnable: Column, ranks_path: str | None = None,
     that training never saw are spelt by the attention model alone. A null or empty text is its end alone; repeated
     rows are scored each; with nothing to learn from, n_known is 0, train_tokens 0, base_score 0 and
     score the uniform log10 probability of the subwords. Frequent words are looked up in a broadcast
-    of FREQUENT entries at most; all others are joined with the table of counts.
+    of FREQUENT entries at most; all others are joined with the table of counts. sample is taken no
+    notice of: every training row teaches.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(bpe.load_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
@@ -246,7 +297,7 @@ def lm_score(docs: DataFrame, learnable: Column, ranks_path: str | None = None,
     total, distinct, singles, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
     shares = weights(singles, total)
     names = [f"score{k}" for k in range(len(shares))]
-    model = fit(training, counts, ranks, ends, sample)
+    model = fit(training, counts, ranks, ends)
     # the least count of frequent words, from a histogram by eighths of powers of two
     step = F.when(F.length("word") <= LONGEST, F.floor(F.log2("c") * 8)).otherwise(-1).cast("int")
     least, room = None, FREQUENT

@@ -379,6 +379,26 @@ def test_rounds_learn_from_every_task(spark):
     assert len(got) == 200 and (got.score / got.n_tokens > got.base_score / got.n_tokens).all()  # context tells what comes next
 
 
+def test_every_training_token_teaches(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "start_sample", None)  # no sample is drawn
+    rng = np.random.RandomState(4)
+    docs = rows(spark, [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "x" * 80, "delta"], rng.randint(0, 200)))) for i in range(70)] + [(70, None)])
+    got = lm_score.lm_score(docs, F.col("doc_id") % 7 != 2, sample=1).toPandas()
+    assert len(got) == 71 and np.isfinite(got.score).all()
+    ranks = spark.sparkContext.broadcast(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    ids = lm_score.token_ids(docs.select(F.col("text").cast("binary").alias("text")), ranks).repartition(5)
+    texts = [np.frombuffer(r.ids, "<u2") for r in ids.collect()]
+    model = attention.Attention(np.bincount(np.concatenate(texts), minlength=len(ranks.value) + 1))
+    monkeypatch.setattr(lm_score, "CELLS", 500)
+    counts = lm_score.context_counts(model, ids)
+    want = Counter()
+    for t in texts:
+        want.update((int(model.row[b]), min(int(model.row[a]), attention.BEFORE - 1)) for a, b in zip([model.end, *t[:-1]], t, strict=True))
+    assert {divmod(int(c), attention.BEFORE): int(counts[c]) for c in np.flatnonzero(counts)} == want
+    model.cluster(counts)
+    assert model.windows_of(texts)[2].sum() == sum(map(len, texts))
+
+
 def test_spans_cover_texts_evenly(monkeypatch):
     texts = [[b"w%d" % i for i in range(n)] for n in (0, 1, 39, 40, 41, 500)]
     monkeypatch.setattr(lm_score, "SHARE", 1 - 2.0**-40)
