@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A space that another space precedes and that white space or the end follows: there a text can't be cut before its spaces.
-_UNSAFE = re.compile(r"\s\x20(?:\s|\Z)")
+_UNSAFE = re.compile(r"\x20(?<=\s\x20)(?:\s|\Z)")
 #: Entries of one generation of a worker's memory of words, and the longest string that it remembers.
 MEMO, MEMO_CHARS = 500_000, 64
 
@@ -70,10 +70,10 @@ class Splitter:
 
     def _cut(self, word: str) -> list[str]:
         """Pre-tokens of a space and the word; letters alone, or with one mark after them, need no pattern."""
-        if word.isascii() and word[:-1].isalpha():
-            if word[-1].isalpha():
+        if word.isascii():
+            if len(word) > 1 and word.isalpha():
                 return [f" {word}"]
-            if word[-1] in ",.":
+            if word[-1:] in ",." and word[:-1].isalpha():
                 return [f" {word[:-1]}", word[-1]]
         return self.pattern.findall(f" {word}")
 
@@ -82,7 +82,7 @@ class Splitter:
 
     def _joined(self, split: list[list[str]]) -> list[bytes]:
         get = self.tokens.learn(set().union(*split))
-        return [b"".join(map(get, x)) for x in split]
+        return [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

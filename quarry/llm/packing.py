@@ -106,8 +106,9 @@ class TokenizerPieces:
 
     def _some(self, pieces: list[str]) -> list[bytes]:
         out = dict.fromkeys(pieces, b"")
-        joined = [x for x in pieces if self._joins.fullmatch(x)]
-        alone = [x for x in pieces if not self._joins.fullmatch(x)]
+        joined, alone, joins = [], [], self._joins.fullmatch
+        for x in pieces:
+            (joined if joins(x) else alone).append(x)
         runs = [joined[i : i + self.RUN] for i in range(0, len(joined), self.RUN)]
         for run, got in zip(runs, self.tokenizer.encode_batch(["".join(x) for x in runs], add_special_tokens=False), strict=True):
             ids, words = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
