@@ -28,9 +28,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dup.one_of_each(docs)
 
 
+#: Words of a generation that packing remembers here: earlier stages have left the executor a full heap beside its workers.
+MEMO = 150_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: one row per piece with its place in a sequence of 2048 tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, memo=MEMO)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_dedup", drop_copies), ("packing", pack)]

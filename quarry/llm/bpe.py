@@ -29,10 +29,10 @@ MEMO, MEMO_CHARS = 500_000, 64
 
 
 class Memo:
-    """A memory of encoded strings, bounded in bytes: two generations of MEMO entries of MEMO_CHARS at most; what is used again moves to the younger."""
+    """A memory of encoded strings, bounded in bytes: two generations of most (MEMO) entries of MEMO_CHARS at most; what is used again moves to the younger."""
 
-    def __init__(self, encode_many) -> None:
-        self.encode_many, self.young, self.old = encode_many, {}, {}
+    def __init__(self, encode_many, most: int | None = None) -> None:
+        self.encode_many, self.young, self.old, self.most = encode_many, {}, {}, most or MEMO
 
     def learn(self, words: set[str]) -> Callable[[str], bytes]:
         """Makes every word known; how to find them until the next call. Long words are known until then only."""
@@ -44,7 +44,7 @@ class Memo:
             passing = dict(zip(long, self.encode_many(long), strict=True))
             get = self.learn(words.difference(passing))
             return lambda w: passing[w] if w in passing else get(w)
-        if len(self.young) + len(new) > MEMO:
+        if len(self.young) + len(new) > self.most:
             self.old, self.young = self.young, {}
             new = words
         if self.old:
@@ -63,10 +63,10 @@ class Splitter:
     (such texts are split whole); cuts and pre-tokens are remembered in bounded memories.
     """
 
-    def __init__(self, pattern: str, encode_many) -> None:
+    def __init__(self, pattern: str, encode_many, most: int | None = None) -> None:
         self.pattern = regex.compile(pattern)
-        self.tokens = Memo(encode_many)
-        self.cuts = Memo(lambda words: self._joined(list(map(self._cut, words))))
+        self.tokens = Memo(encode_many, most)
+        self.cuts = Memo(lambda words: self._joined(list(map(self._cut, words))), most)
 
     def _cut(self, word: str) -> list[str]:
         """Pre-tokens of a space and the word; letters alone, or with one mark after them, need no pattern."""

@@ -145,12 +145,12 @@ class AddedTokens:
         return [b"".join(next(rest) if k % 2 == 0 else self.ids[x] for k, x in enumerate(parts.get(i, [""]))) for i in range(len(texts))]
 
 
-def splitter(key: int, text: str) -> bpe.Splitter:
-    """This worker's splitter, kept over tasks."""
-    return common.held(f"pieces-{key}", lambda: bpe.Splitter(public_tokenizers.PATTERN, TokenizerPieces(text)))
+def splitter(key: int, text: str, memo: int | None = None) -> bpe.Splitter:
+    """This worker's splitter, kept over tasks; memo bounds each generation of its memories (bpe.MEMO)."""
+    return common.held(f"pieces-{key}-{memo}", lambda: bpe.Splitter(public_tokenizers.PATTERN, TokenizerPieces(text), memo))
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, memo: int | None = None) -> DataFrame:
     """Each document's ids and end_id, cut where they exceed capacity: the first piece takes what whole pieces leave.
 
     seat is a piece's number among those of its length in its task, part; both are written with the row.
@@ -162,7 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
 
     def run(block: pa.RecordBatch, seen: Counter) -> pa.RecordBatch:
         rows, own = [], TaskContext.get().partitionId()
-        for i, ids in enumerate(added.encode(block.column(1).fill_null(b"").cast(pa.string()).to_pylist(), splitter(key, sent.value).encode)):
+        for i, ids in enumerate(added.encode(block.column(1).fill_null(b"").cast(pa.string()).to_pylist(), splitter(key, sent.value, memo).encode)):
             ids += end
             n, start, piece = len(ids) // 4, 0, 0
             while start < n:
@@ -186,15 +186,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(task, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, memo: int | None = None) -> DataFrame:
     """Packs all documents into as few sequences of at most capacity tokens as minimum bin slack finds.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with_ids the
     ids as little-endian bytes. A null or empty text is end_id alone; repeated rows are packed each;
     a null doc_id stays null; an empty table gives no rows. Other columns are left out. The strings
-    of the tokenizer's added tokens in a text are their ids, as the library has it.
+    of the tokenizer's added tokens in a text are their ids, as the library has it. memo bounds the
+    memory of words that each worker keeps (bpe.MEMO without it); less costs time, and no result.
     """
-    cut = common.staged(pieces(docs, tokenizer, capacity, end_id, with_ids))
+    cut = common.staged(pieces(docs, tokenizer, capacity, end_id, with_ids, memo))
     counts = cut.groupBy("length", "part").agg(F.count("*").alias("here"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("here").alias("n")).collect()}  # capacity rows at most
     rows, _ = plan(histogram, capacity)

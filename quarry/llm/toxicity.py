@@ -39,6 +39,7 @@ def row_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Of rows (known, text): in how many known rows, and in how many of all, each bucket is found; and how many rows of either there are."""
 
     def run(batches):
+        common.release()
         total = np.zeros((2, BUCKETS + 1), np.int64)
         for block in common.blocks(batches):
             row, ids = word_ids(*common.raw(block.column(1)))

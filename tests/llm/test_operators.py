@@ -117,6 +117,31 @@ def test_memory_of_words_is_bounded(monkeypatch):
         assert memo.young["always"] == b"always" and len(memo.young) <= 10 and len(memo.old) <= 10
 
 
+def test_packing_of_the_pipeline_remembers_fewer_words(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(packing, "pack_documents", lambda docs, **k: made.append(k))
+    corpus_pipeline.pack(spark, rows(spark), DATA)
+    splitter = bpe.Splitter(public_tokenizers.PATTERN, packing.TokenizerPieces(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()), made[0]["memo"])
+    assert splitter.tokens.most == splitter.cuts.most == corpus_pipeline.MEMO < bpe.MEMO
+    monkeypatch.undo()
+    few, many = (packing.pack_documents(rows(spark), memo=memo).drop("sequence_id", "offset").orderBy("doc_id", "ids_crc32", "piece", "start").collect() for memo in (3, None))
+    assert few == many
+
+
+def test_counting_of_toxic_words_frees_what_packing_left(spark):
+    class Caught:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            common.held("words of packing", dict)
+            next(iter(run(iter([]))))
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        toxicity.row_counts(Caught())
+    assert not common._held
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_packing_plan(histogram):
