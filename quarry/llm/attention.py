@@ -34,6 +34,21 @@ def rate(step: int) -> float:
     return RATE * min(1.0, 2 * (1 - step / STEPS))
 
 
+def outputs(h: np.ndarray, out: np.ndarray, y: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exponentials of h @ out, whose exponents end at 60, in room; the exponent of output y in each row; each row's sum."""
+    z, at = np.matmul(h, out, out=room[: len(h)]), np.arange(0, len(h) * OUTPUTS, OUTPUTS) + y
+    own = z.ravel().take(at)
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    total = z @ np.ones(OUTPUTS, z.dtype)
+    if not total.max(initial=0) < 1e26:  # exp(60) is more; then, or with overflow, once more with the bound
+        z = np.minimum(h @ out, 60)
+        own = z.ravel().take(at)
+        np.exp(z, out=z)
+        total = z @ np.ones(OUTPUTS, z.dtype)
+    return z, own, total
+
+
 class Attention:
     """counts: of each subword id in the whole corpus, the end id last. train() then gives it its weights."""
 
@@ -103,45 +118,68 @@ class Attention:
         return self.row[x], self.class_of[y], real, opens
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, opens: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean cross-entropy of real targets y (outputs) after inputs x (rows), and its gradient by parameter."""
-        p, n = self.p, len(x) * SCORED
-        scale, back = np.float32(HEAD**-0.5), np.abs(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW))
-        w = real.ravel() / np.float32(max(real.sum(), 1))
+        """The mean cross-entropy of real targets y (outputs) after inputs x (rows), and its gradient by parameter: sums over parts of BATCH windows, which stay in the processor's cache."""
+        p, many = self.p, np.float32(max(real.sum(), 1))
+        sides, out = np.concatenate([p["k"], p["v"]], 1), np.concatenate([p["o"], p["b"][None]])
+        offsets, loss, de = self._offsets(p["near"]), 0.0, np.empty((*x.shape, WIDTH), p["e"].dtype)
+        room = np.empty((BATCH * SCORED, OUTPUTS), p["o"].dtype)
+        g = {"q": np.zeros_like(p["q"]), "sides": np.zeros_like(sides), "out": np.zeros_like(out), "near": np.zeros((SCORED, WINDOW))}
+        for i in range(0, len(x), BATCH):
+            part = slice(i, i + BATCH)
+            loss += self._part(g, de[part], sides, out, offsets, x[part], y[part].ravel(), real[part].ravel() / many, opens[part], room)
+        back = np.abs(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW))
+        reach = np.arange(CONTEXT, WINDOW)[:, None] >= np.arange(WINDOW)
+        each = np.zeros_like(p["e"])
+        rows = x.ravel().astype(np.uint16)  # sorted by their digits
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        each[rows[starts]] = np.add.reduceat(de.reshape(-1, WIDTH).take(order, 0), starts, axis=0)
+        near = np.bincount(back.ravel(), (g["near"] * reach).ravel(), WINDOW).astype(np.float32)
+        return loss, {"o": g["out"][:-1], "b": g["out"][-1], "near": near, "q": g["q"], "k": g["sides"][:, :HEAD], "v": g["sides"][:, HEAD:], "e": each}
+
+    def _part(self, g: dict[str, np.ndarray], de: np.ndarray, sides: np.ndarray, out: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, opens: np.ndarray, room: np.ndarray) -> float:
+        """Adds the gradient of some windows to g and writes that by their inputs to de; their part of the loss. sides: keys and values; out: outputs, and last the bias."""
+        p, n, scale = self.p, len(y), np.float32(HEAD**-0.5)
+        flat = lambda m: m.reshape(-1, m.shape[-1])
         e = p["e"].take(x, 0)
         last = np.ascontiguousarray(e[:, CONTEXT:])
-        q, k, val = last @ p["q"] * scale, e @ p["k"], e @ p["v"]
+        q, kv = (flat(last) @ (p["q"] * scale)).reshape(len(x), SCORED, HEAD), (flat(e) @ sides).reshape(len(x), WINDOW, 2 * HEAD)
+        k, val = kv[:, :, :HEAD], kv[:, :, HEAD:]
         a = q @ k.transpose(0, 2, 1)
-        a += self._offsets(p["near"])
+        a += offsets
         a[opens, :, :CONTEXT] = -1e9
         np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         a /= a.sum(2, keepdims=True)
-        h = np.concatenate([last, a @ val], 2).reshape(n, WIDTH + HEAD)
-        z = h @ p["o"]
-        z += p["b"]
-        np.minimum(z, 60, out=z)
-        target = (np.arange(n), y.ravel())
-        own = z[target]
-        np.exp(z, out=z)
-        total = z.sum(1)
+        h = np.empty((len(x), SCORED, WIDTH + HEAD + 1), e.dtype)
+        h[:, :, :WIDTH], h[:, :, -1] = last, 1
+        np.matmul(a, val, out=h[:, :, WIDTH:-1])
+        h = flat(h)
+        z, own, total = outputs(h, out, y, room)
         loss = float(((np.log(total) - own) * w).sum())
-        z *= (w / total)[:, None]
-        z[target] -= w
-        g = {"o": h.T @ z, "b": np.ones(n, z.dtype) @ z}
-        dh = (z @ p["o"].T).reshape(len(x), SCORED, WIDTH + HEAD)
+        z.ravel()[np.arange(0, n * OUTPUTS, OUTPUTS) + y] -= total
+        share = (w / total)[:, None]
+        dh = z @ p["o"].T
+        dh *= share
+        h *= share
+        g["out"] += h.T @ z
+        dh = dh.reshape(len(x), SCORED, WIDTH + HEAD)
         da = np.ascontiguousarray(dh[:, :, WIDTH:])
-        dv, ds = a.transpose(0, 2, 1) @ da, da @ val.transpose(0, 2, 1)
+        ds = da @ val.transpose(0, 2, 1)
         ds -= np.einsum("ijk,ijk->ij", a, ds)[:, :, None]
         ds *= a
-        g["near"] = np.bincount(back.ravel(), ds.sum(0).ravel() * (np.arange(CONTEXT, WINDOW)[:, None] >= np.arange(WINDOW)).ravel(), WINDOW).astype(np.float32)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-        flat = lambda m: m.reshape(-1, m.shape[2])
-        g["q"], g["k"], g["v"] = flat(last).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, CONTEXT:] += dh[:, :, :WIDTH] + dq @ p["q"].T
-        cell = (x.astype(np.int64)[:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
-        g["e"] = np.bincount(cell, de.ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
-        return loss, g
+        g["near"] += ds.sum(0)
+        dq, dkv = ds @ k, np.empty_like(kv)
+        dq *= scale
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :HEAD])
+        np.matmul(a.transpose(0, 2, 1), da, out=dkv[:, :, HEAD:])
+        g["q"] += flat(last).T @ flat(dq)
+        g["sides"] += flat(e).T @ flat(dkv)
+        np.matmul(flat(dkv), sides.T, out=flat(de))
+        de[:, CONTEXT:] += dh[:, :, :WIDTH]
+        de[:, CONTEXT:] += (flat(dq) @ p["q"].T).reshape(len(x), SCORED, WIDTH)
+        return loss
 
     def open(self, rng: np.random.RandomState) -> None:
         """Random weights."""
@@ -180,7 +218,7 @@ class Attention:
         """Tables by subword, for scoring."""
         p, e = self.p, self.p["e"]
         self.tables = [np.ascontiguousarray(t, np.float32) for t in (np.concatenate([e @ p["q"] * np.float32(HEAD**-0.5), e], 1), np.concatenate([e @ p["k"], e @ p["v"]], 1))]
-        self.offsets, self.out, self.bias = self._offsets(p["near"]), np.ascontiguousarray(p["o"]), p["b"]
+        self.offsets, self.out = self._offsets(p["near"]), np.concatenate([p["o"], p["b"][None]])
 
     def each(self, texts: list[np.ndarray]) -> np.ndarray:
         """The log10 probability of each token of the texts (arrays of ids, each with its end), one after another: every token is scored in one window."""
@@ -188,7 +226,7 @@ class Attention:
             return np.zeros(0)
         inputs, targets, real, opens, _ = self._layout(texts)
         asks, keys = self.tables
-        out = []
+        ones, out, room = np.ones(WINDOW, np.float32), [], np.empty((BATCH * SCORED, OUTPUTS), np.float32)
         for i in range(0, len(inputs), BATCH):
             x, y, n = inputs[i : i + BATCH], targets[i : i + BATCH], min(BATCH, len(inputs) - i)
             ask, key = asks.take(x[:, CONTEXT:], 0), keys.take(x, 0)
@@ -197,14 +235,13 @@ class Attention:
             s[opens[i : i + BATCH], :, :CONTEXT] = -1e9
             np.minimum(s, 60, out=s)
             np.exp(s, out=s)
+            h = np.empty((n, SCORED, WIDTH + HEAD + 1), np.float32)
+            h[:, :, :WIDTH], h[:, :, -1] = ask[:, :, HEAD:], 1
             mixed = s @ key[:, :, HEAD:]
-            mixed /= s.sum(2, keepdims=True)
-            h = np.concatenate([ask[:, :, HEAD:], mixed], 2).reshape(n * SCORED, WIDTH + HEAD)
-            z = h @ self.out
-            z += self.bias
-            own = z[np.arange(n * SCORED), self.class_of[y].ravel()]
-            np.exp(z, out=z)
-            out.append((own - np.log(z.sum(1)) + self.share[y].ravel())[real[i : i + BATCH].ravel()])
+            np.divide(mixed, (s @ ones)[:, :, None], out=h[:, :, WIDTH:-1])
+            y = y.ravel()[kept := real[i : i + BATCH].ravel()]
+            _, own, total = outputs(h.reshape(n * SCORED, -1)[kept], self.out, self.class_of[y], room)
+            out.append(own - np.log(total) + self.share[y])
         return np.concatenate(out).astype(np.float64) / np.log(10)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -224,6 +261,15 @@ class Adam:
         self.step += 1
         for n, g in gradients.items():
             m, v = self.m[n], self.v[n]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.p[n] -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-6)
+            m *= 0.9
+            m += (x := 0.1 * g)
+            np.multiply(x, g, out=x)
+            x *= 0.1
+            v *= 0.99
+            v += x
+            np.multiply(v, 1 / (1 - 0.99**self.step), out=x)
+            np.sqrt(x, out=x)
+            x += 1e-6
+            np.divide(m, x, out=x)
+            x *= rate / (1 - 0.9**self.step)
+            self.p[n] -= x

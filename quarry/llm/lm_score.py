@@ -10,6 +10,7 @@ from __future__ import annotations
 import copy
 import math
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -74,7 +75,7 @@ def subwords(ranks: list[bytes]) -> bpe.Memo:
         import tiktoken
 
         coding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
-        encode = lambda words: [np.array(coding.encode_ordinary(f" {w.decode(errors='replace')}"), "<u2").tobytes() for w in words]
+        encode = lambda words: [array("H", coding.encode_ordinary(f" {w.decode(errors='replace')}")).tobytes() for w in words]
         _subwords.clear()
         _subwords[id(ranks)] = bpe.Memo(encode)
     return _subwords[id(ranks)]
