@@ -397,6 +397,19 @@ def test_attention_gradients_are_the_loss_s(monkeypatch):
     assert np.allclose(model.weights, before)
 
 
+def test_attention_scores_stay_finite_and_parts_sum_up(monkeypatch):
+    monkeypatch.setattr(attention, "STEPS", 5)
+    model, texts = _small_attention()
+    batch = model.windows_of(texts)
+    whole = model.gradients(*batch)
+    monkeypatch.setattr(attention, "BATCH", 7)
+    parts = model.gradients(*batch)
+    assert abs(whole[0] - parts[0]) < 1e-4 and all(np.allclose(whole[1][k], parts[1][k], atol=1e-5) for k in model.p)
+    model.p["o"] *= 1e4  # exponents far above what exp() holds
+    model.finish()
+    assert np.isfinite(model.score(texts)).all()
+
+
 def test_rounds_learn_from_every_task(spark):
     text = " ".join(["alpha beta gamma delta epsilon zeta eta theta"] * 40)
     docs = rows(spark, [(i, text + f" own{i}") for i in range(200)])
