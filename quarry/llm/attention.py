@@ -1,9 +1,9 @@
 """A small causal self-attention model in numpy, for operator 6.
 
-Subword ids come in. The most frequent subwords are predicted one by one, all others by a class and
-their share of it, which comes from corpus counts. One head attends over a window with learned
-relative-position offsets. Since keys, queries and values depend on a subword alone, scoring reads
-them from tables.
+Subword ids come in. A subword is predicted by its class and its share of the class, which comes from
+corpus counts: with follow(), counts after the subword before it. SINGLE of the most frequent subwords
+may be predicted one by one instead. One head attends over a window with learned relative-position
+offsets. Since keys, queries and values depend on a subword alone, scoring reads them from tables.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import numpy as np
 #: Positions of a window that are scored, and those before them that are context only.
 SCORED, CONTEXT = 24, 8
 WINDOW = SCORED + CONTEXT
-#: Subwords with an embedding of their own, embedding size, head size; subwords that are predicted one by one, classes of the others.
-ROWS, WIDTH, HEAD, SINGLE, CLASSES = 8192, 16, 8, 64, 32
+#: Subwords with an embedding of their own, embedding size, head size; most frequent subwords that are predicted one by one, classes of the others.
+ROWS, WIDTH, HEAD, SINGLE, CLASSES = 8192, 16, 8, 0, 32
 OUTPUTS = SINGLE + CLASSES
-#: Most frequent subwords that tell classes apart where they come before.
+#: Most frequent subwords that tell classes apart, and shares of a class, where they come before.
 BEFORE = 512
 #: The start: steps, windows a step, step size. Step size of the rounds after it. Windows scored at once.
 STEPS, WINDOWS, RATE, ROUND_RATE, BATCH = 600, 64, 0.01, 0.002, 64
@@ -49,11 +49,28 @@ def outputs(h: np.ndarray, out: np.ndarray, y: np.ndarray, room: np.ndarray) ->
     return z, own, total
 
 
+def attended(q: np.ndarray, k: np.ndarray, val: np.ndarray, offsets: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of each window's positions, not yet divided by their sums, and the values under them; val ends with a one."""
+    a = q @ k.transpose(0, 2, 1)
+    a += offsets
+    a[opens, :, :CONTEXT] = -1e9
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(a, out=a)
+        mixed = a @ val
+    if not (mixed[:, :, -1].min(initial=1) > 1e-26 and mixed[:, :, -1].max(initial=1) < 1e26):  # once more, from each row's largest exponent
+        a = q @ k.transpose(0, 2, 1) + offsets
+        a[opens, :, :CONTEXT] = -1e9
+        a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        mixed = a @ val
+    return a, mixed
+
+
 class Attention:
     """counts: of each subword id in the whole corpus, the end id last. train() then gives it its weights."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.end, self.counts = len(counts) - 1, counts
+        self.end, self.counts, self.after = len(counts) - 1, counts, None
         often = np.argsort(-counts, kind="stable")[:ROWS]
         self.row = np.full(len(counts), ROWS, np.int32)  # all rarer subwords share the last row
         self.row[often] = np.arange(len(often))
@@ -86,18 +103,42 @@ class Attention:
         smooth = self.counts + 0.1
         self.share = np.log(smooth / np.bincount(self.class_of, smooth, OUTPUTS)[self.class_of]).astype(np.float32)
 
+    def follow(self, table: np.ndarray) -> None:
+        """From the counts of contexts(): subwords with a row of their own have shares of their class after each of the first BEFORE rows.
+
+        Witten and Bell's: as many counts as the class has different subwords there are dealt by the shares in the whole corpus.
+        """
+        table = table.reshape(ROWS + 1, BEFORE)[:ROWS]
+        member = np.flatnonzero((self.row < ROWS))  # one subword a row
+        member = member[np.argsort(self.row[member])]
+        own, share = self.class_of[member], self.share[member]
+        self.after = np.zeros((ROWS, BEFORE), np.float32)
+        for c in np.unique(own):
+            at = np.flatnonzero(own == c)
+            part = table[at]
+            kinds = np.maximum((part > 0).sum(0), 1)
+            self.after[at] = np.log((part + kinds * np.exp(share[at].astype(np.float64))[:, None]) / (part.sum(0) + kinds))
+
+    def inside(self, y: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The log of each subword's share of its class; with follow(), after the row before it."""
+        out = self.share[y]
+        if self.after is not None:
+            row = self.row[y]
+            at = np.flatnonzero(row < ROWS)
+            out[at] = self.after[row[at], np.minimum(before[at], BEFORE - 1)]
+        return out
+
     def _layout(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """Input rows by window, scored subwords, which of those are real, and windows that open a text."""
         counts = np.array([len(t) for t in texts])
         text, first = windows(counts)
-        flat = np.concatenate([*texts, np.zeros(WINDOW, np.int64)]).astype(np.int64)
-        base = np.cumsum(counts) - counts
-        at = (base[text] + first)[:, None] + np.arange(-CONTEXT, SCORED)
-        inputs = self.row[flat[np.clip(at - 1, 0, len(flat) - 1)]]
+        flat = np.concatenate([np.zeros(CONTEXT + 1, texts[0].dtype), *texts, np.zeros(WINDOW, texts[0].dtype)])
+        at = (((np.cumsum(counts) - counts)[text] + first)[:, None] + np.arange(WINDOW)).astype(np.int32)  # of the inputs
+        inputs = self.row.take(flat).take(at)
         opens = first == 0
         inputs[opens, CONTEXT] = self.row[self.end]  # a text opens after an end
         real = first[:, None] + np.arange(SCORED) < counts[text][:, None]
-        return inputs, flat[np.minimum(at[:, CONTEXT:], len(flat) - 1)], real, opens, text
+        return inputs, flat.take(at[:, CONTEXT:] + 1), real, opens, text
 
     @staticmethod
     def _offsets(near: np.ndarray) -> np.ndarray:
@@ -118,7 +159,14 @@ class Attention:
         return self.row[x], self.class_of[y], real, opens
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, opens: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean cross-entropy of real targets y (outputs) after inputs x (rows), and its gradient by parameter: sums over parts of BATCH windows, which stay in the processor's cache."""
+        """The mean cross-entropy of real targets y (outputs) after inputs x (rows), and its gradient by parameter."""
+        loss, g, rows, e = self.sparse_gradients(x, y, real, opens)
+        g["e"] = np.zeros_like(self.p["e"])
+        g["e"][rows] = e
+        return loss, g
+
+    def sparse_gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, opens: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """As gradients(), but the embeddings' as the rows of x, in order, and the gradient of each: sums over parts of BATCH windows, which stay in the processor's cache."""
         p, many = self.p, np.float32(max(real.sum(), 1))
         sides, out = np.concatenate([p["k"], p["v"]], 1), np.concatenate([p["o"], p["b"][None]])
         offsets, loss, de = self._offsets(p["near"]), 0.0, np.empty((*x.shape, WIDTH), p["e"].dtype)
@@ -129,14 +177,13 @@ class Attention:
             loss += self._part(g, de[part], sides, out, offsets, x[part], y[part].ravel(), real[part].ravel() / many, opens[part], room)
         back = np.abs(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW))
         reach = np.arange(CONTEXT, WINDOW)[:, None] >= np.arange(WINDOW)
-        each = np.zeros_like(p["e"])
-        rows = x.ravel().astype(np.uint16)  # sorted by their digits
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        each[rows[starts]] = np.add.reduceat(de.reshape(-1, WIDTH).take(order, 0), starts, axis=0)
+        met = x.ravel().astype(np.uint16)  # sorted by their digits
+        order = np.argsort(met, kind="stable")
+        met = met[order]
+        starts = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+        rows, each = met[starts].astype(np.int64), np.add.reduceat(de.reshape(-1, WIDTH).take(order, 0), starts, axis=0)
         near = np.bincount(back.ravel(), (g["near"] * reach).ravel(), WINDOW).astype(np.float32)
-        return loss, {"o": g["out"][:-1], "b": g["out"][-1], "near": near, "q": g["q"], "k": g["sides"][:, :HEAD], "v": g["sides"][:, HEAD:], "e": each}
+        return loss, {"o": g["out"][:-1], "b": g["out"][-1], "near": near, "q": g["q"], "k": g["sides"][:, :HEAD], "v": g["sides"][:, HEAD:]}, rows, each
 
     def _part(self, g: dict[str, np.ndarray], de: np.ndarray, sides: np.ndarray, out: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, opens: np.ndarray, room: np.ndarray) -> float:
         """Adds the gradient of some windows to g and writes that by their inputs to de; their part of the loss. sides: keys and values; out: outputs, and last the bias."""
@@ -144,36 +191,34 @@ class Attention:
         flat = lambda m: m.reshape(-1, m.shape[-1])
         e = p["e"].take(x, 0)
         last = np.ascontiguousarray(e[:, CONTEXT:])
-        q, kv = (flat(last) @ (p["q"] * scale)).reshape(len(x), SCORED, HEAD), (flat(e) @ sides).reshape(len(x), WINDOW, 2 * HEAD)
-        k, val = kv[:, :, :HEAD], kv[:, :, HEAD:]
-        a = q @ k.transpose(0, 2, 1)
-        a += offsets
-        a[opens, :, :CONTEXT] = -1e9
-        np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
+        q, kv = (flat(last) @ (p["q"] * scale)).reshape(len(x), SCORED, HEAD), np.ones((len(x), WINDOW, 2 * HEAD + 1), e.dtype)
+        kv[:, :, :-1] = (flat(e) @ sides).reshape(len(x), WINDOW, 2 * HEAD)
+        k, val = kv[:, :, :HEAD], kv[:, :, HEAD:]  # values end with a one, which sums the weights
+        a, mixed = attended(q, k, val, offsets, opens)
         h = np.empty((len(x), SCORED, WIDTH + HEAD + 1), e.dtype)
         h[:, :, :WIDTH], h[:, :, -1] = last, 1
-        np.matmul(a, val, out=h[:, :, WIDTH:-1])
+        sums = mixed[:, :, -1:]
+        np.divide(mixed[:, :, :-1], sums, out=h[:, :, WIDTH:-1])
         h = flat(h)
         z, own, total = outputs(h, out, y, room)
         loss = float(((np.log(total) - own) * w).sum())
         z.ravel()[np.arange(0, n * OUTPUTS, OUTPUTS) + y] -= total
-        share = (w / total)[:, None]
+        share = (w / total)[:, None].astype(e.dtype)
         dh = z @ p["o"].T
         dh *= share
+        da = np.empty_like(mixed)  # of sums of a's rows that aren't divided yet; last, what the division takes off
+        np.divide(dh.reshape(len(x), SCORED, -1)[:, :, WIDTH:], sums, out=da[:, :, :-1])
+        np.negative(np.einsum("ijk,ijk->ij", da[:, :, :-1], h.reshape(len(x), SCORED, -1)[:, :, WIDTH:-1]), out=da[:, :, -1])
         h *= share
         g["out"] += h.T @ z
         dh = dh.reshape(len(x), SCORED, WIDTH + HEAD)
-        da = np.ascontiguousarray(dh[:, :, WIDTH:])
         ds = da @ val.transpose(0, 2, 1)
-        ds -= np.einsum("ijk,ijk->ij", a, ds)[:, :, None]
         ds *= a
         g["near"] += ds.sum(0)
-        dq, dkv = ds @ k, np.empty_like(kv)
+        dq, dkv = ds @ k, np.empty((len(x), WINDOW, 2 * HEAD), e.dtype)
         dq *= scale
         np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :HEAD])
-        np.matmul(a.transpose(0, 2, 1), da, out=dkv[:, :, HEAD:])
+        np.matmul(a.transpose(0, 2, 1), da[:, :, :-1], out=dkv[:, :, HEAD:])
         g["q"] += flat(last).T @ flat(dq)
         g["sides"] += flat(e).T @ flat(dkv)
         np.matmul(flat(dkv), sides.T, out=flat(de))
@@ -217,7 +262,7 @@ class Attention:
     def finish(self) -> None:
         """Tables by subword, for scoring."""
         p, e = self.p, self.p["e"]
-        self.tables = [np.ascontiguousarray(t, np.float32) for t in (np.concatenate([e @ p["q"] * np.float32(HEAD**-0.5), e], 1), np.concatenate([e @ p["k"], e @ p["v"]], 1))]
+        self.tables = [np.ascontiguousarray(t, np.float32) for t in (np.concatenate([e @ p["q"] * np.float32(HEAD**-0.5), e], 1), np.concatenate([e @ p["k"], e @ p["v"], np.ones((len(e), 1))], 1))]
         self.offsets, self.out = self._offsets(p["near"]), np.concatenate([p["o"], p["b"][None]])
 
     def each(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -226,22 +271,17 @@ class Attention:
             return np.zeros(0)
         inputs, targets, real, opens, _ = self._layout(texts)
         asks, keys = self.tables
-        ones, out, room = np.ones(WINDOW, np.float32), [], np.empty((BATCH * SCORED, OUTPUTS), np.float32)
+        out, room = [], np.empty((BATCH * SCORED, OUTPUTS), np.float32)
         for i in range(0, len(inputs), BATCH):
             x, y, n = inputs[i : i + BATCH], targets[i : i + BATCH], min(BATCH, len(inputs) - i)
             ask, key = asks.take(x[:, CONTEXT:], 0), keys.take(x, 0)
-            s = ask[:, :, :HEAD] @ key[:, :, :HEAD].transpose(0, 2, 1)
-            s += self.offsets
-            s[opens[i : i + BATCH], :, :CONTEXT] = -1e9
-            np.minimum(s, 60, out=s)
-            np.exp(s, out=s)
+            _, mixed = attended(ask[:, :, :HEAD], key[:, :, :HEAD], key[:, :, HEAD:], self.offsets, opens[i : i + BATCH])
             h = np.empty((n, SCORED, WIDTH + HEAD + 1), np.float32)
             h[:, :, :WIDTH], h[:, :, -1] = ask[:, :, HEAD:], 1
-            mixed = s @ key[:, :, HEAD:]
-            np.divide(mixed, (s @ ones)[:, :, None], out=h[:, :, WIDTH:-1])
+            np.divide(mixed[:, :, :-1], mixed[:, :, -1:], out=h[:, :, WIDTH:-1])
             y = y.ravel()[kept := real[i : i + BATCH].ravel()]
             _, own, total = outputs(h.reshape(n * SCORED, -1)[kept], self.out, self.class_of[y], room)
-            out.append(own - np.log(total) + self.share[y])
+            out.append(own - np.log(total) + self.inside(y, x[:, CONTEXT:].ravel()[kept]))
         return np.concatenate(out).astype(np.float64) / np.log(10)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -257,19 +297,32 @@ class Adam:
         self.p, self.step = p, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
-    def __call__(self, gradients: dict[str, np.ndarray], rate: float) -> None:
+    def __call__(self, gradients: dict[str, np.ndarray], rate: float, rows: np.ndarray | None = None, each: np.ndarray | None = None) -> None:
+        """A step; of the embeddings e, if rows are given, on those alone, by their gradients each."""
         self.step += 1
         for n, g in gradients.items():
-            m, v = self.m[n], self.v[n]
-            m *= 0.9
-            m += (x := 0.1 * g)
-            np.multiply(x, g, out=x)
-            x *= 0.1
-            v *= 0.99
-            v += x
-            np.multiply(v, 1 / (1 - 0.99**self.step), out=x)
-            np.sqrt(x, out=x)
-            x += 1e-6
-            np.divide(m, x, out=x)
-            x *= rate / (1 - 0.9**self.step)
-            self.p[n] -= x
+            self._step(self.p[n], self.m[n], self.v[n], g, rate)
+        if rows is not None:
+            own = [x["e"].take(rows, 0) for x in (self.p, self.m, self.v)]
+            self._step(*own, each, rate)
+            for x, part in zip((self.p, self.m, self.v), own, strict=True):
+                x["e"][rows] = part
+
+    def _step(self, p: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: float) -> None:
+        m *= 0.9
+        m += (x := 0.1 * g)
+        np.multiply(x, g, out=x)
+        x *= 0.1
+        v *= 0.99
+        v += x
+        np.multiply(v, 1 / (1 - 0.99**self.step), out=x)
+        np.sqrt(x, out=x)
+        x += 1e-6
+        np.divide(m, x, out=x)
+        x *= rate / (1 - 0.9**self.step)
+        p -= x
+
+    def learn(self, model: Attention, *batch: np.ndarray, rate: float) -> None:
+        """A step of model, whose arrays these are, on windows as sparse_gradients() takes them."""
+        _, g, rows, each = model.sparse_gradients(*batch)
+        self(g, rate, rows, each)

@@ -46,11 +46,11 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read again: short lineage that outlives executors."""
+def staged(df: DataFrame, **options: str) -> DataFrame:
+    """df written once to the shared folder, with the writer's options, and read again: short lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,7 @@
 """Language-model scores of whole texts (operator 6): a causal self-attention model, mixed word by word with corpus counts.
 
-Every token of every training text is a target. Classes come from counts over all training texts. In
+Texts are split and encoded once, and every later pass reads ids. Every token of every training text is a target. Classes, and
+a subword's share of its class after the subword before it, come from counts over all training texts. In
 rounds, every task goes on with the model over all windows of its texts of that round, the first round
 from random weights, and the weights are averaged by the windows behind them.
 """
@@ -16,6 +17,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ FREQUENT = 200_000
 LONGEST = 64
 #: Weights of the attention model against word counts, beside the chance of a new word.
 WEIGHTS = (0.1, 0.3, 0.6, 0.9)
+#: Rows and bytes of texts whose words are told apart at once.
+TEXTS, TEXT_BYTES = 2048, 4 << 20
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 300_000
 
@@ -43,6 +47,23 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def block_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words_of() all texts (binary), each word as a place among those, and how many each text has."""
+    texts = texts.fill_null(b"")
+    if texts.offset:
+        texts = pa.concat_arrays([texts])
+    plain = pa.Array.from_buffers(pa.string(), len(texts), [None, *texts.buffers()[1:]])  # as bytes; nothing here looks at characters
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+    words, at = lists.values, lists.offsets.to_numpy()
+    full = pc.binary_length(words).to_numpy() > 0
+    if not full.all():  # white space at either end of a text leaves an empty string
+        words, at = words.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[at]
+    found = pc.dictionary_encode(words)
+    data, ends = common.raw(found.dictionary.cast(pa.binary()))
+    whole, ends = data.tobytes(), ends.tolist()
+    return [whole[i:j] for i, j in zip(ends, ends[1:])], found.indices.to_numpy(), np.diff(at)  # noqa: B905
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (binary), c: over all rows of texts (one binary column); the end of each text counts as the empty word."""
 
@@ -54,18 +75,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
             held.clear()
             return got
 
-        for block in common.blocks(batches):
-            for text in block.column(0).fill_null(b"").to_pylist():
-                held.update(words_of(text))
+        for block in common.blocks(batches, TEXT_BYTES):
+            kinds, which, _ = block_words(block.column(0))
+            for w, c in zip(kinds, np.bincount(which, minlength=len(kinds)).tolist(), strict=True):
+                held[w] += c
             held[b""] += block.num_rows
             if len(held) > HELD:
                 yield out()
         yield out()
 
-    common.small_batches(texts.sparkSession)
+    common.small_batches(texts.sparkSession, TEXTS)
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def openings(ranks: list[bytes]) -> np.ndarray:
+    """Which ids open a word: those that begin with a space, which no word holds; the end, last, is one too."""
+    return np.array([*(t[:1] == b" " for t in ranks), True])
+
+
 _subwords: dict[int, bpe.Memo] = {}
 
 
@@ -74,49 +101,76 @@ def subwords(ranks: list[bytes]) -> bpe.Memo:
     if id(ranks) not in _subwords:
         import tiktoken
 
+        opens = openings(ranks)
         coding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
-        encode = lambda words: [array("H", coding.encode_ordinary(f" {w.decode(errors='replace')}")).tobytes() for w in words]
+
+        def encode(words: list[bytes]) -> list[bytes]:
+            # a space opens a match and ends the one before it, so words are matched in a row as they are alone; beyond ASCII there is other white space
+            plain = [w for w in words if w.isascii()]
+            ids = np.array(coding.encode_ordinary(f" {b' '.join(plain).decode()}") if plain else [], "<u2")
+            at, data = (np.append(np.flatnonzero(opens[ids]), len(ids)) * 2).tolist(), ids.tobytes()
+            got = dict(zip(plain, map(data.__getitem__, map(slice, at, at[1:])), strict=True))  # noqa: B905
+            return [got[w] if w in got else array("H", coding.encode_ordinary(f" {w.decode(errors='replace')}")).tobytes() for w in words]
+
         _subwords.clear()
         _subwords[id(ranks)] = bpe.Memo(encode)
     return _subwords[id(ranks)]
 
 
-def by_word(memo: bpe.Memo, texts: list[list[bytes]], end: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each text's subword ids, and the end; and how many subwords each word has, an end after each text's words."""
-    get = memo.learn(set().union(*texts))
-    last = np.array([end], "<u2").tobytes()
-    ids, sizes = [], []
-    for t in texts:
-        parts = [*map(get, t), last]
-        ids.append(np.frombuffer(b"".join(parts), "<u2"))
-        sizes += map(len, parts)
-    return ids, np.array(sizes, np.int64) // 2
+def block_ids(memo: bpe.Memo, kinds: list[bytes], which: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' subword ids, each text's with its end, one after another; and how many each text has. Texts as block_words() gives them."""
+    parts = [*map(memo.learn(set(kinds)), kinds), np.array([end], "<u2").tobytes()]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+    flat, starts = np.frombuffer(b"".join(parts), "<u2"), np.cumsum(sizes) - sizes
+    which = np.insert(which.astype(np.int64), np.cumsum(counts), len(kinds))
+    each = sizes[which]
+    ends = np.cumsum(each)
+    place = np.arange(int(ends[-1])) + np.repeat(starts[which] - ends + each, each)
+    return flat[place], np.diff(np.append(0, ends[np.cumsum(counts + 1) - 1]))
 
 
-def encoded(memo: bpe.Memo, texts: list[list[bytes]], end: int) -> list[np.ndarray]:
-    """Each text's subword ids, and the end."""
-    get = memo.learn(set().union(*texts))
-    last = np.array([end], "<u2").tobytes()
-    return [np.frombuffer(b"".join(map(get, t)) + last, "<u2") for t in texts]
+def cut(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary array whose rows are so many items of data each."""
+    ends = np.append(0, np.cumsum(counts) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def subword_counts(counts: DataFrame, ranks) -> np.ndarray:
-    """How often each subword id occurs in all counted texts, the end last."""
+def encoded(docs: DataFrame, ranks, frequent) -> DataFrame:
+    """Rows of docs (doc_id, learn, text) with ids in place of text: its subword ids, the end last; also places (int32, of each word in the broadcast list frequent, -1 for others) and rare (those others in their order, joined by spaces)."""
+    end = len(ranks.value)
+    tables: dict[str, dict[bytes, int]] = {}
 
     def run(batches):
-        total = np.zeros(len(ranks.value) + 1, np.int64)
-        for b in batches:
-            memo, many = subwords(ranks.value), b.column(1).to_numpy()
-            for i in range(0, b.num_rows, 20_000):
-                words = b.column(0).slice(i, 20_000).to_pylist()
-                got = memo.encode_many(words)
-                flat = np.frombuffer(b"".join(got), "<u2")
-                total += np.bincount(flat, np.repeat(many[i : i + 20_000], [len(x) // 2 for x in got]), len(total)).astype(np.int64)
+        if "known" not in tables:
+            words = frequent.value.to_pylist()
+            tables["known"] = dict(zip(words, range(len(words)), strict=True))
+        known = tables["known"]
+        for block in common.blocks(batches, TEXT_BYTES):
+            kinds, which, counts = block_words(block.column(2))
+            ids, many = block_ids(subwords(ranks.value), kinds, which, counts, end)
+            places = np.array([known.get(w, -1) for w in kinds], np.int32)[which]
+            unknown = np.flatnonzero(places < 0)
+            ends = np.searchsorted(unknown, np.cumsum(counts)).tolist()
+            words = list(map(kinds.__getitem__, which[unknown].tolist()))
+            rare = pa.array([b" ".join(words[i:j]) for i, j in zip([0, *ends], ends)], pa.binary())  # noqa: B905
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), rare, cut(places, counts), cut(ids, many)], names=["doc_id", "learn", "rare", "places", "ids"])
+
+    common.small_batches(docs.sparkSession, TEXTS)
+    return docs.select("doc_id", "learn", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, learn boolean, rare binary, places binary, ids binary")
+
+
+def id_counts(ids: DataFrame, size: int) -> np.ndarray:
+    """How often each of so many ids occurs in all rows of ids."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for texts in _arrays(batches):
+            total += np.bincount(np.concatenate(texts), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "c"])
 
-    got = counts.where(F.length("word") > 0).mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(len(ranks.value) + 1, np.int64)
+    got = ids.mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(size, np.int64)
     out[got.column("id").to_numpy()] = got.column("c").to_numpy()
     return out
 
@@ -150,8 +204,7 @@ def token_ids(texts: DataFrame, ranks) -> DataFrame:
 
     def run(batches):
         for block in common.blocks(batches):
-            ids = encoded(subwords(ranks.value), [words_of(t) for t in block.column(0).fill_null(b"").to_pylist()], end)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([cut(*block_ids(subwords(ranks.value), *block_words(block.column(0)), end))], names=["ids"])
 
     return texts.select("text").mapInArrow(run, "ids binary")
 
@@ -185,14 +238,15 @@ def context_counts(model: Attention, ids: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(texts: DataFrame, counts: DataFrame, ranks, ends: int) -> Attention | None:
-    """The model of all rows of texts (text); None without any."""
-    if not ends:
+def fit(ids: DataFrame, size: int) -> Attention | None:
+    """The model of all rows of ids (staged), which are of so many subwords, the end last; None without any."""
+    each = id_counts(ids, size)
+    if not each[-1]:
         return None
-    each = subword_counts(counts, ranks)
-    each[len(ranks.value)] = ends
-    ids, model = common.staged(token_ids(texts, ranks)), Attention(each)
-    model.cluster(context_counts(model, ids))
+    model = Attention(each)
+    table = context_counts(model, ids)
+    model.cluster(table)
+    model.follow(table)
     model.open(np.random.RandomState(5))
     # tasks with too few windows for a start of their own are put together
     tasks = max(1, int(each.sum()) // (attention.SCORED * ROUNDS * attention.STEPS * WINDOWS))
@@ -210,7 +264,7 @@ def further(model: Attention, ids: DataFrame, first: bool) -> None:
     sent, steps = ids.sparkSession.sparkContext.broadcast(model), attention.STEPS
 
     def run(batches):
-        own = copy.copy(sent.value)
+        own = copy.copy(sent.value)  # tables that scoring alone needs stay shared
         own.p = {k: x.copy() for k, x in own.p.items()}
         adam, rng, n, again = Adam(own.p), np.random.RandomState(7), 0, []
 
@@ -226,7 +280,7 @@ def further(model: Attention, ids: DataFrame, first: bool) -> None:
                 if at + size > len(order) and not rest:
                     break
                 pick = order[at : at + size]
-                adam(own.gradients(*[c[pick] for c in x])[1], max(attention.rate(adam.step), ROUND_RATE) if start else ROUND_RATE)
+                adam.learn(own, *[c[pick] for c in x], rate=max(attention.rate(adam.step), ROUND_RATE) if start else ROUND_RATE)
                 at += size
             return [[c[order[at:]] for c in x]] if at < len(order) else []
 
@@ -298,7 +352,6 @@ def lm_score(docs: DataFrame, learnable: Column, ranks_path: str | None = None,
     total, distinct, singles, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
     shares = weights(singles, total)
     names = [f"score{k}" for k in range(len(shares))]
-    model = fit(training, counts, ranks, ends)
     # the least count of frequent words, from a histogram by eighths of powers of two
     step = F.when(F.length("word") <= LONGEST, F.floor(F.log2("c") * 8)).otherwise(-1).cast("int")
     least, room = None, FREQUENT
@@ -307,37 +360,39 @@ def lm_score(docs: DataFrame, learnable: Column, ranks_path: str | None = None,
         if room < 0:
             break
         least = r["s"]
-    frequent = counts.where((F.lit(False) if least is None else step >= least) & (F.col("c") > 0)).toArrow()
-    sent = spark.sparkContext.broadcast((frequent, model))
+    frequent = counts.where((F.lit(False) if least is None else step >= least) & (F.col("c") > 0) & (F.length("word") > 0)).toArrow()
+    frequent = frequent.take(np.argsort(-frequent.column("c").to_numpy(), kind="stable"))  # small places are common: they pack well
+    docs = docs.select("doc_id", F.coalesce(learnable, F.lit(False)).alias("learn"), text)
+    docs = common.staged(encoded(docs, ranks, spark.sparkContext.broadcast(frequent.column("word").combine_chunks())), compression="zstd")
+    model = fit(docs.where("learn").select("ids"), len(ranks.value) + 1)
+    sent = spark.sparkContext.broadcast((np.append(frequent.column("c").to_numpy(), ends).astype(np.float64), model))
     spread, end = np.log10(total + distinct + 1), len(ranks.value)
-    tables: dict[str, dict[bytes, float]] = {}
 
     def run(batches):
-        frequent, model = sent.value
-        if "known" not in tables:
-            tables["known"] = dict(zip(frequent.column("word").to_pylist(), np.log10(frequent.column("c").to_numpy() + 1).tolist(), strict=True))
-        known = tables["known"]
+        many, model = sent.value
+        more, opens = np.log10(many + 1), openings(ranks.value)
         for block in common.blocks(batches):
             n = block.num_rows
-            texts = [words_of(t) for t in block.column(2).fill_null(b"").to_pylist()]
-            sizes = np.array([len(t) + 1 for t in texts], np.int64)
+            ids = [np.frombuffer(x, "<u2") for x in block.column(4).to_pylist()]
+            flat = np.concatenate(ids)
+            spelt = model.each(ids) if model else np.full(len(flat), -np.log10(end + 1))
+            spelt = np.add.reduceat(spelt, np.flatnonzero(opens[flat]))  # of each word, and of each text's end
+            data, at = common.raw(block.column(3))
+            sizes = np.diff(at) // 4 + 1
             text_of, closing = np.repeat(np.arange(n), sizes), np.cumsum(sizes) - 1
-            ids, lengths = by_word(subwords(ranks.value), texts, end)
-            spelt = model.each(ids) if model else np.full(lengths.sum(), -np.log10(end + 1))
-            spelt = np.add.reduceat(spelt, np.cumsum(lengths) - lengths)  # of each word, and of each text's end
-            flat = [w for t in texts for w in (*t, None)]
-            found = np.array(list(map(known.get, flat)), np.float64)  # log10 of the count and 1; unknown words become nan
-            found[closing] = np.log10(ends + 1) if ends else np.nan
-            seen = ~np.isnan(found)
-            base, hits = np.bincount(text_of[seen], found[seen], n), np.bincount(text_of[seen], minlength=n)
-            by_count, by_model = (np.power(10.0, found[seen]) - 1) / max(total, 1), np.power(10.0, spelt[seen])
-            scores = [np.bincount(text_of[seen], np.log10(w * by_model + (1 - w) * by_count), n) for w in shares]
+            places = np.insert(data.view(np.int32), at[1:] // 4, len(many) - 1 if ends else -1)
+            seen = places >= 0
+            mine, places = text_of[seen], places[seen]
+            base, hits = np.bincount(mine, more[places], n), np.bincount(mine, minlength=n)
+            by_count, by_model = many[places] / max(total, 1), np.power(10.0, spelt[seen])
+            scores = [np.bincount(mine, np.log10(w * by_model + (1 - w) * by_count), n) for w in shares]
             if not ends:  # nothing to learn from
                 scores = [x + spelt[closing] for x in scores]
+                seen[closing] = True
             rare: dict[tuple[int, bytes], list[float]] = {}
-            for k in np.flatnonzero(~seen).tolist():
-                if flat[k] is not None:
-                    rare.setdefault((int(text_of[k]), flat[k]), []).append(float(spelt[k]))
+            words = (w for t in block.column(2).to_pylist() for w in t.split())
+            for i, w, x in zip(text_of[~seen].tolist(), words, spelt[~seen].tolist(), strict=True):
+                rare.setdefault((i, w), []).append(x)
             own = np.array([i for i, _ in rare], np.int64)
             row = block.column(0).take(pa.array(np.concatenate([np.arange(n), own])))
             keys = block.column(0).to_pylist()
@@ -350,7 +405,7 @@ def lm_score(docs: DataFrame, learnable: Column, ranks_path: str | None = None,
 
     common.small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", text)
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "rare", "places", "ids")
     # each text's own row goes through the join under a key that is no word (it holds a space), so that keys stay spread
     rows = source.mapInArrow(run, f"_row long, word binary, spelt array<double>, doc_id {kind}, n_tokens long, hits long, base double, {', '.join(f'{c} double' for c in names)}")
     scarce = counts.where(F.lit(True) if least is None else step < least).where(F.length("word") > 0)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -437,6 +438,60 @@ def test_every_training_token_teaches(spark, monkeypatch):
     assert model.windows_of(texts)[2].sum() == sum(map(len, texts))
 
 
+def test_shares_after_a_subword_sum_up_and_tell_more(monkeypatch):
+    monkeypatch.setattr(attention, "STEPS", 30)
+    rng = np.random.RandomState(2)
+    after = rng.permutation(300)
+    texts = []
+    for _ in range(80):
+        t = [int(rng.randint(300))]
+        for _ in range(40):
+            t.append(int(after[t[-1]]) if rng.rand() < 0.8 else int(rng.randint(300)))
+        texts.append(np.array([*t, 300], "<u2"))
+    learnt, held = texts[:60], texts[60:]
+    model, _ = _small_attention(learnt)
+    before = model.score(held).sum()
+    model.follow(np.bincount(model.contexts(learnt), minlength=(attention.ROWS + 1) * attention.BEFORE))
+    assert model.score(held).sum() > before + 100
+    for prev in (0, 5, attention.BEFORE + 3):
+        shares = np.exp(model.inside(np.arange(301), np.full(301, prev)).astype(float))
+        sums = np.bincount(model.class_of, shares)
+        assert np.allclose(sums[np.unique(model.class_of)], 1, atol=1e-4)
+
+
+def test_sparse_steps_are_dense_ones(monkeypatch):
+    monkeypatch.setattr(attention, "STEPS", 5)
+    model, texts = _small_attention()
+    batch = model.windows_of(texts)
+    _, g, rows, each = model.sparse_gradients(*batch)
+    dense = model.gradients(*batch)[1]
+    assert len(rows) == len(np.unique(batch[0])) and np.allclose(dense["e"][rows], each) and np.count_nonzero(np.delete(dense["e"], rows, 0)) == 0
+    p = {k: x.copy() for k, x in model.p.items()}
+    attention.Adam(p)(dense, 0.01)
+    attention.Adam(model.p).learn(model, *batch, rate=0.01)
+    assert all(np.allclose(p[k], model.p[k], atol=1e-6) for k in p)
+    for scale in (1e3, -1e3):  # exponents of positions far beyond what exp() holds
+        model.p["near"][:] = scale
+        loss, g = model.gradients(*batch)
+        assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+
+
+def test_words_of_a_block_are_those_of_its_texts():
+    import tiktoken
+
+    texts = [b"", b" \t a  b\n", b"\x1c\x1dA \x85 ' 's 'S x's'll !?.. 123abc\x0b\x0c\r", None, "\u00e9\u00a0b \u3000 \uff58 \u0130 Ab c".encode(), b"x" * 300 + b" " + b"=" * 70, b"\xff\xfe bad \xc3", b"again b b"]
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+    for part in (pa.array(texts, pa.binary()), pa.array([b"no", *texts], pa.binary())[1:], pa.array([None, b" "], pa.binary())):
+        kinds, which, counts = lm_score.block_words(part)
+        want = [lm_score.words_of(t or b"") for t in part.to_pylist()]
+        assert [kinds[k] for k in which] == [w for t in want for w in t] and counts.tolist() == list(map(len, want))
+        ids, many = lm_score.block_ids(lm_score.subwords(ranks), kinds, which, counts, len(ranks))
+        each = [[x for w in t for x in coding.encode_ordinary(f" {w.decode(errors='replace')}")] + [len(ranks)] for t in want]
+        assert ids.tolist() == [x for t in each for x in t] and many.tolist() == list(map(len, each))
+        assert lm_score.openings(ranks)[ids].sum() == sum(counts) + len(counts)  # words are told apart by what opens them
+
+
 def test_spans_cover_texts_evenly(monkeypatch):
     texts = [[b"w%d" % i for i in range(n)] for n in (0, 1, 39, 40, 41, 500)]
     monkeypatch.setattr(lm_score, "SHARE", 1 - 2.0**-40)
