@@ -34,21 +34,35 @@ def rate(step: int) -> float:
     return RATE * min(1.0, 2 * (1 - step / STEPS))
 
 
-def outputs(h: np.ndarray, out: np.ndarray, y: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The exponentials of h @ out, whose exponents end at 60, in room; the exponent of output y in each row; each row's sum."""
+def tables(p: dict[str, np.ndarray], e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By embedding e: queries; keys, values and a one, which sums weights; and what it adds to the exponents of outputs."""
+    ones = np.ones((len(e), 1), e.dtype)
+    return e @ (p["q"] * np.asarray(HEAD**-0.5, e.dtype)), np.concatenate([e @ p["k"], e @ p["v"], ones], 1), e @ p["o"][:WIDTH] + p["b"]
+
+
+def outputs(h: np.ndarray, out: np.ndarray, base: np.ndarray, y: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exponentials of h @ out + base, whose exponents end at 60, in room; the exponent of output y in each row; each row's sum."""
     z, at = np.matmul(h, out, out=room[: len(h)]), np.arange(0, len(h) * OUTPUTS, OUTPUTS) + y
+    z += base
     own = z.ravel().take(at)
     with np.errstate(over="ignore"):
         np.exp(z, out=z)
     total = z @ np.ones(OUTPUTS, z.dtype)
     if not total.max(initial=0) < 1e26:  # exp(60) is more; then, or with overflow, once more with the bound
-        z = np.minimum(h @ out, 60)
+        z = np.minimum(h @ out + base, 60)
         own = z.ravel().take(at)
         np.exp(z, out=z)
         total = z @ np.ones(OUTPUTS, z.dtype)
     return z, own, total
 
 
+def crossed(a: np.ndarray, b: np.ndarray, rows: int = 512) -> np.ndarray:
+    """a.T @ b, by so many rows at once, which takes half the time of all at once."""
+    n = len(a) // rows * rows
+    out = a[n:].T @ b[n:]
+    return out + (a[:n].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, rows, b.shape[1])).sum(0) if n else out
+
+
 def attended(q: np.ndarray, k: np.ndarray, val: np.ndarray, offsets: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The weights of each window's positions, not yet divided by their sums, and the values under them; val ends with a one."""
     a = q @ k.transpose(0, 2, 1)
@@ -166,64 +180,66 @@ class Attention:
         return loss, g
 
     def sparse_gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, opens: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """As gradients(), but the embeddings' as the rows of x, in order, and the gradient of each: sums over parts of BATCH windows, which stay in the processor's cache."""
+        """As gradients(), but the embeddings' as the rows of x, in order, and the gradient of each.
+
+        What depends on a row alone is computed once a row: its tables(). Parts of BATCH windows stay in the processor's cache.
+        """
         p, many = self.p, np.float32(max(real.sum(), 1))
-        sides, out = np.concatenate([p["k"], p["v"]], 1), np.concatenate([p["o"], p["b"][None]])
-        offsets, loss, de = self._offsets(p["near"]), 0.0, np.empty((*x.shape, WIDTH), p["e"].dtype)
-        room = np.empty((BATCH * SCORED, OUTPUTS), p["o"].dtype)
-        g = {"q": np.zeros_like(p["q"]), "sides": np.zeros_like(sides), "out": np.zeros_like(out), "near": np.zeros((SCORED, WINDOW))}
-        for i in range(0, len(x), BATCH):
-            part = slice(i, i + BATCH)
-            loss += self._part(g, de[part], sides, out, offsets, x[part], y[part].ravel(), real[part].ravel() / many, opens[part], room)
-        back = np.abs(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW))
-        reach = np.arange(CONTEXT, WINDOW)[:, None] >= np.arange(WINDOW)
         met = x.ravel().astype(np.uint16)  # sorted by their digits
         order = np.argsort(met, kind="stable")
         met = met[order]
-        starts = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
-        rows, each = met[starts].astype(np.int64), np.add.reduceat(de.reshape(-1, WIDTH).take(order, 0), starts, axis=0)
-        near = np.bincount(back.ravel(), (g["near"] * reach).ravel(), WINDOW).astype(np.float32)
-        return loss, {"o": g["out"][:-1], "b": g["out"][-1], "near": near, "q": g["q"], "k": g["sides"][:, :HEAD], "v": g["sides"][:, HEAD:]}, rows, each
-
-    def _part(self, g: dict[str, np.ndarray], de: np.ndarray, sides: np.ndarray, out: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, opens: np.ndarray, room: np.ndarray) -> float:
-        """Adds the gradient of some windows to g and writes that by their inputs to de; their part of the loss. sides: keys and values; out: outputs, and last the bias."""
-        p, n, scale = self.p, len(y), np.float32(HEAD**-0.5)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        e = p["e"].take(x, 0)
-        last = np.ascontiguousarray(e[:, CONTEXT:])
-        q, kv = (flat(last) @ (p["q"] * scale)).reshape(len(x), SCORED, HEAD), np.ones((len(x), WINDOW, 2 * HEAD + 1), e.dtype)
-        kv[:, :, :-1] = (flat(e) @ sides).reshape(len(x), WINDOW, 2 * HEAD)
-        k, val = kv[:, :, :HEAD], kv[:, :, HEAD:]  # values end with a one, which sums the weights
+        new = np.append(True, met[1:] != met[:-1])
+        starts, place = np.flatnonzero(new), np.empty(len(met), np.intp)
+        rows = met[starts].astype(np.int64)
+        place[order] = np.cumsum(new) - 1
+        place, e = place.reshape(x.shape), p["e"][rows]
+        scale = np.asarray(HEAD**-0.5, e.dtype)
+        own, back = (*tables(p, e), e), np.concatenate([p["k"], p["v"], p["q"] * scale, p["o"][:WIDTH]], 1).T
+        loss, offsets, de = 0.0, self._offsets(p["near"]), np.empty((*x.shape, WIDTH), e.dtype)
+        room, wide = np.empty((BATCH * SCORED, OUTPUTS), e.dtype), np.zeros((BATCH, WINDOW, 3 * HEAD + OUTPUTS), e.dtype)
+        g = {"out": np.zeros((HEAD, OUTPUTS), e.dtype), "near": np.zeros((SCORED, WINDOW)), "b": np.zeros(OUTPUTS, e.dtype), "wide": np.zeros((WIDTH, 3 * HEAD + OUTPUTS), e.dtype)}
+        for i in range(0, len(x), BATCH):
+            part = slice(i, i + BATCH)
+            loss += self._part(g, de[part], own, back, offsets, place[part], y[part].ravel(), (real[part].ravel() / many).astype(e.dtype), opens[part], room, wide)
+        gap = np.abs(np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW))
+        reach = np.arange(CONTEXT, WINDOW)[:, None] >= np.arange(WINDOW)
+        near = np.bincount(gap.ravel(), (g["near"] * reach).ravel(), WINDOW).astype(np.float32)
+        k, v, q, o = np.split(g["wide"], [HEAD, 2 * HEAD, 3 * HEAD], 1)
+        of = {"o": np.concatenate([o, g["out"]]), "b": g["b"], "near": near, "q": q * scale, "k": k, "v": v}
+        return loss, of, rows, np.add.reduceat(de.reshape(-1, WIDTH).take(order, 0), starts, axis=0)
+
+    def _part(self, g: dict[str, np.ndarray], de: np.ndarray, own: tuple[np.ndarray, ...], back: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, opens: np.ndarray, room: np.ndarray, wide: np.ndarray) -> float:
+        """Adds the gradient of some windows to g and writes that by their inputs to de; their part of the loss.
+
+        x: places in the tables own, whose last are the embeddings; wide: room for the gradients by
+        place of keys, values, queries and what is added to outputs, of which back makes that of the embeddings.
+        """
+        n, out, asks, wide = len(y), self.p["o"][WIDTH:], x[:, CONTEXT:], wide[: len(x)]
+        q, kv = own[0].take(asks, 0), own[1].take(x, 0)
+        k, val = kv[:, :, :HEAD], kv[:, :, HEAD:]
         a, mixed = attended(q, k, val, offsets, opens)
-        h = np.empty((len(x), SCORED, WIDTH + HEAD + 1), e.dtype)
-        h[:, :, :WIDTH], h[:, :, -1] = last, 1
         sums = mixed[:, :, -1:]
-        np.divide(mixed[:, :, :-1], sums, out=h[:, :, WIDTH:-1])
-        h = flat(h)
-        z, own, total = outputs(h, out, y, room)
-        loss = float(((np.log(total) - own) * w).sum())
+        h = (mixed[:, :, :-1] / sums).reshape(n, HEAD)
+        z, exponent, total = outputs(h, out, own[2].take(asks.ravel(), 0), y, room)
+        loss = float((np.log(total) - exponent) @ w)
         z.ravel()[np.arange(0, n * OUTPUTS, OUTPUTS) + y] -= total
-        share = (w / total)[:, None].astype(e.dtype)
-        dh = z @ p["o"].T
-        dh *= share
+        z *= (w / total)[:, None]
+        g["out"] += crossed(h, z)
+        g["b"] += np.ones(n, z.dtype) @ z
+        dh = z @ out.T
         da = np.empty_like(mixed)  # of sums of a's rows that aren't divided yet; last, what the division takes off
-        np.divide(dh.reshape(len(x), SCORED, -1)[:, :, WIDTH:], sums, out=da[:, :, :-1])
-        np.negative(np.einsum("ijk,ijk->ij", da[:, :, :-1], h.reshape(len(x), SCORED, -1)[:, :, WIDTH:-1]), out=da[:, :, -1])
-        h *= share
-        g["out"] += h.T @ z
-        dh = dh.reshape(len(x), SCORED, WIDTH + HEAD)
+        np.divide(dh.reshape(len(x), SCORED, HEAD), sums, out=da[:, :, :-1])
+        np.divide(np.einsum("ij,ij->i", dh, -h).reshape(len(x), SCORED), sums[:, :, 0], out=da[:, :, -1])
         ds = da @ val.transpose(0, 2, 1)
         ds *= a
         g["near"] += ds.sum(0)
-        dq, dkv = ds @ k, np.empty((len(x), WINDOW, 2 * HEAD), e.dtype)
-        dq *= scale
-        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :HEAD])
-        np.matmul(a.transpose(0, 2, 1), da[:, :, :-1], out=dkv[:, :, HEAD:])
-        g["q"] += flat(last).T @ flat(dq)
-        g["sides"] += flat(e).T @ flat(dkv)
-        np.matmul(flat(dkv), sides.T, out=flat(de))
-        de[:, CONTEXT:] += dh[:, :, :WIDTH]
-        de[:, CONTEXT:] += (flat(dq) @ p["q"].T).reshape(len(x), SCORED, WIDTH)
+        np.matmul(ds.transpose(0, 2, 1), q, out=wide[:, :, :HEAD])
+        np.matmul(a.transpose(0, 2, 1), da[:, :, :-1], out=wide[:, :, HEAD : 2 * HEAD])
+        np.matmul(ds, k, out=wide[:, CONTEXT:, 2 * HEAD : 3 * HEAD])
+        wide[:, CONTEXT:, 3 * HEAD :] = z.reshape(len(x), SCORED, OUTPUTS)
+        flat = wide.reshape(-1, wide.shape[-1])
+        g["wide"] += crossed(own[3].take(x.ravel(), 0), flat)
+        np.matmul(flat, back, out=de.reshape(-1, WIDTH))
         return loss
 
     def open(self, rng: np.random.RandomState) -> None:
@@ -260,28 +276,23 @@ class Attention:
             at += size
 
     def finish(self) -> None:
-        """Tables by subword, for scoring."""
-        p, e = self.p, self.p["e"]
-        self.tables = [np.ascontiguousarray(t, np.float32) for t in (np.concatenate([e @ p["q"] * np.float32(HEAD**-0.5), e], 1), np.concatenate([e @ p["k"], e @ p["v"], np.ones((len(e), 1))], 1))]
-        self.offsets, self.out = self._offsets(p["near"]), np.concatenate([p["o"], p["b"][None]])
+        """Tables by row, for scoring."""
+        self.tables, self.offsets, self.out = tables(self.p, self.p["e"]), self._offsets(self.p["near"]), self.p["o"][WIDTH:]
 
     def each(self, texts: list[np.ndarray]) -> np.ndarray:
         """The log10 probability of each token of the texts (arrays of ids, each with its end), one after another: every token is scored in one window."""
         if not texts:
             return np.zeros(0)
         inputs, targets, real, opens, _ = self._layout(texts)
-        asks, keys = self.tables
+        asks, keys, base = self.tables
         out, room = [], np.empty((BATCH * SCORED, OUTPUTS), np.float32)
         for i in range(0, len(inputs), BATCH):
-            x, y, n = inputs[i : i + BATCH], targets[i : i + BATCH], min(BATCH, len(inputs) - i)
-            ask, key = asks.take(x[:, CONTEXT:], 0), keys.take(x, 0)
-            _, mixed = attended(ask[:, :, :HEAD], key[:, :, :HEAD], key[:, :, HEAD:], self.offsets, opens[i : i + BATCH])
-            h = np.empty((n, SCORED, WIDTH + HEAD + 1), np.float32)
-            h[:, :, :WIDTH], h[:, :, -1] = ask[:, :, HEAD:], 1
-            np.divide(mixed[:, :, :-1], mixed[:, :, -1:], out=h[:, :, WIDTH:-1])
-            y = y.ravel()[kept := real[i : i + BATCH].ravel()]
-            _, own, total = outputs(h.reshape(n * SCORED, -1)[kept], self.out, self.class_of[y], room)
-            out.append(own - np.log(total) + self.inside(y, x[:, CONTEXT:].ravel()[kept]))
+            x, y, kept = inputs[i : i + BATCH], targets[i : i + BATCH].ravel(), real[i : i + BATCH].ravel()
+            before, key = x[:, CONTEXT:].ravel(), keys.take(x, 0)
+            _, mixed = attended(asks.take(before, 0).reshape(len(x), SCORED, HEAD), key[:, :, :HEAD], key[:, :, HEAD:], self.offsets, opens[i : i + BATCH])
+            h = (mixed[:, :, :-1] / mixed[:, :, -1:]).reshape(-1, HEAD)
+            _, own, total = outputs(h, self.out, base.take(before, 0), self.class_of[y], room)
+            out.append((own - np.log(total) + self.inside(y, before))[kept])
         return np.concatenate(out).astype(np.float64) / np.log(10)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
