@@ -389,17 +389,19 @@ def lm_score(docs: DataFrame, learnable: Column, ranks_path: str | None = None,
             if not ends:  # nothing to learn from
                 scores = [x + spelt[closing] for x in scores]
                 seen[closing] = True
-            rare: dict[tuple[int, bytes], list[float]] = {}
-            words = (w for t in block.column(2).to_pylist() for w in t.split())
-            for i, w, x in zip(text_of[~seen].tolist(), words, spelt[~seen].tolist(), strict=True):
-                rare.setdefault((i, w), []).append(x)
-            own = np.array([i for i, _ in rare], np.int64)
+            kinds, which, _ = block_words(block.column(2))
+            mine = text_of[~seen] * len(kinds) + which  # a row for each text and word
+            order = np.argsort(mine, kind="stable")
+            mine = mine[order]
+            starts = np.flatnonzero(np.diff(mine, prepend=-1))
+            own, words = np.divmod(mine[starts], max(len(kinds), 1))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n, np.int64), starts, [len(mine)]]), pa.int32()), pa.array(spelt[~seen][order], pa.float64()))
             row = block.column(0).take(pa.array(np.concatenate([np.arange(n), own])))
             keys = block.column(0).to_pylist()
-            gap = pa.nulls(len(rare))
+            gap = pa.nulls(len(own))
             both = lambda a, kind: pa.concat_arrays([pa.array(a, kind), gap.cast(kind)])
             yield pa.RecordBatch.from_arrays([
-                row, pa.array([b" %d" % k for k in keys] + [w for _, w in rare], pa.binary()), pa.array([[]] * n + list(rare.values()), pa.list_(pa.float64())),
+                row, pa.array([b" %d" % k for k in keys] + [kinds[k] for k in words.tolist()], pa.binary()), lists,
                 pa.concat_arrays([block.column(1), gap.cast(block.column(1).type)]), both(sizes, pa.int64()), both(hits, pa.int64()), both(base - sizes * spread, pa.float64()), *[both(x, pa.float64()) for x in scores],
             ], names=["_row", "word", "spelt", "doc_id", "n_tokens", "hits", "base", *names])
 
@@ -409,7 +411,7 @@ def lm_score(docs: DataFrame, learnable: Column, ranks_path: str | None = None,
     # each text's own row goes through the join under a key that is no word (it holds a space), so that keys stay spread
     rows = source.mapInArrow(run, f"_row long, word binary, spelt array<double>, doc_id {kind}, n_tokens long, hits long, base double, {', '.join(f'{c} double' for c in names)}")
     scarce = counts.where(F.lit(True) if least is None else step < least).where(F.length("word") > 0)
-    joined = rows.join(scarce, "word", "left").withColumn("spelt", F.explode_outer("spelt"))
+    joined = rows.join(scarce.hint("shuffle_hash"), "word", "left").withColumn("spelt", F.explode_outer("spelt"))
     first = lambda c: F.max(c).alias(c)
     known = F.col("spelt").isNotNull() & (F.col("c") > 0)
     each = [(F.max(c) + F.coalesce(F.sum(mixed(F.col("c"), F.col("spelt"), total, w)), F.lit(0.0))).alias(c) for c, w in zip(names, shares, strict=True)]
