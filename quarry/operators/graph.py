@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import kept
 
-#: Distinct nodes that a call tree expands before it stops.
-NODE_CAP = 3000
-
 
 def one_hop(edges: DataFrame, node: str, kinds: tuple[str, ...] = ("call",)) -> DataFrame:
     """GRF-1, SET-3: distinct neighbours, each with its direction."""
@@ -108,10 +106,27 @@ def _neighbourhood(arcs: DataFrame, root: DataFrame, most: int, fan: int, cap: i
     return found
 
 
-def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap: int | None = NODE_CAP, seeds: list[str] | None = None) -> CallTree:
+def _root_state(root: DataFrame, in_cycle: DataFrame) -> DataFrame:
+    """node, trail: the root, and itself as its path where it is on a cycle."""
+    return root.join(in_cycle, "node", "left").select("node", F.when(F.col("component").isNotNull(), F.array("node")).otherwise(F.array().cast("array<string>")).alias("trail"))
+
+
+def _with_components(near: DataFrame, in_cycle: DataFrame) -> DataFrame:
+    """near (source, target, ...) with the components _from and _to of either end; null where it is on no cycle."""
+    at, to = in_cycle.select(F.col("node").alias("source"), F.col("component").alias("_from")), in_cycle.select(F.col("node").alias("target"), F.col("component").alias("_to"))
+    return near.join(at, "source", "left").join(to, "target", "left")
+
+
+def _next_trail() -> Column:
+    """What of the path to target, reached from a state by an arc of _with_components, lies in its component."""
+    inside = F.col("_to").isNotNull() & F.col("_from").eqNullSafe(F.col("_to"))
+    return F.when(inside, F.array_sort(F.concat("trail", F.array("target")))).when(F.col("_to").isNotNull(), F.array("target")).otherwise(F.array().cast("array<string>"))
+
+
+def call_tree(arcs: DataFrame, root: str, most: int, fan: int | None = None, cap: int | None = None, seeds: list[str] | None = None) -> CallTree:
     """GRF-4: the tree below root along arcs (source, target); seeds stand for the root's own neighbours.
 
-    Each node shows its first fan neighbours by name; the rest are omitted, but reached. A node ends
+    Each node shows its first fan neighbours by name (all, for None); the rest are omitted, but reached. A node ends
     as cycle where it is on its own path. A node that would show children at a later place again is
     repeated there and has no rows below; places are paths of neighbours' numbers, in the order of a
     walk into depth. The walk stops at most steps, or at the first level before which cap distinct nodes
@@ -121,17 +136,15 @@ def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap:
     connected component, as only that can close a cycle. Each state keeps its first place and the number
     of its paths, so a diamond costs its nodes and not its paths. A row names its parent; none holds a path of names.
     """
-    spark = arcs.sparkSession
+    spark, fan = arcs.sparkSession, sys.maxsize if fan is None else fan
     near = arcs.select("source", "target")
     if seeds is not None:
         near = near.where(F.col("source") != root).unionByName(spark.createDataFrame([(root, x) for x in seeds], "source string, target string"))
     start = spark.createDataFrame([(root,)], "node string")
     near = kept(_neighbourhood(near, start, most, fan, cap))
     in_cycle = kept(_components(near.where(F.col("nth") <= fan).select("source", "target")))
-    at, to = in_cycle.select(F.col("node").alias("source"), F.col("component").alias("_from")), in_cycle.select(F.col("node").alias("target"), F.col("component").alias("_to"))
-    near = kept(near.join(at, "source", "left").join(to, "target", "left"))
-    state = start.join(in_cycle, "node", "left").select("node", F.when(F.col("component").isNotNull(), F.array("node")).otherwise(F.array().cast("array<string>")).alias("trail"), F.array().cast("array<int>").alias("place"), F.lit(1).cast("decimal(38,0)").alias("ways"))
-    state = kept(state)
+    near = kept(_with_components(near, in_cycle))
+    state = kept(_root_state(start, in_cycle).select("node", "trail", F.array().cast("array<int>").alias("place"), F.lit(1).cast("decimal(38,0)").alias("ways")))
     reached, open_states, omitted, capped, stop = None, None, 0, False, most
     met = state.select("node")
     for depth in range(most + 1):
@@ -152,10 +165,8 @@ def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap:
             break
         now = state.withColumn("depth", F.lit(depth))
         open_states = now if open_states is None else open_states.unionByName(now)
-        inside = F.col("_to").isNotNull() & F.col("_from").eqNullSafe(F.col("_to"))
-        trail = F.when(inside, F.array_sort(F.concat("trail", F.array("target")))).when(F.col("_to").isNotNull(), F.array("target")).otherwise(F.array().cast("array<string>"))
         onward = step.where((F.col("nth") <= fan) & ~F.array_contains("trail", F.col("target")))
-        onward = onward.select(F.col("target").alias("node"), trail.alias("trail"), F.concat("place", F.array("nth")).alias("place"), "ways")
+        onward = onward.select(F.col("target").alias("node"), _next_trail().alias("trail"), F.concat("place", F.array("nth")).alias("place"), "ways")
         state = kept(onward.groupBy("node", "trail").agg(F.min("place").alias("place"), F.sum("ways").cast("decimal(38,0)").alias("ways")))
         if state.isEmpty():
             break
@@ -180,6 +191,28 @@ def call_tree(arcs: DataFrame, root: str, most: int, fan: int = 1_000_000, cap:
     return CallTree(kept(out), reached.distinct(), omitted, capped)
 
 
+def blast_radius(arcs: DataFrame, root: str, most: int) -> DataFrame:
+    """AGG-23: node, depth: where paths along arcs (source, target) from root end that meet no node twice, by their steps, most at most.
+
+    Every neighbour of every node is followed, and none is numbered, so no node's neighbours meet in one
+    task. The walk goes by the states of call_tree; they grow with the paths only within a component.
+    """
+    start = arcs.sparkSession.createDataFrame([(root,)], "node string")
+    arcs = arcs.select("source", "target").distinct()
+    near = kept(arcs.join(levels(start, arcs, most - 1).select(F.col("node").alias("source")), "source", "left_semi"))
+    in_cycle = kept(_components(near))
+    near = kept(_with_components(near, in_cycle))
+    state = kept(_root_state(start, in_cycle))
+    reached = state.select("node", F.lit(0).alias("depth"))
+    for depth in range(1, most + 1):
+        step = state.join(near, F.col("node") == F.col("source")).where(~F.array_contains("trail", F.col("target")))
+        state = kept(step.select(F.col("target").alias("node"), _next_trail().alias("trail")).distinct())
+        if state.isEmpty():
+            break
+        reached = reached.unionByName(state.select("node", F.lit(depth).alias("depth")))
+    return reached.distinct()
+
+
 def depth_counts(reached: DataFrame) -> DataFrame:
     """AGG-23: distinct nodes by depth; a node counts at every depth it is met at."""
     return reached.groupBy("depth").agg(F.count_distinct("node").alias("nodes"))

@@ -65,6 +65,21 @@ def _walked(pairs, root, most, fan):
     return Counter(rows), reached, sum(x is not None for x in lost), any(x is not False for x in lost)
 
 
+@pytest.mark.parametrize("most", [0, 1, 4])
+def test_blast_radius_by_all_paths(spark, most):
+    rng = random.Random(most)
+    pairs = [(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}") for _ in range(20)]
+    got = graph.blast_radius(arcs(spark, pairs), "n0", most).collect()
+    assert Counter((r.node, r.depth) for r in got) == Counter(_walked(pairs, "n0", most, len(pairs))[1])
+
+
+def test_call_tree_stops_at_no_number_of_nodes(spark):
+    many = [p for i in range(3000) for p in (("root", f"x{i}"), (f"x{i}", "y"))]
+    got = graph.call_tree(arcs(spark, [*many, ("y", "z")]), "root", 4)
+    assert {r.depth: r.nodes for r in graph.depth_counts(got.reached).collect()} == {0: 1, 1: 3000, 2: 1, 3: 1}
+    assert not got.omitted and not got.depth_capped
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_call_tree_and_components_by_all_paths(spark, seed):
     rng = random.Random(seed)
