@@ -329,7 +329,8 @@ def _components(arcs: DataFrame) -> DataFrame:
         inner = through.join(head, "head", "left").join(tail, "tail", "left").where((F.col("head") == F.col("tail")) | (F.col("_h") == F.col("_t")))
         inner = inner.select(F.col("id").alias("node"), F.coalesce("_h", "head").alias("component"))
         ends = inner.select(F.col("component").alias("node"), "component")
-        known = kept(known.unionByName(inner).unionByName(ends).groupBy("node").agg(F.min("component").alias("component")))
+        rest = known.join(inner.select("node"), "node", "left_anti")  # a loop on a run's node made it a component of its own
+        known = kept(rest.unionByName(inner).unionByName(ends).groupBy("node").agg(F.min("component").alias("component")))
     least = known.groupBy("component").agg(F.min("node").alias("_least"))
     return known.join(least, "component").select("node", F.col("_least").alias("component"))
 

@@ -104,6 +104,12 @@ def test_diamonds_cost_their_nodes(spark):
     assert not any(tuple(r.place[:-1]) in repeated for r in rows)
 
 
+def test_a_loop_within_a_larger_component(spark):
+    """s0 has a loop, and becomes part of a run once loops have gone; what leads to s1 lasts until then."""
+    pairs = [("s0", "s0"), ("s0", "s1"), ("s1", "s0"), ("a1", "b"), ("a2", "b"), ("b", "c"), ("b2", "c"), ("c", "s1")]
+    assert [tuple(r) for r in graph.cycles(arcs(spark, pairs)).collect()] == [("s0", ["s0", "s1"])]
+
+
 @pytest.mark.parametrize("ring", [False, True])
 def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch, ring):
     rounds = []
